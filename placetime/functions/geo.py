@@ -25,8 +25,10 @@ def grid(e5: Column, size: int | Column) -> Column:
     return F.floor(e5 / (float(size) if isinstance(size, int) else size)).cast("int")
 
 
-def cell_id(lat: Column, lng: Column) -> Column:
-    return F.format_string("%.4f_%.4f", lat, lng)
+def cell_id(lat_e5: Column, lng_e5: Column) -> Column:
+    """Stable 'lat_lng' text with four decimals, ties upward."""
+    four = [F.floor((c + 5) / 10.0) / 10000.0 for c in (lat_e5, lng_e5)]
+    return F.format_string("%.4f_%.4f", *four)
 
 
 def planar_sq(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:

@@ -59,6 +59,19 @@ def global_rank(df: DataFrame, order: Sequence[Column], out: str = "rank") -> Da
     )
 
 
+def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "pos") -> DataFrame:
+    """0-based position of each row inside its key, for keys that may hold most of the rows:
+    the global position minus the key's first one."""
+    placed = global_rank(df, [*[F.col(k) for k in keys], *order], "_at")
+    first = placed.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.min("_at").alias("_first"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return placed.join(first, same).select(
+        *df.columns, (F.col("_at") - F.col("_first")).alias(out)
+    )
+
+
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Histogram per key with running counts: columns keys, value, c, cum, n."""
     hist = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))

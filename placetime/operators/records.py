@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.geo import to_e5
 from ..functions.joins import lookup_join
+from ..functions.ranks import rank_within
 from ..functions.text import clean_links, is_email, query_param, sentence_case, truncated
 from .spatial import assign_polygon
 
@@ -119,29 +120,24 @@ def next_ids(new: DataFrame, issued: DataFrame, prefixes: dict[str, str], order:
     """Ids like CEN001 for new records: numbers continue after the highest one issued for the
     prefix, in creation order.
 
-    Numbering inside a prefix is a running position, so it is done in two steps that both
-    scale: positions inside creation-day buckets, then each bucket's offset.
+    Positions inside a prefix come from one parallel sort, so a prefix holding most of the
+    new records is not numbered by one task.
     """
     pairs = F.create_map(*[F.lit(x) for kv in prefixes.items() for x in kv])
     other = prefixes.get("Other", "OTH")
     rows = new.withColumn("prefix", F.coalesce(F.try_element_at(pairs, F.col("district")), F.lit(other)))
-    rows = rows.withColumn("_bucket", F.col(order[0]).cast("date"))
-    inside = W.partitionBy("prefix", "_bucket").orderBy(*order)
-    rows = rows.withColumn("_pos", F.row_number().over(inside))
-    sizes = rows.groupBy("prefix", "_bucket").agg(F.count(F.lit(1)).alias("c"))
-    before = W.partitionBy("prefix").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("prefix", "_bucket", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("_off"))
+    rows = rank_within(rows, ["prefix"], [F.col(c) for c in order], "_pos")
     last = issued.select(
         F.regexp_extract("intervention_id", r"^([A-Z]+)(\d+)$", 1).alias("prefix"),
         F.regexp_extract("intervention_id", r"^([A-Z]+)(\d+)$", 2).try_cast("int").alias("num"),
     ).where("num is not null").groupBy("prefix").agg(F.max("num").alias("_last"))
-    num = F.coalesce("_last", F.lit(0)) + F.col("_off") + F.col("_pos")
+    num = F.coalesce("_last", F.lit(0)) + F.col("_pos") + 1
     text = num.cast("string")
     padded = F.lpad(text, F.greatest(F.length(text), F.lit(3)), F.lit("0"))
     return (
-        rows.join(offsets, ["prefix", "_bucket"]).join(F.broadcast(last), "prefix", "left")
+        rows.join(F.broadcast(last), "prefix", "left")   # one row per prefix
         .withColumn("intervention_id", F.concat("prefix", padded))
-        .drop("_bucket", "_pos", "_off", "_last")
+        .drop("_pos", "_last")
     )
 
 

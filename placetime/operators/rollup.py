@@ -15,6 +15,7 @@ from ..functions import timekeys as tk
 from ..functions.geo import to_e5
 from ..functions.joins import lookup_join
 from ..functions.numbers import half_up, ratio
+from ..functions.ranks import rank_within
 
 CITYWIDE = "Citywide"
 
@@ -320,6 +321,7 @@ def scoped(events: DataFrame, scopes: Sequence[dict[str, str | None]], cols: Seq
 
 
 def group_rows(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """Rows of each key as one array, for small tables such as curated record lists."""
-    rest = [c for c in df.columns if c not in (key, *order)]
-    return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias("rows"))
+    """Rows arranged by key: each row with its position in its key's list and the list's
+    length.  The lists stay rows, so a key of any size is spread over tasks."""
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
+    return lookup_join(rank_within(df, [key], [F.col(c) for c in order]), sizes, [key])

@@ -266,20 +266,22 @@ def snap_to_corner(
 ) -> DataFrame:
     """Parent corner of each stop: within r_name prefer a name with both streets, then either;
     else the nearest within r_any; else null.  stops need on/at (folded), corners name."""
-    c = corners.select("name", F.col("lat_e5").alias("t_lat"), F.col("lng_e5").alias("t_lng"))
+    c = corners.select(
+        F.col("name").alias("_corner"), F.col("lat_e5").alias("t_lat"), F.col("lng_e5").alias("t_lng")
+    )
     pairs = near_pairs(stops, c, r_name, r_name)
     named = (F.col("on") != "") & (F.col("at") != "")
-    has_on, has_at = F.contains("name", F.col("on")), F.contains("name", F.col("at"))
+    has_on, has_at = (F.contains("_corner", F.col(c)) for c in ("on", "at"))
     tier = (
         F.when(named & has_on & has_at, 0)
         .when(named & (has_on | has_at), 1)
         .when(F.col("d2") <= float(r_any) ** 2, 2)
     )
     best = pairs.withColumn("tier", tier).where("tier is not null").groupBy("id").agg(
-        F.min(F.struct("tier", "d2", "name")).alias("b")
+        F.min(F.struct("tier", "d2", "_corner")).alias("b")
     )
     return stops.join(best, "id", "left").select(
-        *stops.columns, F.col("b.name").alias("corner"),
+        *stops.columns, F.col("b._corner").alias("corner"),
         F.round(F.sqrt("b.d2")).cast("long").alias("corner_m"),
     )
 
