@@ -24,9 +24,11 @@ def lookup_join(
     rows: int = BROADCAST_ROWS,
     salt_from: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Join `big` to `small` on equal columns.
+    """Join `big` to a dimension `small` on equal columns.
 
-    Up to `rows` rows, `small` is broadcast.  Beyond that every `small` row is repeated for
+    Measuring `small` evaluates it once more, so this is for sides that are cheap to build
+    (polygons, stops, presets); two derived sides are joined plainly and left to adaptive
+    execution.  Up to `rows` rows, `small` is broadcast.  Beyond that every `small` row is repeated for
     SALTS salts and each `big` row takes one salt from a hash of `salt_from` (all its columns
     by default), which is stable when a task is run again.
     """

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed
-from ..functions.joins import lookup_join
 from ..functions.numbers import ratio
 from ..functions.ranks import value_counts
 from ..functions.text import basis_types, parse_stop_code
@@ -87,7 +86,7 @@ def signal_scale(totals: DataFrame, keys: Sequence[str] = ("signal",), value: st
 def relative_intensity(totals: DataFrame, scale: DataFrame, present: float = 0.25) -> DataFrame:
     """Per target and signal: intensity min(1.5, value / scale) and whether it is shown; plus
     the dominant signal (first on a tie) and a quiet flag."""
-    t = lookup_join(totals, scale, ["signal"]).withColumn(
+    t = totals.join(scale, "signal", "left").withColumn(
         "intensity", F.least(F.lit(1.5), F.coalesce(F.col("t12") / F.col("scale"), F.lit(0.0)))
     )
     best = t.groupBy("id").agg(
@@ -133,7 +132,7 @@ def overlay_list(raw: DataFrame, detail: bool = False) -> DataFrame:
 def overlay_match(listed: DataFrame, stops: DataFrame, alternatives: DataFrame) -> DataFrame:
     """Listed rows with a matched flag, the stop's name and shelter, and which of its
     alternative stops are listed too.  alternatives: id, alt_id."""
-    known = lookup_join(listed, stops.select("id", "name", "shelter"), ["id"]).withColumn(
+    known = listed.join(stops.select("id", "name", "shelter"), "id", "left").withColumn(
         "matched", F.col("name").isNotNull()
     )
     on_list = known.where("matched").select(F.col("id").alias("alt_id")).distinct()

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.geo import planar_m, to_e5
-from ..functions.joins import lookup_join
 from .rollup import ranked
 
 
@@ -21,10 +20,10 @@ def stop_patterns(feed: dict[str, DataFrame]) -> DataFrame:
     """Ordered stops of each representative trip with route name, previous and next stop."""
     route = F.coalesce(F.nullif(F.col("route_short_name"), F.lit("")), F.col("route_long_name"))
     routes = feed["routes"].select("route_id", route.alias("route"))
-    best = lookup_join(representative_trips(feed["stop_times"], feed["trips"]), routes, ["route_id"], "inner")
+    best = representative_trips(feed["stop_times"], feed["trips"]).join(routes, "route_id")
     seq = feed["stop_times"].select("trip_id", F.col("stop_sequence").cast("int").alias("seq"), "stop_id")
-    along = W.partitionBy("trip_id").orderBy("seq")
-    return lookup_join(seq, best.select("trip_id", "route", "direction_id"), ["trip_id"], "inner").withColumns({
+    along = W.partitionBy("trip_id").orderBy("seq", "stop_id")
+    return seq.join(best.select("trip_id", "route", "direction_id"), "trip_id").withColumns({
         "prev_stop": F.lag("stop_id").over(along), "next_stop": F.lead("stop_id").over(along),
     })
 
@@ -44,7 +43,7 @@ def nearest_alternative(patterns: DataFrame, stops: DataFrame) -> DataFrame:
     pairs = patterns.select("stop_id", "route", "direction_id", F.explode(near).alias("alt_id")).distinct()
     spot = stops.select("stop_id", "lat_e5", "lng_e5")
     other = stops.select(F.col("stop_id").alias("alt_id"), F.col("lat_e5").alias("t_lat"), F.col("lng_e5").alias("t_lng"))
-    d = lookup_join(lookup_join(pairs, spot, ["stop_id"], "inner"), other, ["alt_id"], "inner").withColumn(
+    d = pairs.join(spot, "stop_id").join(other, "alt_id").withColumn(
         "d", planar_m(F.col("lat_e5"), F.col("lng_e5"), F.col("t_lat"), F.col("t_lng"))
     )
     return d.groupBy("stop_id", "route", "direction_id").agg(F.min(F.struct("d", "alt_id")).alias("b")).select(
@@ -73,7 +72,7 @@ def enrich_stops(stops: DataFrame, summary: DataFrame, feed: DataFrame) -> DataF
         F.col("stop_id").alias("id"), "stop_code", F.col("wheelchair_boarding").alias("wheelchair"),
         "routes", "alts", F.lit(True).alias("in_feed"),
     )
-    return lookup_join(stops, served, ["id"]).withColumns({
+    return stops.join(served, "id", "left").withColumns({
         "in_feed": F.coalesce("in_feed", F.lit(False)),
         "code": F.coalesce(F.nullif(F.col("stop_code"), F.lit("")), F.concat(F.lit("1"), "id")),
     }).drop("stop_code")

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed, timekeys as tk
-from ..functions.joins import lookup_join, param_array
+from ..functions.joins import param_array
 from ..functions.numbers import half_up, ratio
 from ..functions.text import clean_location
 from .rollup import ranked
@@ -161,7 +161,7 @@ def classify_cells(
     kept = monthly.join(facts.select(*CELL, "district", "total"), list(CELL))
     c = _window_counts(kept, (*CELL, "district", "total"), params)
     tide = district_tide(districts_monthly, windows).select("signal", "district", "window", "tide")
-    j = lookup_join(c, tide, ["signal", "district", "window"])
+    j = c.join(tide, ["signal", "district", "window"], "left")
     j = j.withColumn("tide", F.coalesce("tide", F.lit(1.0)))
     j = j.withColumns({
         "pre_rate": F.col("pre") / F.col("pre_months"),

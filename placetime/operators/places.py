@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed
 from ..functions.geo import equirect_m, to_e5
-from ..functions.joins import lookup_join
+from ..functions.joins import is_small
+from ..functions.ranks import RANK_IN_ONE_WINDOW, global_rank
 from ..functions.text import name_tokens, parse_stop_code, street_tokens, token_key
 from .rollup import ranked
 from .spatial import assign_polygon, near_pairs
@@ -43,9 +44,6 @@ def usable_pairs(pairs: DataFrame) -> DataFrame:
 
 def street_dictionary(index: DataFrame) -> DataFrame:
     """(street, code): each display name once, coded by sorted position."""
-    from ..sources.sinks import RANK_IN_ONE_WINDOW
-    from ..functions.joins import is_small
-    from ..functions.ranks import global_rank
 
     names = index.select(F.explode(F.array("street_1", "street_2")).alias("street")).distinct()
     if is_small(names, RANK_IN_ONE_WINDOW):
@@ -91,7 +89,7 @@ def match_corner(queries: DataFrame, index: DataFrame, hotspot_aware: bool = Fal
         F.min(F.struct("df", "tok")).alias("r"), F.count_if(F.col("df").isNull()).alias("unknown")
     ).where("unknown = 0").select("qkey", F.col("r.tok").alias("tok"))
     posted = posts.withColumn("tok", F.explode("e_tokens"))
-    candidates = lookup_join(posted, rare.join(q, "qkey"), ["tok"], "inner")
+    candidates = posted.join(rare.join(q, "qkey"), "tok")
     hits = candidates.where(F.size(F.array_except("tokens", "e_tokens")) == 0)
     same, hot = F.col("key") == F.col("qkey"), F.col("is_hotspot")
     if hotspot_aware:
@@ -135,7 +133,7 @@ def resolve_corners(
         F.min(F.struct("pos", "name")).alias("e")
     )
     # the pair search uses its own distance, so it reaches a little further than the test
-    pairs = near_pairs(spots, around, fixed.NEARBY_M * 1.05, fixed.NEARBY_M * 1.05)
+    pairs = near_pairs(spots, around, fixed.NEARBY_M * 1.05, fixed.NEARBY_M * 1.05, measured=False)
     metres = equirect_m(F.col("lat_e5"), F.col("lng_e5"), F.col("t_lat"), F.col("t_lng"))
     near = pairs.withColumn("m", metres).where(F.col("m") <= fixed.NEARBY_M).groupBy(
         "lat_e5", "lng_e5"
@@ -147,7 +145,7 @@ def resolve_corners(
     found = first.withColumn("near_name", F.lit(None).cast("string")).select(*cols).unionByName(
         second.withColumn("near_name", F.when(F.col("status") == "city", F.col("near_name"))).select(*cols)
     )
-    out = lookup_join(q, found, ["qkey"])
+    out = q.join(found, "qkey", "left")
     status = F.when(F.size("tokens") < 2, "need-two").otherwise(F.coalesce("status", F.lit("none")))
     return out.withColumn("status", status).withColumn("nearby", F.col("near_name").isNotNull())
 
@@ -184,6 +182,6 @@ def search_stops(queries: DataFrame, stops: DataFrame, k: int = 12) -> DataFrame
     posted = s.select("id", "listed", "shelter", "_words", F.explode(starts).alias("pre"))
     every = F.forall("toks", lambda t: F.exists("_words", lambda w: F.startswith(w, t)))
     score = F.col("n_toks") + F.when(F.col("listed"), 0.5).otherwise(0.0) + F.when(F.col("shelter"), 0.1).otherwise(0.0)
-    worded = lookup_join(posted, keyed, ["pre"], "inner").where(every).select("q", "id", score.alias("score"))
+    worded = posted.join(keyed, "pre").where(every).select("q", "id", score.alias("score"))
     hits = numbered.unionByName(worded)
     return ranked(hits, k, ["q"], [F.desc("score"), F.length("id"), F.col("id")])

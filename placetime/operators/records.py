@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.geo import to_e5
-from ..functions.joins import lookup_join
 from ..functions.ranks import rank_within
 from ..functions.text import clean_links, is_email, query_param, sentence_case, truncated
 from .spatial import assign_polygon
@@ -165,7 +164,7 @@ def apply_changes(records: DataFrame, changes: DataFrame, fields: Sequence[str])
             for c in fields
         ],
     )
-    j = lookup_join(records, latest, ["id"])
+    j = records.join(latest, "id", "left")
     out = j.where(~F.coalesce("_gone", F.lit(False)))
     sets = {c: F.coalesce(F.col(f"_{c}.v"), F.col(c)) for c in fields}
     if "end_date" in records.columns:

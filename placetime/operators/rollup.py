@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import timekeys as tk
 from ..functions.geo import to_e5
-from ..functions.joins import lookup_join
 from ..functions.numbers import half_up, ratio
 from ..functions.ranks import rank_within
 
@@ -147,7 +146,7 @@ def granular_split(events: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def group_sum(series: DataFrame, members: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Member series of each group added up; members has group_key, signal."""
-    return lookup_join(series, members, ["signal"], "inner").groupBy("group_key", *keys).agg(
+    return series.join(members, "signal").groupBy("group_key", *keys).agg(
         F.sum("n").alias("n")
     )
 
@@ -324,4 +323,4 @@ def group_rows(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """Rows arranged by key: each row with its position in its key's list and the list's
     length.  The lists stay rows, so a key of any size is spread over tasks."""
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
-    return lookup_join(rank_within(df, [key], [F.col(c) for c in order]), sizes, [key])
+    return rank_within(df, [key], [F.col(c) for c in order]).join(sizes, key)

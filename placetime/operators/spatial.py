@@ -142,12 +142,15 @@ def near_pairs(
     radius: float | Column,
     max_radius: float,
     scale_at: str = "point",
+    measured: bool = True,
 ) -> DataFrame:
     """Pairs (point, target) within `radius` metres, with squared distance `d2`.
 
     points need lat_e5/lng_e5, targets t_lat/t_lng.  The target is repeated over the grid
     cells its circle can reach; the east-west reach grows with latitude, so the join is
-    complete anywhere.  Distances scale longitude at the point or at the target.
+    complete anywhere.  Distances scale longitude at the point or at the target.  `measured`
+    sizes the targets first and broadcasts them if they are few; turn it off for targets
+    that are expensive to compute.
     """
     size = max(1, int(-(-max_radius // fixed.E5_METRES)))
     r = F.lit(float(radius)) if isinstance(radius, (int, float)) else radius
@@ -165,9 +168,10 @@ def near_pairs(
     a, b = ("lat_e5", "lng_e5"), ("t_lat", "t_lng")
     first, second = (a, b) if scale_at == "point" else (b, a)
     d2 = planar_sq(*[F.col(c) for c in (*first, *second)])
+    cell_keys = ["_gy", "_gx"]
+    met = lookup_join(keyed, spread, cell_keys, "inner") if measured else keyed.join(spread, cell_keys)
     return (
-        lookup_join(keyed, spread, ["_gy", "_gx"], "inner")
-        .withColumn("d2", d2)
+        met.withColumn("d2", d2)
         .where(F.col("d2") <= r * r)
         .drop("_gy", "_gx")
     )
@@ -215,25 +219,26 @@ def stop_and_ring_counts(
     pairs = near_pairs(
         spots.select("lat_e5", "lng_e5").distinct(), target_positions(targets), r_ring, r_ring
     )
-    at_stop = pairs.where(F.col("d2") <= float(r_stop) ** 2).groupBy("lat_e5", "lng_e5").agg(
-        F.min(F.struct("d2", "target_id")).alias("b")
-    )
-    hits = spots.join(at_stop, ["lat_e5", "lng_e5"]).groupBy(
-        F.col("b.target_id").alias("id"), *keys
-    ).agg(F.sum("n").alias("stop"))
-    ring = (
-        pairs.where(F.col("d2") > float(r_stop) ** 2)
+    mine = F.struct("d2", "target_id")
+    nearest = F.min(mine).over(W.partitionBy("lat_e5", "lng_e5"))   # targets around one spot
+    near, far = F.col("d2") <= float(r_stop) ** 2, F.col("d2") > float(r_stop) ** 2
+    zero = F.lit(0).cast("long")
+    per_spot = (
+        pairs.withColumn("hit", near & (mine == nearest))
         .join(spots, ["lat_e5", "lng_e5"])
-        .groupBy("t_lat", "t_lng", *keys)
-        .agg(F.sum("n").alias("ring"))
+        .groupBy("t_lat", "t_lng", "target_id", *keys)
+        .agg(
+            F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), zero).alias("stop"),
+            F.coalesce(F.sum(F.when(far, F.col("n"))), zero).alias("ring"),
+        )
     )
+    # targets sharing a position share its ring; only the smallest id takes the hits
     spread = targets.select("id", F.col("lat_e5").alias("t_lat"), F.col("lng_e5").alias("t_lng"))
-    ring_by_id = ring.join(spread, ["t_lat", "t_lng"]).select("id", *keys, "ring")
-    zero = F.lit(0).cast("long")
-    both = hits.select("id", *keys, "stop", zero.alias("ring")).unionByName(
-        ring_by_id.select("id", *keys, zero.alias("stop"), "ring")
-    )
-    return both.groupBy("id", *keys).agg(F.sum("stop").alias("stop"), F.sum("ring").alias("ring"))
+    return per_spot.join(spread, ["t_lat", "t_lng"]).select(
+        "id", *keys,
+        F.when(F.col("id") == F.col("target_id"), F.col("stop")).otherwise(zero).alias("stop"),
+        "ring",
+    ).where("stop > 0 or ring > 0")
 
 
 def knn(
@@ -290,9 +295,9 @@ def corner_series(stops: DataFrame, corner_counts: DataFrame, keys: Sequence[str
     """Counts of each stop's own corner per key; shared by every stop at it.  Stops without
     counts are absent here and become zeros when densified."""
     c = corner_counts.select(F.col("name").alias("corner"), *keys, "n")
-    return lookup_join(
-        stops.where("corner is not null").select("id", "corner"), c, ["corner"], "inner"
-    ).select("id", *keys, F.col("n").alias("stop"))
+    return stops.where("corner is not null").select("id", "corner").join(c, "corner").select(
+        "id", *keys, F.col("n").alias("stop")
+    )
 
 
 def corner_ring(

@@ -1,0 +1,59 @@
+"""Streaming jobs run to the end of the available files, checked against batch SQL."""
+
+from pyspark.sql import functions as F
+
+from ..operators import settling as st
+from ..streaming import jobs
+from . import tables as t
+from .catalog import query
+
+DELAY_DAYS = 2
+
+
+def _stream(spark, sf):
+    schema = t.table(spark, sf, "events").schema
+    return jobs.read_events(spark, sf, schema)
+
+
+def _closed(width: str, start: str) -> str:
+    """Windows the final watermark has passed."""
+    return f"""x AS (SELECT {start} AS s, event_type AS signal FROM events),
+m AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL {DELAY_DAYS} DAY AS w FROM events)
+SELECT CAST(s AS VARCHAR) AS start, signal, count(*) AS n FROM x WHERE s + INTERVAL {width} <= (SELECT w FROM m) GROUP BY ALL"""
+
+
+def _shown(df):
+    return df.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "signal", "n")
+
+
+@query("stream_counts", f"WITH {_closed('1 HOUR', chr(39).join(['date_trunc(', 'hour', ', ts)']))}")
+def stream_counts(spark, sf):
+    s = _stream(spark, sf).withColumn("signal", F.col("event_type"))
+    c = jobs.counts(s, "ts", "1 hour", ["signal"], f"{DELAY_DAYS} days")
+    return _shown(jobs.run_available(c, "hourly"))
+
+
+@query("stream_weekly", f"WITH {_closed('7 DAY', chr(39).join(['date_trunc(', 'week', ', ts)']))}")
+def stream_weekly(spark, sf):
+    s = _stream(spark, sf).withColumn("signal", F.col("event_type"))
+    c = jobs.counts(s, "ts", "7 days", ["signal"], f"{DELAY_DAYS} days")
+    return _shown(jobs.run_available(c, "weekly"))
+
+
+@query("stream_dedup", "SELECT event_id AS id, event_type AS signal FROM events")
+def stream_dedup(spark, sf):
+    """The file's rows arrive twice (a replayed batch); each id passes once."""
+    s = _stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    d = jobs.dedup(s.select(F.col("event_id").alias("id"), "ts", F.col("event_type").alias("signal")), "id", "ts", "2 days")
+    return jobs.run_available(d.select("id", "signal"), "dedup")
+
+
+@query("late_policy", f"""WITH {t.REPORTS}, r AS (SELECT signal, date_diff('day', incident, soon) AS lag FROM rep),
+k AS (SELECT signal, lag, row_number() OVER (PARTITION BY signal ORDER BY lag) AS rn, count(*) OVER (PARTITION BY signal) AS n FROM r),
+p AS (SELECT signal, max(lag) FILTER (WHERE rn = least(n, CAST(floor(90 * n / 100.0) AS BIGINT) + 1)) AS p90 FROM k GROUP BY signal)
+SELECT signal, p90, count(*) FILTER (WHERE lag <= p90) AS in_time, count(*) FILTER (WHERE lag > p90) AS late FROM r JOIN p USING (signal) GROUP BY ALL""")
+def late_policy(spark, sf):
+    rows = st.lags(t.reports(spark, sf), "incident", "soon")
+    p90 = st.lag_stats(rows, ["signal"]).select("signal", F.col("p90_days").alias("p90"))
+    late = jobs.late_rows(rows.join(p90, "signal"), "incident", "soon", F.col("p90"), ["signal", "p90"])
+    return late.select("signal", "p90", "in_time", "late")

@@ -183,6 +183,27 @@ firsts AS (SELECT id, arg_min(district, feature_order * 10 + part) AS district F
 assigned AS (SELECT p.*, coalesce(f.district, '{unknown}') AS district FROM {source} p LEFT JOIN firsts f USING (id))"""
 
 
+def blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """A square block per stop, with a courtyard where the stop is sheltered."""
+    s = stops(spark, sf)
+
+    def square(half: int) -> Column:
+        y, x = F.col("lat_e5") / 100000.0, F.col("lng_e5") / 100000.0
+        h = half / 100000.0
+        xy = [(x - h, y - h), (x + h, y - h), (x + h, y + h), (x - h, y + h)]
+        return F.array(*[
+            F.struct(xy[i][0].alias("x1"), xy[i][1].alias("y1"), xy[i - 1][0].alias("x2"), xy[i - 1][1].alias("y2"))
+            for i in range(4)
+        ])
+
+    outer = F.struct(F.lit(0).alias("part"), F.lit("outer").alias("role"), square(40).alias("edges"))
+    court = F.struct(F.lit(0).alias("part"), F.lit("hole").alias("role"), square(15).alias("edges"))
+    return s.select(
+        F.concat(F.lit("B"), F.col("id").cast("string")).alias("district"), F.col("id").alias("feature_order"),
+        F.explode(F.array_compact(F.array(outer, F.when(F.col("shelter"), court)))).alias("g"),
+    ).select("district", "feature_order", "g.part", "g.role", "g.edges")
+
+
 # -- dated incidents with a native district ----------------------------------------------------
 def incidents(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as incidents: priority is the signal, the customer's region the district, the

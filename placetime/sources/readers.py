@@ -85,17 +85,20 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_geojson_rings(spark: SparkSession, path: str, name_property: str = "district") -> DataFrame:
+def read_geojson_rings(
+    spark: SparkSession, path: str, name_property: str = "district", multiline: bool = True
+) -> DataFrame:
     """One row per ring of a FeatureCollection: district, feature_order, part, role, edges.
 
     `edges` joins consecutive vertices; role is 'outer' for a part's first ring, else 'hole'.
+    multiline=False reads one collection per line, so a large set splits over tasks.
     """
     schema = (
         "features array<struct<properties:map<string,string>,"
         "geometry:struct<type:string,coordinates:string>>>"
     )
     feats = (
-        spark.read.schema(schema).option("multiLine", True).json(path)
+        spark.read.schema(schema).option("multiLine", multiline).json(path)
         .select(F.posexplode("features").alias("feature_order", "f"))
         .select("feature_order", F.col("f.properties")[name_property].alias("district"),
                 "f.geometry.type", "f.geometry.coordinates")

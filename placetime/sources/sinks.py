@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import timekeys as tk
 from ..functions.joins import lookup_join
-from ..functions.ranks import global_rank
+from ..functions.ranks import RANK_IN_ONE_WINDOW, global_rank, materialize
 from .registry import Group, Registry
 
 
@@ -64,13 +64,13 @@ def write_sharded(df: DataFrame, path: str, id_col: str = "id") -> None:
 
 MARKER_DICT_ROWS = 64
 MARKER_DICT_SHARE = 50
-RANK_IN_ONE_WINDOW = 100_000
 
 
 def dictionary(df: DataFrame, col: str) -> DataFrame | None:
     """(value, code) of a column whose distinct values are at most max(64, rows // 50), the
-    code being the value's position in sorted order; None when the column stays raw."""
-    distinct = df.groupBy(col).agg(F.count(F.lit(1)).alias("c"))
+    code being the value's position in sorted order; None when the column stays raw.  The
+    distinct values are written once, so the table is not scanned again for each use."""
+    distinct = materialize(df.groupBy(col).agg(F.count(F.lit(1)).alias("c")), "dictionary")
     total, kinds = distinct.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     if kinds > max(MARKER_DICT_ROWS, total // MARKER_DICT_SHARE):
         return None
