@@ -11,6 +11,18 @@ def ntz(c: Column) -> Column:
     return c.cast("timestamp_ntz")
 
 
+def instant(ntz_ts: Column) -> Column:
+    """Wall clock read as UTC, for operators that need an instant (watermarks, windows)."""
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", zero, ntz_ts))
+
+
+def wall_clock(ts: Column) -> Column:
+    """Inverse of `instant`, whatever the session time zone."""
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_add("SECOND", F.unix_seconds(ts), zero)
+
+
 def ym(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM")
 

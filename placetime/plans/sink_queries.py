@@ -181,8 +181,8 @@ def public_projection(spark, sf):
     return sk.public_projection(c)
 
 
-@query("geojson_rings", f"""WITH {t.STOPS}, q AS (SELECT id, 'outer' AS role, 40 AS h, lat_e5, lng_e5 FROM stops UNION ALL SELECT id, 'hole', 15, lat_e5, lng_e5 FROM stops WHERE shelter)
-SELECT 'B' || CAST(id AS VARCHAR) AS district, role, 4 AS edges, round((lng_e5 - h) / 100000.0, 5) AS west, round((lat_e5 + h) / 100000.0, 5) AS north FROM q""")
+@query("geojson_rings", f"""WITH {t.STOPS}, q AS (SELECT id, 'outer' AS role, 40.5::DOUBLE AS h, lat_e5, lng_e5 FROM stops UNION ALL SELECT id, 'hole', 15.5, lat_e5, lng_e5 FROM stops WHERE shelter)
+SELECT 'B' || CAST(id AS VARCHAR) AS district, role, 4 AS edges, round((lng_e5 - h) / 100000.0, 7) AS west, round((lat_e5 + h) / 100000.0, 7) AS north FROM q""")
 def geojson_rings(spark, sf):
     """Blocks written as GeoJSON, one collection per line, and read back."""
     path = run_dir(spark, "geojson")
@@ -198,8 +198,8 @@ def geojson_rings(spark, sf):
     r = rd.read_geojson_rings(spark, path, multiline=False)
     return r.select(
         "district", "role", F.size("edges").alias("edges"),
-        F.round(F.array_min(F.transform("edges", lambda e: e["x1"])), 5).alias("west"),
-        F.round(F.array_max(F.transform("edges", lambda e: e["y2"])), 5).alias("north"),
+        F.round(F.array_min(F.transform("edges", lambda e: e["x1"])), 7).alias("west"),
+        F.round(F.array_max(F.transform("edges", lambda e: e["y2"])), 7).alias("north"),
     )
 
 

@@ -32,15 +32,15 @@ def assigned_hourly_counts(spark, sf):
     return c.select("signal", "label", F.col("period").cast("string").alias("day"), "bucket", "n")
 
 
-@query("feature_boxes", f"""WITH {t.STOPS} SELECT 'B' || CAST(id AS VARCHAR) AS district, round((lng_e5 - 40) / 100000.0, 5) AS xmin, round((lng_e5 + 40) / 100000.0, 5) AS xmax,
-  round((lat_e5 - 40) / 100000.0, 5) AS ymin, round((lat_e5 + 40) / 100000.0, 5) AS ymax FROM stops""")
+@query("feature_boxes", f"""WITH {t.STOPS} SELECT 'B' || CAST(id AS VARCHAR) AS district, round((lng_e5 - 40.5) / 100000.0, 7) AS xmin, round((lng_e5 + 40.5) / 100000.0, 7) AS xmax,
+  round((lat_e5 - 40.5) / 100000.0, 7) AS ymin, round((lat_e5 + 40.5) / 100000.0, 7) AS ymax FROM stops""")
 def feature_boxes(spark, sf):
     b = sp.feature_boxes(t.blocks(spark, sf))
-    return b.select("district", *[F.round(c, 5).alias(c) for c in ("xmin", "xmax", "ymin", "ymax")])
+    return b.select("district", *[F.round(c, 7).alias(c) for c in ("xmin", "xmax", "ymin", "ymax")])
 
 
-@query("polygon_assign_blocks", f"""WITH {t.POINTS}, {t.STOPS}, h AS (SELECT p.id, s.id AS block, s.shelter AND abs(p.lat_e5 - s.lat_e5) < 15 AND abs(p.lng_e5 - s.lng_e5) < 15 AS court FROM pts p JOIN stops s
-  ON p.lat_e5 >= s.lat_e5 - 40 AND p.lat_e5 < s.lat_e5 + 40 AND p.lng_e5 >= s.lng_e5 - 40 AND p.lng_e5 < s.lng_e5 + 40)
+@query("polygon_assign_blocks", f"""WITH {t.POINTS}, {t.STOPS}, h AS (SELECT p.id, s.id AS block, s.shelter AND abs(p.lat_e5 - s.lat_e5) <= 15 AND abs(p.lng_e5 - s.lng_e5) <= 15 AS court FROM pts p JOIN stops s
+  ON abs(p.lat_e5 - s.lat_e5) <= 40 AND abs(p.lng_e5 - s.lng_e5) <= 40)
 SELECT pts.id, coalesce('B' || CAST(min(block) AS VARCHAR), 'UNKNOWN') AS district FROM pts LEFT JOIN (SELECT * FROM h WHERE NOT court) h ON h.id = pts.id GROUP BY pts.id""")
 def polygon_assign_blocks(spark, sf):
     """Many small polygons with holes: the index has a row per grid cell, not per feature."""

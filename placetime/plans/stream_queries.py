@@ -12,7 +12,7 @@ DELAY_DAYS = 2
 
 def _stream(spark, sf):
     schema = t.table(spark, sf, "events").schema
-    return jobs.read_events(spark, sf, schema)
+    return jobs.read_events(spark, sf, schema, "ts", "events.parquet")
 
 
 def _closed(width: str, start: str) -> str:

@@ -187,7 +187,7 @@ def blocks(spark: SparkSession, sf: str) -> DataFrame:
     """A square block per stop, with a courtyard where the stop is sheltered."""
     s = stops(spark, sf)
 
-    def square(half: int) -> Column:
+    def square(half: float) -> Column:
         y, x = F.col("lat_e5") / 100000.0, F.col("lng_e5") / 100000.0
         h = half / 100000.0
         xy = [(x - h, y - h), (x + h, y - h), (x + h, y + h), (x - h, y + h)]
@@ -196,8 +196,8 @@ def blocks(spark: SparkSession, sf: str) -> DataFrame:
             for i in range(4)
         ])
 
-    outer = F.struct(F.lit(0).alias("part"), F.lit("outer").alias("role"), square(40).alias("edges"))
-    court = F.struct(F.lit(0).alias("part"), F.lit("hole").alias("role"), square(15).alias("edges"))
+    outer = F.struct(F.lit(0).alias("part"), F.lit("outer").alias("role"), square(40.5).alias("edges"))
+    court = F.struct(F.lit(0).alias("part"), F.lit("hole").alias("role"), square(15.5).alias("edges"))
     return s.select(
         F.concat(F.lit("B"), F.col("id").cast("string")).alias("district"), F.col("id").alias("feature_order"),
         F.explode(F.array_compact(F.array(outer, F.when(F.col("shelter"), court)))).alias("g"),

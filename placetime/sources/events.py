@@ -8,14 +8,21 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import timekeys as tk
 from ..functions.geo import to_e5
+from .registry import Signal, known
 
 DEDUP_POLICIES = ("id_first", "dated_first", "null_once")
 
 
 def dedup_first(
-    df: DataFrame, id_col: str, order: Sequence[str], date_col: str, policy: str = "id_first"
+    df: DataFrame,
+    id_col: str,
+    order: Sequence[str],
+    date_col: str,
+    policy: str = "id_first",
+    within: Sequence[str] = (),
 ) -> DataFrame:
-    """Keep the first row of each id in `order` (which must be unique; "-c" is descending).
+    """Keep the first row of each id in `order` (which must be unique; "-c" is descending),
+    separately for each value of the `within` columns.
 
     id_first     the id is taken by its first row even if that row is undated; undated rows
                  are dropped afterwards; rows without an id are all kept
@@ -30,7 +37,7 @@ def dedup_first(
     names = [c.removeprefix("-") for c in order]
     dated = F.col(date_col).isNotNull()
     rows = df.where(dated) if policy == "dated_first" else df
-    keys = [F.col(id_col)]
+    keys = [*[F.col(c) for c in within], F.col(id_col)]
     if policy != "null_once":
         # rows without an id stay apart from one another
         keys += [F.when(F.col(id_col).isNull(), F.col(c)) for c in names]
@@ -88,35 +95,35 @@ def _event(dt: str, id_col: str, place: str, lat: Column, lng: Column, notes: Co
     ]
 
 
-def normalize_requests(df: DataFrame) -> DataFrame:
+def normalize_requests(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     lat, lng = text_coords(F.col("lat"), F.col("long"))
     notes = F.replace(_text("service_details"), F.lit("_"), F.lit(" "))
-    return df.select(*_event("requested_datetime", "service_request_id", "address", lat, lng, notes))
+    return df.select(*keep, *_event("requested_datetime", "service_request_id", "address", lat, lng, notes))
 
 
-def normalize_calls(df: DataFrame) -> DataFrame:
+def normalize_calls(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     lat, lng = point_coords(F.col("intersection_point"))
     notes = _or_else(F.col("call_type_final_notes"), F.col("call_type_original_notes"))
     kind = F.nullif(F.col("call_type_final_desc"), F.lit(""))
     full = F.when(kind.isNull(), notes).when(notes == "", kind).otherwise(
         F.concat(kind, F.lit(" — "), notes)
     )
-    return df.select(*_event("received_datetime", "cad_number", "intersection_name", lat, lng, full))
+    return df.select(*keep, *_event("received_datetime", "cad_number", "intersection_name", lat, lng, full))
 
 
-def normalize_reports(df: DataFrame) -> DataFrame:
+def normalize_reports(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     lat, lng = text_coords(F.col("latitude"), F.col("longitude"))
     notes = _or_else(F.col("incident_description"), F.col("incident_subcategory"))
-    return df.select(*_event("incident_datetime", "incident_id", "intersection", lat, lng, notes))
+    return df.select(*keep, *_event("incident_datetime", "incident_id", "intersection", lat, lng, notes))
 
 
-def normalize_ems(df: DataFrame) -> DataFrame:
+def normalize_ems(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     lat, lng = point_coords(F.col("case_location"))
     group = F.nullif(F.col("call_type_group"), F.lit(""))
     notes = F.when(group.isNull(), _text("call_type")).otherwise(
         F.concat(_text("call_type"), F.lit(" — "), group)
     )
-    return df.select(*_event("received_dttm", "call_number", "address", lat, lng, notes))
+    return df.select(*keep, *_event("received_dttm", "call_number", "address", lat, lng, notes))
 
 
 NORMALIZERS = {
@@ -127,16 +134,32 @@ NORMALIZERS = {
 }
 
 
-def lever_events(tables: dict[str, DataFrame], levers: dict[str, tuple]) -> DataFrame:
-    """Every lever's events from all its sources, deduplicated inside each source only."""
+def lever_events(tables: dict[str, DataFrame], levers: dict[str, tuple[Signal, ...]]) -> DataFrame:
+    """Every lever's events from all its sources, deduplicated inside each source only.
+
+    Each source table is read once: a row is tagged with all levers it belongs to, then one
+    dedup runs per table.  Levers whose signal has no id column keep every row.
+    """
     out = None
-    for lever, sources in levers.items():
-        for i, sig in enumerate(sources):
-            rows = NORMALIZERS[sig.table](tables[sig.table].where(sig.where()))
-            rows = dedup_first(rows, "id", ["-ts", "place", "lat_e5", "lng_e5", "notes"], "day",
-                               "dated_first") if sig.id_col else rows.where("day is not null")
-            rows = rows.select(F.lit(lever).alias("lever"), F.lit(i).alias("source"), "*")
-            out = rows if out is None else out.unionByName(rows)
+    for name, table in tables.items():
+        marks, with_id = [], []
+        for lever, sources in levers.items():
+            for i, sig in enumerate(sources):
+                if sig.table == name:
+                    tag = F.struct(F.lit(lever).alias("lever"), F.lit(i).alias("source"))
+                    marks.append(F.when(known(sig.where()), tag))
+                    if sig.id_col:
+                        with_id.append(lever)
+        if not marks:
+            continue
+        tagged = table.withColumn("_t", F.explode(F.array_compact(F.array(*marks))))
+        rows = NORMALIZERS[name](tagged, ["_t"]).select("_t.lever", "_t.source", "*").drop("_t")
+        rows = rows.withColumn("_key", F.when(F.col("lever").isin(*with_id), F.col("id")))
+        rows = dedup_first(
+            rows, "_key", ["-ts", "id", "place", "lat_e5", "lng_e5", "notes"], "day", "dated_first",
+            within=["lever", "source"],
+        ).drop("_key")
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.ranks import run_dir
-from ..functions.timekeys import tod_bucket
+from ..functions.timekeys import instant, wall_clock
 
 
-def read_events(spark: SparkSession, folder: str, schema, glob: str = "events.parquet", files_per_batch: int = 1) -> DataFrame:
-    return (
+def read_events(
+    spark: SparkSession, folder: str, schema, ts: str, glob: str = "*.parquet", files_per_batch: int = 1000
+) -> DataFrame:
+    """Event files as a stream; the naive event time becomes an instant, read as UTC."""
+    rows = (
         spark.readStream.schema(schema).option("pathGlobFilter", glob)
         .option("maxFilesPerTrigger", files_per_batch).parquet(folder)
     )
+    return rows.withColumn(ts, instant(F.col(ts)))
 
 
 def dedup(events: DataFrame, id_col: str, ts: str, delay: str) -> DataFrame:
@@ -30,7 +34,7 @@ def counts(events: DataFrame, ts: str, width: str, keys: Sequence[str], delay: s
     return (
         events.withWatermark(ts, delay).groupBy(win.alias("w"), *keys)
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n")
+        .select(wall_clock(F.col("w.start")).alias("start"), wall_clock(F.col("w.end")).alias("end"), *keys, "n")
     )
 
 
@@ -39,10 +43,6 @@ def settled_counts(events: DataFrame, ts: str, width: str, keys: Sequence[str],
     return counts(events, ts, width, keys, f"{int(p90_lag_days)} days")
 
 
-def with_bucket(events: DataFrame, ts: str) -> DataFrame:
-    return events.withColumn("bucket", tod_bucket(F.hour(ts)))
-
-
 def run_available(stream: DataFrame, label: str) -> DataFrame:
     """Process everything available into Parquet in the shared folder and return the result.
     Checkpoint and output live beside each other, so a restarted query continues exactly."""
@@ -57,7 +57,7 @@ def run_available(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def late_rows(rows: DataFrame, event: str, arrival: str, delay_days: int, keys: Sequence[str]) -> DataFrame:
+def late_rows(rows: DataFrame, event: str, arrival: str, delay_days: int | Column, keys: Sequence[str]) -> DataFrame:
     """Batch audit of a delay: rows that would arrive in time and too late under it."""
     lag = F.datediff(F.col(arrival), F.col(event))
     return rows.where(lag >= 0).groupBy(*keys).agg(
