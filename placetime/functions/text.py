@@ -60,19 +60,27 @@ def truncated(c: Column, limit: int) -> Column:
     return F.nullif(F.substring(F.trim(c), 1, limit), F.lit(""))
 
 
+def _plain(c: Column) -> Column:
+    """Lower case, everything but letters, digits and blanks turned into blanks."""
+    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9\s]", " ")
+
+
 def words(c: Column) -> Column:
     """Lower-case alphanumeric words."""
-    flat = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9\s]", " ")
-    return F.filter(F.split(flat, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(_plain(c), r"\s+"), lambda w: w != "")
+
+
+_NO_STREET = r"\b(and|" + "|".join(fixed.STREET_SUFFIXES) + r")\b"
 
 
 def street_tokens(c: Column) -> Column:
     """Significant street words: no 'and', ordinals reduced to digits, no leading zeros,
-    no street-type suffixes, each once in first-seen order."""
-    kept = F.filter(words(c), lambda w: w != "and")
-    plain = F.transform(kept, lambda w: F.regexp_replace(w, r"^(\d+)(st|nd|rd|th)$", "$1"))
-    unpadded = F.transform(plain, lambda w: F.regexp_replace(w, r"^0+(\d+)$", "$1"))
-    return F.array_distinct(F.filter(unpadded, lambda w: ~w.isin(*fixed.STREET_SUFFIXES)))
+    no street-type suffixes, each once in first-seen order.  The rules run over the whole
+    text before it is split, which is cheaper than a function call per word."""
+    digits = F.regexp_replace(_plain(c), r"\b(\d+)(st|nd|rd|th)\b", "$1")
+    unpadded = F.regexp_replace(digits, r"\b0+(\d+)\b", "$1")
+    kept = F.trim(F.regexp_replace(unpadded, _NO_STREET, " "))
+    return F.array_distinct(F.filter(F.split(kept, r"\s+"), lambda w: w != ""))
 
 
 def token_key(tokens: Column) -> Column:

@@ -25,60 +25,72 @@ def located(events: DataFrame, districts: Sequence[str]) -> DataFrame:
     )
 
 
-def cells_monthly(placed: DataFrame) -> DataFrame:
-    """Per cell and month: total, day, night and the four granular buckets.  This table is
-    the only thing the classifier reads."""
-    g = tk.tod_granular(F.col("hour"))
-    b = tk.tod_bucket(F.col("hour"))
-    rows = placed.withColumns({"period": tk.month_start(F.col("day")), "_b": b, "_g": g})
-    return rows.groupBy(*CELL, "period").agg(
+def _splits() -> list[Column]:
+    b, g = tk.tod_bucket(F.col("hour")), tk.tod_granular(F.col("hour"))
+    return [
         F.count(F.lit(1)).alias("n"),
-        *[F.count_if(F.col("_b") == k).alias(k) for k in BUCKETS],
-        *[F.count_if(F.col("_g") == k).alias(f"g_{k}") for k in fixed.GRANULAR_HOURS],
+        *[F.count_if(b == k).alias(k) for k in BUCKETS],
+        *[F.count_if(g == k).alias(f"g_{k}") for k in fixed.GRANULAR_HOURS],
+    ]
+
+
+COUNTS = ("n", *BUCKETS, *[f"g_{k}" for k in fixed.GRANULAR_HOURS])
+
+
+def cell_cube(placed: DataFrame) -> DataFrame:
+    """The one aggregation over located events: per cell, district and month, the total, its
+    time-of-day splits, coordinate sums and the latest event time.
+
+    Every buffer is fixed-width, so it is a hash aggregation with map-side partials.  Cell
+    facts, cell months and district months all derive from this small table; write it once
+    (`functions.ranks.materialize`) when more than one of them is needed.
+    """
+    rows = placed.withColumn("period", tk.month_start(F.col("day")))
+    return rows.groupBy(*CELL, "district", "period").agg(
+        *_splits(),
+        F.sum("lat_e5").alias("lat_sum"), F.sum("lng_e5").alias("lng_sum"), F.max("ts").alias("last_ts"),
     )
 
 
-def cell_facts(placed: DataFrame, floor: int = fixed.CELL_FLOOR) -> DataFrame:
+def _months(cube: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return cube.groupBy(*keys, "period").agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+
+def cells_monthly(cube: DataFrame) -> DataFrame:
+    """Per cell and month: total, day, night and the four granular buckets."""
+    return _months(cube, CELL)
+
+
+def district_monthly(cube: DataFrame) -> DataFrame:
+    """The tide's denominators: every located event by district and month, with its splits."""
+    return _months(cube, ("signal", "district"))
+
+
+def cell_facts(cube: DataFrame, floor: int = fixed.CELL_FLOOR) -> DataFrame:
     """Cells with enough all-time volume: total, centroid, and the district of their latest
-    record."""
-    latest = F.max(F.struct("ts", "id", "district"))
-    return placed.groupBy(*CELL).agg(
-        F.count(F.lit(1)).alias("total"),
-        F.round(F.avg("lat_e5")).cast("int").alias("lat_e5"),
-        F.round(F.avg("lng_e5")).cast("int").alias("lng_e5"),
-        latest.alias("_l"),
-    ).where(F.col("total") >= floor).select(
-        *CELL, "total", "lat_e5", "lng_e5", F.col("_l.district").alias("district")
+    event (of the later name on a tie)."""
+    facts = cube.groupBy(*CELL).agg(
+        F.sum("n").alias("total"), F.sum("lat_sum").alias("_lat"), F.sum("lng_sum").alias("_lng"),
+        F.max(F.struct("last_ts", "district")).alias("_l"),
+    ).where(F.col("total") >= floor)
+    mean = lambda c: F.round(F.col(c) / F.col("total")).cast("int")
+    return facts.select(
+        *CELL, "total", mean("_lat").alias("lat_e5"), mean("_lng").alias("lng_e5"),
+        F.col("_l.district").alias("district"),
     )
 
 
 def dominant_name(placed: DataFrame, name: str = "name") -> DataFrame:
     """Most frequent cleaned place name per cell; ties go to the name seen first."""
-    rows = placed.where(F.coalesce(F.col(name), F.lit("")) != "").withColumn(
-        "_name", clean_location(F.col(name))
-    )
-    counts = rows.groupBy(*CELL, "_name").agg(
-        F.count(F.lit(1)).alias("c"), F.min(F.struct("ts", "id")).alias("first_seen")
+    rows = placed.where(F.coalesce(F.col(name), F.lit("")) != "")
+    raw = rows.groupBy(*CELL, name).agg(F.count(F.lit(1)).alias("c"), F.min("ts").alias("first_seen"))
+    counts = raw.groupBy(*CELL, clean_location(F.col(name)).alias("_name")).agg(
+        F.sum("c").alias("c"), F.min("first_seen").alias("first_seen")
     )
     best = ranked(counts, 1, CELL, [F.desc("c"), F.col("first_seen"), F.col("_name")])
     return best.select(*CELL, F.col("_name").alias("name"))
 
 
-def district_monthly(placed: DataFrame) -> DataFrame:
-    """The tide's denominators: every located event by district and month, with day/night and
-    granular splits."""
-    rows = placed.withColumns({
-        "period": tk.month_start(F.col("day")),
-        "_b": tk.tod_bucket(F.col("hour")),
-        "_g": tk.tod_granular(F.col("hour")),
-    })
-    return rows.groupBy("signal", "district", "period").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(F.col("_b") == k).alias(k) for k in BUCKETS],
-        *[F.count_if(F.col("_g") == k).alias(f"g_{k}") for k in fixed.GRANULAR_HOURS],
-    )
-
-
 def slice_value(slice_name: str) -> Column:
     """Value column of a time slice: 'all', 'day', 'night', or granular names joined by '+'."""
     if slice_name == "all":
@@ -142,21 +154,20 @@ def district_tide(districts_monthly: DataFrame, windows: Sequence[dict]) -> Data
 
 
 def classify_cells(
-    facts: DataFrame,
-    monthly: DataFrame,
-    districts_monthly: DataFrame,
+    cube: DataFrame,
     windows: Sequence[dict],
     hot: float,
     floor: int = fixed.CELL_FLOOR,
     band: float = fixed.TIDE_BAND,
 ) -> DataFrame:
-    """Class of each cell in each window.
+    """Class of each cell of a `cell_cube` in each window.
 
     A cell is expected to move as its district did (its baseline rate times the tide).
     persistent: hot before and now; cooled: fell beyond the band and was hot before or is
     not hot now; emerged: newly hot and beyond the band above the expected rate; null: the
     rest, including newly hot cells that only tracked their district.
     """
+    facts, monthly, districts_monthly = cell_facts(cube, floor), cells_monthly(cube), district_monthly(cube)
     params = window_rows(windows)
     kept = monthly.join(facts.select(*CELL, "district", "total"), list(CELL))
     c = _window_counts(kept, (*CELL, "district", "total"), params)

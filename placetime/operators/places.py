@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import fixed
 from ..functions.geo import equirect_m, to_e5
 from ..functions.joins import is_small
-from ..functions.ranks import RANK_IN_ONE_WINDOW, global_rank
+from ..functions.ranks import RANK_IN_ONE_WINDOW, global_rank, materialize
 from ..functions.text import name_tokens, parse_stop_code, street_tokens, token_key
 from .rollup import ranked
 from .spatial import assign_polygon, near_pairs
@@ -55,12 +55,14 @@ def street_dictionary(index: DataFrame) -> DataFrame:
 def local_index(entries: DataFrame, order: str, min_tokens: int = 2) -> DataFrame:
     """Reported places by token key: first name and position seen, and how many rows.
     entries: name, lat_e5, lng_e5 and the unique `order` column."""
-    rows = entries.where("name is not null and name <> ''").withColumn(
-        "tokens", street_tokens(F.col("name"))
-    ).where(F.size("tokens") >= min_tokens)
+    # each distinct place is tokenised once, however many rows report it
+    seen = entries.where("name is not null and name <> ''").groupBy("name", "lat_e5", "lng_e5").agg(
+        F.count(F.lit(1)).alias("c"), F.min(order).alias(order)
+    )
+    rows = seen.withColumn("tokens", street_tokens(F.col("name"))).where(F.size("tokens") >= min_tokens)
     keyed = rows.withColumn("key", token_key(F.col("tokens")))
     first = F.min(F.struct(order, "name", "lat_e5", "lng_e5"))
-    return keyed.groupBy("key").agg(F.count(F.lit(1)).alias("count"), first.alias("f")).select(
+    return keyed.groupBy("key").agg(F.sum("c").alias("count"), first.alias("f")).select(
         "key", F.col(f"f.{order}").alias("pos"), "f.name", "f.lat_e5", "f.lng_e5", "count",
         F.split("key", " ").alias("tokens"), F.lit(False).alias("is_hotspot"),
     )
@@ -119,6 +121,8 @@ def resolve_corners(
 ) -> DataFrame:
     """status per query: need-two, local, city, out-of-district or none; city matches say
     whether local activity lies within 80 m and which corner is nearest."""
+    # both indexes are used several times: write them once
+    local, city = materialize(local, "local-index"), materialize(city, "city-index")
     q = tokenized_queries(queries, text)
     sets = q.where(F.size("tokens") >= 2).select("qkey", "tokens").distinct()
     first = match_corner(sets, local, hotspot_aware).withColumn("status", F.lit("local"))

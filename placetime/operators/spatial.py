@@ -318,12 +318,12 @@ def corner_ring(
     ).groupBy("id", *keys).agg(F.sum("n").alias("ring"))
 
 
-def corner_centroids(calls: DataFrame, order: Sequence[str]) -> DataFrame:
-    """First position seen per corner name."""
-    first = F.min(F.struct(*order, "lat_e5", "lng_e5"))
-    return calls.where("name is not null and name <> '' and lat_e5 is not null").groupBy(
-        "name"
-    ).agg(first.alias("f")).select("name", "f.lat_e5", "f.lng_e5")
+def corner_centroids(calls: DataFrame, order: str) -> DataFrame:
+    """First position seen per corner name, by a unique numeric or time order."""
+    rows = calls.where("name is not null and name <> '' and lat_e5 is not null")
+    return rows.groupBy("name").agg(
+        F.min_by("lat_e5", order).alias("lat_e5"), F.min_by("lng_e5", order).alias("lng_e5")
+    )
 
 
 def cell_of(df: DataFrame) -> DataFrame:

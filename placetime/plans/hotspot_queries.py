@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.ranks import materialize
 from ..operators import hotspots as ho
 from ..operators import quality as qu
 from ..operators import rollup as ru
@@ -26,33 +27,46 @@ _COUNTS = """count(*) AS n, count(*) FILTER (WHERE is_day) AS "day", count(*) FI
   count(*) FILTER (WHERE gran = 'morning') AS g_morning, count(*) FILTER (WHERE gran = 'afternoon') AS g_afternoon,
   count(*) FILTER (WHERE gran = 'evening') AS g_evening, count(*) FILTER (WHERE gran = 'night') AS g_night"""
 FACTS = f"""facts AS (SELECT signal, cy, cx, count(*) AS total, CAST(round(avg(lat_e5)) AS INTEGER) AS lat_e5,
-  CAST(round(avg(lng_e5)) AS INTEGER) AS lng_e5, last(district ORDER BY ts, id) AS district FROM placed GROUP BY ALL HAVING count(*) >= {FLOOR})"""
+  CAST(round(avg(lng_e5)) AS INTEGER) AS lng_e5, last(district ORDER BY ts, district) AS district FROM placed GROUP BY ALL HAVING count(*) >= {FLOOR})"""
 
 
 def _placed(spark, sf):
     return ho.located(t.incidents(spark, sf), t.DISTRICTS)
 
 
+def _cube(spark, sf):
+    return ho.cell_cube(_placed(spark, sf))
+
+
+def _classes(cube, windows):
+    return ho.classify_cells(cube, windows, HOT, FLOOR, BAND)
+
+
+def _written_cube(spark, sf):
+    """The cube as a written table: the events are read once for all that derive from it."""
+    return materialize(_cube(spark, sf), "cells")
+
+
 @query("cells_monthly", f"WITH {PLACED} SELECT signal, cy, cx, ym AS month, {_COUNTS} FROM placed GROUP BY ALL")
 def cells_monthly(spark, sf):
-    m = ho.cells_monthly(_placed(spark, sf))
+    m = ho.cells_monthly(_cube(spark, sf))
     return m.withColumn("month", F.date_format("period", "yyyy-MM")).drop("period")
 
 
 @query("cells", f"WITH {PLACED}, {FACTS} SELECT signal, cy, cx, total, lat_e5, lng_e5, district FROM facts")
 def cells(spark, sf):
-    return ho.cell_facts(_placed(spark, sf), FLOOR)
+    return ho.cell_facts(_cube(spark, sf), FLOOR)
 
 
-@query("cell_names", f"""WITH {PLACED}, c AS (SELECT signal, cy, cx, name, count(*) AS c, min(ts) AS f, arg_min(id, ts) AS i FROM placed GROUP BY ALL)
-SELECT signal, cy, cx, name FROM (SELECT *, row_number() OVER (PARTITION BY signal, cy, cx ORDER BY c DESC, f, i, name) AS r FROM c) WHERE r = 1""")
+@query("cell_names", f"""WITH {PLACED}, c AS (SELECT signal, cy, cx, name, count(*) AS c, min(ts) AS f FROM placed GROUP BY ALL)
+SELECT signal, cy, cx, name FROM (SELECT *, row_number() OVER (PARTITION BY signal, cy, cx ORDER BY c DESC, f, name) AS r FROM c) WHERE r = 1""")
 def cell_names(spark, sf):
     return ho.dominant_name(_placed(spark, sf))
 
 
 @query("district_monthly", f"WITH {PLACED} SELECT signal, district, ym AS month, {_COUNTS} FROM placed GROUP BY ALL")
 def district_monthly(spark, sf):
-    m = ho.district_monthly(_placed(spark, sf))
+    m = ho.district_monthly(_cube(spark, sf))
     return m.withColumn("month", F.date_format("period", "yyyy-MM")).drop("period")
 
 
@@ -89,11 +103,6 @@ _CLASS_COLS = """signal, cy, cx, district, win AS "window", pre, now, round(pre_
   round(CASE WHEN now_day + now_night > 0 THEN now_night * 100::DOUBLE / (now_day + now_night) END, 6) AS night_pct"""
 
 
-def _classes(spark, sf, windows):
-    p = _placed(spark, sf)
-    return ho.classify_cells(ho.cell_facts(p, FLOOR), ho.cells_monthly(p), ho.district_monthly(p), windows, HOT, FLOOR, BAND)
-
-
 def _class_out(df):
     r = lambda c: F.round(c, 6).alias(c)
     return df.select("signal", "cy", "cx", "district", "window", "pre", "now", r("pre_rate"), r("now_rate"),
@@ -102,18 +111,18 @@ def _class_out(df):
 
 @query("cell_classes", f"WITH {classes_sql(FIXED)} SELECT {_CLASS_COLS} FROM cls")
 def cell_classes(spark, sf):
-    return _class_out(_classes(spark, sf, FIXED))
+    return _class_out(_classes(_written_cube(spark, sf), FIXED))
 
 
 @query("cell_classes_multiwindow", f"WITH {classes_sql(MANY)} SELECT {_CLASS_COLS} FROM cls")
 def cell_classes_multiwindow(spark, sf):
-    return _class_out(_classes(spark, sf, MANY))
+    return _class_out(_classes(_written_cube(spark, sf), MANY))
 
 
 @query("district_tide", f'WITH {classes_sql(MANY)} SELECT signal, district, win AS "window", round(d_pre, 6) AS d_pre, round(d_now, 6) AS d_now, round(tide, 6) AS tide FROM tide')
 def district_tide(spark, sf):
     r = lambda c: F.round(c, 6).alias(c)
-    d = ho.district_tide(ho.district_monthly(_placed(spark, sf)), MANY)
+    d = ho.district_tide(ho.district_monthly(_cube(spark, sf)), MANY)
     return d.select("signal", "district", "window", r("d_pre"), r("d_now"), r("tide"))
 
 
@@ -121,13 +130,13 @@ def district_tide(spark, sf):
 SELECT signal, win AS "window", district AS label, category, count(*) AS cells FROM c GROUP BY ALL
 UNION ALL SELECT signal, win, 'Citywide', category, count(*) FROM c GROUP BY ALL""")
 def category_counts(spark, sf):
-    return ho.category_counts(_classes(spark, sf, MANY))
+    return ho.category_counts(_classes(_written_cube(spark, sf), MANY))
 
 
 @query("night_share", f"""WITH {classes_sql(MANY)} SELECT signal, cy, cx, win AS "window",
   round(CASE WHEN now_day + now_night > 0 THEN now_night * 100::DOUBLE / (now_day + now_night) END, 6) AS night_pct FROM cls""")
 def night_share(spark, sf):
-    return _classes(spark, sf, MANY).select("signal", "cy", "cx", "window", F.round("night_pct", 6).alias("night_pct"))
+    return _classes(_written_cube(spark, sf), MANY).select("signal", "cy", "cx", "window", F.round("night_pct", 6).alias("night_pct"))
 
 
 @query("cell_breakdown", f"""WITH {PLACED}, c AS (SELECT signal, cy, cx, segment AS kind, count(*) AS n FROM placed WHERE gran IN ('morning', 'night') GROUP BY ALL),
@@ -141,21 +150,21 @@ def cell_breakdown(spark, sf):
 SELECT signal, cy, cx, count(*) AS total FROM g GROUP BY ALL HAVING count(*) >= {FLOOR}""")
 def merge_signals(spark, sf):
     both = _placed(spark, sf).where(F.col("signal").isin("1-URGENT", "2-HIGH")).withColumn("signal", F.lit("serious"))
-    return ho.cell_facts(both, FLOOR).select("signal", "cy", "cx", "total")
+    return ho.cell_facts(ho.cell_cube(both), FLOOR).select("signal", "cy", "cx", "total")
 
 
 @query("classifier_parity", 'SELECT \'\' AS "check", \'\' AS entity, \'\' AS detail FROM region WHERE false')
 def classifier_parity(spark, sf):
     keys = ["signal", "cy", "cx", "window"]
-    baked = _classes(spark, sf, FIXED)
-    again = _classes(spark, sf, MANY).where("window = 'now3'")
-    return qu.class_mismatch(baked, again, keys).unionByName(
-        qu.class_invariants(_classes(spark, sf, MANY), keys)
+    cube = _written_cube(spark, sf)
+    baked, many = _classes(cube, FIXED), _classes(cube, MANY)
+    return qu.class_mismatch(baked, many.where("window = 'now3'"), keys).unionByName(
+        qu.class_invariants(many, keys)
     )
 
 
 @query("top_cells", f"""WITH {PLACED}, {FACTS} SELECT * FROM (SELECT signal, cy, cx, total,
   CAST(row_number() OVER (PARTITION BY signal ORDER BY total DESC, cy, cx) AS INTEGER) AS rank FROM facts) WHERE rank <= 10""")
 def top_cells(spark, sf):
-    f = ho.cell_facts(_placed(spark, sf), FLOOR).select("signal", "cy", "cx", "total")
+    f = ho.cell_facts(_cube(spark, sf), FLOOR).select("signal", "cy", "cx", "total")
     return ru.ranked(f, 10, ["signal"], [F.desc("total"), F.col("cy"), F.col("cx")])

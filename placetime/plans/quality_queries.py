@@ -3,18 +3,16 @@ damaged copy of its input."""
 
 from pyspark.sql import functions as F
 
-from ..functions import fixed
+from ..operators import hotspots as ho
 from ..operators import quality as qu
 from ..operators import rollup as ru
-from ..operators import spatial as sp
 from ..sources import registry as rg
 from ..sources import sinks as sk
 from . import tables as t
 from .catalog import query
-from .hotspot_queries import FACTS, FLOOR, PLACED, _placed
+from .hotspot_queries import FACTS, FLOOR, PLACED, _cube
 from .rollup_queries import _monthly, _weekly
 from .spatial_queries import _NB, _TOT, _neighbours, _totals
-from ..operators import hotspots as ho
 
 BOX = (t.SOUTH, t.WEST, t.NORTH, t.EAST)
 _EMPTY = 'SELECT \'\' AS "check", \'\' AS entity, \'\' AS detail FROM region WHERE false'
@@ -99,7 +97,7 @@ def axis_prefix(spark, sf):
 v AS (SELECT 'months_over_total' AS "check", * FROM c WHERE ms > total UNION ALL SELECT 'bad_district', * FROM c WHERE district NOT IN ('AFRICA', 'ASIA', 'EUROPE') UNION ALL SELECT 'outside_box', * FROM c WHERE lat_e5 > {t.NORTH - 500})
 SELECT "check", signal || '/' || CAST(cy AS VARCHAR) || '/' || CAST(cx AS VARCHAR) AS entity, district AS detail FROM v""")
 def cell_checks(spark, sf):
-    c = ho.cell_facts(_placed(spark, sf), FLOOR)
+    c = ho.cell_facts(_cube(spark, sf), FLOOR)
     c = c.withColumn("month_sum", F.col("total") + F.when(F.col("total") > 25, 1).otherwise(0)).withColumn("category", F.lit(None).cast("string"))
     return qu.bad_cells(c, ["AFRICA", "ASIA", "EUROPE"], (t.SOUTH - 1000, t.WEST - 1000, t.NORTH - 500, t.EAST + 1000))
 

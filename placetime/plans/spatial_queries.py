@@ -92,7 +92,7 @@ def knn_neighbours(spark, sf):
 
 
 def _call_corners(spark, sf):
-    return sp.corner_centroids(t.calls(spark, sf), ["id"])
+    return sp.corner_centroids(t.calls(spark, sf), "id")
 
 
 _CORNERS = f"""{t.CALLS}, corners AS (SELECT name, arg_min(lat_e5, id) AS lat_e5, arg_min(lng_e5, id) AS lng_e5 FROM calls GROUP BY name)"""

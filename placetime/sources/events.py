@@ -154,11 +154,13 @@ def lever_events(tables: dict[str, DataFrame], levers: dict[str, tuple[Signal, .
             continue
         tagged = table.withColumn("_t", F.explode(F.array_compact(F.array(*marks))))
         rows = NORMALIZERS[name](tagged, ["_t"]).select("_t.lever", "_t.source", "*").drop("_t")
-        rows = rows.withColumn("_key", F.when(F.col("lever").isin(*with_id), F.col("id")))
+        rows = rows.withColumns({
+            "_key": F.when(F.col("lever").isin(*with_id), F.col("id")),
+            "_row": F.monotonically_increasing_id(),   # file position: settles equal times
+        })
         rows = dedup_first(
-            rows, "_key", ["-ts", "id", "place", "lat_e5", "lng_e5", "notes"], "day", "dated_first",
-            within=["lever", "source"],
-        ).drop("_key")
+            rows, "_key", ["-ts", "_row"], "day", "dated_first", within=["lever", "source"]
+        ).drop("_key", "_row")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -178,15 +180,14 @@ def assignment_report(raw: DataFrame, kept: DataFrame, id_col: str, date_col: st
         F.count(F.lit(1)).alias("rows"),
         (F.count(id_col) - F.count_distinct(F.col(id_col))).alias("duplicates"),
     )
-    done = kept.agg(
-        F.count(F.lit(1)).alias("kept"),
-        F.count_if(F.col("lat_e5").isNull()).alias("no_coord"),
-    )
-    per = kept.groupBy("district").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        per.withColumn("rows", loaded.select("rows").scalar())
-        .withColumn("duplicates", loaded.select("duplicates").scalar())
-        .withColumn("kept", done.select("kept").scalar())
-        .withColumn("no_coord", done.select("no_coord").scalar())
-        .withColumn("undated", F.col("rows") - F.col("duplicates") - F.col("kept"))
+    per = kept.groupBy("district").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("lat_e5").isNull()).alias("_no_coord")
     )
+    every = W.partitionBy(F.lit(0))          # one row per district
+    return per.select(
+        "district", "n",
+        loaded.select("rows").scalar().alias("rows"),
+        loaded.select("duplicates").scalar().alias("duplicates"),
+        F.sum("n").over(every).alias("kept"),
+        F.sum("_no_coord").over(every).alias("no_coord"),
+    ).withColumn("undated", F.col("rows") - F.col("duplicates") - F.col("kept"))
