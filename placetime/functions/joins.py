@@ -23,6 +23,7 @@ def lookup_join(
     how: str = "left",
     rows: int = BROADCAST_ROWS,
     salt_from: Sequence[str] | None = None,
+    fits: bool | None = None,
 ) -> DataFrame:
     """Join `big` to a dimension `small` on equal columns.
 
@@ -30,10 +31,11 @@ def lookup_join(
     (polygons, stops, presets); two derived sides are joined plainly and left to adaptive
     execution.  Up to `rows` rows, `small` is broadcast.  Beyond that every `small` row is repeated for
     SALTS salts and each `big` row takes one salt from a hash of `salt_from` (all its columns
-    by default), which is stable when a task is run again.
+    by default), which is stable when a task is run again.  `fits` passes in the answer when
+    the caller has measured the side more cheaply.
     """
     on = list(on)
-    if is_small(small, rows):
+    if is_small(small, rows) if fits is None else fits:
         return big.join(F.broadcast(small), on, how)
     basis = [F.col(c) for c in (salt_from or big.columns)]
     salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(*basis), F.lit(SALTS)).cast("int"))

@@ -23,14 +23,12 @@ def event_radius_join(
     if history_start:
         rows = rows.where(F.col("day") >= F.lit(history_start).cast("date"))
     daily = rows.groupBy("lever", "lat_e5", "lng_e5", "day").agg(F.count(F.lit(1)).alias("n"))
-    spots = daily.select("lat_e5", "lng_e5").distinct()
     pins = interventions.select(
         F.col("id").alias("intervention"), "levers", "radius",
         F.col("lat_e5").alias("t_lat"), F.col("lng_e5").alias("t_lng"),
     )
-    reach = near_pairs(spots, pins, F.col("radius").cast("double"), max_radius, scale_at="target")
-    wanted = reach.select("intervention", F.explode("levers").alias("lever"), "lat_e5", "lng_e5")
-    return wanted.join(daily, ["lever", "lat_e5", "lng_e5"]).groupBy(
+    reach = near_pairs(daily, pins, F.col("radius").cast("double"), max_radius, scale_at="target")
+    return reach.where(F.array_contains("levers", F.col("lever"))).groupBy(
         "intervention", "lever", "day"
     ).agg(F.sum("n").alias("n"))
 
@@ -114,8 +112,8 @@ def detect_onset(
         "total_pre": F.sum("n").over(whole),
     })
     early = F.col("idx") < F.greatest(F.lit(1), F.col("months") - 3)
-    base = s.where(early).groupBy(*keys).agg(F.median("n").alias("baseline"))
-    s = s.join(base, list(keys)).withColumn(
+    baseline = F.median(F.when(early, F.col("n"))).over(whole)
+    s = s.withColumn("baseline", baseline).withColumn(
         "bar", F.greatest(F.col("baseline") * 2, F.col("baseline") + 2)
     )
     # the trailing run starts right after the last month below the bar

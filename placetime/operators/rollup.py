@@ -230,15 +230,13 @@ def corner_monthly(reports: DataFrame, keys: Sequence[str] = ("district",)) -> D
         F.count(F.lit(1)).alias("n"), F.max("lat").alias("lat"), F.max("lng").alias("lng")
     )
     whole = F.col("lat").isNotNull() & F.col("lng").isNotNull()
-    first = F.min(F.when(whole, F.struct("ym", "lat", "lng")))
-    placed = by_month.groupBy(*keys, "corner").agg(
-        first.alias("p"), F.sum("n").alias("total")
-    ).where("p is not null")
-    spots = placed.select(
-        *keys, "corner", "total",
+    months = W.partitionBy(*keys, "corner")          # at most one row per month
+    first = F.min(F.when(whole, F.struct("ym", "lat", "lng"))).over(months)
+    placed = by_month.withColumns({"p": first, "total": F.sum("n").over(months)})
+    return placed.where("p is not null").select(
+        *keys, "corner", "ym", "n", "total",
         to_e5(F.col("p.lat")).alias("lat_e5"), to_e5(F.col("p.lng")).alias("lng_e5"),
     )
-    return by_month.select(*keys, "corner", "ym", "n").join(spots, [*keys, "corner"])
 
 
 def corner_window(corners: DataFrame, lo: str, hi: str, keys: Sequence[str] = ("district",)) -> DataFrame:

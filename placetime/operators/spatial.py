@@ -17,7 +17,8 @@ from ..functions.geo import cell, from_e5, grid, hex_axial, image_score, planar_
 from ..functions.joins import lookup_join
 
 POLYGON_GRID_E5 = 1000
-POLYGON_INDEX_ROWS = 50_000
+POLYGON_INDEX_ROWS = 50_000        # broadcast bound: grid cells under all boxes
+POLYGON_INDEX_EDGES = 500_000      # broadcast bound: edges, once per grid cell they serve
 
 
 def polygon_index(rings: DataFrame, size: int = POLYGON_GRID_E5) -> DataFrame:
@@ -66,6 +67,27 @@ def polygon_index(rings: DataFrame, size: int = POLYGON_GRID_E5) -> DataFrame:
     )
 
 
+def index_fits(rings: DataFrame, size: int = POLYGON_GRID_E5) -> bool:
+    """Whether the polygon index stays within the broadcast bounds, from the rings' boxes alone:
+    an edge serves at most the grid rows it spans times the columns of its part."""
+    scale = float(fixed.E5) / size
+
+    def steps(values: Column) -> Column:
+        return F.floor(F.array_max(values) * scale) - F.floor(F.array_min(values) * scale) + 1
+
+    xs = F.flatten(F.transform("edges", lambda e: F.array(e["x1"], e["x2"])))
+    ys = F.flatten(F.transform("edges", lambda e: F.array(e["y1"], e["y2"])))
+    cols = steps(xs)
+    edge_rows = F.aggregate(
+        F.transform("edges", lambda e: F.abs(F.floor(e["y1"] * scale) - F.floor(e["y2"] * scale)) + 1),
+        F.lit(0).cast("long"), lambda n, r: n + r,
+    )
+    cells, edges = rings.agg(
+        F.coalesce(F.sum(steps(ys) * cols), F.lit(0)), F.coalesce(F.sum(edge_rows * cols), F.lit(0))
+    ).first()
+    return cells <= POLYGON_INDEX_ROWS and edges <= POLYGON_INDEX_EDGES
+
+
 def _crossings_odd(edges: Column, x: Column, y: Column, epsilon: float) -> Column:
     def crosses(e: Column) -> Column:
         spans = (e["y1"] > y) != (e["y2"] > y)
@@ -91,7 +113,7 @@ def assign_polygon(
     epsilon = 0.0 if holes else fixed.EDGE_EPSILON
     index = polygon_index(rings, size)
     keyed = points.withColumns({"gy": grid(F.col("lat_e5"), size), "gx": grid(F.col("lng_e5"), size)})
-    joined = lookup_join(keyed, index, ["gy", "gx"], "left", POLYGON_INDEX_ROWS)
+    joined = lookup_join(keyed, index, ["gy", "gx"], "left", fits=index_fits(rings, size))
     x, y = from_e5(F.col("lng_e5")), from_e5(F.col("lat_e5"))
 
     def inside(p: Column) -> Column:
@@ -215,17 +237,13 @@ def stop_and_ring_counts(
 ) -> DataFrame:
     """Per target and `keys`: events whose nearest target it is within r_stop (`stop`), and
     events more than r_stop and at most r_ring away (`ring`)."""
-    spots = positions(events, keys)
-    pairs = near_pairs(
-        spots.select("lat_e5", "lng_e5").distinct(), target_positions(targets), r_ring, r_ring
-    )
+    pairs = near_pairs(positions(events, keys), target_positions(targets), r_ring, r_ring)
     mine = F.struct("d2", "target_id")
-    nearest = F.min(mine).over(W.partitionBy("lat_e5", "lng_e5"))   # targets around one spot
+    nearest = F.min(mine).over(W.partitionBy("lat_e5", "lng_e5", *keys))   # targets near one spot
     near, far = F.col("d2") <= float(r_stop) ** 2, F.col("d2") > float(r_stop) ** 2
     zero = F.lit(0).cast("long")
     per_spot = (
         pairs.withColumn("hit", near & (mine == nearest))
-        .join(spots, ["lat_e5", "lng_e5"])
         .groupBy("t_lat", "t_lng", "target_id", *keys)
         .agg(
             F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), zero).alias("stop"),
