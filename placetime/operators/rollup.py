@@ -105,18 +105,29 @@ def label_keys(spark, signals: Sequence[str], districts: Sequence[str]) -> DataF
     return spark.createDataFrame(rows, "signal string, label string")
 
 
+def recube(daily: DataFrame, unit: str, keys: Sequence[str] = ("signal", "district")) -> DataFrame:
+    """A daily cube summed to months or weeks, so both come from one pass over the events."""
+    start = tk.month_start if unit == "month" else tk.week_start
+    return daily.withColumn("period", start(F.col("period"))).groupBy(*keys, "period", "bucket").agg(
+        F.sum("n").alias("n")
+    )
+
+
+def dense_series(cubed: DataFrame, signals, districts, lo: str, as_of: str, unit: str = "month") -> DataFrame:
+    """Signals x labels x periods of a cube, dense."""
+    keys = label_keys(cubed.sparkSession, signals, districts)
+    a, b = F.lit(lo).cast("date"), F.lit(as_of).cast("date")
+    if unit == "month":
+        a, b = F.trunc(a, "MM"), F.trunc(b, "MM")
+    return densify(by_label(cubed, districts), keys, a, b, unit)
+
+
 def dense_monthly(events: DataFrame, signals, districts, lo: str, as_of: str) -> DataFrame:
-    """Signals x labels x months, dense."""
-    counts = by_label(cube(events, tk.month_start(F.col("day"))), districts)
-    keys = label_keys(events.sparkSession, signals, districts)
-    d = F.lit(as_of).cast("date")
-    return densify(counts, keys, F.trunc(F.lit(lo).cast("date"), "MM"), F.trunc(d, "MM"))
+    return dense_series(cube(events, tk.month_start(F.col("day"))), signals, districts, lo, as_of)
 
 
 def dense_weekly(events: DataFrame, signals, districts, lo: str, as_of: str) -> DataFrame:
-    counts = by_label(cube(events, tk.week_start(F.col("day"))), districts)
-    keys = label_keys(events.sparkSession, signals, districts)
-    return densify(counts, keys, F.lit(lo).cast("date"), F.lit(as_of).cast("date"), "week")
+    return dense_series(cube(events, tk.week_start(F.col("day"))), signals, districts, lo, as_of, "week")
 
 
 def daily_to_weekly(events: DataFrame, id_col: str, keys: Sequence[str]) -> DataFrame:
@@ -208,18 +219,16 @@ def residual_last(mix: DataFrame, kind: str, residual: str, keys: Sequence[str]
 
 def hour_histogram(events: DataFrame, keys: Sequence[str], weeks: float | None = None) -> DataFrame:
     """24 dense hours per key, with the first fullest hour flagged and, given a window length
-    in weeks, the weekly average."""
-    c = events.where("hour is not null").groupBy(*keys, "hour").agg(F.count(F.lit(1)).alias("n"))
-    present = c.select(*keys).distinct() if keys else c.select(F.lit(1).alias("_one")).limit(1)
-    names = list(keys) or ["_one"]
-    hours = present.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
-    left = c if keys else c.withColumn("_one", F.lit(1))
-    dense = hours.join(left, [*names, "hour"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    peak = F.first("hour").over(W.partitionBy(*names).orderBy(F.desc("n"), "hour"))
-    out = dense.withColumn("is_peak", F.col("hour") == peak)
-    if weeks is not None:
-        out = out.withColumn("per_week", F.col("n") / float(weeks))
-    return out if keys else out.drop("_one")
+    in weeks, the weekly average.  One aggregation with a counter per hour."""
+    wide = events.where("hour is not null").groupBy(*keys).agg(
+        *[F.count_if(F.col("hour") == h).alias(f"h{h}") for h in range(24)]
+    )
+    counts = F.array(*[F.col(f"h{h}") for h in range(24)])
+    peak = F.array_position(counts, F.array_max(counts)) - 1
+    out = wide.select(*keys, peak.alias("_peak"), F.posexplode(counts).alias("hour", "n")).select(
+        *keys, "hour", "n", (F.col("hour") == F.col("_peak")).alias("is_peak")
+    )
+    return out if weeks is None else out.withColumn("per_week", F.col("n") / float(weeks))
 
 
 def corner_monthly(reports: DataFrame, keys: Sequence[str] = ("district",)) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed, timekeys as tk
-from ..functions.numbers import half_even
+from ..functions.numbers import half_even, rank_target
 from ..functions.ranks import nearest_rank, value_counts
 
 
@@ -53,14 +53,35 @@ def lag_stats(
 
 
 def lag_cdf(rows: DataFrame, keys: Sequence[str], days: int = fixed.LAG_CDF_DAYS, lag: str = "lag") -> DataFrame:
-    """F(k), k = 0..days: share of lags at most k, six decimals."""
-    hist = rows.groupBy(*keys, F.col(lag).alias("k")).agg(F.count(F.lit(1)).alias("c"))
-    totals = hist.groupBy(*keys).agg(F.sum("c").alias("n"))
-    grid = totals.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(days))))
-    run = W.partitionBy(*keys).orderBy("k").rowsBetween(W.unboundedPreceding, 0)
-    return grid.join(hist, [*keys, "k"], "left").select(
+    """F(k), k = 0..days: share of lags at most k, six decimals.
+
+    Each histogram entry fills the days up to the next one, so the curve is dense without
+    joining it to a day axis.  The result is tiny; write it once when it is used often.
+    """
+    hist = value_counts(rows, keys, lag)
+    by_lag = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(lag)
+    h = hist.withColumns({
+        "_first": F.row_number().over(by_lag) == 1, "_next": F.lead(lag).over(by_lag),
+    })
+    lo = F.when(F.col("_first"), F.lit(0)).otherwise(F.col(lag))
+    hi = F.least(F.coalesce(F.col("_next") - 1, F.lit(days)), F.lit(days))
+    return h.withColumn("k", F.explode(F.when(lo <= hi, F.sequence(lo, hi)))).select(
         *keys, "k",
-        F.bround(F.coalesce(F.sum("c").over(run), F.lit(0)).cast("double") / F.col("n"), 6).alias("f"),
+        F.when(F.col("k") < F.col(lag), 0.0)
+        .otherwise(F.bround(F.col("cum").cast("double") / F.col("n"), 6)).alias("f"),
+    )
+
+
+def late_at_percentile(rows: DataFrame, keys: Sequence[str], pct: int = 90, lag: str = "lag") -> DataFrame:
+    """The nearest-rank percentile of the lag as a hold-back delay, with the rows that arrive
+    within it and after it."""
+    counts = value_counts(rows, keys, lag)
+    every = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    at = F.min(F.when(F.col("cum") >= rank_target(F.col("n"), pct), F.col(lag))).over(every)
+    split = counts.withColumn("delay", at)
+    return split.groupBy(*keys, "delay").agg(
+        F.sum(F.when(F.col(lag) <= F.col("delay"), F.col("c")).otherwise(0)).alias("in_time"),
+        F.sum(F.when(F.col(lag) > F.col("delay"), F.col("c")).otherwise(0)).alias("late"),
     )
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.ranks import materialize
 from ..operators import feed as fe
 from ..operators import places as pl
 from . import tables as t
@@ -63,7 +64,7 @@ def stop_patterns(spark, sf):
 
 def _alts(spark, sf):
     f = _feed(spark, sf)
-    patterns = fe.stop_patterns(f)
+    patterns = materialize(fe.stop_patterns(f), "patterns")
     return patterns, fe.nearest_alternative(patterns, fe.feed_stops(f)), f
 
 
@@ -213,12 +214,12 @@ def _match_sql(index: str, out: str, source: str = "qt") -> str:
 @query("match_intersection", f"WITH {_CITY}, {_QUERIES}, {_match_sql('city', 'mt')} SELECT qkey, score, name, lat_e5, lng_e5 FROM mt")
 def match_intersection(spark, sf):
     q = pl.tokenized_queries(_queries(spark, sf), "q")
-    m = pl.match_corner(q, _city(spark, sf))
+    m = pl.match_corner(q, materialize(_city(spark, sf), "city-index"))
     return m.select("qkey", "score", "name", "lat_e5", "lng_e5")
 
 
 def _hotspot_index(spark, sf):
-    local = pl.local_index(_local_entries(spark, sf), "pos")
+    local = materialize(pl.local_index(_local_entries(spark, sf), "pos"), "local-index")
     hot = local.where("count >= 6").withColumn("is_hotspot", F.lit(True))
     return pl.hotspot_first_index(hot, local)
 

@@ -11,7 +11,7 @@ from ..sources import sinks as sk
 from . import tables as t
 from .catalog import query
 from .hotspot_queries import FACTS, FLOOR, PLACED, _cube
-from .rollup_queries import _monthly, _weekly
+from .rollup_queries import _both, _monthly
 from .spatial_queries import _NB, _TOT, _neighbours, _totals
 
 BOX = (t.SOUTH, t.WEST, t.NORTH, t.EAST)
@@ -21,7 +21,7 @@ _EMPTY = 'SELECT \'\' AS "check", \'\' AS entity, \'\' AS detail FROM region WHE
 @query("quality_pass", _EMPTY)
 def quality_pass(spark, sf):
     """Every structural check on the real series: no violations."""
-    m, w = _monthly(spark, sf), _weekly(spark, sf)
+    m, w = _both(spark, sf)
     months = ru.date_axis(spark, t.LO, t.AS_OF)
     weeks = ru.date_axis(spark, t.LO, t.AS_OF, "week")
     checks = [

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timekeys as tk
 from ..functions.joins import literal_rows
+from ..functions.ranks import materialize
 from ..operators import rollup as ru
 from ..operators.rollup import CITYWIDE
 from . import tables as t
@@ -16,6 +17,13 @@ def _monthly(spark, sf):
     return ru.dense_monthly(t.incidents(spark, sf), t.SIGNALS, t.DISTRICTS, t.LO, t.AS_OF)
 
 
+def _both(spark, sf):
+    """Monthly and weekly series from one daily cube, which is written once."""
+    daily = materialize(ru.cube(t.incidents(spark, sf), F.col("day")), "daily")
+    make = lambda unit: ru.dense_series(ru.recube(daily, unit), t.SIGNALS, t.DISTRICTS, t.LO, t.AS_OF, unit)
+    return make("month"), make("week")
+
+
 def _weekly(spark, sf):
     return ru.dense_weekly(t.incidents(spark, sf), t.SIGNALS, t.DISTRICTS, t.LO, t.AS_OF)
 
@@ -308,6 +316,7 @@ SELECT name, signal, CAST(d AS VARCHAR) AS day, CAST(coalesce(n, 0) AS BIGINT) A
 def densify_sparse(spark, sf):
     c = t.points(spark, sf).groupBy("name", "signal", F.col("day").alias("period")).agg(F.count(F.lit(1)).alias("n"))
     lo, hi = (F.lit(x).cast("date") for x in (t.EVENT_LO, t.EVENT_AS_OF))
+    c = materialize(c, "daily-places")
     d = ru.densify(c, c.select("name", "signal").distinct(), lo, hi, "day")
     return d.select("name", "signal", F.col("period").cast("string").alias("day"), "n")
 

@@ -9,7 +9,7 @@ from ..operators import rollup as ru
 from ..operators import series as se
 from . import tables as t
 from .catalog import query
-from .rollup_queries import _monthly, _weekly
+from .rollup_queries import _both, _monthly, _weekly
 
 W = "OVER (PARTITION BY signal, label ORDER BY idx)"
 
@@ -183,7 +183,7 @@ SELECT signal, label, cur1, prior1, {_int_pct('cur1', 'prior1')} AS change_1mo,
   cur2, prior2, {_int_pct('cur2', 'prior2')} AS change_2wk, prior2 < 20 AS low_base FROM m JOIN k USING (signal, label) WHERE period = DATE '{_CHIP_MONTH}'""")
 def kpi_chips(spark, sf):
     d = lambda x: F.lit(x).cast("date")
-    return se.kpi_chips(_monthly(spark, sf), _weekly(spark, sf), d(_CHIP_MONTH), d(_CHIP_WEEK))
+    return se.kpi_chips(*_both(spark, sf), d(_CHIP_MONTH), d(_CHIP_WEEK))
 
 
 @query("fixed_window_yoy", f"""WITH {t.INCIDENTS}, f AS (SELECT signal, district,

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import timekeys as tk
+from ..functions.ranks import materialize
 from ..operators import settling as st
 from . import tables as t
 from .catalog import query
@@ -52,12 +53,12 @@ cdf AS (SELECT signal, gr.k, round(coalesce((SELECT sum(c) FROM h WHERE h.signal
 
 
 def _cdf(spark, sf):
-    return st.lag_cdf(_soon(spark, sf), ["signal"])
+    return materialize(st.lag_cdf(_soon(spark, sf), ["signal"]), "cdf")
 
 
 @query("lag_cdf", f"WITH {_CDF} SELECT signal, k, f FROM cdf")
 def lag_cdf(spark, sf):
-    return _cdf(spark, sf)
+    return st.lag_cdf(_soon(spark, sf), ["signal"])
 
 
 _AGES = f"""ages AS (SELECT signal, m AS period, date_diff('day', last_day(m), DATE '{AS_OF}') AS delta, day(last_day(m)) AS dd

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, geo
 from ..functions import timekeys as tk
+from ..functions.ranks import materialize
 from ..operators import concentration as co
 from ..operators import evaluate as ev
 from ..operators import rollup as ru
@@ -355,7 +356,7 @@ def signal_scale(spark, sf):
 b AS (SELECT id, sum(x) AS tx, max(x) AS mx, min(signal) FILTER (WHERE x = mm) AS dom FROM (SELECT *, max(x) OVER (PARTITION BY id) AS mm FROM i) GROUP BY id)
 SELECT id, signal, round(x, 6) AS intensity, round(tx, 6) AS total_intensity, CASE WHEN mx > 0 THEN dom END AS dominant, mx <= 0 AS quiet, x >= 0.25 AS shown FROM i JOIN b USING (id)""")
 def relative_intensity(spark, sf):
-    tot = _totals(spark, sf)
+    tot = materialize(_totals(spark, sf), "totals")
     r = co.relative_intensity(tot, co.signal_scale(tot))
     return r.select("id", "signal", F.round("intensity", 6).alias("intensity"), F.round("total_intensity", 6).alias("total_intensity"),
                     "dominant", "quiet", "shown")

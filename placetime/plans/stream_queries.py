@@ -54,6 +54,4 @@ p AS (SELECT signal, max(lag) FILTER (WHERE rn = least(n, CAST(floor(90 * n / 10
 SELECT signal, p90, count(*) FILTER (WHERE lag <= p90) AS in_time, count(*) FILTER (WHERE lag > p90) AS late FROM r JOIN p USING (signal) GROUP BY ALL""")
 def late_policy(spark, sf):
     rows = st.lags(t.reports(spark, sf), "incident", "soon")
-    p90 = st.lag_stats(rows, ["signal"]).select("signal", F.col("p90_days").alias("p90"))
-    late = jobs.late_rows(rows.join(p90, "signal"), "incident", "soon", F.col("p90"), ["signal", "p90"])
-    return late.select("signal", "p90", "in_time", "late")
+    return st.late_at_percentile(rows, ["signal"]).withColumnRenamed("delay", "p90")
