@@ -123,14 +123,17 @@ def compare_refs(spark, sf):
 _TREND = f"""{t.SERIES}, a AS (SELECT *, {_sum(12)} AS x, {_sum(12, 12)} AS y FROM s),
 tr AS (SELECT *, CASE WHEN signal IN ('1-URGENT', '2-HIGH') THEN 'up' ELSE 'down' END AS goal,
   CASE WHEN y <> 0 THEN (x / 12.0::DOUBLE - y / 12.0::DOUBLE) / (y / 12.0::DOUBLE) END AS p, {_pct('x', 'y')} AS q FROM a)"""
-_GOAL = F.when(F.col("signal").isin("1-URGENT", "2-HIGH"), "up").otherwise("down")
+
+
+def _goal():
+    return F.when(F.col("signal").isin("1-URGENT", "2-HIGH"), "up").otherwise("down")
 
 
 @query("verdicts", f"""WITH {_TREND} SELECT {BASE}, goal, CASE WHEN p IS NULL THEN 'not enough history'
   WHEN goal = 'up' AND p > 0.05 THEN 'rising, good' WHEN goal = 'down' AND p < -0.05 THEN 'improving'
   WHEN goal = 'up' AND p < -0.05 THEN 'falling short' WHEN goal = 'down' AND p > 0.05 THEN 'worsening' ELSE 'little change' END AS verdict FROM tr""")
 def verdicts(spark, sf):
-    s = se.trend12(_monthly(spark, sf)).withColumn("goal", _GOAL)
+    s = se.trend12(_monthly(spark, sf)).withColumn("goal", _goal())
     return s.select("signal", "label", t.month(), "goal", se.verdict(F.col("trend_pct"), F.col("goal")).alias("verdict"))
 
 
@@ -146,7 +149,7 @@ SELECT {BASE}, CASE WHEN c > 0.005 THEN 'up' WHEN c < -0.005 THEN 'down' ELSE 'f
   CASE WHEN c IS NULL OR abs(c) < 0.005 THEN 'flat' WHEN (goal = 'up' AND c > 0) OR (goal = 'down' AND c < 0) THEN 'good' ELSE 'bad' END AS tone,
   CASE WHEN c IS NULL THEN 'nodata' WHEN (goal = 'down' AND floor(c * 100 + 0.5) < 0) OR (goal = 'up' AND floor(c * 100 + 0.5) > 0) THEN 'good' ELSE 'bad' END AS badge FROM b""")
 def goal_tones(spark, sf):
-    s = se.yoy(_monthly(spark, sf)).withColumn("goal", _GOAL)
+    s = se.yoy(_monthly(spark, sf)).withColumn("goal", _goal())
     pct, goal = F.col("pct"), F.col("goal")
     return s.select(
         "signal", "label", t.month(), se.delta_class(pct).alias("delta"),

@@ -70,8 +70,8 @@ def dictionary(df: DataFrame, col: str) -> DataFrame | None:
     """(value, code) of a column whose distinct values are at most max(64, rows // 50), the
     code being the value's position in sorted order; None when the column stays raw.  The
     distinct values are written once, so the table is not scanned again for each use."""
-    distinct = materialize(df.groupBy(col).agg(F.count(F.lit(1)).alias("c")), "dictionary")
-    total, kinds = distinct.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    distinct = materialize(df.groupBy(col).agg(F.count(F.lit(1)).alias("_rows")), "dictionary")
+    total, kinds = distinct.agg(F.coalesce(F.sum("_rows"), F.lit(0)), F.count(F.lit(1))).first()
     if kinds > max(MARKER_DICT_ROWS, total // MARKER_DICT_SHARE):
         return None
     values = distinct.select(col)
