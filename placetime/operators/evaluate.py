@@ -23,14 +23,18 @@ def event_radius_join(
     if history_start:
         rows = rows.where(F.col("day") >= F.lit(history_start).cast("date"))
     daily = rows.groupBy("lever", "lat_e5", "lng_e5", "day").agg(F.count(F.lit(1)).alias("n"))
+    spot = ["t_lat", "t_lng", "radius"]
     pins = interventions.select(
         F.col("id").alias("intervention"), "levers", "radius",
         F.col("lat_e5").alias("t_lat"), F.col("lng_e5").alias("t_lng"),
     )
-    reach = near_pairs(daily, pins, F.col("radius").cast("double"), max_radius, scale_at="target")
-    return reach.where(F.array_contains("levers", F.col("lever"))).groupBy(
-        "intervention", "lever", "day"
-    ).agg(F.sum("n").alias("n"))
+    # each distinct circle is counted once, however many interventions share it
+    circles = pins.select(*spot).distinct()
+    reach = near_pairs(daily, circles, F.col("radius").cast("double"), max_radius, scale_at="target")
+    counts = reach.groupBy(*spot, "lever", "day").agg(F.sum("n").alias("n"))
+    return counts.join(pins, spot).where(F.array_contains("levers", F.col("lever"))).select(
+        "intervention", "lever", "day", "n"
+    )
 
 
 def before_after(daily: DataFrame, windows: DataFrame, keys: Sequence[str] = ("intervention", "lever")) -> DataFrame:
