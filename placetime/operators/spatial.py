@@ -21,50 +21,61 @@ POLYGON_INDEX_ROWS = 50_000        # broadcast bound: grid cells under all boxes
 POLYGON_INDEX_EDGES = 500_000      # broadcast bound: edges, once per grid cell they serve
 
 
-def polygon_index(rings: DataFrame, size: int = POLYGON_GRID_E5) -> DataFrame:
+def polygon_index(rings: DataFrame, size: int = POLYGON_GRID_E5, holes: bool = False) -> DataFrame:
     """Grid index of polygon rings (district, feature_order, part, role, edges).
 
-    Row per grid cell (gy, gx): the parts whose box meets the cell, in feature order, each
-    with only the edges a ray leaving the cell to the right can cross.
+    Row per grid cell (gy, gx) with its `parts` in feature order.  A part no edge of which
+    comes near the cell holds all of it (`full`, no edges kept) or none of it (left out), so
+    only points in border cells are tested against edges; those are the edges a ray leaving
+    the cell to the right can cross.  Nothing is kept behind the first full part.
     """
     scale = float(fixed.E5) / size
-    edge = F.explode("edges").alias("e")
-    e = rings.select("district", "feature_order", "part", "role", "ring_no", edge) if (
-        "ring_no" in rings.columns
-    ) else rings.withColumn(
-        "ring_no", F.xxhash64("feature_order", "part", "role", "edges")
-    ).select("district", "feature_order", "part", "role", "ring_no", edge)
+    kept = rings if holes else rings.where("role = 'outer'")
+    e = kept.withColumn("ring_no", F.xxhash64("feature_order", "part", "role", "edges")).select(
+        "district", "feature_order", "part", "role", "ring_no", F.explode("edges").alias("e")
+    )
+    lo_x, hi_x = F.least("e.x1", "e.x2"), F.greatest("e.x1", "e.x2")
     lo_y, hi_y = F.least("e.y1", "e.y2"), F.greatest("e.y1", "e.y2")
     box = e.where("role = 'outer'").groupBy("feature_order", "part").agg(
-        F.floor(F.min(F.least("e.x1", "e.x2")) * scale).cast("int").alias("gx_lo"),
-        F.floor(F.max(F.greatest("e.x1", "e.x2")) * scale).cast("int").alias("gx_hi"),
+        F.floor(F.min(lo_x) * scale).cast("int").alias("gx_lo"),
+        F.floor(F.max(hi_x) * scale).cast("int").alias("gx_hi"),
     )
-    banded = e.select(
-        "*",
-        F.explode(
-            F.sequence(F.floor(lo_y * scale).cast("int"), F.floor(hi_y * scale).cast("int"))
-        ).alias("gy"),
-    ).join(box, ["feature_order", "part"])
+    bands = F.sequence(F.floor(lo_y * scale).cast("int"), F.floor(hi_y * scale).cast("int"))
+    banded = e.withColumn("gy", F.explode(bands)).join(box, ["feature_order", "part"])
     # an edge serves every cell at or left of its right end
-    last_gx = F.least("gx_hi", F.floor(F.greatest("e.x1", "e.x2") * scale).cast("int"))
-    celled = banded.select(
-        "district", "feature_order", "part", "role", "ring_no", "gy", "e",
-        F.explode(
-            F.when(last_gx >= F.col("gx_lo"), F.sequence("gx_lo", last_gx))
-        ).alias("gx"),
+    last_gx = F.least("gx_hi", F.floor(hi_x * scale).cast("int"))
+    celled = banded.withColumn(
+        "gx", F.explode(F.when(last_gx >= F.col("gx_lo"), F.sequence("gx_lo", last_gx)))
     )
-    per_ring = celled.groupBy("gy", "gx", "feature_order", "part", "district", "role", "ring_no").agg(
-        F.collect_list("e").alias("edges")
+    margin = 1e-9
+    west, east = F.col("gx") / scale - margin, (F.col("gx") + 1) / scale + margin
+    celled = celled.withColumn("near", (lo_x <= east) & (hi_x >= west))
+    keys = ["gy", "gx", "feature_order", "part", "district"]
+    per_ring = celled.groupBy(*keys, "role", "ring_no").agg(
+        F.collect_list("e").alias("edges"), F.bool_or("near").alias("near")
     )
-    per_part = per_ring.groupBy("gy", "gx", "feature_order", "part", "district").agg(
+    per_part = per_ring.groupBy(*keys).agg(
         F.flatten(F.collect_list(F.when(F.col("role") == "outer", F.col("edges")))).alias("outer"),
         F.collect_list(F.when(F.col("role") == "hole", F.col("edges"))).alias("holes"),
+        F.bool_or("near").alias("near"),
     )
-    return per_part.groupBy("gy", "gx").agg(
+    x, y = (F.col("gx") + 0.5) / scale, (F.col("gy") + 0.5) / scale
+    centre = _in_part(F.col("outer"), F.col("holes"), x, y, 0.0)
+    useful = per_part.withColumn("full", ~F.col("near") & centre).where("near or full")
+    none = F.array().cast(useful.schema["outer"].dataType)
+    slim = useful.withColumns({
+        "outer": F.when(F.col("full"), none).otherwise(F.col("outer")),
+        "holes": F.when(F.col("full"), F.array().cast(useful.schema["holes"].dataType)).otherwise(F.col("holes")),
+    })
+    parts = slim.groupBy("gy", "gx").agg(
         F.array_sort(
-            F.collect_list(F.struct("feature_order", "part", "district", "outer", "holes"))
+            F.collect_list(F.struct("feature_order", "part", "district", "full", "outer", "holes"))
         ).alias("parts")
     )
+    first_full = F.array_position(F.transform("parts", lambda p: p["full"]), F.lit(True)).cast("int")
+    return parts.withColumn(
+        "parts", F.when(first_full > 0, F.slice("parts", 1, F.greatest(first_full, F.lit(1)))).otherwise(F.col("parts"))
+    )
 
 
 def index_fits(rings: DataFrame, size: int = POLYGON_GRID_E5) -> bool:
@@ -98,6 +109,12 @@ def _crossings_odd(edges: Column, x: Column, y: Column, epsilon: float) -> Colum
     return F.aggregate(edges, F.lit(0), lambda n, e: n + crosses(e)) % 2 == 1
 
 
+def _in_part(outer: Column, holes: Column, x: Column, y: Column, epsilon: float) -> Column:
+    return _crossings_odd(outer, x, y, epsilon) & ~F.exists(
+        holes, lambda h: _crossings_odd(h, x, y, epsilon)
+    )
+
+
 def assign_polygon(
     points: DataFrame,
     rings: DataFrame,
@@ -111,18 +128,13 @@ def assign_polygon(
     out points in a hole and uses none.
     """
     epsilon = 0.0 if holes else fixed.EDGE_EPSILON
-    index = polygon_index(rings, size)
+    index = polygon_index(rings, size, holes)
     keyed = points.withColumns({"gy": grid(F.col("lat_e5"), size), "gx": grid(F.col("lng_e5"), size)})
     joined = lookup_join(keyed, index, ["gy", "gx"], "left", fits=index_fits(rings, size))
     x, y = from_e5(F.col("lng_e5")), from_e5(F.col("lat_e5"))
-
-    def inside(p: Column) -> Column:
-        hit = _crossings_odd(p["outer"], x, y, epsilon)
-        if holes:
-            hit = hit & ~F.exists(p["holes"], lambda h: _crossings_odd(h, x, y, epsilon))
-        return hit
-
-    first = F.get(F.filter("parts", inside), F.lit(0))["district"]
+    first = F.get(
+        F.filter("parts", lambda p: p["full"] | _in_part(p["outer"], p["holes"], x, y, epsilon)), F.lit(0)
+    )["district"]
     return joined.withColumn("district", F.coalesce(first, F.lit(unknown))).drop("parts", "gy", "gx")
 
 

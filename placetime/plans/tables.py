@@ -4,6 +4,7 @@ it; both derive every attribute from the rows themselves."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 LO, AS_OF = "1995-01-01", "2001-08-15"          # monthly history and its reference day
 FIRST_MONTH, LAST_MONTH = "1995-01-01", "2001-08-01"
@@ -20,8 +21,15 @@ IN_DISTRICTS = "(" + ", ".join(f"'{d}'" for d in DISTRICTS) + ")"
 SIGNAL_LIST = "[" + ", ".join(f"'{s}'" for s in SIGNALS) + "]"
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A supplied table; its footer is read for the schema only the first time."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def hashed(key: Column, a: int, b: int) -> tuple[Column, Column]:

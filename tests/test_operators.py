@@ -450,3 +450,40 @@ def test_snapshot_states(spark):
     n = spark.createDataFrame([("a", 15), ("b", 2), ("d", 1), ("e", 7)], "k string, n long")
     got = {r["k"]: (r["state"], r["cliff"]) for r in qu.snapshot_diff(o, n, ["k"]).collect()}
     assert got == {"a": ("changed", True), "b": ("new activity", True), "c": ("gone", False), "d": ("new", False), "e": ("same", False)}
+
+
+def star(rnd, x, y, r, n):
+    pts = []
+    for i in range(n):
+        a, d = 2 * math.pi * i / n, r * (0.4 + 0.6 * rnd.random())
+        pts.append((x + d * math.cos(a), y + d * math.sin(a)))
+    return pts
+
+
+def inside(pts, x, y):
+    odd = False
+    for (x1, y1), (x2, y2) in zip(pts, pts[-1:] + pts[:-1]):
+        if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+            odd = not odd
+    return odd
+
+
+@pytest.mark.parametrize("size", [200, 1000, 20000])
+def test_polygons_equal_brute_force(spark, size):
+    rnd = random.Random(size)
+    feats = []
+    for i in range(8):
+        cx, cy = -122.4 + rnd.random() * 0.1, 37.7 + rnd.random() * 0.1
+        feats.append((f"D{i}", [star(rnd, cx, cy, 0.03, 9), star(rnd, cx, cy, 0.008, 5)]))
+    edges = lambda pts: [(a[0], a[1], b[0], b[1]) for a, b in zip(pts, pts[-1:] + pts[:-1])]
+    data = [(d, i, 0, role, edges(p)) for i, (d, ps) in enumerate(feats) for role, p in zip(("outer", "hole"), ps)]
+    rings = spark.createDataFrame(data, "district string, feature_order int, part int, role string, edges array<struct<x1:double,y1:double,x2:double,y2:double>>")
+    pts = [(i, 3766000 + rnd.randrange(18000), -12244000 + rnd.randrange(18000)) for i in range(1500)]
+    df = spark.createDataFrame(pts, "id int, lat_e5 int, lng_e5 int")
+    for holes in (False, True):
+        want = {}
+        for i, la, lo in pts:
+            x, y = lo / 1e5, la / 1e5
+            want[i] = next((d for d, (o, h) in feats if inside(o, x, y) and not (holes and inside(h, x, y))), "UNKNOWN")
+        got = {r["id"]: r["district"] for r in sp.assign_polygon(df, rings, holes=holes, size=size).collect()}
+        assert got == want
