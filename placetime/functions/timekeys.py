@@ -31,10 +31,6 @@ def month_start(c: Column) -> Column:
     return F.trunc(c.cast("date"), "MM")
 
 
-def month_of_ym(c: Column) -> Column:
-    return F.to_date(F.concat(c, F.lit("-01")))
-
-
 def week_start(c: Column) -> Column:
     """Monday of the week; date arithmetic, so the session time zone never matters."""
     d = c.cast("date")

@@ -94,10 +94,6 @@ def compare_to_average(s: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     }).drop("_t")
 
 
-def at_period(s: DataFrame, month: Column) -> DataFrame:
-    return s.where(F.col("period") == month)
-
-
 def window_presets(latest: int, split_idx: int) -> list[dict]:
     """Month windows offered by default, as index ranges."""
     return [

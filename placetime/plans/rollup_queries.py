@@ -6,7 +6,6 @@ from ..functions import timekeys as tk
 from ..functions.joins import literal_rows
 from ..functions.ranks import materialize
 from ..operators import rollup as ru
-from ..operators.rollup import CITYWIDE
 from . import tables as t
 from .catalog import query
 

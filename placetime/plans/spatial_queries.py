@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import fixed, geo
+from ..functions import geo
 from ..functions import timekeys as tk
 from ..functions.ranks import materialize
 from ..operators import concentration as co
@@ -151,20 +151,40 @@ def events_in_cell(spark, sf):
 
 
 _R3 = "sqrt(3.0::DOUBLE)"
-_HEX = f"""{t.POINTS}, xy AS (SELECT signal, (lat_e5 - {t.SOUTH}) * 1.1132::DOUBLE AS y0, (lng_e5 - {t.WEST}) * (1.1132::DOUBLE * cos(radians(37.7::DOUBLE))) AS x FROM pts),
-qr AS (SELECT signal, x * (2.0::DOUBLE / 3) / 300 AS q, (x * (-1.0::DOUBLE / 3) + (-y0) * ({_R3} / 3)) / 300 AS r FROM xy),
-cu AS (SELECT signal, q, r, -q - r AS s, floor(q + 0.5) AS rq, floor(r + 0.5) AS rr, floor(-q - r + 0.5) AS rs FROM qr),
-hx AS (SELECT signal, CAST(CASE WHEN abs(rq - q) > abs(rs - s) AND abs(rq - q) > abs(rr - r) THEN -rs - rr ELSE rq END AS INTEGER) AS hq,
+
+
+def hex_sql(source: str, key: str) -> str:
+    """CTE `hx`: the key and hexagon of each row of `source`."""
+    return f"""xy AS (SELECT {key} AS k, (lat_e5 - {t.SOUTH}) * 1.1132::DOUBLE AS y0, (lng_e5 - {t.WEST}) * (1.1132::DOUBLE * cos(radians(37.7::DOUBLE))) AS x FROM {source}),
+qr AS (SELECT k, x * (2.0::DOUBLE / 3) / 300 AS q, (x * (-1.0::DOUBLE / 3) + (-y0) * ({_R3} / 3)) / 300 AS r FROM xy),
+cu AS (SELECT k, q, r, -q - r AS s, floor(q + 0.5) AS rq, floor(r + 0.5) AS rr, floor(-q - r + 0.5) AS rs FROM qr),
+hx AS (SELECT k, CAST(CASE WHEN abs(rq - q) > abs(rs - s) AND abs(rq - q) > abs(rr - r) THEN -rs - rr ELSE rq END AS INTEGER) AS hq,
   CAST(CASE WHEN (abs(rq - q) > abs(rs - s) AND abs(rq - q) > abs(rr - r)) OR abs(rs - s) > abs(rr - r) THEN rr ELSE -rq - rs END AS INTEGER) AS hr FROM cu)"""
 
 
-@query("hexbin", f"""WITH {_HEX}, b AS (SELECT signal, hq, hr, count(*) AS n FROM hx GROUP BY ALL)
+@query("hexbin", f"""WITH {t.POINTS}, {hex_sql('pts', 'signal')}, b AS (SELECT k AS signal, hq, hr, count(*) AS n FROM hx GROUP BY ALL)
 SELECT signal, hq, hr, n, round(n::DOUBLE / max(n) OVER (PARTITION BY signal), 6) AS share_of_max FROM b""")
 def hexbin(spark, sf):
     h = sp.hexbin(t.points(spark, sf), 300, (t.SOUTH, t.WEST), ["signal"])
     return h.withColumn("share_of_max", F.round("share_of_max", 6))
 
 
+@query("hexbin_places", f"WITH {t.CALLS}, {hex_sql('calls', 'name')} SELECT k AS name, hq, hr, count(*) AS n FROM hx GROUP BY ALL")
+def hexbin_places(spark, sf):
+    return sp.hexbin_places(t.calls(spark, sf), 300, (t.SOUTH, t.WEST), "name")
+
+
+@query("usable_coordinates", f"""WITH {t.POINTS} SELECT id, CASE WHEN id % 53 <> 0 THEN lat_e5 END AS lat_e5, CASE WHEN id % 53 <> 0 THEN lng_e5 END AS lng_e5 FROM pts""")
+def usable_coordinates(spark, sf):
+    """(0, 0) is no position."""
+    from ..sources.events import drop_origin
+
+    zero = F.col("id") % 53 == 0
+    p = t.points(spark, sf).select("id", *[F.when(zero, 0).otherwise(F.col(c)).alias(c) for c in ("lat_e5", "lng_e5")])
+    lat, lng = drop_origin(F.col("lat_e5"), F.col("lng_e5"))
+    return p.select("id", lat.alias("lat_e5"), lng.alias("lng_e5"))
+
+
 @query("nearest_image", f"""WITH {t.POINTS}, {t.STOPS}, im AS (SELECT id, lat_e5, lng_e5, day AS captured, signal = 'view' AS pano FROM pts),
 pr AS (SELECT s.id, im.id AS image_id, captured, pano, {t.d2_sql('s', 'im')} AS d2 FROM stops s JOIN im ON abs(s.lat_e5 - im.lat_e5) <= 400 AND abs(s.lng_e5 - im.lng_e5) <= 500),
 sc AS (SELECT *, date_diff('day', captured, DATE '2024-06-01') / 365.25::DOUBLE + sqrt(d2) / 40 + CASE WHEN pano THEN 1.5 ELSE 0 END AS score FROM pr WHERE d2 <= 62500)

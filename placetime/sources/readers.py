@@ -3,8 +3,6 @@ with try_cast so one malformed value cannot stop a load."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.geo import to_e5
@@ -168,7 +166,3 @@ def read_slice(spark: SparkSession, path: str, **keys: str) -> DataFrame:
     for k, v in keys.items():
         df = df.where(F.col(k) == v)
     return df
-
-
-def available(df: DataFrame, cols: Sequence[str]) -> list[str]:
-    return [c for c in cols if c in df.columns]

@@ -290,8 +290,3 @@ def tag_signals(events: DataFrame, tags: dict[str, Column]) -> DataFrame:
     """One pass over events: a row per (event, matching signal), key in column `signal`."""
     marks = F.array(*[F.when(known(cond), F.lit(key)) for key, cond in tags.items()])
     return events.withColumn("signal", F.explode(F.filter(marks, lambda k: k.isNotNull())))
-
-
-def filter_sql(df: DataFrame, cond: Column) -> str:
-    """Readable predicate text, kept in provenance."""
-    return str(cond).removeprefix("Column<'").removesuffix("'>")

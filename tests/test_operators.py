@@ -487,3 +487,23 @@ def test_polygons_equal_brute_force(spark, size):
             want[i] = next((d for d, (o, h) in feats if inside(o, x, y) and not (holes and inside(h, x, y))), "UNKNOWN")
         got = {r["id"]: r["district"] for r in sp.assign_polygon(df, rings, holes=holes, size=size).collect()}
         assert got == want
+
+
+def test_polygons_beyond_the_broadcast_bound_are_joined_salted(spark, monkeypatch):
+    square = [(0.0, 0.0, 0.0, 1.0), (1.0, 0.0, 0.0, 0.0), (1.0, 1.0, 1.0, 0.0), (0.0, 1.0, 1.0, 1.0)]
+    rings = spark.createDataFrame([("A", 0, 0, "outer", square)], "district string, feature_order int, part int, role string, edges array<struct<x1:double,y1:double,x2:double,y2:double>>")
+    pts = spark.range(0, 600).select("id", F.when(F.col("id") % 3 == 0, 50000).otherwise(F.col("id") * 500).cast("int").alias("lat_e5"), F.when(F.col("id") % 7 != 0, 50000).alias("lng_e5"))
+    want = rows(sp.assign_polygon(pts, rings, size=20000), "id", "district")
+    monkeypatch.setattr(sp, "POLYGON_INDEX_ROWS", 0)
+    salted = sp.assign_polygon(pts, rings, size=20000)
+    assert "_salt" in salted._jdf.queryExecution().toString()
+    assert rows(salted, "id", "district") == want and ("A" in {d for _, d in want}) and ("UNKNOWN" in {d for _, d in want})
+
+
+def test_written_tables_may_be_empty(spark):
+    from placetime.functions.ranks import global_rank, materialize
+
+    empty = spark.range(0).select("id", F.lit("x").alias("k")).where("id > 5")
+    assert materialize(empty, "t").count() == 0
+    assert global_rank(empty, [F.col("id")]).count() == 0
+    assert ho.classify_cells(materialize(ho.cell_cube(ho.located(cells(spark, {1: (1, 1)}), ["Z"])), "c"), WIN, 2.0).count() == 0
