@@ -129,12 +129,14 @@ def next_ids(new: DataFrame, issued: DataFrame, prefixes: dict[str, str], order:
     last = issued.select(
         F.regexp_extract("intervention_id", r"^([A-Z]+)(\d+)$", 1).alias("prefix"),
         F.regexp_extract("intervention_id", r"^([A-Z]+)(\d+)$", 2).try_cast("int").alias("num"),
-    ).where("num is not null").groupBy("prefix").agg(F.max("num").alias("_last"))
+    ).where("num is not null").where(
+        F.col("prefix").isin(*prefixes.values(), other)
+    ).groupBy("prefix").agg(F.max("num").alias("_last"))
     num = F.coalesce("_last", F.lit(0)) + F.col("_pos") + 1
     text = num.cast("string")
     padded = F.lpad(text, F.greatest(F.length(text), F.lit(3)), F.lit("0"))
     return (
-        rows.join(F.broadcast(last), "prefix", "left")   # one row per prefix
+        rows.join(F.broadcast(last), "prefix", "left")   # at most one row per known prefix
         .withColumn("intervention_id", F.concat("prefix", padded))
         .drop("_pos", "_last")
     )

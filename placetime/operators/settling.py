@@ -230,7 +230,7 @@ def projected_final(series: DataFrame, summary: DataFrame, as_of: str, keys: Seq
     d = F.lit(as_of).cast("date")
     age = F.months_between(F.trunc(d, "MM"), F.col("period")).cast("int") - 1
     up = summary.select(*keys, F.col("h").alias("age"), "uplift")
-    return series.withColumn("age", age).join(F.broadcast(up), [*keys, "age"]).withColumns({
+    return series.withColumn("age", age).join(up, [*keys, "age"]).withColumns({
         "projected": F.col("n") * F.col("uplift"),
         "expected_increase_pct": F.round((F.col("uplift") - 1) * 100, 1),
     })
