@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bitplanes, divergence, packing
+from . import bitplanes, boilerplate, divergence, group_join, packing, url_model
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *divergence.STATS, "base_failed", "kept", "char_distance", "word_distance")
 
 
+@query("op4_site_line_frequency", boilerplate.SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = boilerplate.drop_lines(load(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return cleaned.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "n_lines", "n_dropped", "text")
+
+
 @query("op5_bit_planes")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.round_trip(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -37,3 +43,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_least_squares_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@query("op9_character_model_ratio")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_model.judge(load(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
+@query("op10_grouped_prefix_join")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_join.classes(load(spark, sf_dir, "documents"))
