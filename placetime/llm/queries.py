@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bitplanes, boilerplate, divergence, group_join, packing, url_model
+from . import bitplanes, boilerplate, decontaminate, divergence, group_join, packing, quotes, url_model
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,12 +23,22 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_quotation_linking")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_order(load(spark, sf_dir, "conversations"))
+
+
 @query("op2_distribution_divergence")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = divergence.judge(load(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return judged.select("doc_id", *divergence.STATS, "base_failed", "kept", "char_distance", "word_distance")
 
 
+@query("op3_simhash_windows")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
 @query("op4_site_line_frequency", boilerplate.SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = boilerplate.drop_lines(load(spark, sf_dir, "documents").select("doc_id", "source", "text"))
