@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bitplanes, boilerplate, decontaminate, divergence, group_join, packing, quotes, url_model
+from . import bitplanes, boilerplate, contextual_pii, crf_secrets, decontaminate, divergence, group_join, packing, quotes, url_model
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op7_conditional_random_field")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf_secrets.scan(load(spark, sf_dir, "documents"))
+
+
+@query("op8_contextual_extraction")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contextual_pii.scan(load(spark, sf_dir, "documents"))
+
+
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
