@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import python_ready, written
+from .common import free_name, only, python_ready, written
 from .components import components
 
 SHINGLE, PERCENT = 4, 85
@@ -251,8 +251,8 @@ def _rest(posting: DataFrame, known: DataFrame, mixed: DataFrame, percent: int)
     return across.unionAll(inside)
 
 
-def classes(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, most_frequent: int = MOST_FREQUENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs."""
+def _linked(docs: DataFrame, size: int, percent: int, most_frequent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures of all rows, the distinct sets, and (node, root) of the linked sets."""
     signed = written(signatures(docs, size, percent, most_frequent), "sets")
     sets = signed.where("n > 0").groupBy("set_hash").agg(
         F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"), F.min("n").alias("n"), F.min("group").alias("group"),
@@ -283,9 +283,31 @@ def classes(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, mos
         found = written(verified(pairs, bodies, percent), "links")
         links = found if links is None else links.unionAll(found)
         roots = components(links)
+    return signed, sets, roots
 
+
+def classes(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, most_frequent: int = MOST_FREQUENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs."""
+    signed, sets, roots = _linked(docs, size, percent, most_frequent)
     named = sets.select("set_hash", "doc_id").join(roots.withColumnRenamed("node", "set_hash"), "set_hash", "left").withColumn("root", F.coalesce("root", "set_hash"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_set = named.join(smallest, "root").select("set_hash", "component_id")
     joined = signed.select("doc_id", "n", "set_hash").join(of_set, "set_hash", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, most_frequent: int = MOST_FREQUENT) -> DataFrame:
+    """docs with one row of each component: the smallest doc_id (null ids last), then the smallest text hash.
+
+    Rows without words stay, as they are linked with nothing.
+    """
+    signed, sets, roots = _linked(docs, size, percent, most_frequent)
+    root_of = sets.select("set_hash").join(roots.withColumnRenamed("node", "set_hash"), "set_hash", "left").select("set_hash", F.coalesce("root", "set_hash").alias("root"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("f")
+    by_set = signed.where("n > 0").groupBy("set_hash").agg(first).join(root_of, "set_hash")
+    stay = by_set.groupBy("root").agg(F.min("f").alias("f")).select(F.col("f.doc_id").alias("i"), F.col("f.text_hash").alias("h"))
+    mark, worded = free_name(docs, "_hash"), F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    keyed = docs.withColumn(mark, F.xxhash64("text"))
+    key = F.col("doc_id").cast("long")
+    kept = keyed.where(worded).join(stay, (F.col(mark) == F.col("h")) & key.eqNullSafe(F.col("i")), "left_semi").dropDuplicates([mark, "doc_id"])
+    return only(kept.unionByName(keyed.where(~worded)), docs.columns)
