@@ -207,6 +207,9 @@ def judge(
 
 def keep_clean(docs: DataFrame, **settings) -> DataFrame:
     """The rows of docs that are kept, with their own columns."""
-    flag = free_name(docs, "_kept")
-    key = docs.select(*[F.col(f"`{c}`") for c in docs.columns])
-    return judge(key, **settings).withColumnRenamed("kept", flag).where(F.col(flag)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    aside = docs
+    for k, c in enumerate(docs.columns):
+        if c not in ("text", "lang"):
+            aside = aside.withColumnRenamed(c, f"_own{k}")
+    back = [F.col(c if c in ("text", "lang") else f"_own{k}").alias(c) for k, c in enumerate(docs.columns)]
+    return judge(aside, **settings).where("kept").select(*back)
