@@ -12,7 +12,8 @@ first m * (1 - s) / (1 + s) + 1 of the document's.  So windows are formed only b
 shingle of an item of their size, which loses none and spares the rest of the corpus.
 
 The benchmark is handled in slices whose shingles number BROADCAST_ROWS at most; each slice is broadcast and
-one pass over the documents, so a large benchmark means more passes, not a larger broadcast.
+one pass over the documents, so a large benchmark means more passes, not a larger broadcast.  Items and
+windows are written to the shared folder with their fingerprints, so these are computed once.
 
 Null and blank texts and items match nothing.  Repeated documents are judged one by one, repeated items once
 an item_id; equal scores go to the earlier window.  An empty table gives an empty result.
@@ -24,7 +25,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import free_name
+from .common import free_name, written
 
 SHINGLE, PERCENT, RADIUS = 5, 80, 19
 BROADCAST_ROWS = 500_000
@@ -83,7 +84,7 @@ def items_of(benchmark: DataFrame, size: int = SHINGLE) -> DataFrame:
     one = reduce(lambda a, k: F.when(F.col("k") == k, shingle_hashes(F.col("w"), k)).otherwise(a), range(1, size), shingle_hashes(F.col("w"), size))
     own = own.select("item_id", "n", "k", one.alias("hashes"))
     weights = F.transform(F.array_distinct("hashes"), lambda h: F.struct(h.alias("h"), F.size(F.filter("hashes", lambda x: x == h)).alias("c")))
-    return own.withColumns({"weights": weights, "fingerprint": simhash(F.col("hashes"))})
+    return written(own.withColumns({"weights": weights, "fingerprint": simhash(F.col("hashes"))}), "items")
 
 
 def _windows(docs: DataFrame, items: DataFrame, k: int, percent: int) -> DataFrame:
@@ -118,7 +119,7 @@ def matches(
     for k in facts.ks or [size]:
         for s in range(slices):
             own = items.where((F.col("k") == k) & (F.pmod(F.xxhash64("item_id"), F.lit(slices)) == s))
-            windows = _windows(numbered, own, k, percent).withColumn("f", simhash(F.col("window")))
+            windows = written(_windows(numbered, own, k, percent).withColumn("f", simhash(F.col("window"))), "windows")
             near = windows.select("*", F.posexplode(blocks(F.col("f"), radius)).alias("block", "bits"))
             wanted = own.select("item_id", "n", "weights", "fingerprint", F.posexplode(blocks(F.col("fingerprint"), radius)).alias("block", "bits"))
             pairs = near.join(F.broadcast(wanted), ["n", "block", "bits"]).where(
