@@ -70,6 +70,7 @@ TEXT_LIMITS = {
     "description": 5000, "evidence": 5000, "tactics": 2000, "owner": 200, "agencies": 500,
     "roadblock": 2000, "outcomes": 2000, "notes": 2000,
 }
+MOST_LEVERS, MOST_LINKS = 10, 20
 KR_LABELS = {
     "drug": "Drug-related complaints",
     "overflow": "Overflowing trash cans",
@@ -78,6 +79,11 @@ KR_LABELS = {
     "homeless_presence": "Homelessness presence",
 }
 
+VERDICT_LABELS = {
+    "no_history": "Not enough history", "up_good": "Rising — good", "down_good": "Improving",
+    "up_bad": "Falling short", "down_bad": "Worsening", "flat": "Little change",
+}
+
 # -- fixed values: thresholds ---------------------------------------------------------------
 CELL_E5 = 100                 # 0.001 degree grid cell
 CELL_FLOOR = 6                # least volume of a cell to be classified

@@ -1,5 +1,5 @@
-"""Joins against a smaller table: broadcast when its measured size allows it, salted
-otherwise, so neither a grown lookup nor a hot key ends in one task."""
+"""Joins against a smaller table: broadcast when its measured rows and bytes allow it, a plain
+equality join otherwise, whose hot keys adaptive execution splits."""
 
 from __future__ import annotations
 
@@ -8,12 +8,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 BROADCAST_ROWS = 200_000
-SALTS = 32
+BROADCAST_BYTES = 32 << 20        # as text, which is larger than what is sent
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when df has at most `rows` rows; stops counting right after the bound."""
-    return df.limit(rows + 1).count() <= rows
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """True when df has at most `rows` rows of at most `size` bytes as text; stops right after the row bound."""
+    text = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(text), F.lit(0))).first()
+    return n <= rows and total <= size
 
 
 def lookup_join(
@@ -22,25 +24,20 @@ def lookup_join(
     on: Sequence[str],
     how: str = "left",
     rows: int = BROADCAST_ROWS,
-    salt_from: Sequence[str] | None = None,
     fits: bool | None = None,
 ) -> DataFrame:
     """Join `big` to a dimension `small` on equal columns.
 
     Measuring `small` evaluates it once more, so this is for sides that are cheap to build
     (polygons, stops, presets); two derived sides are joined plainly and left to adaptive
-    execution.  Up to `rows` rows, `small` is broadcast.  Beyond that every `small` row is repeated for
-    SALTS salts and each `big` row takes one salt from a hash of `salt_from` (all its columns
-    by default), which is stable when a task is run again.  `fits` passes in the answer when
-    the caller has measured the side more cheaply.
+    execution.  A side within the bounds is broadcast; beyond them both sides meet on `on` alone,
+    whatever the columns' types, and a hot key's rows are split from the shuffle's map outputs.
+    `fits` passes in the answer when the caller has measured the side more cheaply.
     """
     on = list(on)
     if is_small(small, rows) if fits is None else fits:
         return big.join(F.broadcast(small), on, how)
-    basis = [F.col(c) for c in (salt_from or big.columns)]
-    salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(*basis), F.lit(SALTS)).cast("int"))
-    salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted_big.join(salted_small, [*on, "_salt"], how).drop("_salt")
+    return big.join(small, on, how)
 
 
 def literal_rows(spark, rows: Sequence[tuple], schema: str) -> DataFrame:

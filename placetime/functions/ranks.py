@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -12,17 +14,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from .numbers import rank_target
 
 
-RANK_IN_ONE_WINDOW = 100_000
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach: spark.checkpoint.dir, or, only on a local master
-    where it is unset, a fresh temporary folder."""
+    """The folder all executors can reach: spark.checkpoint.dir.  Only on a local master where that is unset,
+    one temporary folder a session, set there and removed when Python ends."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="placetime-")
+        own = tempfile.mkdtemp(prefix="placetime-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", own)
+        return own
     raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
 
 

@@ -120,22 +120,20 @@ def is_email(c: Column) -> Column:
     return c.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$")
 
 
-def clean_links(c: Column, limit: int = 20) -> Column:
-    """Well-formed http(s) links, trimmed, at most `limit` of at most 2048 characters."""
+def well_formed_links(c: Column) -> Column:
+    """Well-formed http(s) links of at most 2048 characters, trimmed."""
     trimmed = F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda u: F.trim(u))
-    ok = F.filter(trimmed, lambda u: u.rlike(r"(?i)^https?://") & (F.length(u) <= 2048))
-    return F.slice(ok, 1, limit)
+    return F.filter(trimmed, lambda u: u.rlike(r"(?i)^https?://") & (F.length(u) <= 2048))
 
 
-def parse_links(c: Column, limit: int = 20) -> Column:
+def parse_links(c: Column) -> Column:
     """One link per line or comma; bare hosts get https://."""
     parts = F.transform(F.split(F.coalesce(c, F.lit("")), r"[\n,]+"), lambda u: F.trim(u))
     kept = F.filter(parts, lambda u: u != "")
-    full = F.transform(
+    return F.transform(
         kept,
         lambda u: F.when(u.rlike(r"(?i)^https?://"), u).otherwise(F.concat(F.lit("https://"), u)),
     )
-    return F.slice(full, 1, limit)
 
 
 def query_param(url: Column, key: str) -> Column:

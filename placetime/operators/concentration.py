@@ -33,17 +33,27 @@ def active_months_union(monthly: DataFrame, signals: Sequence[str], as_of: str)
     return rows.groupBy("id").agg(F.count_distinct("period").alias("active_months"))
 
 
+MASK_MONTHS = 63
+
+
 def month_mask(monthly: DataFrame, history_start: str, as_of: str) -> DataFrame:
-    """Active months as a bitmask per target and signal; for histories up to 63 months."""
+    """Active months as bitmasks per target, signal and block of MASK_MONTHS months, so a history of
+    any length keeps every month; months before `history_start` lie in negative blocks."""
     first = F.lit(history_start).cast("date")
     partial = F.trunc(F.lit(as_of).cast("date"), "MM")
-    idx = F.months_between(F.col("period"), first).cast("int")
+    idx = F.floor(F.months_between(F.trunc("period", "MM"), F.trunc(first, "MM"))).cast("int")
     rows = monthly.where((F.col("n") > 0) & (F.col("period") < partial))
-    return rows.groupBy("id", "signal").agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), idx)).alias("mask")
+    block = F.floor(idx / MASK_MONTHS).cast("int").alias("block")
+    return rows.groupBy("id", "signal", block).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(idx, F.lit(MASK_MONTHS)))).alias("mask")
     )
 
 
+def masked_months(masks: DataFrame, keys: Sequence[str] = ("id", "signal")) -> DataFrame:
+    """Active months from the masks of all blocks."""
+    return masks.groupBy(*keys).agg(F.sum(F.bit_count("mask")).alias("months"))
+
+
 def combined_totals(totals: DataFrame, signals: Sequence[str]) -> DataFrame:
     """Totals of a chosen signal set; targets without activity in any of them drop out."""
     return totals.where(F.col("signal").isin(*signals)).groupBy("id").agg(

@@ -30,8 +30,11 @@ def event_radius_join(
     )
     # each distinct circle is counted once, however many interventions share it
     circles = pins.select(*spot).distinct()
-    reach = near_pairs(daily, circles, F.col("radius").cast("double"), max_radius, scale_at="target")
-    counts = reach.groupBy(*spot, "lever", "day").agg(F.sum("n").alias("n"))
+    # and each distinct position is tested once, however many days and levers it has
+    spots = daily.select("lat_e5", "lng_e5").distinct()
+    reach = near_pairs(spots, circles, F.col("radius").cast("double"), max_radius, scale_at="target")
+    reach = reach.select("lat_e5", "lng_e5", *spot)
+    counts = daily.join(reach, ["lat_e5", "lng_e5"]).groupBy(*spot, "lever", "day").agg(F.sum("n").alias("n"))
     return counts.join(pins, spot).where(F.array_contains("levers", F.col("lever"))).select(
         "intervention", "lever", "day", "n"
     )
@@ -98,7 +101,8 @@ def detect_onset(
     Monthly counts before the intervention day; the bar is max(2 b, b + 2) for the median b
     of all but the last three months; the run is the trailing stretch of months whose
     three-month mean stays at or above the bar.  Falls back to 90 days back when history is
-    shorter than six months, has under twelve events, or the run is under two months.
+    shorter than six months, has under twelve events, or the run is under two months;
+    an intervention before the history has no months and no bar.
     """
     first = F.lit(history_start).cast("date")
     axis = pins.select(*keys, "date", F.posexplode(
@@ -122,9 +126,10 @@ def detect_onset(
     )
     # the trailing run starts right after the last month below the bar
     last_low = F.max(F.when(F.col("roll") < F.col("bar"), F.col("idx")))
-    runs = s.groupBy(*keys, "date", "months", "total_pre", "bar").agg(
+    runs = s.groupBy(*keys, "months", "total_pre", "bar").agg(
         F.coalesce(last_low + 1, F.lit(0)).alias("onset_idx")
     )
+    runs = pins.select(*keys, "date").join(runs, list(keys), "left").fillna(0, ["months", "total_pre", "onset_idx"])
     found = (
         (F.col("months") >= 6) & (F.col("total_pre") >= 12)
         & (F.col("months") - F.col("onset_idx") >= 2)

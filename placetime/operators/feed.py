@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.geo import planar_m, to_e5
-from ..functions.ranks import rank_within
 from .rollup import ranked
 
 
@@ -24,12 +23,8 @@ def stop_patterns(feed: dict[str, DataFrame]) -> DataFrame:
     best = representative_trips(feed["stop_times"], feed["trips"]).join(routes, "route_id")
     seq = feed["stop_times"].select("trip_id", F.col("stop_sequence").cast("int").alias("seq"), "stop_id")
     rows = seq.join(best.select("trip_id", "route", "direction_id"), "trip_id")
-    # positions from one parallel sort, neighbours by position: a very long trip is not one task
-    along = rank_within(rows, ["trip_id"], [F.col("seq"), F.col("stop_id")])
-    before = along.select("trip_id", (F.col("pos") + 1).alias("pos"), F.col("stop_id").alias("prev_stop"))
-    after = along.select("trip_id", (F.col("pos") - 1).alias("pos"), F.col("stop_id").alias("next_stop"))
-    spot = ["trip_id", "pos"]
-    return along.join(before, spot, "left").join(after, spot, "left").drop("pos")
+    along = W.partitionBy("trip_id").orderBy("seq", "stop_id")   # one trip: as many rows as it has stops
+    return rows.withColumns({"prev_stop": F.lag("stop_id").over(along), "next_stop": F.lead("stop_id").over(along)})
 
 
 def feed_stops(feed: dict[str, DataFrame]) -> DataFrame:

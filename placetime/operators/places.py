@@ -1,8 +1,8 @@
 """Cross-street index, corner search and stop search over many queries at once.
 
-Queries and entries are reduced to distinct token sets first.  A subset match is looked up
-on the query's rarest token only, so a word shared by most entries is never the join key
-unless the query has no other."""
+Queries and entries are reduced to distinct token sets first.  A subset match is looked up on
+the query's two rarest tokens; queries of one token or one prefix take answers that are settled
+once for each token or prefix, so a word shared by most entries joins nothing."""
 
 from __future__ import annotations
 
@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import fixed
 from ..functions.geo import equirect_m, to_e5
-from ..functions.joins import is_small
-from ..functions.ranks import RANK_IN_ONE_WINDOW, global_rank, materialize
+from ..functions.ranks import global_rank, materialize
 from ..functions.text import name_tokens, parse_stop_code, street_tokens, token_key
 from .rollup import ranked
 from .spatial import assign_polygon, near_pairs
@@ -44,11 +43,7 @@ def usable_pairs(pairs: DataFrame) -> DataFrame:
 
 def street_dictionary(index: DataFrame) -> DataFrame:
     """(street, code): each display name once, coded by sorted position."""
-
     names = index.select(F.explode(F.array("street_1", "street_2")).alias("street")).distinct()
-    if is_small(names, RANK_IN_ONE_WINDOW):
-        pos = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("street")) - 1
-        return names.withColumn("code", pos.cast("long"))
     return global_rank(names, [F.col("street")], "code")
 
 
@@ -82,24 +77,29 @@ def match_corner(queries: DataFrame, index: DataFrame, hotspot_aware: bool = Fal
     q = queries.select("qkey", "tokens").distinct()
     posts = index.select("key", "pos", "name", "lat_e5", "lng_e5", "is_hotspot",
                          F.col("tokens").alias("e_tokens"))
-    freq = posts.select(F.explode("e_tokens").alias("tok")).groupBy("tok").agg(
-        F.count(F.lit(1)).alias("df")
-    )
-    terms = q.select("qkey", F.explode("tokens").alias("tok"))
-    # an unknown token means no entry holds the whole set: the inner join drops such queries
-    rare = terms.join(freq, "tok", "left").groupBy("qkey").agg(
-        F.min(F.struct("df", "tok")).alias("r"), F.count_if(F.col("df").isNull()).alias("unknown")
-    ).where("unknown = 0").select("qkey", F.col("r.tok").alias("tok"))
-    posted = posts.withColumn("tok", F.explode("e_tokens"))
-    candidates = posted.join(rare.join(q, "qkey"), "tok")
-    hits = candidates.where(F.size(F.array_except("tokens", "e_tokens")) == 0)
     same, hot = F.col("key") == F.col("qkey"), F.col("is_hotspot")
     if hotspot_aware:
         score = F.when(same & hot, 4).when(same, 3).when(hot, 2).otherwise(1)
     else:
         score = F.when(same, 2).otherwise(1)
-    best = F.min(F.struct((-score).alias("s"), "pos", "key", "name", "lat_e5", "lng_e5", "is_hotspot"))
-    return hits.groupBy("qkey").agg(best.alias("b")).select(
+    best = F.min(F.struct((-score).alias("s"), "pos", "key", "name", "lat_e5", "lng_e5", "is_hotspot")).alias("b")
+    # one token: its best entry is settled once for all queries, however many entries hold it
+    asked = q.where(F.size("tokens") == 1).select("qkey").distinct()
+    single = posts.select("*", F.explode("e_tokens").alias("qkey")).groupBy("qkey").agg(best).join(asked, "qkey")
+    # more tokens: entries meet queries on the two rarest of them
+    freq = posts.select(F.explode("e_tokens").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    many = q.where(F.size("tokens") > 1)
+    terms = many.select("qkey", F.explode("tokens").alias("tok"))
+    # an unknown token means no entry holds the whole set
+    rare = terms.join(freq, "tok", "left").groupBy("qkey").agg(
+        F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("r"), F.count_if(F.col("df").isNull()).alias("unknown")
+    ).where("unknown = 0")     # the tokens of one query
+    two = rare.select("qkey", F.array_sort(F.transform(F.slice("r", 1, 2), lambda x: x["tok"])).alias("two"))
+    sorted_ = F.array_sort(F.array_distinct("e_tokens"))
+    pairs = F.flatten(F.transform(sorted_, lambda x: F.transform(F.filter(sorted_, lambda y: y > x), lambda y: F.array(x, y))))
+    candidates = posts.withColumn("two", F.explode(pairs)).join(two.join(many, "qkey"), "two")
+    hits = candidates.where(F.size(F.array_except("tokens", "e_tokens")) == 0)
+    return single.unionByName(hits.groupBy("qkey").agg(best)).select(
         "qkey", (-F.col("b.s")).alias("score"), "b.key", "b.name", "b.lat_e5", "b.lng_e5", "b.is_hotspot"
     )
 
@@ -159,7 +159,7 @@ def search_stops(queries: DataFrame, stops: DataFrame, k: int = 12) -> DataFrame
 
     4-5 digit queries match an id, a code or an id prefix, in id order.  Other queries need
     every word to start some word of the stop's name or streets; listed stops get +0.5 and
-    sheltered ones +0.1.  stops: id (text), code, name, on, at, shelter, listed.
+    sheltered ones +0.1.  A query of words that do not count (street types) fits every stop.  stops: id (text), code, name, on, at, shelter, listed.
     queries: q.
     """
     s = stops.withColumn(
@@ -183,9 +183,17 @@ def search_stops(queries: DataFrame, stops: DataFrame, k: int = 12) -> DataFrame
     starts = F.array_distinct(F.flatten(F.transform(
         "_words", lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda n: F.substring(w, F.lit(1), n))
     )))
-    posted = s.select("id", "listed", "shelter", "_words", F.explode(starts).alias("pre"))
+    bonus = F.when(F.col("listed"), 0.5).otherwise(0.0) + F.when(F.col("shelter"), 0.1).otherwise(0.0)
+    order = [F.desc("bonus"), F.length("id"), F.col("id")]
+    posted = s.select("id", bonus.alias("bonus"), "_words", F.explode(starts).alias("pre"))
+    # one word: the best stops of its prefix, settled once for all queries
+    heads = ranked(posted.select("id", "bonus", "pre"), k, ["pre"], order).drop("rank")
+    one = keyed.where(F.size("toks") == 1).join(heads, "pre").select("q", "id", (F.col("n_toks") + F.col("bonus")).alias("score"))
     every = F.forall("toks", lambda t: F.exists("_words", lambda w: F.startswith(w, t)))
-    score = F.col("n_toks") + F.when(F.col("listed"), 0.5).otherwise(0.0) + F.when(F.col("shelter"), 0.1).otherwise(0.0)
-    worded = posted.join(keyed, "pre").where(every).select("q", "id", score.alias("score"))
+    more = posted.join(keyed.where(F.size("toks") > 1), "pre").where(every).select("q", "id", (F.col("n_toks") + F.col("bonus")).alias("score"))
+    # no word that counts: every stop fits, so the best ones of all
+    top = ranked(s.select("id", bonus.alias("bonus")), k, [], order).agg(F.collect_list(F.struct("id", "bonus")).alias("top"))
+    none = wq.where(F.size("toks") == 0).withColumn("hit", F.explode(top.scalar())).select("q", "hit.id", F.col("hit.bonus").alias("score"))
+    worded = one.unionByName(more).unionByName(none)
     hits = numbered.unionByName(worded)
     return ranked(hits, k, ["q"], [F.desc("score"), F.length("id"), F.col("id")])

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.geo import to_e5
 from ..functions.ranks import rank_within
-from ..functions.text import clean_links, is_email, query_param, sentence_case, truncated
+from ..functions.text import is_email, query_param, sentence_case, truncated, well_formed_links
 from .spatial import assign_polygon
 
 TRACKER_TEXT = ("description", "evidence", "tactics", "owner", "agencies", "roadblock", "outcomes", "notes")
@@ -74,7 +76,8 @@ def stale(last_evaluated: Column, today: str, days: int = 30) -> Column:
 
 
 def validate_records(rows: DataFrame, districts: Sequence[str] = tuple(fixed.ID_PREFIXES)) -> DataFrame:
-    """Cleaned rows with `errors`, every rule a row breaks."""
+    """Cleaned rows with `errors`, every rule a row breaks.  Lists and texts beyond their limits are an
+    error and are trimmed; `<column>_whole` keeps what was sent."""
     title = F.trim(F.coalesce("intervention", F.lit("")))
     person = truncated(F.col("person_submitted"), 200)
     email = F.trim(F.coalesce("email", F.lit("")))
@@ -88,28 +91,32 @@ def validate_records(rows: DataFrame, districts: Sequence[str] = tuple(fixed.ID_
         "district required": ~district.isin(*districts),
         "status not valid": ~status.isin(*fixed.RECORD_STATES),
     }
-    marks = F.array(*[F.when(cond, F.lit(name)) for name, cond in rules.items()])
-    levers = F.slice(
-        F.filter(F.coalesce("levers", F.array().cast("array<string>")), lambda x: F.trim(x) != ""), 1, 10
-    )
-    texts = {
-        c: truncated(F.col(c), n) for c, n in fixed.TEXT_LIMITS.items() if c in rows.columns
+    levers = F.filter(F.coalesce("levers", F.array().cast("array<string>")), lambda x: F.trim(x) != "")
+    links = well_formed_links(F.col("links"))
+    limited = {c: n for c, n in fixed.TEXT_LIMITS.items() if c in rows.columns}
+    long = reduce(or_, [F.length(F.trim(F.coalesce(c, F.lit("")))) > n for c, n in limited.items()], F.lit(False))
+    rules |= {
+        "too many levers": F.size(levers) > fixed.MOST_LEVERS, "too many links": F.size(links) > fixed.MOST_LINKS, "text too long": long,
     }
+    marks = F.array(*[F.when(cond, F.lit(name)) for name, cond in rules.items()])
+    texts = {c: truncated(F.col(c), n) for c, n in limited.items()}
+    whole = {f"{c}_whole": F.col(c) for c in limited}
     return rows.withColumns({
         "errors": F.array_compact(marks), "intervention": title, "person_submitted": person,
         "email": F.nullif(email, F.lit("")), "district": district, "status": status,
-        "levers": levers, "links": clean_links(F.col("links")), **texts,
+        "levers": F.slice(levers, 1, fixed.MOST_LEVERS), "levers_whole": levers,
+        "links": F.slice(links, 1, fixed.MOST_LINKS), "links_whole": links, **texts, **whole,
     })
 
 
-def validate_links(url: Column, origins: Sequence[str], path: str) -> Column:
-    """First problem of a shared-analysis link, null when it is fine."""
+def validate_links(url: Column, origins: Sequence[str] | str, path: str) -> Column:
+    """First problem of a shared-analysis link, null when it is fine.  origins: a list, or a pattern."""
     origin = F.concat(F.parse_url(url, F.lit("PROTOCOL")), F.lit("://"), F.parse_url(url, F.lit("AUTHORITY")))
     return (
         F.when(F.coalesce(F.trim(url), F.lit("")) == "", "required")
         .when(F.length(url) > 2048, "too long")
         .when(~F.coalesce(url.rlike(r"(?i)^https?://[^\s/]+"), F.lit(False)), "not valid")
-        .when(~F.coalesce(origin.isin(*origins), F.lit(False)), "other site")
+        .when(~F.coalesce(origin.rlike(origins) if isinstance(origins, str) else origin.isin(*origins), F.lit(False)), "other site")
         .when(~F.coalesce(F.contains(F.parse_url(url, F.lit("PATH")), F.lit(path)), F.lit(False)), "other page")
         .when(F.coalesce(query_param(url, "what"), F.lit("")) == "", "no intervention")
     )

@@ -263,10 +263,16 @@ def corner_boxes(corners: DataFrame, keys: Sequence[str] = ("district",)) -> Dat
     )
 
 
+RANK_SLICES = 32
+
+
 def ranked(df: DataFrame, k: int, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Top k per key in a total order; each map task keeps only its own top k."""
+    """Top k per key in a total order, in two steps: the best k of each key's slices, then of the key."""
+    slice_ = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if not kind.startswith("map")]), F.lit(RANK_SLICES)).alias("_slice")
+    best = W.partitionBy(*keys, "_slice").orderBy(*order)
+    few = df.select("*", slice_).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank", "_slice")
     part = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    return df.withColumn("rank", F.row_number().over(part.orderBy(*order))).where(F.col("rank") <= k)
+    return few.withColumn("rank", F.row_number().over(part.orderBy(*order))).where(F.col("rank") <= k)
 
 
 def top_corners(reports: DataFrame, k: int = 7, keys: Sequence[str] = ("district",)) -> DataFrame:

@@ -4,23 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import timekeys as tk
-from ..functions.ranks import global_rank
-
-
-def systematic_sample(df: DataFrame, cap: int, order: Sequence[Column]) -> DataFrame:
-    """Every stride-th row of a total order when there are more than `cap` rows, stride =
-    rows / cap; all rows otherwise.  Row positions are computed in parallel."""
-    n = df.count()
-    if n <= cap:
-        return df
-    at = global_rank(df, order, "_pos")
-    # position p is taken when some i in 0..cap-1 has floor(i * n / cap) = p
-    i = F.ceil(F.col("_pos") * F.lit(cap) / F.lit(n))
-    taken = (i < cap) & (F.floor(i * F.lit(n) / F.lit(cap)) == F.col("_pos"))
-    return at.where(taken).drop("_pos")
+
+
+def systematic_sample(df: DataFrame, size: int, order: Sequence[Column], bucket: Column) -> DataFrame:
+    """Rows at the positions floor(i * rows / size) of a total order, i = 0 .. size - 1 (every row when there are
+    fewer than `size`).
+
+    bucket: a column that never falls along `order`, such as the day of a time order.  Rows are counted by
+    bucket, the wanted positions are found from the counts, and only buckets that hold one are put in order.
+    """
+    keyed = df.withColumn("_bucket", bucket)
+    counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_c"))
+    run = W.partitionBy(F.lit(0)).orderBy(F.col("_bucket").asc_nulls_first())   # one row a bucket
+    spans = counts.withColumns({
+        "_end": F.sum("_c").over(run), "_n": F.sum("_c").over(W.partitionBy(F.lit(0))),
+    }).withColumn("_start", F.col("_end") - F.col("_c"))
+    size_ = F.lit(size).cast("long")
+    first, last = (F.floor((F.col(c) * size_ + F.col("_n") - 1) / F.col("_n")).cast("long") for c in ("_start", "_end"))
+    wanted = spans.withColumn("_i", F.explode(F.when(last > first, F.sequence(first, last - 1))))
+    wanted = wanted.where(F.col("_i") < size_).select(
+        F.col("_bucket").alias("_b"), (F.floor(F.col("_i") * F.col("_n") / size_) - F.col("_start")).alias("_p")
+    ).distinct()
+    same = F.col("_bucket").eqNullSafe(F.col("_b"))
+    few = keyed.join(wanted.select("_b").distinct(), same, "left_semi")
+    placed = few.withColumn("_pos", F.row_number().over(W.partitionBy("_bucket").orderBy(*order)) - 1)
+    return placed.join(wanted, same & (F.col("_pos") == F.col("_p")), "left_semi").drop("_bucket", "_pos")
 
 
 def recent_window(events: DataFrame, weeks: int, ts: str = "ts") -> DataFrame:

@@ -239,21 +239,23 @@ def time_slice(cubed: DataFrame, buckets: Sequence[str], keys: Sequence[str]) ->
 
 def verdict(pct: Column, goal: Column) -> Column:
     """Direction-aware verdict, strictly beyond +-5 %."""
+    says = fixed.VERDICT_LABELS
     up = goal == "up"
     better = F.when(up, pct > fixed.VERDICT_BAND).otherwise(pct < -fixed.VERDICT_BAND)
     worse = F.when(up, pct < -fixed.VERDICT_BAND).otherwise(pct > fixed.VERDICT_BAND)
     return (
-        F.when(pct.isNull(), "not enough history")
-        .when(better, F.when(up, "rising, good").otherwise("improving"))
-        .when(worse, F.when(up, "falling short").otherwise("worsening"))
-        .otherwise("little change")
+        F.when(pct.isNull(), says["no_history"])
+        .when(better, F.when(up, says["up_good"]).otherwise(says["down_good"]))
+        .when(worse, F.when(up, says["up_bad"]).otherwise(says["down_bad"]))
+        .otherwise(says["flat"])
     )
 
 
 def trend_verdict(pct: Column) -> tuple[Column, Column]:
     """Label and tone of a change in reports, at or beyond +-5 %."""
     down, up = pct <= -fixed.VERDICT_BAND, pct >= fixed.VERDICT_BAND
-    label = F.when(down, "Improving").when(up, "Worsening").otherwise("Little change")
+    says = fixed.VERDICT_LABELS
+    label = F.when(down, says["down_good"]).when(up, says["down_bad"]).otherwise(says["flat"])
     tone = F.when(down, "good").when(up, "bad").otherwise("flat")
     return label, tone
 

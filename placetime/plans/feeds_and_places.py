@@ -173,13 +173,13 @@ def _local_entries(spark, sf):
         F.element_at(F.array(*[F.lit(s) for s in ("Automobile", "Building", "Furniture", "Household", "Machinery")]), (k % 5 + 1).cast("int")),
         F.lit(" "), (k % 8).cast("string"),
     )
-    return t.points(spark, sf).where("signal = 'error'").select(
+    return t.points(spark, sf).select(
         k.alias("pos"), F.when(k % 17 == 0, "MAIN ST").otherwise(named).alias("name"), "lat_e5", "lng_e5"
     )
 
 
 _LOCAL = f"""{t.POINTS}, le AS (SELECT id AS pos, CASE WHEN id % 17 = 0 THEN 'MAIN ST' ELSE CAST(id % 60 AS VARCHAR) || 'th St & ' || ['Automobile','Building','Furniture','Household','Machinery'][CAST(id % 5 + 1 AS INTEGER)] || ' ' || CAST(id % 8 AS VARCHAR) END AS name,
-  lat_e5, lng_e5 FROM pts WHERE signal = 'error'),
+  lat_e5, lng_e5 FROM pts),
 lk AS (SELECT *, {key_sql('name')} AS key FROM le),
 local AS (SELECT key, min(pos) AS pos, arg_min(name, pos) AS name, arg_min(lat_e5, pos) AS lat_e5, arg_min(lng_e5, pos) AS lng_e5, count(*) AS cnt, string_split(key, ' ') AS toks
   FROM lk WHERE len(string_split(key, ' ')) >= 2 GROUP BY key)"""

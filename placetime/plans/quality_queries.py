@@ -146,11 +146,11 @@ def snapshot_diff(spark, sf):
 
 @query("stop_checks", f"""WITH {_TOT}, {_NB[_NB.index('nb AS'):]}, b AS (SELECT * FROM stops WHERE lat_e5 > {t.NORTH - 700})
 SELECT 'outside_box' AS "check", CAST(id AS VARCHAR) AS entity, CAST(NULL AS VARCHAR) AS detail FROM b
-UNION ALL SELECT 'negative_total', CAST(id AS VARCHAR), CAST(t12 - 8 AS VARCHAR) FROM tot WHERE t12 < 8 AND signal = '1-URGENT'
+UNION ALL SELECT 'negative_total', CAST(id AS VARCHAR), CAST(t12 - 8 AS VARCHAR) FROM tot WHERE t12 < 8
 UNION ALL SELECT 'sheltered_count', 'stops', CAST(count(*) FILTER (WHERE shelter) AS VARCHAR) FROM stops UNION ALL SELECT 'not_in_feed', 'stops', CAST(count(*) FILTER (WHERE id % 9 = 0) AS VARCHAR) FROM stops""")
 def stop_checks(spark, sf):
     stops = t.stops(spark, sf).withColumn("in_feed", F.col("id") % 9 != 0)
-    totals = _totals(spark, sf).where("signal = '1-URGENT'").withColumn("t12", F.col("t12") - 8)
+    totals = _totals(spark, sf).withColumn("t12", F.col("t12") - 8)
     box = (t.SOUTH - 1, t.WEST - 1, t.NORTH - 700, t.EAST + 1)
     return qu.bad_stops(stops, _neighbours(spark, sf), totals, box, sheltered=(-2, -1))
 

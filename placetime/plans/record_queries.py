@@ -80,27 +80,29 @@ def _forms(spark, sf):
 @query("validate_interventions", """WITH f AS (SELECT c_custkey AS id, trim(CASE WHEN c_custkey % 13 <> 0 THEN CASE WHEN c_custkey % 17 = 0 THEN repeat(c_name, 40) ELSE c_name END ELSE '' END) AS title,
   c_custkey % 7 = 0 AS no_name, c_custkey % 5 = 0 AS bad_mail, coalesce(CASE WHEN c_custkey % 11 <> 0 THEN ['Central','Northern','Mission','Tenderloin','Richmond'][CAST(c_custkey % 5 + 1 AS INTEGER)] END, '') AS d,
   coalesce(CASE WHEN c_custkey % 6 <> 0 THEN ['open_in_progress','closed_completed','done'][CAST(c_custkey % 3 + 1 AS INTEGER)] END, 'open_in_progress') AS st,
-  len(list_filter(range(CAST(c_custkey % 14 + 1 AS BIGINT)), lambda i: i % 4 <> 3)) AS nl, substr(repeat(c_mktsegment, 40), 1, 200) AS owner FROM customer)
+  len(list_filter(range(CAST(c_custkey % 14 + 1 AS BIGINT)), lambda i: i % 4 <> 3)) AS nl, substr(repeat(c_mktsegment, 40), 1, 200) AS owner, length(repeat(c_mktsegment, 40)) > 200 AS long FROM customer)
 SELECT id, array_to_string(list_filter([CASE WHEN title = '' THEN 'title required' END, CASE WHEN length(title) > 500 THEN 'title too long' END, CASE WHEN no_name THEN 'name required' END,
   CASE WHEN bad_mail THEN 'email not valid' END, CASE WHEN d NOT IN ('Central','Northern','Mission','Tenderloin','Other') THEN 'district required' END,
-  CASE WHEN st NOT IN ('open_in_progress','closed_completed','at_risk_on_hold') THEN 'status not valid' END], lambda x: x IS NOT NULL), ';') AS errors, least(nl, 10) AS n_levers, 'https://a.example.org/x' AS links, owner FROM f""")
+  CASE WHEN st NOT IN ('open_in_progress','closed_completed','at_risk_on_hold') THEN 'status not valid' END, CASE WHEN nl > 10 THEN 'too many levers' END,
+  CASE WHEN long THEN 'text too long' END], lambda x: x IS NOT NULL), ';') AS errors, least(nl, 10) AS n_levers, nl AS n_levers_whole, 'https://a.example.org/x' AS links, owner FROM f""")
 def validate_interventions(spark, sf):
     v = re.validate_records(_forms(spark, sf))
-    return v.select("id", F.array_join("errors", ";").alias("errors"), F.size("levers").cast("long").alias("n_levers"), F.array_join("links", ",").alias("links"), "owner")
+    return v.select("id", F.array_join("errors", ";").alias("errors"), F.size("levers").cast("long").alias("n_levers"), F.size("levers_whole").cast("long").alias("n_levers_whole"), F.array_join("links", ",").alias("links"), "owner")
 
 
-@query("validate_links", """WITH u AS (SELECT page_id, CASE WHEN page_id % 9 = 0 THEN '' WHEN page_id % 9 = 1 THEN 'not a link' WHEN page_id % 9 = 2 THEN 'https://maps.example.org/other/?what=a'
-  WHEN page_id % 9 = 3 THEN 'https://maps.example.org/hypothesis/?dp=drug' WHEN page_id % 9 = 4 THEN 'https://maps.example.org/hypothesis/?what=x%20y' ELSE 'https://evil.example.com/hypothesis/?what=a' END AS url FROM pages)
-SELECT page_id, CASE WHEN url = '' THEN 'required' WHEN url = 'not a link' THEN 'not valid' WHEN contains(url, 'evil') THEN 'other site' WHEN contains(url, '/other/') THEN 'other page' WHEN NOT contains(url, 'what=') THEN 'no intervention' END AS problem FROM u""")
+@query("validate_links", """WITH u AS (SELECT page_id, CASE WHEN page_id % 6 = 0 THEN '' WHEN page_id % 6 = 1 THEN replace(url, '://', ':') WHEN page_id % 6 = 2 THEN url
+  ELSE regexp_replace(url, '[?#].*', '') || '?what=x%20y' END AS url FROM pages),
+p AS (SELECT *, regexp_extract(url, '^https?://[^/?#]+') AS site, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM u)
+SELECT page_id, CASE WHEN url = '' THEN 'required' WHEN site = '' THEN 'not valid' WHEN NOT regexp_matches(site, '^https?://(www|m|blog)[.]th[a-z]+[.]example[.](com|net|org)$') THEN 'other site'
+  WHEN NOT contains(path, '/en/') THEN 'other page' WHEN NOT contains(url, '?what=') THEN 'no intervention' END AS problem FROM p""")
 def validate_links(spark, sf):
-    k = F.col("page_id") % 9
-    url = (
-        F.when(k == 0, "").when(k == 1, "not a link").when(k == 2, "https://maps.example.org/other/?what=a")
-        .when(k == 3, "https://maps.example.org/hypothesis/?dp=drug").when(k == 4, "https://maps.example.org/hypothesis/?what=x%20y")
-        .otherwise("https://evil.example.com/hypothesis/?what=a")
-    )
-    pages = t.table(spark, sf, "pages").select("page_id", url.alias("url"))
-    return pages.select("page_id", re.validate_links(F.col("url"), ["https://maps.example.org"], "/hypothesis/").alias("problem"))
+    """The pages' URLs, some emptied, broken or given the parameter; hosts of one family count as the own site."""
+    k, url = F.col("page_id") % 6, F.col("url")
+    pages = t.table(spark, sf, "pages").select("page_id", (
+        F.when(k == 0, "").when(k == 1, F.replace(url, F.lit("://"), F.lit(":"))).when(k == 2, url)
+        .otherwise(F.concat(F.regexp_replace(url, "[?#].*", ""), F.lit("?what=x%20y")))
+    ).alias("url"))
+    return pages.select("page_id", re.validate_links(F.col("url"), r"^https?://(www|m|blog)[.]th[a-z]+[.]example[.](com|net|org)$", "/en/").alias("problem"))
 
 
 @query("sequence_ids", f"""WITH o AS (SELECT o_orderkey AS id, o_orderdate AS created, CASE o_orderpriority WHEN '1-URGENT' THEN 'CEN' WHEN '2-HIGH' THEN 'NOR' WHEN '3-MEDIUM' THEN 'MIS' WHEN '4-NOT SPECIFIED' THEN 'TEN' ELSE 'OTH' END AS prefix FROM orders),

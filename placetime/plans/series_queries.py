@@ -129,9 +129,9 @@ def _goal():
     return F.when(F.col("signal").isin("1-URGENT", "2-HIGH"), "up").otherwise("down")
 
 
-@query("verdicts", f"""WITH {_TREND} SELECT {BASE}, goal, CASE WHEN p IS NULL THEN 'not enough history'
-  WHEN goal = 'up' AND p > 0.05 THEN 'rising, good' WHEN goal = 'down' AND p < -0.05 THEN 'improving'
-  WHEN goal = 'up' AND p < -0.05 THEN 'falling short' WHEN goal = 'down' AND p > 0.05 THEN 'worsening' ELSE 'little change' END AS verdict FROM tr""")
+@query("verdicts", f"""WITH {_TREND} SELECT {BASE}, goal, CASE WHEN p IS NULL THEN 'Not enough history'
+  WHEN goal = 'up' AND p > 0.05 THEN 'Rising — good' WHEN goal = 'down' AND p < -0.05 THEN 'Improving'
+  WHEN goal = 'up' AND p < -0.05 THEN 'Falling short' WHEN goal = 'down' AND p > 0.05 THEN 'Worsening' ELSE 'Little change' END AS verdict FROM tr""")
 def verdicts(spark, sf):
     s = se.trend12(_monthly(spark, sf)).withColumn("goal", _goal())
     return s.select("signal", "label", t.month(), "goal", se.verdict(F.col("trend_pct"), F.col("goal")).alias("verdict"))
@@ -157,8 +157,8 @@ def goal_tones(spark, sf):
     )
 
 
-@query("week_partner", f"""WITH {t.WEEKLY} SELECT a.signal, a.label, a.week, a.n, b.n AS prior FROM w a LEFT JOIN w b
-  ON a.signal = b.signal AND a.label = b.label AND b.period = a.period - 364""")
+@query("week_partner", f"""WITH {t.WEEKLY}, x AS MATERIALIZED (SELECT signal, label, week, period, n FROM w)
+SELECT signal, label, week, n, lag(n, 52) OVER (PARTITION BY signal, label ORDER BY period) AS prior FROM x""")
 def week_partner(spark, sf):
     return se.week_partner(_weekly(spark, sf)).select("signal", "label", F.col("period").cast("string").alias("week"), "n", "prior")
 

@@ -144,11 +144,10 @@ def sharded_sink(spark, sf):
 
 
 @query("dictionary_encode", f"""WITH {t.POINTS}, a AS (SELECT DISTINCT name FROM pts), b AS (SELECT DISTINCT signal FROM pts), ca AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS c FROM a), cb AS (SELECT signal, row_number() OVER (ORDER BY signal) - 1 AS c FROM b)
-SELECT id, CASE WHEN (SELECT count(*) FROM a) <= greatest(64, (SELECT count(*) FROM pts) // 50) THEN ca.c END AS name_code, cb.c AS signal_code FROM pts JOIN ca USING (name) JOIN cb USING (signal)""")
+SELECT id, ca.c AS name_code, cb.c AS signal_code FROM pts JOIN ca USING (name) JOIN cb USING (signal)""")
 def dictionary_encode(spark, sf):
     d = sk.dictionary_encode(t.points(spark, sf).select("id", "name", "signal"), ["name", "signal"])
-    name = F.col("name_code") if "name_code" in d.columns else F.lit(None).cast("long").alias("name_code")
-    return d.select("id", name, "signal_code")
+    return d.select("id", "name_code", "signal_code")
 
 
 @query("provenance", f"""WITH {t.INCIDENTS} SELECT signal, goal, count(id) AS records FROM (SELECT unnest({t.SIGNAL_LIST[:-1]}, 'unused']) AS signal, unnest(['up','up','down','down','down','down']) AS goal) LEFT JOIN inc USING (signal) GROUP BY ALL""")
@@ -226,15 +225,37 @@ def tsv_rows(spark, sf):
     return rd.read_tsv(spark, path).select(F.col("id").cast("long").alias("id"), "name", "note")
 
 
-@query("feed_csv", "SELECT CAST(s_suppkey AS VARCHAR) AS stop_id, s_name AS stop_name, CAST(NULL AS VARCHAR) AS wheelchair_boarding FROM supplier")
+@query("feed_csv", """SELECT 'stops' AS file, CAST(s_suppkey AS VARCHAR) AS id, s_name AS detail, 1 AS n FROM supplier
+UNION ALL SELECT 'routes', CAST(n_nationkey AS VARCHAR), n_name, 1 FROM nation
+UNION ALL SELECT 'trips', CAST(o_orderkey AS VARCHAR), CAST(o_custkey % 25 AS VARCHAR), 1 FROM orders
+UNION ALL SELECT 'stop_times', CAST(l_orderkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), CAST(count(*) AS INTEGER) FROM lineitem GROUP BY l_orderkey, l_suppkey
+UNION ALL SELECT 'feed_info', r_name, r_name, 1 FROM region""")
 def feed_csv(spark, sf):
+    """All files of a feed written and read back."""
     folder = run_dir(spark, "feed")
-    s = t.table(spark, sf, "supplier")
-    empty = {"routes": "route_id string", "trips": "trip_id string", "stop_times": "trip_id string", "feed_info": "feed_version string"}
-    s.select(F.col("s_name").alias("stop_name"), F.col("s_suppkey").cast("string").alias("stop_id")).write.option("header", True).csv(f"{folder}/stops.txt")
-    for name, schema in empty.items():
-        s.select(F.lit("x").alias(schema.split()[0])).write.option("header", True).csv(f"{folder}/{name}.txt")
-    return rd.read_feed(spark, folder)["stops"].select("stop_id", "stop_name", "wheelchair_boarding")
+    text = lambda c, name: F.col(c).cast("string").alias(name)
+    files = {
+        "stops": t.table(spark, sf, "supplier").select(text("s_name", "stop_name"), text("s_suppkey", "stop_id")),
+        "routes": t.table(spark, sf, "nation").select(text("n_nationkey", "route_id"), text("n_name", "route_short_name")),
+        "trips": t.table(spark, sf, "orders").select(text("o_orderkey", "trip_id"), (F.col("o_custkey") % 25).cast("string").alias("route_id")),
+        "stop_times": t.table(spark, sf, "lineitem").select(text("l_orderkey", "trip_id"), text("l_suppkey", "stop_id"), text("l_linenumber", "stop_sequence")),
+        "feed_info": t.table(spark, sf, "region").select(text("r_name", "feed_version")),
+    }
+    for name, rows in files.items():
+        rows.write.option("header", True).csv(f"{folder}/{name}.txt")
+    feed = rd.read_feed(spark, folder)
+    shown = {
+        "stops": ("stop_id", "stop_name"), "routes": ("route_id", "route_short_name"), "trips": ("trip_id", "route_id"),
+        "stop_times": ("trip_id", "stop_id"), "feed_info": ("feed_version", "feed_version"),
+    }
+    parts = [
+        feed[name].select(F.lit(name).alias("file"), F.col(a).cast("string").alias("id"), F.col(b).cast("string").alias("detail"))
+        for name, (a, b) in shown.items()
+    ]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("file", "id", "detail").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
 @query("reference_points", f"WITH {t.STOPS} SELECT CAST(id AS VARCHAR) AS id, lat_e5, lng_e5, shelter, id % 4 = 0 AS accessible FROM stops WHERE id % 23 <> 0")
@@ -248,12 +269,19 @@ def reference_points(spark, sf):
     return rd.reference_points(raw).select("id", "lat_e5", "lng_e5", "shelter", "accessible")
 
 
-@query("fallback_feed", "SELECT c_custkey AS id, '2024-05-01' AS feed_as_of FROM customer")
+@query("fallback_feed", """SELECT 'absent' AS fresh, c_custkey AS id, '2024-05-01' AS feed_as_of FROM customer
+UNION ALL SELECT 'present', c_custkey + 1000000, '2024-06-01' FROM customer""")
 def fallback_feed(spark, sf):
+    """Once without a fresh feed and once with one."""
     committed = t.stops(spark, sf).select("id")
-    fresh = run_dir(spark, "absent")
-    primary = spark.read.parquet(fresh) if rd.path_exists(spark, fresh) else None
-    return rd.with_fallback(primary, committed, "2024-06-01", "2024-05-01")
+    absent, present = run_dir(spark, "absent"), run_dir(spark, "fresh")
+    committed.select((F.col("id") + 1000000).alias("id")).write.parquet(present)
+
+    def feed(path: str, name: str):
+        primary = spark.read.schema(committed.schema).parquet(path) if rd.path_exists(spark, path) else None
+        return rd.with_fallback(primary, committed, "2024-06-01", "2024-05-01").select(F.lit(name).alias("fresh"), "id", "feed_as_of")
+
+    return feed(absent, "absent").unionByName(feed(present, "present"))
 
 
 # -- recent windows and samples ------------------------------------------------------------------
@@ -282,4 +310,4 @@ def recent_flag(spark, sf):
 @query("systematic_sample", f"""WITH {t.POINTS}, r AS (SELECT id, row_number() OVER (ORDER BY ts, id) - 1 AS p, count(*) OVER () AS n FROM pts),
 i AS (SELECT CAST(floor(k * n / 400) AS BIGINT) AS p FROM (SELECT unnest(range(400)) AS k, (SELECT count(*) FROM pts) AS n)) SELECT id FROM r WHERE p IN (SELECT p FROM i)""")
 def systematic_sample(spark, sf):
-    return sa.systematic_sample(t.points(spark, sf).select("id", "ts"), 400, [F.col("ts"), F.col("id")]).select("id")
+    return sa.systematic_sample(t.points(spark, sf).select("id", "ts"), 400, [F.col("ts"), F.col("id")], F.col("ts").cast("date")).select("id")

@@ -266,7 +266,8 @@ def bucket_series(spark, sf):
 
 
 @query("detect_onset", f"""WITH {_REACH}, d AS (SELECT intervention, day, sum(n) AS n FROM dly GROUP BY ALL),
-ax AS (SELECT id AS intervention, date, CAST(unnest(generate_series(DATE '1995-01-01', CAST(date_trunc('month', date) AS DATE), INTERVAL 1 MONTH)) AS DATE) AS m FROM pins),
+pz AS (SELECT id, date FROM pins UNION ALL SELECT id + 1000000, date - 2200 FROM pins),
+ax AS (SELECT id AS intervention, date, CAST(unnest(generate_series(DATE '1995-01-01', CAST(date_trunc('month', date) AS DATE), INTERVAL 1 MONTH)) AS DATE) AS m FROM pz),
 c AS (SELECT intervention, CAST(date_trunc('month', day) AS DATE) AS m, sum(n) AS n FROM d JOIN pins ON id = intervention WHERE day < date GROUP BY ALL),
 s AS (SELECT intervention, date, m, coalesce(n, 0) AS n, row_number() OVER w - 1 AS idx, count(*) OVER z AS months FROM ax LEFT JOIN c USING (intervention, m)
   WINDOW w AS (PARTITION BY intervention ORDER BY m), z AS (PARTITION BY intervention)),
@@ -274,13 +275,15 @@ b AS (SELECT intervention, median(n) AS base FROM s WHERE idx < greatest(1, mont
 r AS (SELECT s.*, greatest(2 * base, base + 2) AS bar, avg(n) OVER (PARTITION BY intervention ORDER BY idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS roll,
   sum(n) OVER (PARTITION BY intervention) AS total FROM s JOIN b USING (intervention)),
 o AS (SELECT intervention, date, months, total, bar, coalesce(max(idx) FILTER (WHERE roll < bar) + 1, 0) AS onset FROM r GROUP BY ALL),
-f AS (SELECT *, months >= 6 AND total >= 12 AND months - onset >= 2 AS found FROM o)
+f AS (SELECT pz.id AS intervention, pz.date, bar, onset, coalesce(months >= 6 AND total >= 12 AND months - onset >= 2, false) AS found FROM pz LEFT JOIN o ON o.intervention = pz.id)
 SELECT intervention, bar, CASE WHEN found THEN strftime(DATE '1995-01-01' + to_months(CAST(onset AS INTEGER)), '%Y-%m') END AS onset_month,
   CAST(greatest(DATE '1995-01-01', CASE WHEN found THEN CAST(DATE '1995-01-01' + to_months(CAST(onset AS INTEGER)) AS DATE) ELSE date - 90 END) AS VARCHAR) AS start,
   CASE WHEN found THEN 'regime' ELSE 'fallback' END AS method FROM f""")
 def detect_onset(spark, sf):
     daily = _daily(spark, sf).groupBy("intervention", "day").agg(F.sum("n").alias("n"))
+    """Interventions inside the history and as many before it."""
     pins = t.pins(spark, sf).select(F.col("id").alias("intervention"), "date")
+    pins = pins.unionByName(pins.select((F.col("intervention") + 1000000).alias("intervention"), F.date_sub("date", 2200).alias("date")))
     o = ev.detect_onset(daily, pins, t.LO)
     return o.select("intervention", F.col("bar").cast("double").alias("bar"), "onset_month", F.col("start").cast("string").alias("start"), "method")
 
@@ -333,12 +336,12 @@ def active_months_union(spark, sf):
     return co.active_months_union(_stop_months(spark, sf), ["1-URGENT", "2-HIGH"], t.AS_OF)
 
 
-@query("month_mask", f"""WITH {_TOT} SELECT id, signal, CAST(bit_or(1::BIGINT << date_diff('month', DATE '1997-01-01', period)) AS BIGINT) AS mask,
-  CAST(bit_count(bit_or(1::BIGINT << date_diff('month', DATE '1997-01-01', period))) AS INTEGER) AS months FROM tm
-  WHERE period >= DATE '1997-01-01' AND period < DATE '2001-08-01' GROUP BY ALL""")
+@query("month_mask", f"""WITH {_TOT}, x AS (SELECT id, signal, date_diff('month', DATE '1997-01-01', period) AS i FROM tm WHERE period < DATE '2001-08-01'),
+b AS (SELECT id, signal, CAST(floor(i / 63.0) AS INTEGER) AS block, CAST(bit_or(1::BIGINT << (i - 63 * CAST(floor(i / 63.0) AS BIGINT))) AS BIGINT) AS mask FROM x GROUP BY ALL),
+k AS (SELECT id, signal, count(DISTINCT i) AS months FROM x GROUP BY ALL) SELECT id, signal, block, mask, months FROM b JOIN k USING (id, signal)""")
 def month_mask(spark, sf):
-    m = co.month_mask(_stop_months(spark, sf).where("period >= date'1997-01-01'"), "1997-01-01", t.AS_OF)
-    return m.withColumn("months", F.bit_count("mask"))
+    m = co.month_mask(_stop_months(spark, sf), "1997-01-01", t.AS_OF)
+    return m.join(co.masked_months(m), ["id", "signal"])
 
 
 @query("combined_totals", f"WITH {_TOT} SELECT id, CAST(sum(t12) AS BIGINT) AS t12, CAST(sum(all_time) AS BIGINT) AS all_time FROM tot WHERE signal IN ('1-URGENT', '3-MEDIUM') GROUP BY id")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.ranks import run_dir
 from ..operators import settling as st
 from ..streaming import jobs
 from . import tables as t
@@ -15,29 +16,43 @@ def _stream(spark, sf):
     return jobs.read_events(spark, sf, schema, "ts", "events.parquet")
 
 
-def _closed(width: str, start: str) -> str:
-    """Windows the final watermark has passed."""
+SLICES = 4
+
+
+def _arriving(spark, sf):
+    """The events in SLICES files in time order, one a micro-batch, so that watermarks carry over."""
+    events = t.table(spark, sf, "events")
+    folder = run_dir(spark, "arrivals")
+    span = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    for k in range(SLICES):
+        lo, hi = (span.a + (span.b - span.a) * x / SLICES for x in (k, k + 1))
+        part = events.where((F.col("ts") >= F.lit(lo)) & ((F.col("ts") < F.lit(hi)) if k + 1 < SLICES else F.lit(True)))
+        part.coalesce(1).write.parquet(f"{folder}/slice={k}")
+    return jobs.read_events(spark, f"{folder}/*", events.schema, "ts", files_per_batch=1), F.lit(span.b)
+
+
+def _windows_sql(width: str, start: str) -> str:
+    """Plain grouping of all events; a window is closed when the final watermark has passed it."""
     return f"""x AS (SELECT {start} AS s, event_type AS signal FROM events),
-m AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL {DELAY_DAYS} DAY AS w FROM events)
-SELECT CAST(s AS VARCHAR) AS start, signal, count(*) AS n FROM x WHERE s + INTERVAL {width} <= (SELECT w FROM m) GROUP BY ALL"""
+m AS (SELECT max(ts) - INTERVAL {DELAY_DAYS} DAY AS w FROM events)
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, signal, count(*) AS n, s + INTERVAL {width} <= (SELECT w FROM m) AS closed FROM x GROUP BY ALL"""
 
 
-def _shown(df):
-    return df.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "signal", "n")
+def _counts(spark, sf, width, label):
+    arriving, newest = _arriving(spark, sf)
+    c = jobs.counts(arriving.withColumn("signal", F.col("event_type")), "ts", width, ["signal"], f"{DELAY_DAYS} days")
+    last = jobs.with_closed(jobs.run_updates(c, ["start", "end", "signal"], label), newest, f"{DELAY_DAYS} days")
+    return last.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "signal", "n", "closed")
 
 
-@query("stream_counts", f"WITH {_closed('1 HOUR', chr(39).join(['date_trunc(', 'hour', ', ts)']))}")
+@query("stream_counts", f"WITH {_windows_sql('1 HOUR', chr(39).join(['date_trunc(', 'hour', ', ts)']))}")
 def stream_counts(spark, sf):
-    s = _stream(spark, sf).withColumn("signal", F.col("event_type"))
-    c = jobs.counts(s, "ts", "1 hour", ["signal"], f"{DELAY_DAYS} days")
-    return _shown(jobs.run_available(c, "hourly"))
+    return _counts(spark, sf, "1 hour", "hourly")
 
 
-@query("stream_weekly", f"WITH {_closed('7 DAY', chr(39).join(['date_trunc(', 'week', ', ts)']))}")
+@query("stream_weekly", f"WITH {_windows_sql('7 DAY', chr(39).join(['date_trunc(', 'week', ', ts)']))}")
 def stream_weekly(spark, sf):
-    s = _stream(spark, sf).withColumn("signal", F.col("event_type"))
-    c = jobs.counts(s, "ts", "7 days", ["signal"], f"{DELAY_DAYS} days")
-    return _shown(jobs.run_available(c, "weekly"))
+    return _counts(spark, sf, "7 days", "weekly")
 
 
 @query("stream_dedup", "SELECT event_id AS id, event_type AS signal FROM events")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import timekeys as tk
 from ..functions.geo import to_e5
-from .registry import Signal, known
+from .registry import Signal, any_of, known
 
 DEDUP_POLICIES = ("id_first", "dated_first", "null_once")
 
@@ -134,29 +134,35 @@ NORMALIZERS = {
 }
 
 
-def lever_events(tables: dict[str, DataFrame], levers: dict[str, tuple[Signal, ...]]) -> DataFrame:
+def lever_events(
+    tables: dict[str, DataFrame], levers: dict[str, tuple[Signal, ...]], history_start: str | None = None
+) -> DataFrame:
     """Every lever's events from all its sources, deduplicated inside each source only.
 
-    Each source table is read once: a row is tagged with all levers it belongs to, then one
-    dedup runs per table.  Levers whose signal has no id column keep every row.
+    Each source table is read once: rows of no lever, or before `history_start`, are filtered at the scan, the
+    others are tagged with all levers they belong to, then one dedup runs per table.  Equal times are settled by
+    a hash of the row, so the survivor does not depend on partitions.  Levers whose signal has no id column keep
+    every row.
     """
     out = None
     for name, table in tables.items():
-        marks, with_id = [], []
+        marks, with_id, wanted = [], [], []
         for lever, sources in levers.items():
             for i, sig in enumerate(sources):
                 if sig.table == name:
                     tag = F.struct(F.lit(lever).alias("lever"), F.lit(i).alias("source"))
                     marks.append(F.when(known(sig.where()), tag))
+                    since = F.col(sig.date_col) >= F.lit(history_start) if history_start else F.lit(True)
+                    wanted.append(sig.where() & since)
                     if sig.id_col:
                         with_id.append(lever)
         if not marks:
             continue
-        tagged = table.withColumn("_t", F.explode(F.array_compact(F.array(*marks))))
+        tagged = table.where(any_of(wanted)).withColumn("_t", F.explode(F.array_compact(F.array(*marks))))
         rows = NORMALIZERS[name](tagged, ["_t"]).select("_t.lever", "_t.source", "*").drop("_t")
         rows = rows.withColumns({
             "_key": F.when(F.col("lever").isin(*with_id), F.col("id")),
-            "_row": F.monotonically_increasing_id(),   # file position: settles equal times
+            "_row": F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))),
         })
         rows = dedup_first(
             rows, "_key", ["-ts", "_row"], "day", "dated_first", within=["lever", "source"]

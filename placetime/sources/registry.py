@@ -1,10 +1,13 @@
 """Named signals: a predicate over one source table plus the columns that carry its id,
-date and place.  Predicates are plain Columns, so they are pushed to the scan."""
+date and place.  Predicates are plain Columns; readers filter by them before anything else, and Spark pushes
+what a scan can test (comparisons, lists, null tests) down to it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -287,6 +290,12 @@ LEVERS: dict[str, tuple[Signal, ...]] = {
 
 
 def tag_signals(events: DataFrame, tags: dict[str, Column]) -> DataFrame:
-    """One pass over events: a row per (event, matching signal), key in column `signal`."""
+    """One pass over events: a row per (event, matching signal), key in column `signal`.  Events that match
+    none are filtered first, so what the scan can test is pushed to it."""
     marks = F.array(*[F.when(known(cond), F.lit(key)) for key, cond in tags.items()])
-    return events.withColumn("signal", F.explode(F.filter(marks, lambda k: k.isNotNull())))
+    return events.where(any_of(tags.values())).withColumn("signal", F.explode(F.filter(marks, lambda k: k.isNotNull())))
+
+
+def any_of(conditions) -> Column:
+    """Some condition holds; a condition that is neither true nor false does not."""
+    return reduce(or_, conditions)

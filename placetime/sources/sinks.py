@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import timekeys as tk
 from ..functions.joins import lookup_join
-from ..functions.ranks import RANK_IN_ONE_WINDOW, global_rank, materialize
+from ..functions.ranks import global_rank
 from .registry import Group, Registry
 
 
@@ -62,32 +62,16 @@ def write_sharded(df: DataFrame, path: str, id_col: str = "id") -> None:
     df.withColumn("shard", shard_key(id_col)).write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
-MARKER_DICT_ROWS = 64
-MARKER_DICT_SHARE = 50
-
-
-def dictionary(df: DataFrame, col: str) -> DataFrame | None:
-    """(value, code) of a column whose distinct values are at most max(64, rows // 50), the
-    code being the value's position in sorted order; None when the column stays raw.  The
-    distinct values are written once, so the table is not scanned again for each use."""
-    distinct = materialize(df.groupBy(col).agg(F.count(F.lit(1)).alias("_rows")), "dictionary")
-    total, kinds = distinct.agg(F.coalesce(F.sum("_rows"), F.lit(0)), F.count(F.lit(1))).first()
-    if kinds > max(MARKER_DICT_ROWS, total // MARKER_DICT_SHARE):
-        return None
-    values = distinct.select(col)
-    if kinds <= RANK_IN_ONE_WINDOW:
-        pos = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(col)) - 1
-        return values.withColumn(f"{col}_code", pos.cast("long"))
-    return global_rank(values, [F.col(col)], f"{col}_code")
+def dictionary(df: DataFrame, col: str) -> DataFrame:
+    """(value, code) of a column, the code being the value's position in sorted order."""
+    return global_rank(df.select(col).distinct(), [F.col(col)], f"{col}_code")
 
 
 def dictionary_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Add `<col>_code` for every column worth coding; null counts as ''."""
+    """Add `<col>_code` for the columns the caller wants coded; null counts as ''."""
     out = df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols})
     for c in cols:
-        codes = dictionary(out, c)
-        if codes is not None:
-            out = lookup_join(out, codes, [c])
+        out = lookup_join(out, dictionary(out, c), [c])
     return out
 
 
@@ -108,7 +92,8 @@ def provenance(tagged: DataFrame, registry: Registry, filters: dict[str, str] |
 
 def reproduce_sql(table: str, cond: str, date_col: str, unit: str = "MM", district: str | None = None) -> str:
     """Spark SQL text that recomputes a published monthly series."""
-    scope = f" AND district = '{district}'" if district else ""
+    quoted = (district or "").replace("\\", "\\\\").replace("'", "\\'")
+    scope = f" AND district = '{quoted}'" if district else ""
     return (
         f"SELECT trunc({date_col}, '{unit}') AS month, count(*) AS reports FROM {table} "
         f"WHERE {cond}{scope} GROUP BY 1 ORDER BY 1"

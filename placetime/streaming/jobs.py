@@ -27,9 +27,9 @@ def dedup(events: DataFrame, id_col: str, ts: str, delay: str) -> DataFrame:
 
 
 def counts(events: DataFrame, ts: str, width: str, keys: Sequence[str], delay: str) -> DataFrame:
-    """Tumbling counts.  Seven-day windows start on Mondays.  A window is emitted once, when
-    the watermark passes its end; later rows for it are dropped and show up in the query's
-    numRowsDroppedByWatermark."""
+    """Tumbling counts.  Seven-day windows start on Mondays.  In append mode a window is emitted once,
+    when the watermark passes its end, and windows still open at the end are missing; `run_updates`
+    has them all.  Rows later than the watermark are dropped and show up in numRowsDroppedByWatermark."""
     win = F.window(ts, width, width, "4 days") if width == "7 days" else F.window(ts, width)
     return (
         events.withWatermark(ts, delay).groupBy(win.alias("w"), *keys)
@@ -57,6 +57,32 @@ def run_available(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def run_updates(stream: DataFrame, keys: Sequence[str], label: str, value: str = "n") -> DataFrame:
+    """Process everything available and return the last count of every window, open ones included.
+
+    Each micro-batch writes the windows that it changed below its own number, replacing what an interrupted
+    run of the same batch left there; counts only grow, so the largest one is the last.
+    """
+    spark = stream.sparkSession
+    base = run_dir(spark, label)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    query = (
+        stream.writeStream.outputMode("update").foreachBatch(put)
+        .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    written = spark.read.schema(stream.schema).parquet(f"{base}/out")
+    return written.groupBy(*keys).agg(F.max(value).alias(value))
+
+
+def with_closed(windows: DataFrame, newest: Column, delay: str) -> DataFrame:
+    """Flags windows that the final watermark has passed; later rows cannot change these."""
+    return windows.withColumn("closed", F.col("end") <= newest - F.expr(f"interval {delay}"))
+
+
 def late_rows(rows: DataFrame, event: str, arrival: str, delay_days: int | Column, keys: Sequence[str]) -> DataFrame:
     """Batch audit of a delay: rows that would arrive in time and too late under it."""
     lag = F.datediff(F.col(arrival), F.col(event))

@@ -90,7 +90,7 @@ def test_basis_and_codes_and_links(spark):
     codes = spark.createDataFrame([("14567",), ("24567",), ("1456",), ("145678",)], "c string")
     assert [r[0] for r in codes.select(tx.parse_stop_code(F.col("c"))).collect()] == ["4567", None, None, None]
     links = spark.createDataFrame([([" https://a ", "ftp://b", "HTTP://c"],)], "l array<string>")
-    assert links.select(tx.clean_links(F.col("l"))).first()[0] == ["https://a", "HTTP://c"]
+    assert links.select(tx.well_formed_links(F.col("l"))).first()[0] == ["https://a", "HTTP://c"]
     assert spark.createDataFrame([("a.org\n http://b ,",)], "l string").select(tx.parse_links(F.col("l"))).first()[0] == ["https://a.org", "http://b"]
 
 

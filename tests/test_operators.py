@@ -138,7 +138,7 @@ def test_momentum(spark):
 
 def test_verdict_bands(spark):
     df = spark.createDataFrame([(0.05, "down"), (0.0501, "down"), (-0.06, "down"), (0.06, "up"), (None, "up")], "p double, g string")
-    assert [r[0] for r in df.select(se.verdict(F.col("p"), F.col("g"))).collect()] == ["little change", "worsening", "improving", "rising, good", "not enough history"]
+    assert [r[0] for r in df.select(se.verdict(F.col("p"), F.col("g"))).collect()] == ["Little change", "Worsening", "Improving", "Rising — good", "Not enough history"]
     label, tone = se.trend_verdict(F.col("p"))
     assert [r[0] for r in df.select(label).collect()] == ["Worsening", "Worsening", "Improving", "Worsening", "Little change"]
     assert [r[0] for r in df.select(se.goal_tone(F.lit(0.004), F.col("g"))).collect()] == ["flat"] * 5
