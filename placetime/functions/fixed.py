@@ -70,6 +70,12 @@ TEXT_LIMITS = {
     "description": 5000, "evidence": 5000, "tactics": 2000, "owner": 200, "agencies": 500,
     "roadblock": 2000, "outcomes": 2000, "notes": 2000,
 }
+DISTRICT_THIRD_KPI = {     # signal, label, goal
+    "Northern": ("fraud", "Fraud reports", "down"),
+    "Central": ("dog_bites", "Dog bites", "down"),
+    "Mission": ("street_robbery", "Street robbery", "down"),
+    "Tenderloin": ("dog_bites", "Dog bites", "down"),
+}
 MOST_LEVERS, MOST_LINKS = 10, 20
 KR_LABELS = {
     "drug": "Drug-related complaints",

@@ -165,6 +165,22 @@ def bad_stops(stops: DataFrame, neighbours: DataFrame, totals: DataFrame, box: t
     return out.unionByName(_violations(miss, "not_in_feed", F.lit("stops"), F.col("u")))
 
 
+def shard_cover(stops: DataFrame, shards: DataFrame) -> DataFrame:
+    """Stops that no shard holds, and shard rows of no stop."""
+    none = F.lit(None).cast("string")
+    lost = stops.select("id").join(shards.select("id"), "id", "left_anti")
+    extra = shards.select("id").join(stops.select("id"), "id", "left_anti")
+    return _violations(lost, "not_in_shards", F.col("id"), none).unionByName(_violations(extra, "unknown_in_shards", F.col("id"), none))
+
+
+def filter_drift(events: DataFrame, ours: dict[str, Column], theirs: dict[str, Column]) -> DataFrame:
+    """Signals of two registries whose filters disagree on some event, with the number of such events."""
+    keys = sorted(ours.keys() & theirs.keys())
+    differ = [F.count_if(F.coalesce(ours[k], F.lit(False)) != F.coalesce(theirs[k], F.lit(False))).alias(k) for k in keys]
+    counts = events.agg(*differ).select(F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*keys))).alias("signal", "n"))
+    return _violations(counts.where("n > 0"), "filter_drift", F.col("signal"), F.col("n"))
+
+
 def leaked_columns(df: DataFrame, private: Sequence[str], spark) -> DataFrame:
     rows = [("private_column", c, "present") for c in df.columns if c in private]
     return spark.createDataFrame(rows, "check string, entity string, detail string")

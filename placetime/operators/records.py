@@ -66,6 +66,26 @@ def table_rows(public: DataFrame) -> DataFrame:
     return public.withColumns({"intervention": title, "target_kr": F.coalesce(kr, F.lit(""))})
 
 
+def third_kpi(district: Column) -> Column:
+    """The district's own third measure as (signal, label, goal); null elsewhere."""
+    entries = [x for name, kpi in fixed.DISTRICT_THIRD_KPI.items() for x in (
+        F.lit(name), F.struct(*[F.lit(v).alias(c) for c, v in zip(("signal", "label", "goal"), kpi)])
+    )]
+    return F.try_element_at(F.create_map(*entries), district)
+
+
+STORED = "id string, intervention string, levers array<string>, status string, deleted boolean, lat double, lng double"
+
+
+def stored_documents(rows: DataFrame, doc: str = "doc", schema: str = STORED) -> DataFrame:
+    """Records from their stored JSON documents, deleted ones left out; a document that cannot be read has
+    an error and no fields."""
+    parsed = rows.withColumn("_r", F.from_json(doc, schema, {"mode": "PERMISSIVE"}))
+    broken = F.coalesce(F.col(doc), F.lit("")).rlike(r"^\s*\{[\s\S]*\}\s*$") & F.col("_r").isNotNull()
+    out = parsed.withColumn("error", F.when(~broken, "not a document"))
+    return out.where(~F.coalesce("_r.deleted", F.lit(False))).select(*rows.drop(doc).columns, "_r.*", "error").drop("deleted")
+
+
 def visible_rows(rows: DataFrame) -> DataFrame:
     """Archived rows (any closed state) are hidden."""
     return rows.where(~F.coalesce(F.col("status"), F.lit("")).rlike("^closed"))

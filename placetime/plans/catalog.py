@@ -26,6 +26,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     from . import (  # noqa: F401
-        feeds_and_places, hotspot_queries, quality_queries, record_queries, registry_queries, rollup_queries,
+        detail_queries, feeds_and_places, hotspot_queries, quality_queries, record_queries, registry_queries, rollup_queries,
         series_queries, settling_queries, sink_queries, spatial_queries, stream_queries,
     )

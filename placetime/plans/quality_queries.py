@@ -3,6 +3,7 @@ damaged copy of its input."""
 
 from pyspark.sql import functions as F
 
+from ..functions.ranks import run_dir
 from ..operators import hotspots as ho
 from ..operators import quality as qu
 from ..operators import rollup as ru
@@ -147,12 +148,18 @@ def snapshot_diff(spark, sf):
 @query("stop_checks", f"""WITH {_TOT}, {_NB[_NB.index('nb AS'):]}, b AS (SELECT * FROM stops WHERE lat_e5 > {t.NORTH - 700})
 SELECT 'outside_box' AS "check", CAST(id AS VARCHAR) AS entity, CAST(NULL AS VARCHAR) AS detail FROM b
 UNION ALL SELECT 'negative_total', CAST(id AS VARCHAR), CAST(t12 - 8 AS VARCHAR) FROM tot WHERE t12 < 8
-UNION ALL SELECT 'sheltered_count', 'stops', CAST(count(*) FILTER (WHERE shelter) AS VARCHAR) FROM stops UNION ALL SELECT 'not_in_feed', 'stops', CAST(count(*) FILTER (WHERE id % 9 = 0) AS VARCHAR) FROM stops""")
+UNION ALL SELECT 'sheltered_count', 'stops', CAST(count(*) FILTER (WHERE shelter) AS VARCHAR) FROM stops UNION ALL SELECT 'not_in_feed', 'stops', CAST(count(*) FILTER (WHERE id % 9 = 0) AS VARCHAR) FROM stops
+UNION ALL SELECT 'not_in_shards', CAST(id AS VARCHAR), NULL FROM stops WHERE id % 31 = 0 UNION ALL SELECT 'private_column', 'email', 'present'""")
 def stop_checks(spark, sf):
+    """All gates of the stop table: some stops are left out of the shards, and a private column is left in."""
     stops = t.stops(spark, sf).withColumn("in_feed", F.col("id") % 9 != 0)
     totals = _totals(spark, sf).withColumn("t12", F.col("t12") - 8)
     box = (t.SOUTH - 1, t.WEST - 1, t.NORTH - 700, t.EAST + 1)
-    return qu.bad_stops(stops, _neighbours(spark, sf), totals, box, sheltered=(-2, -1))
+    path = run_dir(spark, "shards")
+    sk.write_sharded(stops.where("id % 31 <> 0").select("id", "name"), path)
+    shards = spark.read.schema("id bigint, name string, shard string").parquet(path)
+    private = qu.leaked_columns(stops.withColumn("email", F.lit("a@b.org")), sk.PRIVATE_COLUMNS, spark)
+    return qu.bad_stops(stops, _neighbours(spark, sf), totals, box, sheltered=(-2, -1)).unionByName(qu.shard_cover(stops, shards)).unionByName(private)
 
 
 @query("cliff_flags", f"""WITH {t.SERIES}, p AS (SELECT *, lag(n) OVER (PARTITION BY signal, label ORDER BY idx) AS l FROM s)

@@ -200,13 +200,6 @@ def fixed_window_yoy(spark, sf):
     return se.fixed_window_yoy(t.incidents(spark, sf), t.AS_OF, ["signal", "district"])
 
 
-@query("newest_month_peek", f"WITH {t.SERIES} SELECT {BASE}, n, 0.97::DOUBLE AS completeness FROM s WHERE period = DATE '2001-07-01' AND n > 0")
-def newest_month_peek(spark, sf):
-    p = ru.axis_pointers(t.AS_OF, 1)
-    s = se.newest_peek(_monthly(spark, sf), p["latest_complete"], p["latest_settled"], F.lit(0.97))
-    return s.select("signal", "label", t.month(), "n", "completeness")
-
-
 @query("time_slice_sum", f"""WITH {t.INCIDENTS} SELECT signal, district, ym AS month, count(*) AS n FROM inc WHERE hour BETWEEN 6 AND 11 OR hour BETWEEN 18 AND 21 GROUP BY ALL""")
 def time_slice_sum(spark, sf):
     c = ru.cube(t.incidents(spark, sf), tk.month_start(F.col("day")), bucket=tk.tod_granular(F.col("hour")))

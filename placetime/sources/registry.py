@@ -296,6 +296,11 @@ def tag_signals(events: DataFrame, tags: dict[str, Column]) -> DataFrame:
     return events.where(any_of(tags.values())).withColumn("signal", F.explode(F.filter(marks, lambda k: k.isNotNull())))
 
 
+def known_breaks(levers: dict[str, tuple[Signal, ...]] | None = None) -> list[tuple[str, str, str]]:
+    """(lever, date, label) of every reporting change that the levers' signals carry."""
+    return sorted({(lever, date, label) for lever, signals in (levers or LEVERS).items() for s in signals for date, label in s.breaks})
+
+
 def any_of(conditions) -> Column:
     """Some condition holds; a condition that is neither true nor false does not."""
     return reduce(or_, conditions)

@@ -90,10 +90,25 @@ def provenance(tagged: DataFrame, registry: Registry, filters: dict[str, str] |
     return meta.join(counts, "signal", "left").withColumn("records", F.coalesce("records", F.lit(0)))
 
 
-def reproduce_sql(table: str, cond: str, date_col: str, unit: str = "MM", district: str | None = None) -> str:
-    """Spark SQL text that recomputes a published monthly series."""
-    quoted = (district or "").replace("\\", "\\\\").replace("'", "\\'")
-    scope = f" AND district = '{quoted}'" if district else ""
+def quoted(value: str) -> str:
+    """A text as an SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def reproduce_total(table: str, cond: str, date_col: str, window: tuple[str, str], place: dict[str, str] | None = None) -> str:
+    """Spark SQL text that recomputes one published total: the count in [from, to), at one place if given."""
+    scope = "".join(f" AND {c} = {quoted(v)}" for c, v in (place or {}).items())
+    return (
+        f"SELECT count(*) AS reports FROM {table} WHERE {cond} AND {date_col} >= {quoted(window[0])} "
+        f"AND {date_col} < {quoted(window[1])}{scope}"
+    )
+
+
+def reproduce_sql(
+    table: str, cond: str, date_col: str, unit: str = "MM", district: str | None = None, place: dict[str, str] | None = None
+) -> str:
+    """Spark SQL text that recomputes a published monthly series, of a district or of one place (columns and values)."""
+    scope = "".join(f" AND {c} = {quoted(v)}" for c, v in {**({"district": district} if district else {}), **(place or {})}.items())
     return (
         f"SELECT trunc({date_col}, '{unit}') AS month, count(*) AS reports FROM {table} "
         f"WHERE {cond}{scope} GROUP BY 1 ORDER BY 1"
