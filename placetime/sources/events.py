@@ -163,10 +163,10 @@ def lever_events(
         rows = rows.withColumns({
             "_key": F.when(F.col("lever").isin(*with_id), F.col("id")),
             "_row": F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))),
-        })
+        }).withColumn("_copy", F.when(F.col("_key").isNull(), F.monotonically_increasing_id()).otherwise(0))  # all of these stay
         rows = dedup_first(
-            rows, "_key", ["-ts", "_row"], "day", "dated_first", within=["lever", "source"]
-        ).drop("_key", "_row")
+            rows, "_key", ["-ts", "_row", "_copy"], "day", "dated_first", within=["lever", "source"]
+        ).drop("_key", "_row", "_copy")
         out = rows if out is None else out.unionByName(rows)
     return out
 
