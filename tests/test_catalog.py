@@ -7,16 +7,21 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from placetime.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+catalog.load_all()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 SAMPLE = [
     "monthly_by_district", "monthly_distinct", "composition_share", "hour_histogram", "corner_monthly", "kpi_chips", "shares",
     "polygon_assign_holes", "stop_ring_counts", "knn_neighbours", "snap_intersection", "hexbin", "cell_classes_multiwindow",
     "cell_breakdown", "lag_stats", "month_completeness", "cohort_summary", "publication_delta", "before_after", "detect_onset",
     "concentration_curve", "relative_intensity", "nearest_alternative", "resolve_intersection", "sequence_ids", "apply_changes",
     "dedup_id_first", "lever_events", "reconcile", "systematic_sample", "stream_counts", "late_policy",
+    "month_mask", "dictionary_encode", "feed_csv", "fallback_feed", "week_partner", "verdicts", "event_radius_join", "local_index",
+    "match_hotspot_first", "stop_checks", "validate_interventions", "validate_links", "search_stops", "classifier_parity", "stream_weekly",
+    "newest_month_peek", "calendar_labels", "known_breaks", "third_kpi", "stored_documents", "reproduced_total", "filter_drift",
 ]
 NAMES = list(ORACLES) if os.environ.get("ALL_QUERIES") else SAMPLE
 
@@ -55,6 +60,7 @@ def test_query_matches_sql(spark, con, name):
 
 def test_every_query_has_a_twin():
     assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_entry_runs(spark):
