@@ -8,15 +8,16 @@ then share a shingle among the first |x| - ceil(percent * |x| / 100) + 1 of each
    only set the order: any order gives the same links.
 2. Documents with the same prefix and size are one group, and copies with the same set are one member.
    Only groups are indexed by the shingles of their prefix, and only shingles of two groups or more are kept.
-3. Star rounds: each shingle's groups are verified against one of them, a pivot, so a large group of near
-   copies is linked without all its pairs.  Linked sets become one component.
-4. Rest: all pairs of groups that share a shingle, whose sizes and positions allow a link and that are not
-   yet in one component, are expanded to members and verified on whole sets.  So no link between two
-   components is lost, and pairs inside one are never formed.
+3. Stars: each group meets its leader, the group that is first (or last) among the holders of most of its
+   shingles, and each member the first of its group.  So a large group of near copies is linked without all
+   its pairs.  Linked sets become one component.
+4. Rest: all pairs of groups that share a shingle and are not yet in one component are counted, and those
+   whose sizes, positions and number of shared prefix shingles allow a link are expanded to members and
+   verified.  So no link between two components is lost, and pairs inside one are never formed.
 
-Hot shingles: minima with map-side partials name the pivots; rows meet a pivot in a join that adaptive
-execution splits.  Whole sets are only computed for members of indexed groups, found by a bit map of at most
-MAP_BITS bits (a wrong hit costs time, never a link).
+Verification compares whole sets (48 bits a shingle).  They are computed for members of pairs only, found by
+a bit map of at most MAP_BITS bits; a wrong hit there costs time, never a link.  Hot shingles: minima with
+map-side partials name the holders; rows meet them in a join that adaptive execution splits.
 
 Null and blank texts have the empty set and link with nothing.  Repeated rows and repeated doc_ids are
 members of the same or of different sets like any others; a null doc_id takes part and gets the smallest
@@ -40,7 +41,8 @@ MOST_FREQUENT, LEAST_HERE = 200_000, 3
 #: Shingles that a task counts at once, and sets that it remembers to skip copies.
 CHUNK, REMEMBERED = 4_000_000, 200_000
 MAP_BITS = 1 << 27
-STAR_ROUNDS = 2
+#: Share of its prefix that a group has in common with a leader, as 1 / LEADER_SHARE.
+LEADER_SHARE = 3
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -116,12 +118,15 @@ def frequent(docs: DataFrame, size: int, most: int = MOST_FREQUENT) -> tuple[np.
 
 
 def signatures(docs: DataFrame, size: int, percent: int, most: int) -> DataFrame:
-    """(doc_id, text_hash, set_hash, n, group, prefix): prefix once a group and task, else null."""
+    """(doc_id, text_hash, set_hash, n, group, last, prefix): prefix once a group and task, else null; last is its end in the order of shingles."""
     python_ready(docs.sparkSession)
     last = docs.sparkSession.sparkContext.broadcast(frequent(docs, size, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, counts = last.value
+        place = np.empty(len(late), np.int64)
+        by_place = late[np.lexsort((late, counts))]
+        place[np.lexsort((late, counts))] = np.arange(len(late))
         seen: set[int] = set()
         for keys, texts, marks in _texts(batches):
             rows = []
@@ -129,26 +134,29 @@ def signatures(docs: DataFrame, size: int, percent: int, most: int) -> DataFrame
                 own = shingles(text, size)
                 n = len(own)
                 if not n:
-                    rows.append((key, mark, None, 0, None, None))
+                    rows.append((key, mark, None, 0, None, None, None))
                     continue
                 p = prefix_length(n, percent)
                 at = np.searchsorted(late, own)
                 at[at == len(late)] = 0
                 is_late = late[at] == own if len(late) else np.zeros(n, bool)
                 prefix = own[~is_late][:p]
+                end = int(prefix[-1] >> np.uint64(2)) if len(prefix) else 0
                 if len(prefix) < p:
-                    rest, often = own[is_late], counts[at[is_late]]
-                    prefix = np.concatenate([prefix, rest[np.lexsort((rest, often))][: p - len(prefix)]])
+                    where = np.sort(place[at[is_late]])[: p - len(prefix)]
+                    end = (1 << 62) + int(where[-1])
+                    prefix = np.concatenate([prefix, by_place[where]])
                 group = _digest(prefix, n)
                 if len(seen) > REMEMBERED:
                     seen.clear()
-                rows.append((key, mark, _digest(own), n, group, None if group in seen else _signed(prefix)))
+                rows.append((key, mark, _digest(own), n, group, end, None if group in seen else _signed(prefix)))
                 seen.add(group)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["doc_id", "text_hash", "set_hash", "n", "group", "prefix"])
+            types = [pa.int64()] * 6 + [pa.list_(pa.int64())]
+            names = ["doc_id", "text_hash", "set_hash", "n", "group", "last", "prefix"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).mapInArrow(
-        run, "doc_id long, text_hash long, set_hash long, n long, group long, prefix array<long>"
+        run, "doc_id long, text_hash long, set_hash long, n long, group long, last long, prefix array<long>"
     )
 
 
@@ -170,7 +178,7 @@ def in_map(bits: int, whole: bytes, key: int) -> bool:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(set_hash, shingles binary) of the wanted text hashes, once each; a few others may be among them."""
+    """(set_hash, shingles): 48 bits of each shingle of the wanted text hashes, once a set; a few others may be among them."""
     shared = docs.sparkSession.sparkContext.broadcast(bit_map(wanted, "text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,11 +194,17 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 seen.add(mark)
                 own = shingles(text, size)
                 if len(own):
-                    rows.append((_digest(own), mark, own.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64(), pa.int64(), pa.binary()])], names=["set_hash", "text_hash", "shingles"])
+                    rows.append((_digest(own), np.ascontiguousarray(own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["set_hash", "shingles"])
 
-    found = docs.select("text", F.xxhash64("text").alias("h")).mapInArrow(run, "set_hash long, text_hash long, shingles binary")
-    return found.join(wanted.select("text_hash"), "text_hash", "left_semi").groupBy("set_hash").agg(F.first("shingles").alias("shingles"))
+    found = docs.select("text", F.xxhash64("text").alias("h")).mapInArrow(run, "set_hash long, shingles binary")
+    return found.groupBy("set_hash").agg(F.first("shingles").alias("shingles"))
+
+
+def _opened(shingles: bytes) -> np.ndarray:
+    whole = np.zeros((len(shingles) // 6, 8), np.uint8)
+    whole[:, 2:] = np.frombuffer(shingles, np.uint8).reshape(-1, 6)
+    return whole.view("<u8").reshape(-1)
 
 
 def _alike(n: Column, m: Column, percent: int) -> Column:
@@ -198,91 +212,91 @@ def _alike(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def _reaches(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
-    """Positions of a shared shingle that allow a link if no earlier one is shared."""
-    return (100 + percent) * F.least(n - i, m - j) >= percent * (n + m)
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs of set hashes that are linked, by their whole sets."""
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b) of the pairs of set hashes that are linked, by their whole sets; written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                x, y = _opened(x), _opened(y)
+                both = len(np.intersect1d(x, y))
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     rows.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    left = sets.select(F.col("set_hash").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("set_hash").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("set_hash")).unionAll(pairs.select("b")).distinct()
+    bodies = written(whole_sets(docs, sets.join(wanted, "set_hash", "left_semi"), size), "bodies")
+    left = bodies.select(F.col("set_hash").alias("a"), F.col("shingles").alias("x"))
+    right = bodies.select(F.col("set_hash").alias("b"), F.col("shingles").alias("y"))
+    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
 
-def _star(posting: DataFrame, known: DataFrame, mixed: DataFrame, last: bool, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets: a pivot group's first member with all members of the other groups of a shingle, and
-    the first member of each group that is not one component with the others."""
+def _leaders(index: DataFrame, last: bool, percent: int) -> DataFrame:
+    """(group, pivot): of each group, the one that is first or last among the holders of most of its shingles."""
     pick = F.max if last else F.min
-    pivots = posting.groupBy("token").agg(pick(F.struct("group", "n", "i", "low")).alias("p"))
-    near = posting.join(pivots, "token").where(
-        (F.col("group") != F.col("p.group")) & ((F.col("low") != F.col("p.low")) | (F.col("high") != F.col("low")))
-        & _alike(F.col("n"), F.col("p.n"), percent) & _reaches(F.col("n"), F.col("i"), F.col("p.n"), F.col("p.i"), percent)
-    ).select("group", F.col("p.group").alias("pivot")).distinct()
-    first = known.groupBy("group").agg(pick(F.struct("set_hash", "root")).alias("f")).select("group", F.col("f.set_hash").alias("a"), F.col("f.root").alias("ra"))
-    each = known.select("group", F.col("set_hash").alias("b"), F.col("root").alias("rb"))
-    across = near.join(each, "group").join(first.withColumnRenamed("group", "pivot"), "pivot").select("a", "b", "ra", "rb")
-    inside = mixed.select("group", F.col("set_hash").alias("b"), F.col("root").alias("rb")).join(first, "group").select("a", "b", "ra", "rb")
-    return across.unionAll(inside)
-
-
-def _rest(posting: DataFrame, known: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of sets of different components that share a shingle or a prefix and may be linked."""
+    pivots = index.groupBy("token").agg(pick(F.struct("group", "n", "i")).alias("p"))
+    near = index.join(pivots, "token").where((F.col("group") != F.col("p.group")) & _alike(F.col("n"), F.col("p.n"), percent))
+    votes = near.groupBy("group", F.col("p.group").alias("pivot")).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+    strong = votes.where(LEADER_SHARE * F.col("c") >= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    return strong.groupBy("group").agg(F.max(F.struct("c", "pivot")).alias("best")).select("group", F.col("best.pivot").alias("pivot"))
+
+
+def _stars(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets: members with the first member of their leader's group and of their own."""
+    leaders = _leaders(index, False, percent).unionAll(_leaders(index, True, percent)).distinct()
+    first = sets.groupBy("group").agg(F.min("set_hash").alias("a"))
+    each = sets.select("group", F.col("set_hash").alias("b"))
+    across = leaders.join(each, "group").join(first.withColumnRenamed("group", "pivot"), "pivot").select("a", "b")
+    return across.unionAll(each.join(first, "group").select("a", "b")).where("a <> b")
+
+
+def _rest(index: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of sets of different components that share a prefix or may be linked by their shared prefix shingles."""
+    spans = known.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("last").alias("last"))
+    posting = index.join(spans, "group")
+    open_ = posting.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
+    posting = written(posting.join(open_, "token"), "posting")
     x, y = posting.alias("x"), posting.alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
     met = x.join(y, F.col("x.token") == F.col("y.token")).where(
         (F.col("x.group") < F.col("y.group"))
-        & ((F.col("x.low") != F.col("y.low")) | (F.col("x.high") != F.col("x.low")) | (F.col("y.high") != F.col("y.low")))
-        & _alike(F.col("x.n"), F.col("y.n"), percent) & _reaches(F.col("x.n"), F.col("x.i"), F.col("y.n"), F.col("y.i"), percent)
-    ).select(F.col("x.group").alias("g"), F.col("y.group").alias("h")).distinct()
-    side = lambda df, key, c, r: df.select(F.col("group").alias(key), F.col("set_hash").alias(c), F.col("root").alias(r))
-    across = met.join(side(known, "g", "a", "ra"), "g").join(side(known, "h", "b", "rb"), "h").select("a", "b", "ra", "rb")
-    inside = side(mixed, "g", "a", "ra").join(side(mixed, "g", "b", "rb"), "g").where("a < b").select("a", "b", "ra", "rb")
+        & ((F.col("x.low") != F.col("y.low")) | (F.col("x.high") != F.col("x.low")) | (F.col("y.high") != F.col("y.low"))) & _alike(n, m, percent)
+    )
+    counted = met.groupBy(F.col("x.group").alias("g"), F.col("y.group").alias("h")).agg(
+        F.count(F.lit(1)).alias("c"), F.max("x.i").alias("i"), F.max("y.i").alias("j"), F.first(n).alias("n"), F.first(m).alias("m"),
+        F.first("x.last").alias("ex"), F.first("y.last").alias("ey"),
+    )
+    n, m = F.col("n"), F.col("m")
+    beyond = lambda k: F.ceil(k * percent / 100) - 1  # noqa: E731  shingles after a prefix
+    # what may be shared after the last shared position, and after the prefix that ends first
+    rest = F.least(
+        n - F.col("i") - 1, m - F.col("j") - 1,
+        F.when(F.col("ex") < F.col("ey"), beyond(n)).when(F.col("ey") < F.col("ex"), beyond(m)).otherwise(F.greatest(beyond(n), beyond(m))),
+    )
+    may = counted.where((100 + percent) * (F.col("c") + rest) >= percent * (n + m)).select("g", "h")
+    side = lambda key, c, r: known.select(F.col("group").alias(key), F.col("set_hash").alias(c), F.col("root").alias(r))
+    across = may.join(side("g", "a", "ra"), "g").join(side("h", "b", "rb"), "h").where("ra <> rb").select("a", "b")
+    mixed = spans.where("low <> high").select(F.col("group").alias("g"))
+    inside = side("g", "a", "ra").join(mixed, "g", "left_semi").join(side("g", "b", "rb"), "g").where("a < b AND ra <> rb").select("a", "b")
     return across.unionAll(inside)
 
 
 def _linked(docs: DataFrame, size: int, percent: int, most_frequent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Signatures of all rows, the distinct sets, and (node, root) of the linked sets."""
-    signed = written(signatures(docs, size, percent, most_frequent), "sets")
-    sets = signed.where("n > 0").groupBy("set_hash").agg(
-        F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"), F.min("n").alias("n"), F.min("group").alias("group"),
-    )
-    rows = signed.where("prefix is not null").select("group", "n", F.posexplode("prefix").alias("i", "token"))
-    shared = rows.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("token")
+    signed = written(signatures(docs, size, percent, most_frequent), "signed")
+    sets = written(signed.where("n > 0").groupBy("set_hash").agg(*[F.min(c).alias(c) for c in ("doc_id", "text_hash", "n", "group", "last")]), "sets")
+    rows = signed.where("prefix IS NOT NULL").select("group", "n", F.posexplode("prefix").alias("i", "token"))
+    holder = F.hash("group", "token")
+    shared = rows.groupBy("token").agg(F.min(holder).alias("lo"), F.max(holder).alias("hi")).where("lo <> hi").select("token")
     index = written(rows.join(shared, "token").distinct(), "index")
-    several = sets.groupBy("group").agg(F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi")).where("lo <> hi").select("group")
-    active = index.select("group").unionAll(several).distinct()
-    members = written(sets.join(active, "group", "left_semi"), "members")
-    bodies = written(whole_sets(docs, members, size), "bodies")
-
-    links, roots = None, None
-    for turn in range(STAR_ROUNDS + 1):
-        if roots is None:
-            known = members.select("set_hash", "group", "n", F.col("set_hash").alias("root"))
-        else:
-            known = members.select("set_hash", "group", "n").join(roots.withColumnRenamed("node", "set_hash"), "set_hash", "left")
-            known = known.withColumn("root", F.coalesce("root", "set_hash"))
-        known = written(known, "known")
-        spans = known.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        posting = index.join(spans, "group")
-        open_ = posting.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
-        posting = written(posting.join(open_, "token"), "posting")
-        mixed = known.join(spans.where("low <> high").select("group"), "group", "left_semi")
-        pairs = _star(posting, known, mixed, turn % 2 == 1, percent) if turn < STAR_ROUNDS else _rest(posting, known, mixed, percent)
-        pairs = pairs.where("ra <> rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = written(verified(pairs, bodies, percent), "links")
-        links = found if links is None else links.unionAll(found)
-        roots = components(links)
+    links = verified(_stars(index, sets, percent), docs, sets, size, percent)
+    roots = components(links)
+    known = sets.join(roots.withColumnRenamed("node", "set_hash"), "set_hash", "left").withColumn("root", F.coalesce("root", "set_hash"))
+    known = written(known.select("set_hash", "group", "n", "last", "root"), "known")
+    more = verified(_rest(index, known, percent), docs, sets, size, percent)
+    roots = components(links.unionAll(more))
     return signed, sets, roots
 
 
