@@ -11,7 +11,10 @@ then share a shingle among the first |x| - ceil(percent * |x| / 100) + 1 of each
 3. Stars: each group meets its leader, the group that is first (or last) among the holders of most of its
    shingles, and each member the first of its group.  So a large group of near copies is linked without all
    its pairs.  Linked sets become one component.
-4. Rest: all pairs of groups that share a shingle and are not yet in one component are counted, and those
+4. Chances: groups that share much of their prefix with other components meet one more holder for each
+   shingle, chosen by a hash of shingle and group.  These pairs are as many as the index has rows, and leave
+   few near copies unlinked.
+5. Rest: all pairs of groups that share a shingle and are not yet in one component are counted, and those
    whose sizes, positions and number of shared prefix shingles allow a link are expanded to members and
    verified.  So no link between two components is lost, and pairs inside one are never formed.
 
@@ -252,18 +255,46 @@ def _stars(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return across.unionAll(each.join(first, "group").select("a", "b")).where("a <> b")
 
 
-def _rest(index: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of sets of different components that share a prefix or may be linked by their shared prefix shingles."""
+def _open(index: DataFrame, known: DataFrame) -> DataFrame:
+    """Index rows of shingles that are shared by different components, with the components of the group (low, high)
+    and the position of its first such shingle; written."""
     spans = known.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("last").alias("last"))
     posting = index.join(spans, "group")
     open_ = posting.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
     posting = written(posting.join(open_, "token"), "posting")
+    first = posting.groupBy("group").agg(F.min("i").alias("i0"), F.count(F.lit(1)).alias("held"))
+    return written(posting.join(first, "group"), "posting")
+
+
+def _apart(x: str, y: str) -> Column:
+    """Groups with members of different components."""
+    return (F.col(f"{x}.low") != F.col(f"{y}.low")) | (F.col(f"{x}.high") != F.col(f"{x}.low")) | (F.col(f"{y}.high") != F.col(f"{y}.low"))
+
+
+def _within_reach(x: str, y: str, percent: int) -> Column:
+    """Sizes and first open positions that allow a link: no shingle before the first open one can be shared."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    ahead = F.least(n - F.col(f"{x}.i0"), m - F.col(f"{y}.i0"))
+    return _alike(n, m, percent) & ((100 + percent) * ahead >= percent * (n + m))
+
+
+def _chances(posting: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets: members of groups that hold many open shingles, with the first member of one other such group a shingle."""
+    strong = posting.where(LEADER_SHARE * F.col("held") >= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    pick = F.min_by(F.struct("group", "n", "i0", "low", "high"), F.xxhash64("token", "group"))
+    x = strong.alias("x").join(strong.groupBy("token").agg(pick.alias("p")).alias("t"), "token")
+    x = x.select("x.*", F.col("t.p").alias("p")).where((F.col("group") != F.col("p.group")) & _within_reach("x", "p", percent) & _apart("x", "p"))
+    near = x.select("group", F.col("p.group").alias("pivot")).distinct()
+    first = known.groupBy("group").agg(F.min(F.struct("set_hash", "root")).alias("f")).select(F.col("group").alias("pivot"), F.col("f.set_hash").alias("a"), F.col("f.root").alias("ra"))
+    each = known.select("group", F.col("set_hash").alias("b"), F.col("root").alias("rb"))
+    return near.join(each, "group").join(first, "pivot").where("ra <> rb").select("a", "b")
+
+
+def _rest(posting: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of sets of different components that share a prefix or may be linked by their shared prefix shingles."""
     x, y = posting.alias("x"), posting.alias("y")
     n, m = F.col("x.n"), F.col("y.n")
-    met = x.join(y, F.col("x.token") == F.col("y.token")).where(
-        (F.col("x.group") < F.col("y.group"))
-        & ((F.col("x.low") != F.col("y.low")) | (F.col("x.high") != F.col("x.low")) | (F.col("y.high") != F.col("y.low"))) & _alike(n, m, percent)
-    )
+    met = x.join(y, F.col("x.token") == F.col("y.token")).where((F.col("x.group") < F.col("y.group")) & _apart("x", "y") & _within_reach("x", "y", percent))
     counted = met.groupBy(F.col("x.group").alias("g"), F.col("y.group").alias("h")).agg(
         F.count(F.lit(1)).alias("c"), F.max("x.i").alias("i"), F.max("y.i").alias("j"), F.first(n).alias("n"), F.first(m).alias("m"),
         F.first("x.last").alias("ex"), F.first("y.last").alias("ey"),
@@ -278,7 +309,7 @@ def _rest(index: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     may = counted.where((100 + percent) * (F.col("c") + rest) >= percent * (n + m)).select("g", "h")
     side = lambda key, c, r: known.select(F.col("group").alias(key), F.col("set_hash").alias(c), F.col("root").alias(r))
     across = may.join(side("g", "a", "ra"), "g").join(side("h", "b", "rb"), "h").where("ra <> rb").select("a", "b")
-    mixed = spans.where("low <> high").select(F.col("group").alias("g"))
+    mixed = known.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(F.col("group").alias("g"))
     inside = side("g", "a", "ra").join(mixed, "g", "left_semi").join(side("g", "b", "rb"), "g").where("a < b AND ra <> rb").select("a", "b")
     return across.unionAll(inside)
 
@@ -292,11 +323,16 @@ def _linked(docs: DataFrame, size: int, percent: int, most_frequent: int) -> tup
     shared = rows.groupBy("token").agg(F.min(holder).alias("lo"), F.max(holder).alias("hi")).where("lo <> hi").select("token")
     index = written(rows.join(shared, "token").distinct(), "index")
     links = verified(_stars(index, sets, percent), docs, sets, size, percent)
+
+    def with_roots() -> DataFrame:
+        roots = components(links)
+        known = sets.join(roots.withColumnRenamed("node", "set_hash"), "set_hash", "left").withColumn("root", F.coalesce("root", "set_hash"))
+        return written(known.select("set_hash", "group", "n", "last", "root"), "known")
+
+    for pairs_of in (_chances, _rest):
+        known = with_roots()
+        links = links.unionAll(verified(pairs_of(_open(index, known), known, percent), docs, sets, size, percent))
     roots = components(links)
-    known = sets.join(roots.withColumnRenamed("node", "set_hash"), "set_hash", "left").withColumn("root", F.coalesce("root", "set_hash"))
-    known = written(known.select("set_hash", "group", "n", "last", "root"), "known")
-    more = verified(_rest(index, known, percent), docs, sets, size, percent)
-    roots = components(links.unionAll(more))
     return signed, sets, roots
 
 
