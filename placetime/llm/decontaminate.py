@@ -7,9 +7,9 @@ within RADIUS bits agree in one block at least, so an equality join on (window s
 pairs within the radius, and each pair is kept at its first common block only.  What remains is verified:
 sum of the smaller weights over sum of the larger ones must reach `percent`.
 
-Not every window can match: two windows of m shingles that reach the similarity share a shingle among the
-first m * (1 - s) / (1 + s) + 1 of the document's.  So windows are formed only before positions that hold a
-shingle of an item of their size, which loses none and spares the rest of the corpus.
+Not every window can match: one of m shingles that reaches the similarity s shares at least 2 s m / (1 + s)
+positions with the item, the first of them near its start.  So only windows with that many positions that
+hold a shingle of an item of their size are formed, which loses none and spares the rest of the corpus.
 
 The benchmark is handled in slices whose shingles number BROADCAST_ROWS at most; each slice is broadcast and
 one pass over the documents, so a large benchmark means more passes, not a larger broadcast.  Items and
@@ -95,9 +95,16 @@ def _windows(docs: DataFrame, items: DataFrame, k: int, percent: int) -> DataFra
     m = F.col("n") - (k - 1)
     ahead = F.floor(m * (100 - percent) / (100 + percent)).cast("int")
     first = F.greatest(F.col("p") - ahead, F.lit(0))
-    around = at.select("row", "own", "n", "p", first.alias("first"), m.alias("m"), F.slice("hashes", first + 1, F.col("p") - first + m).alias("part"))
-    before = F.lag("p").over(W.partitionBy("row", "n").orderBy("p"))  # one row's own positions
-    starts = around.withColumn("lo", F.greatest(F.col("first"), F.coalesce(before, F.lit(-1)) + 1))
+    near = at.select("row", "own", "n", "p", first.alias("first"), m.alias("m"), F.slice("hashes", first + 1, F.col("p") - first + m).alias("part"))
+    around = written(near, "hits")  # so that the texts are read once
+    along = W.partitionBy("row", "n").orderBy("p")  # one text's own positions
+    hits = around.withColumns({"before": F.lag("p").over(along), "j": F.row_number().over(along)})
+    # a window needs this many of its positions among the hits: the last of them must lie inside
+    least = F.ceil(F.col("m") * (2 * percent) / (100 + percent)).cast("int")
+    ends = hits.select("row", "n", F.col("p").alias("end"), (F.col("j") - least + 1).alias("j"))
+    starts = hits.join(ends, ["row", "n", "j"]).withColumn(
+        "lo", F.greatest(F.col("first"), F.coalesce("before", F.lit(-1)) + 1, F.col("end") - F.col("m") + 1)
+    ).where("lo <= p")
     each = starts.select("row", "own", "n", "first", "m", "part", F.explode(F.sequence("lo", "p")).alias("start"))
     return each.where(F.size("part") >= F.col("start") - F.col("first") + F.col("m")).select(
         "row", "own", "start", "n", F.slice("part", F.col("start") - F.col("first") + 1, F.col("m")).alias("window")
@@ -125,7 +132,9 @@ def matches(
             pairs = near.join(F.broadcast(wanted), ["n", "block", "bits"]).where(
                 (F.bit_count(F.col("f").bitwiseXOR(F.col("fingerprint"))) <= radius) & (first_common_block(F.col("f"), F.col("fingerprint"), radius) == F.col("block"))
             )
-            both = F.aggregate("weights", F.lit(0), lambda a, e: a + F.least(e["c"], F.size(F.filter("window", lambda x: x == e["h"]))))
+            weighed = F.aggregate("weights", F.lit(0), lambda a, e: a + F.least(e["c"], F.size(F.filter("window", lambda x: x == e["h"]))))
+            single = (F.size("weights") == F.size("window")) | (F.size(F.array_distinct("window")) == F.size("window"))
+            both = F.when(single, F.size(F.array_intersect("window", F.transform("weights", lambda e: e["h"])))).otherwise(weighed)
             m = F.size("window")
             found.append(pairs.select("row", "own", "item_id", "start", "n", both.alias("both"), m.alias("m")).where(100 * F.col("both") >= percent * (2 * F.col("m") - F.col("both"))))
     every = reduce(DataFrame.unionAll, found)
