@@ -10,15 +10,26 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections.abc import Sequence
 from functools import cache
+from itertools import chain
 
 import numpy as np
 
-#: Words that a worker process keeps, and the longest of them.
-CACHED_WORDS, CACHED_LENGTH = 800_000, 64
+#: Words that a worker process keeps, those that stay when there are more, and the longest of them.
+CACHED_WORDS, RECENT_GROUPS, CACHED_LENGTH = 600_000, 6, 64
 _ODD_BLANKS = re.compile("[\x1c-\x1f]")
-_LATIN_END = "ɐ"
+#: Letters below this, but for one whose lower case is two characters, are letters to every library.
+_LATIN_END, _TWO_LOWER = "ɐ", "İ"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The visible letter that byte-level vocabularies use for each byte: printable bytes stand for themselves,
+    the others for the letters from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
 
 
 class Encoder:
@@ -33,59 +44,83 @@ class Encoder:
         self.stops = {c: self._call([c])[0] for c in ".,"}
         self.words: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
+        self.recent: list[set[str]] = []
+        self.letters = _byte_letters()
+        # words of letters go straight to the merges if that gives the same ids
+        probe = ["river", "Élan", "straße", "QUEUE", "a"]
+        self.direct = [self._merge(self.lead + w) for w in probe] == self._call([self.lead + w for w in probe])
 
     def _call(self, texts: Sequence[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(list(texts), add_special_tokens=False)]
 
+    def _merge(self, word: str) -> bytes:
+        """Ids of one word of letters, without the search for words in a text."""
+        if not self.lead:
+            word = word.lower()
+        if not word.isascii():
+            if not self.lead:
+                word = unicodedata.normalize("NFC", word)
+            word = word.encode("utf-8").decode("latin-1")
+        return b"".join([t.id.to_bytes(4, "little") for t in self.library.model.tokenize(word.translate(self.letters))])
+
     def _learn(self, known: dict[str, bytes], lead: str, new: set[str]) -> None:
         """Adds new words to the cache; one that only ends in a stop is its core and the stop."""
-        cores = {}
+        others = []
         for w in new:
-            core = w[:-1]
-            if w[-1] in ".," and core.isalpha() and max(core) < _LATIN_END:
-                cores[w] = core
-        plain = [w for w in {*(new - cores.keys()), *(c for c in cores.values() if c not in known)}]
-        for i in range(0, len(plain), 10_000):
-            part = plain[i : i + 10_000]
+            core, stop = (w[:-1], self.stops[w[-1]]) if w[-1] in ".," else (w, b"")
+            if self.direct and core.isalpha() and (core.isascii() or (max(core) < _LATIN_END and _TWO_LOWER not in core)):
+                if core not in known:
+                    known[core] = self._merge(lead + core)
+                known[w] = known[core] + stop
+            else:
+                others.append(w)
+        for i in range(0, len(others), 10_000):
+            part = others[i : i + 10_000]
             known.update(zip(part, self._call([lead + w for w in part]), strict=True))
-        for w, core in cores.items():
-            known[w] = known[core] + self.stops[w[-1]]
 
     def _lines(self, text: str) -> list[list[str]] | None:
         """Words by line, or None where the text must be encoded whole."""
         if not self.lead:
             return None if _ODD_BLANKS.search(text) else [text.split()]
-        lines = [line.split() for line in text.split("\n")]
-        if any(not words or " ".join(words) != line for words, line in zip(lines, text.split("\n"), strict=True)):
-            return None
-        return lines
+        lines = text.split("\n")
+        words = [line.split() for line in lines]
+        return None if any(not w or " ".join(w) != line for w, line in zip(words, lines, strict=True)) else words
+
+    def _make_room(self) -> None:
+        """Only words of the last groups stay when there are too many."""
+        if len(self.words) > CACHED_WORDS:
+            self.words = {w: self.words[w] for group in self.recent for w in group if w in self.words}
+        if len(self.first) > CACHED_WORDS // 8:
+            self.first = {}
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is the empty text."""
         split = [self._lines(t) if t else [[]] for t in texts]
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        if len(self.first) > CACHED_WORDS // 8:
-            self.first.clear()
-        skip = 1 if self.lead else 0  # the first word of a line has no blank before it
-        inner = {w for lines in split if lines for words in lines for w in words[skip:] if w not in self.words}
-        outer = {words[0] for lines in split if lines and skip for words in lines if words and words[0] not in self.first}
-        if inner:
-            self._learn(self.words, self.lead, inner)
-        if outer:
-            self._learn(self.first, "", outer)
+        self._make_room()
+        heads = {x[0] for lines in split if lines for x in lines if x} if self.lead else set()
+        if self.lead:  # the first word of a line has no blank before it
+            split = [None if lines is None else [(x[0], x[1:]) if x else None for x in lines] for lines in split]
+            inner = set(chain.from_iterable(x[1] for lines in split if lines for x in lines if x))
+        else:
+            inner = set(chain.from_iterable(lines[0] for lines in split if lines))
+        self.recent = [*self.recent[1 - RECENT_GROUPS :], {w for w in inner if len(w) <= CACHED_LENGTH}]
+        if new := inner.difference(self.words):
+            self._learn(self.words, self.lead, new)
+        if heads := heads.difference(self.first):
+            self._learn(self.first, "", heads)
         whole = iter(self._call([t for t, lines in zip(texts, split, strict=True) if lines is None]))
-        found = []
+        word, found = self.words.__getitem__, []
         for lines in split:
             if lines is None:
                 found.append(next(whole))
-            elif skip:
-                found.append(self.feed.join([b"".join([self.first[x[0]], *map(self.words.__getitem__, x[1:])]) if x else b"" for x in lines]))
+            elif self.lead:
+                found.append(self.feed.join([self.first[x[0]] + b"".join(map(word, x[1])) if x else b"" for x in lines]))
             else:
-                found.append(b"".join(map(self.words.__getitem__, lines[0])))
-        for known in (self.words, self.first):
-            for w in [w for w in (inner if known is self.words else outer) if len(w) > CACHED_LENGTH]:
-                del known[w]
+                found.append(b"".join(map(word, lines[0])))
+        for known, own in ((self.words, new), (self.first, heads)):
+            for w in own:
+                if len(w) > CACHED_LENGTH:
+                    known.pop(w, None), known.pop(w[:-1], None)
         return found
 
 
