@@ -78,3 +78,45 @@ def test_held_out_accuracy(spark):
 def test_no_labels_and_no_rows(spark):
     assert {r.verdict for r in u.judge(pages(spark, ["http://a.net/x", None]), RULES).collect()} == {"allow"}
     assert u.judge(pages(spark, []), RULES).count() == 0
+
+
+def plain_models(rows, order):
+    """As u.fit, from (url, verdict) rows."""
+    models = {"allow": ({}, {}), "block": ({}, {})}
+    for url, verdict in rows:
+        grams, contexts = models[verdict]
+        text = u.START * order + url + u.END
+        for i in range(order, len(text)):
+            for k in range(order + 1):
+                g = text[i - k : i + 1]
+                n, kinds = contexts.get(g[:-1], (0, 0))
+                contexts[g[:-1]] = n + 1, kinds + (g not in grams)
+                grams[g] = grams.get(g, 0) + 1
+    return models
+
+
+def plain_score(models, url, order):
+    text, total = u.START * order + url + u.END, 0.0
+    for i in range(order, len(text)):
+        total += math.log(u.probability(models["allow"], text[i - order : i], text[i])) - math.log(u.probability(models["block"], text[i - order : i], text[i]))
+    return total / (len(text) - order)
+
+
+def test_every_gram_counts_at_any_size(spark):
+    """Over 100,000 characters a class, rare grams still count, once as often as they are: scores equal those of whole models."""
+    rng = random.Random(9)
+    name = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(40))
+    good, bad = [f"http://{name()}.good.test/{name()}" for _ in range(1500)], [f"http://{name()}.bad.test/{name()}" for _ in range(1500)]
+    train = good + bad + good[:40] + ["http://zq.good.test/zqxjkv", "http://wy.bad.test/wyvbnp"]
+    new = ["http://new.test/zqxjkv", "http://new.test/wyvbnp", "http://other.test/" + name(), "", "日本"]
+    df = pages(spark, train + new + new[:1] + [None])
+    rules = [("allow", "good.test/"), ("block", "bad.test/")]
+    ruled = df.where("url LIKE '%.good.test/%' OR url LIKE '%.bad.test/%'").selectExpr("url", "IF(url LIKE '%.good.test/%', 'allow', 'block') AS verdict")
+    trained = ruled.where(F.pmod(F.xxhash64("url"), F.lit(u.FOLDS)) != u.HELD_OUT)
+    models = plain_models(trained.collect(), u.ORDER)
+    assert u.fit(trained) == models
+    assert all(sum(n for g, n in grams.items() if len(g) == 1) > 100_000 for grams, _ in models.values())
+    got = [(r.url, r.score) for r in u.judge(df, rules).where("rule IS NULL").collect()]
+    assert sorted(x for x, _ in got if x is not None) == sorted(new + new[:1]) and len(got) == len(new) + 2
+    for url, score in got:
+        assert math.isclose(score, plain_score(models, url or "", u.ORDER), abs_tol=1e-8), url
