@@ -63,6 +63,22 @@ def test_stages_on_planted_documents(spark, tmp_path):
         pieces.groupBy("doc_id").agg({"length": "sum"}).orderBy("doc_id").collect() == docs.groupBy("doc_id").agg({"length": "sum"}).orderBy("doc_id").collect()
 
 
+def test_near_copies_from_four_fifths_on(spark):
+    """Pairs of a five-word similarity of 0.80 to 0.85 lose a copy, those below stay; all are under 0.85 with four words."""
+    words = lambda k, n: [f"w{k}x{i}" for i in range(n)]
+    jaccard = lambda a, b, k: (lambda x, y: len(x & y) / len(x | y))(*({tuple(t[i : i + k]) for i in range(len(t) - k + 1)} for t in (a, b)))
+    pairs = []
+    for p in range(10):
+        long, short = words(2 * p, 100), words(2 * p + 1, 50)
+        pairs += [(long, long + words(f"end{p}", 18 + p % 7)), (short, short[:20] + [f"other{p}"] + short[21:])]  # a block at the end; one word changed
+        pairs.append((words(f"low{p}", 100), words(f"low{p}", 100) + words(f"more{p}", 25)))
+    rows = [(2 * i + j, " ".join(t), "en", "src0", 0) for i, pair in enumerate(pairs) for j, t in enumerate(pair)]
+    got = {r.doc_id for r in corpus_pipeline.ngram_join(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()}
+    copies = {2 * i + 1 for i, pair in enumerate(pairs) if jaccard(*pair, 5) >= 0.8}
+    assert got == {r[0] for r in rows} - copies and len(copies) == 20
+    assert all(jaccard(*pair, 4) < 0.85 for pair in pairs)
+
+
 def test_oracle_of_lines(spark):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
