@@ -1,15 +1,17 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 Texts and items become lower-case words without punctuation and then hashed shingles of SHINGLE words (all
-words of an item that has fewer).  A window of a document has as many words as the item.  Its SimHash weighs
-each shingle by how often the window holds it.  The 64 bits are cut into RADIUS + 1 blocks; two fingerprints
+words of an item that has fewer).  A window of a document has as many words as the item; a document shorter
+than the item, with at least `percent` of its shingles, is one window as a whole.  Its SimHash weighs each
+shingle by how often the window holds it.  The 64 bits are cut into RADIUS + 1 blocks; two fingerprints
 within RADIUS bits agree in one block at least, so an equality join on (window size, block, bits) finds all
 pairs within the radius, and each pair is kept at its first common block only.  What remains is verified:
 sum of the smaller weights over sum of the larger ones must reach `percent`.
 
 Not every window can match: one of m shingles that reaches the similarity s shares at least 2 s m / (1 + s)
 positions with the item, the first of them near its start.  So only windows with that many positions that
-hold a shingle of an item of their size are formed, which loses none and spares the rest of the corpus.
+hold a shingle of an item of their size are formed, which loses none and spares the rest of the corpus.  A whole
+text of l shingles needs s (l + m) / (1 + s) of them.
 
 The benchmark is handled in slices whose shingles number BROADCAST_ROWS at most; each slice is broadcast and
 one pass over the documents, so a large benchmark means more passes, not a larger broadcast.  Items and
@@ -95,10 +97,13 @@ def _windows(docs: DataFrame, items: DataFrame, k: int, percent: int) -> DataFra
     m = F.col("n") - (k - 1)
     ahead = F.floor(m * (100 - percent) / (100 + percent)).cast("int")
     first = F.greatest(F.col("p") - ahead, F.lit(0))
-    near = at.select("row", "own", "n", "p", first.alias("first"), m.alias("m"), F.slice("hashes", first + 1, F.col("p") - first + m).alias("part"))
+    length = F.size("hashes")
+    part = F.when(length < m, F.col("hashes")).otherwise(F.slice("hashes", first + 1, F.col("p") - first + m))
+    near = at.where(100 * length >= percent * m).select("row", "own", "n", "p", first.alias("first"), m.alias("m"), length.alias("l"), part.alias("part"))
     around = written(near, "hits")  # so that the texts are read once
     along = W.partitionBy("row", "n").orderBy("p")  # one text's own positions
-    hits = around.withColumns({"before": F.lag("p").over(along), "j": F.row_number().over(along)})
+    every = around.withColumns({"before": F.lag("p").over(along), "j": F.row_number().over(along)})
+    hits = every.where("l >= m")
     # a window needs this many of its positions among the hits: the last of them must lie inside
     least = F.ceil(F.col("m") * (2 * percent) / (100 + percent)).cast("int")
     ends = hits.select("row", "n", F.col("p").alias("end"), (F.col("j") - least + 1).alias("j"))
@@ -106,9 +111,12 @@ def _windows(docs: DataFrame, items: DataFrame, k: int, percent: int) -> DataFra
         "lo", F.greatest(F.col("first"), F.coalesce("before", F.lit(-1)) + 1, F.col("end") - F.col("m") + 1)
     ).where("lo <= p")
     each = starts.select("row", "own", "n", "first", "m", "part", F.explode(F.sequence("lo", "p")).alias("start"))
-    return each.where(F.size("part") >= F.col("start") - F.col("first") + F.col("m")).select(
+    inside = each.where(F.size("part") >= F.col("start") - F.col("first") + F.col("m")).select(
         "row", "own", "start", "n", F.slice("part", F.col("start") - F.col("first") + 1, F.col("m")).alias("window")
     )
+    enough = F.ceil((F.col("l") + F.col("m")) * percent / (100 + percent)).cast("int")
+    whole = every.where((F.col("l") < F.col("m")) & (F.col("j") == enough)).select("row", "own", F.lit(0).alias("start"), "n", F.col("part").alias("window"))
+    return inside.unionByName(whole)
 
 
 def matches(
@@ -133,17 +141,18 @@ def matches(
                 (F.bit_count(F.col("f").bitwiseXOR(F.col("fingerprint"))) <= radius) & (first_common_block(F.col("f"), F.col("fingerprint"), radius) == F.col("block"))
             )
             weighed = F.aggregate("weights", F.lit(0), lambda a, e: a + F.least(e["c"], F.size(F.filter("window", lambda x: x == e["h"]))))
-            single = (F.size("weights") == F.size("window")) | (F.size(F.array_distinct("window")) == F.size("window"))
+            m, length = F.col("n") - (k - 1), F.size("window")  # shingles of the item and of the window
+            single = (F.size("weights") == m) | (F.size(F.array_distinct("window")) == F.size("window"))
             both = F.when(single, F.size(F.array_intersect("window", F.transform("weights", lambda e: e["h"])))).otherwise(weighed)
-            m = F.size("window")
-            found.append(pairs.select("row", "own", "item_id", "start", "n", both.alias("both"), m.alias("m")).where(100 * F.col("both") >= percent * (2 * F.col("m") - F.col("both"))))
+            judged = pairs.select("row", "own", "item_id", "start", (length + (k - 1)).alias("n"), both.alias("both"), (m + length).alias("sum"))
+            found.append(judged.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))))
     every = reduce(DataFrame.unionAll, found)
     best = every.groupBy("row", "item_id").agg(
-        F.max(F.struct("both", (-F.col("start")).alias("s"), "n", "m")).alias("b"), F.first("own").alias("own"), F.count(F.lit(1)).alias("n_windows")
+        F.max(F.struct("both", (-F.col("start")).alias("s"), "n", "sum")).alias("b"), F.first("own").alias("own"), F.count(F.lit(1)).alias("n_windows")
     )
     return best.select(
         *[F.col("own").getField(c).alias(c) for c in keep], "item_id", (-F.col("b.s")).cast("long").alias("start"), F.col("b.n").cast("long").alias("n_words"),
-        (F.col("b.both") / (2 * F.col("b.m") - F.col("b.both"))).alias("similarity"), "n_windows",
+        (F.col("b.both") / (F.col("b.sum") - F.col("b.both"))).alias("similarity"), "n_windows",
     )
 
 

@@ -110,3 +110,28 @@ def test_odd_rows(spark, docs_of, odd_rows):
     assert d.matches(df.limit(0), bench, ["doc_id"]).count() == 0
     assert d.matches(df, bench.limit(0), ["doc_id"]).count() == 0
     assert d.clean(df, bench.limit(0)).count() == len(odd_rows)
+
+
+def test_documents_shorter_than_the_item(spark):
+    """The whole text is the window: found from the limit on, by the union of both; item sizes differ, and shingles repeat."""
+    rng = random.Random(8)
+    items = {n: [f"w{rng.randrange(5000)}" for _ in range(n)] for n in (15, 24, 40, 41, 59)}
+    items[48] = items[24] * 2
+    texts = {(n, cut): w[: n - cut] if cut % 2 else w[cut:] for n, w in items.items() for cut in range(14)}
+    docs = dict(enumerate(texts.values()))
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    want = brute(docs, items)
+    for key, doc in docs.items():
+        for i, item in items.items():
+            own, whole = (Counter(tuple(t[a : a + 5]) for a in range(len(t) - 4)) for t in (doc, item))
+            a, b, both = sum(own.values()), sum(whole.values()), sum((own & whole).values())
+            if a < b and 100 * both >= 80 * (a + b - both):
+                want[key, i] = both / (a + b - both)
+    rows = d.matches(df, bench, ["doc_id"]).collect()
+    got = {(r.doc_id, r.item_id): r.similarity for r in rows}
+    assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x]) for x in want)
+    short = [r for r in rows if len(docs[r.doc_id]) < len(items[r.item_id])]
+    assert len(short) > 20 and all((r.start, r.n_words, r.n_windows) == (0, len(docs[r.doc_id]), 1) for r in short)
+    cut = next(k for k, x in enumerate(texts) if x == (40, 3))
+    assert got[cut, 40] == pytest.approx(33 / 36) and cut not in {r.doc_id for r in d.clean(df, bench).collect()}
