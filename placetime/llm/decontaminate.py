@@ -17,8 +17,9 @@ The benchmark is handled in slices whose shingles number BROADCAST_ROWS at most;
 one pass over the documents, so a large benchmark means more passes, not a larger broadcast.  Items and
 windows are written to the shared folder with their fingerprints, so these are computed once.
 
-Null and blank texts and items match nothing.  Repeated documents are judged one by one, repeated items once
-an item_id; equal scores go to the earlier window.  An empty table gives an empty result.
+Null and blank texts and items match nothing.  Repeated documents are judged one by one, items with one
+item_id (or none) and different texts all count, and the best match of any is reported for the item_id; equal
+scores go to the earlier window.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ def first_common_block(a: Column, b: Column, radius: int) -> Column:
 
 def items_of(benchmark: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(item_id, n, k, hashes, weights, fingerprint) of the items with words."""
-    own = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).dropDuplicates(["item_id"])
+    own = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
     own = own.withColumns({"n": F.size("w"), "k": F.least(F.size("w"), F.lit(size))})
     one = reduce(lambda a, k: F.when(F.col("k") == k, shingle_hashes(F.col("w"), k)).otherwise(a), range(1, size), shingle_hashes(F.col("w"), size))
     own = own.select("item_id", "n", "k", one.alias("hashes"))
@@ -133,7 +134,7 @@ def matches(
     found = []
     for k in facts.ks or [size]:
         for s in range(slices):
-            own = items.where((F.col("k") == k) & (F.pmod(F.xxhash64("item_id"), F.lit(slices)) == s))
+            own = items.where((F.col("k") == k) & (F.pmod(F.xxhash64("item_id", "hashes"), F.lit(slices)) == s))
             windows = written(_windows(numbered, own, k, percent).withColumn("f", simhash(F.col("window"))), "windows")
             near = windows.select("*", F.posexplode(blocks(F.col("f"), radius)).alias("block", "bits"))
             wanted = own.select("item_id", "n", "weights", "fingerprint", F.posexplode(blocks(F.col("fingerprint"), radius)).alias("block", "bits"))
@@ -146,13 +147,14 @@ def matches(
             both = F.when(single, F.size(F.array_intersect("window", F.transform("weights", lambda e: e["h"])))).otherwise(weighed)
             judged = pairs.select("row", "own", "item_id", "start", (length + (k - 1)).alias("n"), both.alias("both"), (m + length).alias("sum"))
             found.append(judged.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))))
-    every = reduce(DataFrame.unionAll, found)
-    best = every.groupBy("row", "item_id").agg(
-        F.max(F.struct("both", (-F.col("start")).alias("s"), "n", "sum")).alias("b"), F.first("own").alias("own"), F.count(F.lit(1)).alias("n_windows")
+    every = reduce(DataFrame.unionAll, found).withColumn("similarity", F.col("both") / (F.col("sum") - F.col("both")))
+    windows = every.groupBy("row", "item_id", "start", "n").agg(F.max("similarity").alias("similarity"), F.first("own").alias("own"))  # texts of one id may share one
+    best = windows.groupBy("row", "item_id").agg(
+        F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n")).alias("b"), F.first("own").alias("own"), F.count(F.lit(1)).alias("n_windows")
     )
     return best.select(
         *[F.col("own").getField(c).alias(c) for c in keep], "item_id", (-F.col("b.s")).cast("long").alias("start"), F.col("b.n").cast("long").alias("n_words"),
-        (F.col("b.both") / (F.col("b.sum") - F.col("b.both"))).alias("similarity"), "n_windows",
+        F.col("b.similarity").alias("similarity"), "n_windows",
     )
 
 

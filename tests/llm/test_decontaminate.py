@@ -135,3 +135,20 @@ def test_documents_shorter_than_the_item(spark):
     assert len(short) > 20 and all((r.start, r.n_words, r.n_windows) == (0, len(docs[r.doc_id]), 1) for r in short)
     cut = next(k for k, x in enumerate(texts) if x == (40, 3))
     assert got[cut, 40] == pytest.approx(33 / 36) and cut not in {r.doc_id for r in d.clean(df, bench).collect()}
+
+
+def test_items_that_share_an_id(spark):
+    """Texts of one id, and of none, all count; the best match is reported once an id."""
+    rng = random.Random(12)
+    a, b, c, e = ([f"w{rng.randrange(5000)}" for _ in range(n)] for n in (30, 30, 40, 25))
+    near = [*a[:29], "changed"]
+    texts = [a, b, c, e, ["before", *near, "after"], c + b]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in [(1, a), (1, near), (1, b), (1, b), (None, c), (None, e), (2, c)]], "item_id long, text string")
+    for settings in ({}, {"broadcast_rows": 30}):
+        got = {(r.doc_id, r.item_id): (r.start, r.n_words, r.similarity) for r in d.matches(df, bench, ["doc_id"], **settings).collect()}
+        assert got == {
+            (0, 1): (0, 30, 1.0), (1, 1): (0, 30, 1.0), (2, None): (0, 40, 1.0), (2, 2): (0, 40, 1.0), (3, None): (0, 25, 1.0),
+            (4, 1): (1, 30, 1.0), (5, None): (0, 40, 1.0), (5, 2): (0, 40, 1.0), (5, 1): (40, 30, 1.0),
+        }
+    assert d.clean(df, bench).count() == 0
