@@ -19,9 +19,3 @@ def spark(tmp_path_factory):
     )
     yield s
     s.stop()
-
-
-def rows(df, *cols):
-    """Sorted tuples of the chosen columns."""
-    got = [tuple(r) for r in (df.select(*cols) if cols else df).collect()]
-    return sorted(got, key=lambda r: tuple((v is None, str(type(v)), v) if not isinstance(v, (list, dict)) else (False, "", str(v)) for v in r))

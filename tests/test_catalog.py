@@ -1,6 +1,9 @@
 """Named queries against their SQL twins in DuckDB on the smallest tables, and plan checks."""
 
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pandas as pd
@@ -63,6 +66,17 @@ def test_every_query_has_a_twin():
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
+def test_the_rest_works_without_the_corpus_operators(tmp_path):
+    """A copy without placetime/llm and tests/llm, with and without corpus_pipeline.py, still lists every other query."""
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    for left_out in (("llm",), ("llm", "corpus_pipeline.py")):
+        copy = tmp_path / str(len(left_out))
+        shutil.copytree(root, copy, ignore=shutil.ignore_patterns(*left_out, ".git", "__pycache__"))
+        code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+        got = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=300, env={**os.environ, "PYTHONPATH": ""})
+        assert got.stdout.split() == [str(len(QUERIES)), str(len(ORACLES))], got.stderr
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 

@@ -3,7 +3,7 @@ import math
 import random
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from placetime.functions import fixed
@@ -489,15 +489,15 @@ def test_polygons_equal_brute_force(spark, size):
         assert got == want
 
 
-def test_polygons_beyond_the_broadcast_bound_are_joined_salted(spark, monkeypatch):
+def test_polygons_beyond_the_broadcast_bound_are_joined_plainly(spark, monkeypatch):
     square = [(0.0, 0.0, 0.0, 1.0), (1.0, 0.0, 0.0, 0.0), (1.0, 1.0, 1.0, 0.0), (0.0, 1.0, 1.0, 1.0)]
     rings = spark.createDataFrame([("A", 0, 0, "outer", square)], "district string, feature_order int, part int, role string, edges array<struct<x1:double,y1:double,x2:double,y2:double>>")
     pts = spark.range(0, 600).select("id", F.when(F.col("id") % 3 == 0, 50000).otherwise(F.col("id") * 500).cast("int").alias("lat_e5"), F.when(F.col("id") % 7 != 0, 50000).alias("lng_e5"))
     want = rows(sp.assign_polygon(pts, rings, size=20000), "id", "district")
     monkeypatch.setattr(sp, "POLYGON_INDEX_ROWS", 0)
-    salted = sp.assign_polygon(pts, rings, size=20000)
-    assert "_salt" in salted._jdf.queryExecution().toString()
-    assert rows(salted, "id", "district") == want and ("A" in {d for _, d in want}) and ("UNKNOWN" in {d for _, d in want})
+    joined = sp.assign_polygon(pts, rings, size=20000)
+    assert "strategy=broadcast" not in joined._jdf.queryExecution().analyzed().toString()
+    assert rows(joined, "id", "district") == want and ("A" in {d for _, d in want}) and ("UNKNOWN" in {d for _, d in want})
 
 
 def test_written_tables_may_be_empty(spark):

@@ -1,7 +1,7 @@
 """Rules that must hold at any size: no cap, no switch, no order left to chance."""
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from placetime.functions.joins import is_small, lookup_join
