@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bitplanes, boilerplate, contextual_pii, crf_secrets, decontaminate, divergence, group_join, merkle, packing, quotes, url_model
+from . import bitplanes, boilerplate, collocations, contextual_pii, crf_secrets, decontaminate, divergence, group_join, merkle, packing, quotes, url_model
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_join.classes(load(spark, sf_dir, "documents"))
 
 
+@query("op11_son_collocations", collocations.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.best_phrases(load(spark, sf_dir, "documents").select("text", "lang"))
+
+
 @query("op12_nested_intervals", merkle.SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.checked(load(spark, sf_dir, "documents"))
