@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bitplanes, boilerplate, collocations, contextual_pii, crf_secrets, decontaminate, divergence, group_join, merkle, packing, quotes, url_model
+from . import bitplanes, boilerplate, collocations, contextual_pii, crf_secrets, decontaminate, divergence, group_join, main_text, merkle, packing, quotes, url_model
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_nested_intervals", merkle.SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.checked(load(spark, sf_dir, "documents"))
+
+
+@query("op13_block_field")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_texts(load(spark, sf_dir, "pages"))
