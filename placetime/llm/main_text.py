@@ -33,16 +33,42 @@ OTHER, TEXT = 0, 1
 LENGTHS = (1, 2, 4, 8, 15, 30, 60)
 
 
+#: Names of elements by kind, for features and for composed pages.
+NAMES = {
+    "text": "article content post entry story main body text article-body post-content entry-content story-text main-content page-content prose",
+    "header": "header masthead topbar branding site-header logo site-title",
+    "menu": "nav navbar navigation menu breadcrumb breadcrumbs main-menu toc pagination pager",
+    "footer": "footer foot colophon site-footer copyright legal credits bottom",
+    "sidebar": "sidebar side rail widget widgets related popular trending recommended recent-posts more-stories",
+    "notice": "notice cookie cookies cookie-notice cookie-banner consent gdpr alert banner popup modal overlay disclaimer paywall announcement",
+    "advert": "ad ads advert advertisement sponsor sponsored promo promotion ad-slot banner-ad",
+    "form": "form search search-form newsletter subscribe signup login contact-form feedback",
+    "comments": "comments comment-list reader-comments discussion responses replies comment-section user-comments",
+    "share": "share social sharing share-buttons follow social-links",
+}
+TAGS = {"header": "header", "menu": "nav", "footer": "footer", "sidebar": "aside", "advert": "aside", "form": "form", "notice": "aside", "comments": "section"}
+TAG_KINDS = {"header": "header", "nav": "menu", "footer": "footer", "aside": "sidebar", "form": "form", "article": "text", "main": "text"}
+#: Words of names that tell a kind; those that stand in names of several kinds tell the first.
+KINDS = {w: kind for kind, names in reversed(NAMES.items()) for name in names.split() for w in name.split("-") if w not in ("site", "more", "user", "bottom")}
+
+
 @lru_cache(100_000)
 def path_features(path: tuple[Element, ...]) -> tuple[str, ...]:
     out = {f"in:{e.tag}" for e in path} | {f"name:{n}" for e in path for n in e.names}
     if path:
         out |= {f"at:{path[-1].tag}"} | {f"own:{n}" for n in path[-1].names}
-        within = [e.tag for e in path if e.tag in ("article", "aside", "footer", "form", "header", "main", "nav", "section")]
-        out.add("nearest:" + (within[-1] if within else "none"))
+        kinds = [k for k in map(kind_of, path) if k]
+        out |= {f"kind:{k}" for k in kinds} | {"inner:" + (kinds[-1] if kinds else "none"), "outer:" + (kinds[0] if kinds else "none")}
     return tuple(sorted(out))
 
 
+@lru_cache(100_000)
+def kind_of(element: Element) -> str | None:
+    """What the names of an element, or else its tag, tell; kinds other than text come first."""
+    told = {KINDS[n] for n in element.names if n in KINDS}
+    return min(told - {"text"}, default=None) or TAG_KINDS.get(element.tag) or min(told, default=None)
+
+
 def text_features(block: Block) -> list[str]:
     text = block.text
     words = text.count(" ") + 1
@@ -65,19 +91,6 @@ def features_of(blocks: Sequence[Block]) -> list[tuple[tuple[str, ...], list[str
 
 # -- labelled pages -----------------------------------------------------------------------------------------------
 MARK = ""      # begins every block of main text in a composed page
-NAMES = {
-    "text": "article content post entry story main body text article-body post-content entry-content story-text main-content page-content prose",
-    "header": "header masthead topbar branding site-header logo site-title",
-    "menu": "nav navbar navigation menu breadcrumb breadcrumbs main-menu toc pagination pager",
-    "footer": "footer foot colophon site-footer copyright legal credits bottom",
-    "sidebar": "sidebar side rail widget widgets related popular trending recommended recent-posts more-stories",
-    "notice": "notice cookie cookies cookie-notice cookie-banner consent gdpr alert banner popup modal overlay disclaimer paywall announcement",
-    "advert": "ad ads advert advertisement sponsor sponsored promo promotion ad-slot banner-ad",
-    "form": "form search search-form newsletter subscribe signup login contact-form feedback",
-    "comments": "comments comment-list reader-comments discussion responses replies comment-section user-comments",
-    "share": "share social sharing share-buttons follow social-links",
-}
-TAGS = {"header": "header", "menu": "nav", "footer": "footer", "sidebar": "aside", "advert": "aside", "form": "form", "notice": "aside", "comments": "section"}
 LAYOUT_NAMES = "row col container wrapper inner clearfix box grid left right".split()
 
 
@@ -125,7 +138,7 @@ class Composer:
         elif kind == "form":
             inner = f"<label>{self.some(1, 4)}</label><input name=q><p>{self.some(2, 12)}</p><button>{self.some(1, 2)}</button>"
         elif kind == "comments":
-            shape = rnd.choice(["<div class=comment><p>{}</p></div>", "<li class='comment'><p class=author>{a}</p><p>{}</p></li>", "<article class=comment><p>{}</p></article>", "<p>{}</p>", "<div><b>{a}</b><p>{}</p><p>{}</p></div>"])
+            shape = rnd.choice(["<div class=comment><p>{}</p></div>", "<li class='comment'><p class=author>{a}</p><p>{}</p></li>", "<article class=comment><p>{}</p></article>", "<article><p>{}</p></article>", "<p>{}</p>", "<div><b>{a}</b><p>{}</p><p>{}</p></div>"])
             inner = f"<h3>{self.some(1, 3)}</h3>" * rnd.randint(0, 1) + "".join(shape.replace("{a}", self.some(1, 2)).replace("{}", self.sentence()) for _ in range(rnd.randint(1, 5)))
         else:
             inner = rnd.choice(["<p>{}</p>", "{}", "<a href='/x'>{}</a>", "<p>{}</p><p>{}</p>", "<div>{}</div>"]).replace("{}", self.sentence())
@@ -148,7 +161,7 @@ class Composer:
         for kind in ("advert", "share", "notice", "sidebar", "form", "menu"):
             if rnd.random() < 0.12:
                 out.insert(rnd.randint(0, len(out)), self.other(kind))
-        late = self.other("comments") if rnd.random() < 0.15 else ""
+        late = self.other("comments") if rnd.random() < 0.25 else ""
         inner = head + "".join(out) + late
         name = rnd.choice(NAMES["text"].split())
         return rnd.choice([
@@ -161,7 +174,7 @@ class Composer:
         maybe = lambda kind, p: self.other(kind) if rnd.random() < p else ""
         before = [maybe("notice", 0.25), maybe("header", 0.5), maybe("menu", 0.6), maybe("advert", 0.4), maybe("form", 0.15), maybe("sidebar", 0.2)]
         after = [maybe("share", 0.15), maybe("advert", 0.2), maybe("comments", 0.4), maybe("sidebar", 0.4), maybe("form", 0.2), maybe("notice", 0.15), maybe("footer", 0.7)]
-        inner = "".join(before) + self.main() + "".join(after)
+        inner = "".join(before) * (rnd.random() < 0.7) + self.main() + "".join(after) * (rnd.random() < 0.85)
         if rnd.random() < 0.2:
             inner = f'<div class="{rnd.choice(LAYOUT_NAMES)}">{inner}</div>'
         return f"<html><head><title>{self.some(2, 8)}</title></head><body>{inner}</body></html>"
