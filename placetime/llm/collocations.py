@@ -7,8 +7,9 @@ f(phrase) counts the contiguous occurrences of 1 to `longest` words inside piece
    language's bytes mines all phrases with at least ceil(support * w) occurrences there, level by level: a phrase
    is counted where the phrases without its first and without its last word are frequent.  The shares add up to
    1, so a phrase with `support` occurrences in all reaches the local support in some shard: none is missed.
-2. The union of the locally frequent phrases is a table.
-3. All of them are counted in every text, exactly, in blocks of about BLOCK phrases: a block is a table of
+2. The union of the locally frequent phrases is a table.  Where a shard did not report a phrase it holds at most its
+   local support less one; candidates that cannot reach `support` even with that everywhere are left out.
+3. All others are counted in every text, exactly, in blocks of about BLOCK phrases: a block is a table of
    (phrase of the first k - 1 words, next word) sent to the tasks, so its size is bounded, and each further block
    is one more pass over the texts.  Counts are summed in Spark; those below `support` go.
 
@@ -38,8 +39,8 @@ from .common import python_ready, written
 ENDS = b".,;:!?\n\x0b\x0c\r"
 TO_LINES = bytes.maketrans(ENDS, b"\n" * len(ENDS))
 SUPPORT, LONGEST, COVERED, TOP = 100, 5, 100, 2000
-SHARD_BYTES = 16 << 20
-BLOCK = 250_000
+SHARD_BYTES = 24 << 20
+BLOCK = 400_000
 GAP = -1
 
 
@@ -78,7 +79,8 @@ def with_lang(docs: DataFrame) -> DataFrame:
 
 
 def locally_frequent(texts: DataFrame, support: int, longest: int, shard_bytes: int) -> DataFrame:
-    """(lang, phrase, n) of every shard's own frequent phrases, and (lang, null, n) with its number of words."""
+    """(lang, phrase, n, slack) of every shard's own frequent phrases, and (lang, null, n, slack) with its number of
+    words; slack is how often a phrase that the shard does not report may occur in it."""
     python_ready(texts.sparkSession)
     totals = written(texts.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("total")), "phrases-bytes")
     shards = 1 + (totals.agg(F.sum("total")).first()[0] or 0) // shard_bytes
@@ -98,53 +100,49 @@ def locally_frequent(texts: DataFrame, support: int, longest: int, shard_bytes:
         for lang, arrays in parts.items():
             ids = np.concatenate(arrays)
             own, total = size[lang]
-            yield phrase_rows([lang], [None], [int((ids >= 0).sum())])
-            if not len(ids):
-                continue
-            for first, n, k in mine(ids, max(1, -(-support * own // max(1, total))), longest):
+            local = max(1, -(-support * own // max(1, total)))
+            yield phrase_rows([lang], [None], [int((ids >= 0).sum())], local - 1)
+            for first, n, k in mine(ids, local, longest):
                 for at in range(0, len(first), 50_000):
                     some = ids[first[at : at + 50_000, None] + np.arange(k)]
                     phrases = [b" ".join([words[w] for w in row]).decode("utf-8", "surrogatepass") for row in some.tolist()]
-                    yield phrase_rows([lang] * len(phrases), phrases, n[at : at + 50_000])
+                    yield phrase_rows([lang] * len(phrases), phrases, n[at : at + 50_000], local - 1)
 
     dealt = texts.join(totals, "lang").select("lang", "text", "total").repartition(int(shards))
-    return dealt.mapInArrow(run, "lang string, phrase string, n long")
+    return dealt.mapInArrow(run, COUNTS)
 
 
-def phrase_rows(langs, phrases, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
+COUNTS = "lang string, phrase string, n long, slack long"
+
+
+def phrase_rows(langs, phrases, n, slack: int = 0) -> pa.RecordBatch:
+    columns = [pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(n, pa.int64()), pa.array([slack] * len(langs), pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n", "slack"])
 
 
 class Block:
     """Candidates as steps from phrase to phrase by one more word, exact: sorted (phrase, word) pairs."""
 
-    def __init__(self, phrases: list[bytes]):
-        self.phrases = phrases
-        split = [p.split(b" ") for p in phrases]
-        self.words = {w: k for k, w in enumerate(sorted({w for p in split for w in p}))}
-        ids = [[self.words[w] for w in p] for p in split]
+    def __init__(self, words: list[bytes], rows: np.ndarray):
+        """rows: the words of each candidate, by position in `words`, then -1."""
+        self.words, self.rows = words, rows
         self.steps: list[tuple[np.ndarray, np.ndarray]] = []      # per length: sorted pairs, candidate or -1
-        node = {(): 0}
-        for k in range(1, max(map(len, ids), default=0) + 1):
-            own = {tuple(p): c for c, p in enumerate(ids) if len(p) == k}
-            met = sorted({node[tuple(p[: k - 1])] * len(self.words) + p[k - 1] for p in ids if len(p) >= k})
-            where = {pair: at for at, pair in enumerate(met)}
-            chosen = np.full(len(met), -1)
-            following = {}
-            for p in ids:
-                if len(p) >= k:
-                    key = tuple(p[:k])
-                    following[key] = where[node[key[:-1]] * len(self.words) + p[k - 1]]
-                    if len(p) == k:
-                        chosen[following[key]] = own[key]
-            self.steps.append((np.array(met, np.int64), chosen))
-            node = following
+        node, longest = np.zeros(len(rows), np.int64), rows.shape[1]
+        for k in range(longest):
+            going = rows[:, k] >= 0
+            pairs, node[going] = np.unique(node[going] * len(words) + rows[going, k], return_inverse=True)
+            ends = going & (rows[:, k + 1] < 0) if k + 1 < longest else going
+            chosen = np.full(len(pairs), -1)
+            chosen[node[ends]] = np.flatnonzero(ends)
+            self.steps.append((pairs, chosen))
 
     def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
-        """Add the occurrences of every candidate in ids (numbers of self.words, or GAP)."""
+        """Add the occurrences of every candidate in ids (positions in self.words, or GAP)."""
         at = np.flatnonzero(ids >= 0)
         node = np.zeros(len(at), np.int64)
         for k, (pairs, chosen) in enumerate(self.steps):
+            if not len(pairs):
+                return
             inside = at + k < len(ids)
             at, node = at[inside], node[inside]
             word = ids[at + k]
@@ -155,27 +153,41 @@ class Block:
             met = chosen[node]
             counts += np.bincount(met[met >= 0], minlength=len(counts))
 
+    def phrases(self, candidates: np.ndarray) -> list[str]:
+        return [b" ".join([self.words[w] for w in row if w >= 0]).decode("utf-8", "surrogatepass") for row in self.rows[candidates].tolist()]
+
+
+def as_rows(phrases: list[str], longest: int) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words of phrases, and each phrase as positions in them."""
+    number: dict[bytes, int] = defaultdict(count().__next__)
+    rows = np.full((len(phrases), longest), -1, np.int32)
+    for k, phrase in enumerate(phrases):
+        own = [number[w] for w in phrase.encode("utf-8", "surrogatepass").split(b" ")]
+        rows[k, : len(own)] = own
+    return list(number), rows
+
 
-def counted(texts: DataFrame, candidates: DataFrame, block: int) -> DataFrame:
+def counted(texts: DataFrame, candidates: DataFrame, longest: int, block: int) -> DataFrame:
     """(lang, phrase, f) of every candidate, over all texts."""
     blocks = 1 + candidates.count() // block
     out = None
     for k in range(blocks):
-        rows = candidates.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(blocks)) == k).toArrow().to_pylist()
-        phrases: dict[str, list[bytes]] = defaultdict(list)
-        for row in sorted(rows, key=lambda r: (r["lang"], r["phrase"])):
-            phrases[row["lang"]].append(row["phrase"].encode("utf-8", "surrogatepass"))
+        own: dict[str, list[str]] = defaultdict(list)
+        for row in candidates.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(blocks)) == k).toArrow().to_batches():
+            for lang, phrase in zip(row.column(0).to_pylist(), row.column(1).to_pylist(), strict=True):
+                own[lang].append(phrase)
+        wanted = {lang: as_rows(phrases, longest) for lang, phrases in own.items()}
 
-        def run(batches: Iterator[pa.RecordBatch], phrases=dict(phrases)) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
             made: dict[str, tuple[Block, dict[bytes, int], np.ndarray]] = {}
             for batch in batches:
                 gathered: dict[str, list[int]] = defaultdict(list)
                 for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if lang not in phrases:
+                    if lang not in wanted:
                         continue
                     if lang not in made:
-                        own = Block(phrases[lang])
-                        made[lang] = own, defaultdict(lambda: GAP, own.words), np.zeros(len(own.phrases), np.int64)
+                        words, rows = wanted[lang]
+                        made[lang] = Block(words, rows), {w: n for n, w in enumerate(words)}, np.zeros(len(rows), np.int64)
                     gathered[lang] += _known_ids(text, made[lang][1])
                 for lang, ids in gathered.items():
                     made[lang][0].add(np.array(ids, np.int64), made[lang][2])
@@ -183,9 +195,9 @@ def counted(texts: DataFrame, candidates: DataFrame, block: int) -> DataFrame:
                 hit = np.flatnonzero(counts)
                 for at in range(0, len(hit), 50_000):
                     some = hit[at : at + 50_000]
-                    yield phrase_rows([lang] * len(some), [own.phrases[c].decode("utf-8", "surrogatepass") for c in some], counts[some])
+                    yield phrase_rows([lang] * len(some), own.phrases(some), counts[some])
 
-        one = texts.mapInArrow(run, "lang string, phrase string, n long")
+        one = texts.mapInArrow(run, COUNTS)
         out = one if out is None else out.unionByName(one)
     return out.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
 
@@ -206,8 +218,10 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
     texts = with_lang(docs)
     local = written(locally_frequent(texts, support, longest, shard_bytes), "phrases-local")
     words = local.where("phrase is null").groupBy("lang").agg(F.sum("n").alias("n"))
-    candidates = written(local.where("phrase is not null").select("lang", "phrase").distinct(), "phrases-candidates")
-    return written(counted(texts, candidates, block).where(F.col("f") >= support), "phrases-frequent"), words
+    slack = local.where("phrase is null").groupBy("lang").agg(F.sum("slack").alias("most"))
+    excess = local.where("phrase is not null").groupBy("lang", "phrase").agg(F.sum(F.col("n") - F.col("slack")).alias("excess"))
+    candidates = written(excess.join(slack, "lang").where(F.col("excess") + F.col("most") >= support).select("lang", "phrase"), "phrases-candidates")
+    return written(counted(texts, candidates, longest, block).where(F.col("f") >= support), "phrases-frequent"), words
 
 
 def scored(frequent: DataFrame, words: DataFrame, covered: int = COVERED) -> DataFrame:
