@@ -11,7 +11,9 @@ f(phrase) counts the contiguous occurrences of 1 to `longest` words inside piece
    local support less one; candidates that cannot reach `support` even with that everywhere are left out.
 3. All others are counted in every text, exactly, in blocks of about BLOCK phrases: a block is a table of
    (phrase of the first k - 1 words, next word) sent to the tasks, so its size is bounded, and each further block
-   is one more pass over the texts.  Counts are summed in Spark; those below `support` go.
+   is one more pass over the texts.  A task keeps one count a candidate, however much text it reads, so the pass
+   takes two tasks a core instead of one a file split: partial counts do not grow with tasks times candidates.
+   Counts are summed in Spark; those below `support` go.
 
 A cut of a phrase after its first k words has the score floor(1000 * a * n / (l * r)), in integers of any length:
 a = f(phrase), l and r = f of the two parts, n = all words of the language.  The lowest cut counts, ties to the
@@ -170,6 +172,7 @@ def as_rows(phrases: list[str], longest: int) -> tuple[list[bytes], np.ndarray]:
 def counted(texts: DataFrame, candidates: DataFrame, longest: int, block: int) -> DataFrame:
     """(lang, phrase, f) of every candidate, over all texts."""
     blocks = 1 + candidates.count() // block
+    texts = texts.coalesce(2 * texts.sparkSession.sparkContext.defaultParallelism)
     out = None
     for k in range(blocks):
         own: dict[str, list[str]] = defaultdict(list)
