@@ -58,22 +58,38 @@ def word_ids(text: str, number: dict[bytes, int]) -> list[int]:
 
 def mine(ids: np.ndarray, support: int, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(first positions, counts, words) of all phrases of each length with at least `support` occurrences."""
-    mark, m = ids.astype(np.int64), int(ids.max(initial=-1)) + 1
+    mark, m = ids.astype(np.int32), 0                  # mark[i]: the frequent phrase of size - 1 words at i, or GAP
     for size in range(1, longest + 1):
-        if size > 1:  # mark[i] is the frequent phrase of size - 1 words at i
-            before, after = mark[:-1], mark[1:]
-            mark = np.where((before >= 0) & (after >= 0), before * m + after, GAP)
-        at = np.flatnonzero(mark >= 0)
+        if size == 1:
+            at = np.flatnonzero(mark >= 0).astype(np.int32)
+            key = mark[at]
+        else:                                          # a phrase is two overlapping frequent ones of a word less
+            at = np.flatnonzero((mark[:-1] >= 0) & (mark[1:] >= 0)).astype(np.int32)
+            key = mark[at].astype(np.int64) * m + mark[at + 1]
         if not len(at):
             return
-        _, first, inverse, n = np.unique(mark[at], return_index=True, return_inverse=True, return_counts=True)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        begins = np.concatenate([[True], key[1:] != key[:-1]])
+        del key
+        order = at[order]
+        starts = np.flatnonzero(begins)
+        n = np.diff(starts, append=len(order))
         frequent = n >= support
         if not frequent.any():
             return
-        yield at[first[frequent]], n[frequent], size
-        dense = np.where(frequent, np.cumsum(frequent) - 1, GAP)
-        mark[at] = dense[inverse]
+        yield order[starts[frequent]], n[frequent], size
         m = int(frequent.sum())
+        dense = np.where(frequent, np.cumsum(frequent) - 1, GAP).astype(np.int32)
+        mark = np.full(len(mark), GAP, np.int32)
+        mark[order] = np.repeat(dense, n)
+
+
+def texts_of(batch: pa.RecordBatch, rows: int = 500) -> Iterator[tuple]:
+    """The rows of a batch as Python values, a few at a time, then None after every few."""
+    for at in range(0, batch.num_rows, rows):
+        yield from zip(*(c.to_pylist() for c in batch.slice(at, rows).columns), strict=True)
+        yield None
 
 
 def with_lang(docs: DataFrame) -> DataFrame:
@@ -93,14 +109,19 @@ def locally_frequent(texts: DataFrame, support: int, longest: int, shard_bytes:
         size: dict[str, list[int]] = {}
         for batch in batches:
             gathered: dict[str, list[int]] = defaultdict(list)
-            for lang, text, total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                gathered[lang] += word_ids(text, number)
-                size.setdefault(lang, [0, total])[0] += len(text.encode("utf-8", "surrogatepass"))
-            for lang, ids in gathered.items():
-                parts[lang].append(np.array(ids, np.int32))
+            for row in texts_of(batch):
+                if row:
+                    lang, text, total = row
+                    gathered[lang] += word_ids(text, number)
+                    size.setdefault(lang, [0, total])[0] += len(text.encode("utf-8", "surrogatepass"))
+                else:
+                    for lang, ids in gathered.items():
+                        parts[lang].append(np.array(ids, np.int32))
+                    gathered.clear()
         words = list(number)
-        for lang, arrays in parts.items():
-            ids = np.concatenate(arrays)
+        number.clear()
+        for lang in list(parts):
+            ids = np.concatenate(parts.pop(lang))
             own, total = size[lang]
             local = max(1, -(-support * own // max(1, total)))
             yield phrase_rows([lang], [None], [int((ids >= 0).sum())], local - 1)
@@ -185,15 +206,17 @@ def counted(texts: DataFrame, candidates: DataFrame, longest: int, block: int) -
             made: dict[str, tuple[Block, dict[bytes, int], np.ndarray]] = {}
             for batch in batches:
                 gathered: dict[str, list[int]] = defaultdict(list)
-                for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if lang not in wanted:
-                        continue
-                    if lang not in made:
-                        words, rows = wanted[lang]
-                        made[lang] = Block(words, rows), {w: n for n, w in enumerate(words)}, np.zeros(len(rows), np.int64)
-                    gathered[lang] += _known_ids(text, made[lang][1])
-                for lang, ids in gathered.items():
-                    made[lang][0].add(np.array(ids, np.int64), made[lang][2])
+                for row in texts_of(batch):
+                    if row is None:
+                        for lang, ids in gathered.items():
+                            made[lang][0].add(np.array(ids, np.int64), made[lang][2])
+                        gathered.clear()
+                    elif row[0] in wanted:
+                        lang, text = row
+                        if lang not in made:
+                            words, rows = wanted[lang]
+                            made[lang] = Block(words, rows), {w: n for n, w in enumerate(words)}, np.zeros(len(rows), np.int64)
+                        gathered[lang] += _known_ids(text, made[lang][1])
             for lang, (own, _, counts) in made.items():
                 hit = np.flatnonzero(counts)
                 for at in range(0, len(hit), 50_000):
