@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed
+from ..sources.predicates import Predicate, same
 from .rollup import CITYWIDE
 
 
@@ -133,8 +134,9 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str], value: st
 
 
 def registry_conflicts(registries: dict[str, Sequence], spark) -> DataFrame:
-    """Signals with one key but different filters across registries."""
-    rows = [(r, s.key, str(s.where())) for r, sigs in registries.items() for s in sigs]
+    """Signals with one key but different filters across registries, by the filters' normal forms: the order, nesting
+    and repetition of terms do not count."""
+    rows = [(r, s.key, repr(s.filter.normal())) for r, sigs in registries.items() for s in sigs]
     df = spark.createDataFrame(rows, "registry string, signal string, filter string")
     per = df.groupBy("signal").agg(
         F.count_distinct("filter").alias("filters"), F.array_sort(F.collect_set("registry")).alias("registries")
@@ -142,6 +144,30 @@ def registry_conflicts(registries: dict[str, Sequence], spark) -> DataFrame:
     return _violations(per.where("filters > 1"), "filter_drift", F.col("signal"), F.array_join("registries", ","))
 
 
+def filter_parity(tables: dict[str, DataFrame], pairs: dict[str, tuple[str, Predicate, Predicate]]) -> DataFrame:
+    """Pairs of filters that should be one, by definition and by data: (entity, same_form, ours, theirs, apart).
+
+    pairs: name -> (table, ours, theirs).  `same_form` compares normal forms, so it holds on any data; `apart`
+    counts rows that only one of the two takes.  One pass a table."""
+    out = None
+    for table, df in tables.items():
+        own = {name: (a, b) for name, (t, a, b) in pairs.items() if t == table}
+        if not own:
+            continue
+        holds = lambda p: F.coalesce(p.column(), F.lit(False))
+        tests = {f"{side}{k}": holds(p) for k, pair in enumerate(own.values()) for side, p in zip("ab", pair)}
+        counts = df.select(*[c.alias(n) for n, c in tests.items()]).agg(
+            *[F.count_if(n).alias(n) for n in tests], *[F.count_if(F.col(f"a{k}") != F.col(f"b{k}")).alias(f"x{k}") for k in range(len(own))]
+        )
+        rows = [
+            F.struct(F.lit(name).alias("entity"), F.lit(same(a, b)).alias("same_form"), F.col(f"a{k}").alias("ours"), F.col(f"b{k}").alias("theirs"), F.col(f"x{k}").alias("apart"))
+            for k, (name, (a, b)) in enumerate(own.items())
+        ]
+        one = counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def bad_stops(stops: DataFrame, neighbours: DataFrame, totals: DataFrame, box: tuple[int, int, int, int], sheltered: tuple[int, int] | None = None, unmatched: float = 0.05) -> DataFrame:
     """Stop-table checks: unique ids, inside the box, not its own neighbour, no negative
     totals, sheltered count in range, few stops missing from the feed."""
@@ -206,4 +232,3 @@ def class_invariants(classified: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def cliff_flag(pct: Column, band: float = fixed.CLIFF_BAND) -> Column:
     return F.coalesce(F.abs(pct) > band, F.lit(False))
-

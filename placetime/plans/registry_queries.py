@@ -4,9 +4,12 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import evaluate as ev
+from ..operators import quality as qu
 from ..operators import rollup as ru
 from ..sources import events as se
+from ..sources import predicates as pr
 from ..sources import registry as rg
+from ..sources import sinks as sk
 from . import tables as t
 from .catalog import query
 
@@ -92,7 +95,7 @@ def _unique(*registries):
 
 
 def _tag(df, signals):
-    return rg.tag_signals(df, {k: s.where() for k, s in signals.items()})
+    return rg.tag_signals(df, {k: s.filter for k, s in signals.items()})
 
 
 @query("registry_calls", f"""WITH {_CALLS}, x AS (SELECT id, unnest(list_filter([CASE WHEN drug AND comm THEN 'cfs_drug' END, CASE WHEN ct = 'SIT/LIE ENFORCEMENT' AND comm AND NOT dup THEN 'cfs_sitlie' END,
@@ -108,8 +111,8 @@ def registry_calls(spark, sf):
   CASE WHEN clean AND ((st = 'garbage_and_debris' AND sd IN ('needles_less_than_20', 'needles_20_or_more')) OR (st = 'Medical Waste' AND sd = 'Needles')) THEN 'needles_exact' END], lambda v: v IS NOT NULL)) AS signal FROM rq) SELECT id, signal FROM x""")
 def registry_requests(spark, sf):
     signals = {k: s for k, s in _unique(rg.DISTRICTS, rg.STOPS).items() if s.table == "raw_311"}
-    tags = {k: s.where() for k, s in signals.items()}
-    tags["needles_exact"] = rg.DRUG["needles"].where()
+    tags = {k: s.filter for k, s in signals.items()}
+    tags["needles_exact"] = rg.DRUG["needles"].filter
     return rg.tag_signals(raw_requests(spark, sf), tags).select(F.col("service_request_id").cast("long").alias("id"), "signal")
 
 
@@ -180,8 +183,7 @@ def raw_ems(spark, sf):
 
 
 def lever_events(spark, sf):
-    tables = {"raw_911": raw_calls(spark, sf), "raw_311": raw_requests(spark, sf), "raw_incidents": raw_incidents(spark, sf), "raw_ems": raw_ems(spark, sf)}
-    return se.lever_events(tables, rg.LEVERS)
+    return se.lever_events(_raw_tables(spark, sf), rg.LEVERS)
 
 
 @query("lever_events", f"{_LEVER_SQL} SELECT lever, source, strftime(day, '%Y-%m') AS month, count(*) AS n FROM e GROUP BY ALL")
@@ -208,3 +210,70 @@ def lever_settling(spark, sf):
         lag = F.when(F.col("lever") == k, max(s.settle_months for s in sigs)).otherwise(lag)
     last = lever_events(spark, sf).groupBy("lever").agg(F.max("day").alias("last"))
     return last.select("lever", F.col("last").cast("string").alias("last"), ev.settling_flag(F.col("last"), lag, "2001-09-01").alias("settling"))
+
+
+HISTORY = "1998-06-01"
+
+
+@query("lever_rows", f"{_LEVER_SQL} SELECT lever, source, CAST(id AS BIGINT) AS id, CAST(day AS VARCHAR) AS day FROM e WHERE day >= DATE '{HISTORY}'")
+def lever_rows(spark, sf):
+    """The events themselves, since a history start."""
+    found = se.lever_events(_raw_tables(spark, sf), rg.LEVERS, HISTORY)
+    return found.select("lever", "source", F.col("id").cast("long").alias("id"), F.col("day").cast("string").alias("day"))
+
+
+def _raw_tables(spark, sf):
+    return {"raw_911": raw_calls(spark, sf), "raw_311": raw_requests(spark, sf), "raw_incidents": raw_incidents(spark, sf), "raw_ems": raw_ems(spark, sf)}
+
+
+_RAW_SQL = f"""raw_911 AS (SELECT {_pick_sql('event_id', _TYPES)} AS call_type_final_desc, {_pick_sql('(event_id + 2)', _NOTES)} AS call_type_original_notes,
+  {_pick_sql('(event_id * 3 + user_id)', _NOTES)} AS call_type_final_notes, {_pick_sql('(event_id + user_id)', _FLAGS)} AS onview_flag, CASE WHEN event_id % 13 = 0 THEN 'dup' END AS dup_cad_number FROM events),
+raw_311 AS (SELECT {_pick_sql('event_id', _SERVICES)} AS service_name, {_pick_sql('(event_id * 3 + user_id)', _SUBTYPES)} AS service_subtype, {_pick_sql('(event_id * 7 + user_id)', _DETAILS)} AS service_details FROM events),
+raw_incidents AS (SELECT {_pick_sql('l_orderkey', _CATS)} AS incident_category, {_pick_sql('(l_orderkey * 3 + l_linenumber)', _SUBCATS)} AS incident_subcategory, {_pick_sql('(l_orderkey + l_linenumber * 2)', _DESCS)} AS incident_description,
+  {_pick_sql('(l_orderkey + l_linenumber)', _RESOLUTIONS)} AS resolution, CASE WHEN l_linenumber < 6 THEN 'Initial' ELSE 'Supplement' END AS report_type_description FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+_AUDITED = rg.Registry(tuple({s.key: s for r in (rg.DISTRICTS, rg.STOPS, rg.THEFT, rg.HOMEPAGE, rg.DRUG) for s in r.signals}.values()))
+
+
+def _text(value):
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+def _audit_sql():
+    """Every filter's text, and what DuckDB counts when it runs the same text."""
+    rows = [(s, part, p.sql()) for s in _AUDITED.signals for part, p in [(None, s.filter), *s.components]]
+    parts = [
+        f"SELECT {_text(s.key)} AS signal, CAST({_text(part)} AS VARCHAR) AS component, {_text(s.table)} AS source, CAST({_text(s.caveat)} AS VARCHAR) AS caveat, {_text(text)} AS filter, count(*) AS records FROM {s.table} WHERE {text}"
+        for s, part, text in rows
+    ]
+    return f"WITH {_RAW_SQL} " + " UNION ALL ".join(parts)
+
+
+@query("provenance_filters", _audit_sql())
+def provenance_filters(spark, sf):
+    """Filter text, caveat and components of every signal, and the count that the text itself gives."""
+    found = sk.audited(sk.provenance_filters(_AUDITED, spark), _raw_tables(spark, sf))
+    return found.select("signal", "component", "source", "caveat", "filter", "records")
+
+
+def _parity_pairs():
+    sitlie, homeless = rg.UNHOUSED["cfs_sitlie"].filter, rg.UNHOUSED["cfs_homeless"].filter
+    drug = rg.DRUG["cfs_drug"].filter
+    return {
+        "encampment": ("raw_311", rg.STOPS["encampment"].filter, rg.UNHOUSED["encampment"].filter),
+        "cfs_presence": ("raw_911", rg.STOPS["cfs_presence"].filter, homeless | sitlie),
+        "cfs_drug": ("raw_911", drug, pr.All(drug.terms[::-1])),
+        "needles": ("raw_311", rg.DISTRICTS["needles"].filter, rg.DRUG["needles"].filter),
+        "encampment_parts": ("raw_311", rg.UNHOUSED["encampment"].filter, pr.Any(tuple(p for _, p in rg.UNHOUSED["encampment"].components))),
+    }
+
+
+@query("filter_parity", f"""WITH {_CALLS}, {_REQUESTS}, n AS (SELECT clean AND regexp_matches(ld, 'needle|syringe') AS a,
+  clean AND ((st = 'garbage_and_debris' AND sd IN ('needles_less_than_20', 'needles_20_or_more')) OR (st = 'Medical Waste' AND sd = 'Needles')) AS b FROM rq), k AS (
+SELECT 'encampment' AS entity, true AS same_form, count(*) AS ours, count(*) AS theirs, 0 AS apart FROM rq WHERE enc OR gen
+UNION ALL SELECT 'encampment_parts', true, count(*), count(*), 0 FROM rq WHERE enc OR gen
+UNION ALL SELECT 'cfs_presence', true, count(*), count(*), 0 FROM cl WHERE ct IN ('SIT/LIE ENFORCEMENT', 'HOMELESS COMPLAINT') AND comm AND NOT dup
+UNION ALL SELECT 'cfs_drug', true, count(*), count(*), 0 FROM cl WHERE drug AND comm
+UNION ALL SELECT 'needles', false, count(*) FILTER (a), count(*) FILTER (b), count(*) FILTER (a <> b) FROM n) SELECT entity, same_form, ours, theirs, CAST(apart AS BIGINT) AS apart FROM k""")
+def filter_parity(spark, sf):
+    """Filters of one signal in several registries: one form wherever they should be, and the rows on which the rest differ."""
+    return qu.filter_parity(_raw_tables(spark, sf), _parity_pairs())

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import timekeys as tk
 from ..functions.geo import to_e5
-from .registry import Signal, any_of, known
+from .predicates import All, From, matching
+from .registry import Signal
 
 DEDUP_POLICIES = ("id_first", "dated_first", "null_once")
 
@@ -146,23 +147,17 @@ def lever_events(
     """
     out = None
     for name, table in tables.items():
-        marks, with_id, wanted = [], [], []
-        for lever, sources in levers.items():
-            for i, sig in enumerate(sources):
-                if sig.table == name:
-                    tag = F.struct(F.lit(lever).alias("lever"), F.lit(i).alias("source"))
-                    marks.append(F.when(known(sig.where()), tag))
-                    since = F.col(sig.date_col) >= F.lit(history_start) if history_start else F.lit(True)
-                    wanted.append(sig.where() & since)
-                    if sig.id_col:
-                        with_id.append(lever)
-        if not marks:
+        own = {f"{lever}/{i}": (lever, i, sig) for lever, sources in levers.items() for i, sig in enumerate(sources) if sig.table == name}
+        if not own:
             continue
-        tagged = table.where(any_of(wanted)).withColumn("_t", F.explode(F.array_compact(F.array(*marks))))
-        rows = NORMALIZERS[name](tagged, ["_t"]).select("_t.lever", "_t.source", "*").drop("_t")
+        since = lambda sig: (From(sig.date_col, history_start),) if history_start else ()
+        marked = matching(table, {k: All((*since(sig), sig.filter)) for k, (_, _, sig) in own.items()}, "_lever")
+        tag = [F.substring_index("_lever", "/", 1).alias("lever"), F.substring_index("_lever", "/", -1).cast("int").alias("source")]
+        rows = NORMALIZERS[name](marked, ["_lever"]).select(*tag, "*").drop("_lever")
+        with_id = {lever for lever, _, sig in own.values() if sig.id_col}
         rows = rows.withColumns({
             "_key": F.when(F.col("lever").isin(*with_id), F.col("id")),
-            "_row": F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))),
+            "_row": F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]),
         }).withColumn("_copy", F.when(F.col("_key").isNull(), F.monotonically_increasing_id()).otherwise(0))  # all of these stay
         rows = dedup_first(
             rows, "_key", ["-ts", "_row", "_copy"], "day", "dated_first", within=["lever", "source"]

@@ -1,25 +1,22 @@
-"""Named signals: a predicate over one source table plus the columns that carry its id,
-date and place.  Predicates are plain Columns; readers filter by them before anything else, and Spark pushes
-what a scan can test (comparisons, lists, null tests) down to it."""
+"""Named signals: a filter over one source table plus the columns that carry its id, date and place.  Filters are
+trees (`predicates`); what a scan can test of them (comparisons, lists, null tests) is pushed down to it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
-from ..functions.text import token_any
+from .predicates import All, FoldedOneOf, IsNull, Not, Predicate, any_token, as_predicate, matching, one_of
 
 
 @dataclass(frozen=True)
 class Signal:
     key: str
     table: str
-    where: Callable[[], Column]
+    where: Predicate | Callable[[], Column]
     id_col: str
     date_col: str
     geo: tuple[str, ...] = ()            # ("lat", "long") columns or one point column
@@ -34,6 +31,12 @@ class Signal:
     label: str = ""
     select: tuple[str, ...] = ()
     breaks: tuple[tuple[str, str], ...] = ()
+    caveat: str | None = None
+    components: tuple[tuple[str, Predicate], ...] = ()    # parts of a combined filter, to be audited one by one
+
+    @property
+    def filter(self) -> Predicate:
+        return as_predicate(self.where)
 
 
 @dataclass(frozen=True)
@@ -58,138 +61,94 @@ class Registry:
         return [s for s in self.signals if s.table == table]
 
 
-def _c(name: str) -> Column:
-    return F.col(name)
-
-
 def known(cond: Column) -> Column:
-    """Two-valued form of a predicate: unknown counts as false."""
+    """Two-valued form of a condition: unknown counts as false."""
     return F.coalesce(cond, F.lit(False))
 
 
-def complement(gate: Column, *classes: Column) -> Column:
+def complement(gate: Predicate, *classes: Predicate) -> Predicate:
     """Rows of the gate in none of the classes, safe under null text."""
-    other = known(gate)
-    for c in classes:
-        other = other & ~known(c)
-    return other
+    return All((gate, *[Not(c) for c in classes]))
 
 
 # -- fixed values: the filters of the named signals ----------------------------------------
-def community_call() -> Column:
-    return _c("onview_flag").isin("N", "HSOC")
-
-
-def not_duplicate_call() -> Column:
-    return _c("dup_cad_number").isNull()
-
-
-def call_type(*types: str) -> Column:
-    return _c("call_type_final_desc").isin(*types) & community_call() & not_duplicate_call()
-
-
-def drug_call() -> Column:
-    notes = [_c("call_type_original_notes"), _c("call_type_final_notes")]
-    return (
-        (_c("call_type_final_desc") == "SUSPICIOUS PERSON")
-        & community_call()
-        & token_any(notes, fixed.DRUG_TOKENS)
-    )
-
-
-def arrest_gate() -> Column:
-    return (
-        (_c("incident_category") == "Drug Offense")
-        & (_c("report_type_description") == "Initial")
-        & (_c("resolution") == "Cite or Arrest Adult")
-    )
-
+COMMUNITY_CALL = one_of("onview_flag", "N", "HSOC")
+NOT_DUPLICATE_CALL = IsNull("dup_cad_number")
 
-def dealer_text() -> Column:
-    return token_any([_c("incident_description")], fixed.DEALER_TOKENS)
 
+def call_type(*types: str) -> Predicate:
+    return All((one_of("call_type_final_desc", *types), COMMUNITY_CALL, NOT_DUPLICATE_CALL))
 
-def paraphernalia_text() -> Column:
-    return token_any([_c("incident_description")], ["PARAPHERNALIA"])
 
+DRUG_CALL = All((
+    one_of("call_type_final_desc", "SUSPICIOUS PERSON"), COMMUNITY_CALL,
+    any_token(["call_type_original_notes", "call_type_final_notes"], fixed.DRUG_TOKENS),
+))
+ARREST_GATE = All((
+    one_of("incident_category", "Drug Offense"), one_of("report_type_description", "Initial"),
+    one_of("resolution", "Cite or Arrest Adult"),
+))
+DEALER_TEXT = any_token(["incident_description"], fixed.DEALER_TOKENS)
+PARAPHERNALIA_TEXT = any_token(["incident_description"], ["PARAPHERNALIA"])
 
-def service(*names: str) -> Column:
-    return _c("service_name").isin(*names)
 
+def service(*names: str) -> Predicate:
+    return one_of("service_name", *names)
 
-def homeless_request() -> Column:
-    return (_c("service_name") == "General Request") & token_any(
-        [_c("service_subtype")], ["homeless"], fold="lower"
-    )
 
+ENCAMPMENT_ONLY = service("Encampment", "Encampments")
+HOMELESS_REQUEST = service("General Request") & any_token(["service_subtype"], ["homeless"], "lower")
+ENCAMPMENT = ENCAMPMENT_ONLY | HOMELESS_REQUEST
+CLEANING = service("Street and Sidewalk Cleaning")
 
-def encampment() -> Column:
-    return service("Encampment", "Encampments") | homeless_request()
 
+def cleaning_detail(tokens: Sequence[str]) -> Predicate:
+    return CLEANING & any_token(["service_details"], tokens, "lower")
 
-def cleaning() -> Column:
-    return _c("service_name") == "Street and Sidewalk Cleaning"
 
-
-def cleaning_detail(tokens: Sequence[str]) -> Column:
-    return cleaning() & token_any([_c("service_details")], tokens, fold="lower")
-
-
-def needle_request() -> Column:
-    debris = (_c("service_subtype") == "garbage_and_debris") & _c("service_details").isin(
-        "needles_less_than_20", "needles_20_or_more"
-    )
-    medical = (_c("service_subtype") == "Medical Waste") & (_c("service_details") == "Needles")
-    return cleaning() & (debris | medical)
-
-
-def waste_request() -> Column:
-    return cleaning_detail(["human", "urine", "fece"])
-
-
-def needle_detail() -> Column:
-    return cleaning_detail(["needle", "syringe"])
-
-
-def shelter_request() -> Column:
-    return token_any([_c("service_subtype"), _c("service_details")], fixed.SHELTER_TOKENS)
+NEEDLE_REQUEST = CLEANING & (
+    (one_of("service_subtype", "garbage_and_debris") & one_of("service_details", "needles_less_than_20", "needles_20_or_more"))
+    | (one_of("service_subtype", "Medical Waste") & one_of("service_details", "Needles"))
+)
+SHELTER_REQUEST = any_token(["service_subtype", "service_details"], fixed.SHELTER_TOKENS)
 
 
-def subcategory(*names: str) -> Column:
-    return _c("incident_subcategory").isin(*names)
+def subcategory(*names: str) -> Predicate:
+    return one_of("incident_subcategory", *names)
 
 
-def _calls(key: str, where: Callable[[], Column], **kw) -> Signal:
+def _calls(key: str, where: Predicate, **kw) -> Signal:
     return Signal(key, "raw_911", where, "cad_number", "received_datetime",
                   ("intersection_point",), "intersection_name", **kw)
 
 
-def _requests(key: str, where: Callable[[], Column], **kw) -> Signal:
+def _requests(key: str, where: Predicate, **kw) -> Signal:
     return Signal(key, "raw_311", where, "service_request_id", "requested_datetime",
                   ("lat", "long"), "address", **kw)
 
 
-def _reports(key: str, where: Callable[[], Column], date_col: str = "incident_datetime", **kw) -> Signal:
+def _reports(key: str, where: Predicate, date_col: str = "incident_datetime", **kw) -> Signal:
     return Signal(key, "raw_incidents", where, "incident_id", date_col,
                   ("latitude", "longitude"), "intersection", settles=True, **kw)
 
 
+_ENCAMPMENT_PARTS = (("encampment_only", ENCAMPMENT_ONLY), ("unhoused_individual", HOMELESS_REQUEST))
 _SPLIT_BREAK = (("2025-06", "request type split into two"),)
 
 DRUG = Registry(
     (
-        _calls("cfs_drug", drug_call, label="Drug-activity calls"),
-        _reports("dealer_arrests", lambda: arrest_gate() & dealer_text(), goal="up",
+        _calls("cfs_drug", DRUG_CALL, caveat="Calls whose notes name drugs; not every such call is about them.", label="Drug-activity calls"),
+        _reports("dealer_arrests", ARREST_GATE & DEALER_TEXT, caveat="Counts enforcement: a rise can mean more effort.", goal="up",
                  axis="enforcement", distinct=True, settle_months=1, group="arrest_mix",
                  label="Dealer arrests"),
-        _reports("paraphernalia", lambda: arrest_gate() & paraphernalia_text(), goal="context",
+        _reports("paraphernalia", ARREST_GATE & PARAPHERNALIA_TEXT, caveat="Context only, no outcome.", goal="context",
                  axis="enforcement", distinct=True, settle_months=1, group="arrest_mix",
                  label="Paraphernalia arrests"),
         _reports("other_drug_arrests",
-                 lambda: complement(arrest_gate(), paraphernalia_text(), dealer_text()),
+                 complement(ARREST_GATE, PARAPHERNALIA_TEXT, DEALER_TEXT),
                  goal="context", axis="enforcement", distinct=True, settle_months=1,
                  group="arrest_mix", label="Other drug arrests"),
-        _requests("needles", needle_request, goal="context", distinct=True, citywide_only=True,
+        _requests("needles", NEEDLE_REQUEST, caveat="Depends on the reporting route; citywide only.", goal="context", distinct=True, citywide_only=True,
                   label="Needle requests"),
     ),
     (Group("arrest_mix", ("dealer_arrests", "paraphernalia", "other_drug_arrests"),
@@ -198,15 +157,15 @@ DRUG = Registry(
 
 UNHOUSED = Registry(
     (
-        _requests("encampment", encampment, breaks=_SPLIT_BREAK,
+        _requests("encampment", ENCAMPMENT, caveat="One request type was split into two in mid-2025; the union spans the split.", components=_ENCAMPMENT_PARTS, breaks=_SPLIT_BREAK,
                   label="Encampment and unhoused requests"),
-        _requests("encampment_only", lambda: service("Encampment", "Encampments"),
+        _requests("encampment_only", ENCAMPMENT_ONLY, caveat="Drops in mid-2025 because part of the type moved to another one.",
                   breaks=_SPLIT_BREAK, label="Encampment requests only"),
-        _calls("cfs_sitlie", lambda: call_type("SIT/LIE ENFORCEMENT"), group="cfs_presence",
+        _calls("cfs_sitlie", call_type("SIT/LIE ENFORCEMENT"), group="cfs_presence",
                label="Sit/lie calls"),
-        _calls("cfs_homeless", lambda: call_type("HOMELESS COMPLAINT"), group="cfs_presence",
+        _calls("cfs_homeless", call_type("HOMELESS COMPLAINT"), group="cfs_presence",
                label="Homeless-complaint calls"),
-        _calls("hsoc", lambda: (_c("onview_flag") == "HSOC") & not_duplicate_call(),
+        _calls("hsoc", one_of("onview_flag", "HSOC") & NOT_DUPLICATE_CALL, caveat="Shows the response of the city, not the need.",
                goal="context", axis="response", label="Outreach responses"),
     ),
     (Group("cfs_presence", ("cfs_sitlie", "cfs_homeless"), "Presence calls"),),
@@ -215,16 +174,16 @@ UNHOUSED = Registry(
 DISTRICTS = Registry(
     (
         *UNHOUSED.signals,
-        _requests("waste", waste_request, label="Human and animal waste requests"),
-        _requests("needles", needle_detail, label="Needle requests"),
+        _requests("waste", cleaning_detail(["human", "urine", "fece"]), label="Human and animal waste requests"),
+        _requests("needles", cleaning_detail(["needle", "syringe"]), label="Needle requests"),
     ),
 )
 
 STOPS = Registry(
     (
         UNHOUSED["encampment"],
-        _requests("shelter_maint", shelter_request, label="Shelter maintenance requests"),
-        _calls("cfs_presence", lambda: call_type("SIT/LIE ENFORCEMENT", "HOMELESS COMPLAINT"),
+        _requests("shelter_maint", SHELTER_REQUEST, label="Shelter maintenance requests"),
+        _calls("cfs_presence", call_type("SIT/LIE ENFORCEMENT", "HOMELESS COMPLAINT"),
                label="Presence calls"),
         DRUG["cfs_drug"],
     ),
@@ -232,11 +191,11 @@ STOPS = Registry(
 
 THEFT = Registry(
     (
-        _reports("shoplifting", lambda: subcategory("Larceny Theft - Shoplifting"),
+        _reports("shoplifting", subcategory("Larceny Theft - Shoplifting"),
                  "incident_date", settle_months=1, label="Shoplifting"),
-        _reports("commercial", lambda: subcategory("Burglary - Commercial", "Robbery - Commercial"),
+        _reports("commercial", subcategory("Burglary - Commercial", "Robbery - Commercial"),
                  "incident_date", settle_months=1, label="Commercial burglary and robbery"),
-        _reports("vehicle", lambda: _c("incident_category") == "Motor Vehicle Theft",
+        _reports("vehicle", one_of("incident_category", "Motor Vehicle Theft"),
                  "incident_date", settle_months=1, label="Vehicle theft"),
     ),
 )
@@ -245,10 +204,10 @@ LEGACY_THEFT_CODE = "Theft from Merchant or Library"
 
 HOMEPAGE = Registry(
     (
-        _reports("fraud", lambda: _c("incident_category") == "Fraud", "incident_date", settle_months=2),
-        _reports("dog_bites", lambda: _c("incident_description") == "Dog, Bite or Attack",
+        _reports("fraud", one_of("incident_category", "Fraud"), "incident_date", settle_months=2),
+        _reports("dog_bites", one_of("incident_description", "Dog, Bite or Attack"),
                  "incident_date", settle_months=2),
-        _reports("street_robbery", lambda: subcategory("Robbery - Street"), "incident_date",
+        _reports("street_robbery", subcategory("Robbery - Street"), "incident_date",
                  settle_months=2),
     ),
 )
@@ -256,51 +215,43 @@ HOMEPAGE = Registry(
 _PRESENCE_CALLS = ("SIT/LIE ENFORCEMENT", "BLOCKED SIDEWALK", "HOMELESS COMPLAINT")
 LEVERS: dict[str, tuple[Signal, ...]] = {
     "drug": (replace(DRUG["cfs_drug"], id_col=""),),       # this lever keeps every row
-    "overflow": (_requests("overflow", lambda: cleaning_detail(fixed.OVERFLOW_TOKENS),
+    "overflow": (_requests("overflow", cleaning_detail(fixed.OVERFLOW_TOKENS),
                            breaks=(("2025-11-01", "sensor reports end"),)),),
-    "dumping": (_requests("dumping", lambda: cleaning_detail(fixed.DUMPING_TOKENS)
-                          | (cleaning() & (F.lower(_c("service_subtype")) == "bulky items"))),),
-    "hazard": (_requests("hazard", lambda: cleaning_detail(fixed.HAZARD_TOKENS)),),
+    "dumping": (_requests("dumping", cleaning_detail(fixed.DUMPING_TOKENS)
+                          | (CLEANING & FoldedOneOf("service_subtype", ("bulky items",)))),),
+    "hazard": (_requests("hazard", cleaning_detail(fixed.HAZARD_TOKENS)),),
     "homeless_presence": (
-        _calls("homeless_presence", lambda: call_type(*_PRESENCE_CALLS)),
-        _requests("homeless_presence", lambda: service("Encampment", "Encampments")),
+        _calls("homeless_presence", call_type(*_PRESENCE_CALLS)),
+        _requests("homeless_presence", service("Encampment", "Encampments")),
     ),
     "mental_health": (_calls("mental_health",
-                             lambda: call_type("MENTALLY DISTURBED", "MENTALLY DIST CRIT")),),
+                             call_type("MENTALLY DISTURBED", "MENTALLY DIST CRIT")),),
     "medical_emergencies": (
         Signal("medical_emergencies", "raw_ems",
-               lambda: (_c("call_type") == "Medical Incident")
-               & (_c("call_type_group") == "Potentially Life-Threatening")
-               & (_c("unit_sequence_in_call_dispatch") == 1),
+               All((one_of("call_type", "Medical Incident"), one_of("call_type_group", "Potentially Life-Threatening"),
+                    one_of("unit_sequence_in_call_dispatch", 1))),
                "call_number", "received_dttm", ("case_location",), "address"),
     ),
-    "encampments": (_requests("encampments", encampment),),
+    "encampments": (_requests("encampments", ENCAMPMENT),),
     "graffiti": (_requests("graffiti",
-                           lambda: service("Graffiti", "Graffiti Public", "Graffiti Private")),),
-    "noise": (_requests("noise", lambda: service("Noise Report", "Noise")),),
-    "lighting": (_requests("lighting", lambda: service("Streetlights")),),
-    "shoplifting": (_reports("shoplifting", lambda: subcategory("Larceny Theft - Shoplifting"),
+                           service("Graffiti", "Graffiti Public", "Graffiti Private")),),
+    "noise": (_requests("noise", service("Noise Report", "Noise")),),
+    "lighting": (_requests("lighting", service("Streetlights")),),
+    "shoplifting": (_reports("shoplifting", subcategory("Larceny Theft - Shoplifting"),
                              settle_months=2),),
-    "street_robbery": (_reports("street_robbery", lambda: subcategory("Robbery - Street"),
+    "street_robbery": (_reports("street_robbery", subcategory("Robbery - Street"),
                                 settle_months=2),),
     "commercial_burglary": (_reports("commercial_burglary",
-                                     lambda: subcategory("Burglary - Commercial"),
+                                     subcategory("Burglary - Commercial"),
                                      settle_months=2),),
 }
 
 
-def tag_signals(events: DataFrame, tags: dict[str, Column]) -> DataFrame:
-    """One pass over events: a row per (event, matching signal), key in column `signal`.  Events that match
-    none are filtered first, so what the scan can test is pushed to it."""
-    marks = F.array(*[F.when(known(cond), F.lit(key)) for key, cond in tags.items()])
-    return events.where(any_of(tags.values())).withColumn("signal", F.explode(F.filter(marks, lambda k: k.isNotNull())))
+def tag_signals(events: DataFrame, tags: Mapping[str, Predicate | Column]) -> DataFrame:
+    """One pass over events: a row per (event, matching signal), key in column `signal`."""
+    return matching(events, {k: as_predicate(c) for k, c in tags.items()}, "signal")
 
 
 def known_breaks(levers: dict[str, tuple[Signal, ...]] | None = None) -> list[tuple[str, str, str]]:
     """(lever, date, label) of every reporting change that the levers' signals carry."""
     return sorted({(lever, date, label) for lever, signals in (levers or LEVERS).items() for s in signals for date, label in s.breaks})
-
-
-def any_of(conditions) -> Column:
-    """Some condition holds; a condition that is neither true nor false does not."""
-    return reduce(or_, conditions)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import timekeys as tk
 from ..functions.joins import lookup_join
 from ..functions.ranks import global_rank
+from .predicates import Opaque, quoted
 from .registry import Group, Registry
 
 
@@ -75,24 +76,42 @@ def dictionary_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return out
 
 
-def provenance(tagged: DataFrame, registry: Registry, filters: dict[str, str] | None = None) -> DataFrame:
-    """Records per signal beside its axis, goal and filter text; signals without records show 0."""
-    filters = filters or {}
-    rows = [
-        (s.key, s.table, s.label, s.axis, s.goal, s.group, filters.get(s.key, str(s.where())))
-        for s in registry.signals
-    ]
+def provenance(tagged: DataFrame, registry: Registry) -> DataFrame:
+    """Records per signal beside its source, axis, goal and caveat; signals without records show 0."""
+    rows = [(s.key, s.table, s.label, s.axis, s.goal, s.group, s.caveat) for s in registry.signals]
     meta = tagged.sparkSession.createDataFrame(
-        rows, "signal string, source string, label string, axis string, goal string, "
-              "group_key string, filter string"
+        rows, "signal string, source string, label string, axis string, goal string, group_key string, caveat string"
     )
     counts = tagged.groupBy("signal").agg(F.count(F.lit(1)).alias("records"))
     return meta.join(counts, "signal", "left").withColumn("records", F.coalesce("records", F.lit(0)))
 
 
-def quoted(value: str) -> str:
-    """A text as an SQL literal."""
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def provenance_filters(registry: Registry, spark) -> DataFrame:
+    """The filter of every signal as Spark SQL text, and of every component of a combined filter; `component` is null
+    for the whole.  Filters that are known as a Column only are left out."""
+    rows = [
+        (s.key, part, s.table, s.caveat, p.sql())
+        for s in registry.signals for part, p in [(None, s.filter), *s.components] if not isinstance(p, Opaque)
+    ]
+    return spark.createDataFrame(rows, "signal string, component string, source string, caveat string, filter string")
+
+
+def audited(filters: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """provenance_filters with `records`: what the texts themselves, run as SQL over the named tables, count.  One pass
+    a table: each text is one aggregate."""
+    out = None
+    for name, table in tables.items():
+        texts = filters.where(F.col("source") == name).select("filter").distinct().collect()      # one row a signal
+        if not texts:
+            continue
+        view = f"placetime_{name}"
+        table.createOrReplaceTempView(view)
+        counts = ", ".join(f"count_if({r['filter']}) AS c{k}" for k, r in enumerate(texts))
+        one = table.sparkSession.sql(f"SELECT {counts} FROM {view}")
+        one = one.select(F.explode(F.array(*[F.struct(F.lit(r["filter"]).alias("filter"), F.col(f"c{k}").alias("records")) for k, r in enumerate(texts)])).alias("x"))
+        one = one.select(F.lit(name).alias("source"), "x.*")
+        out = one if out is None else out.unionByName(one)
+    return filters.join(out, ["source", "filter"])
 
 
 def reproduce_total(table: str, cond: str, date_col: str, window: tuple[str, str], place: dict[str, str] | None = None) -> str:

@@ -4,7 +4,7 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from placetime.operators import quality
-from placetime.sources import events as ev, readers as rd, registry as rg, sinks as sk
+from placetime.sources import events as ev, predicates as pr, readers as rd, registry as rg, sinks as sk
 
 
 def raw(spark):
@@ -42,7 +42,7 @@ def test_empty_input(spark):
 
 def test_complement_is_null_safe(spark):
     df = spark.createDataFrame([("x",), ("Paraphernalia",), (None,)], "incident_description string")
-    other = rg.complement(F.lit(True), rg.paraphernalia_text(), rg.dealer_text())
+    other = rg.complement(pr.All(()), rg.PARAPHERNALIA_TEXT, rg.DEALER_TEXT)()
     assert [r[0] for r in df.select(other).collect()] == [True, False, True]
 
 
