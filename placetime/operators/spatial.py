@@ -248,19 +248,21 @@ def stop_and_ring_counts(
     r_ring: float = fixed.RING_RADIUS_M,
 ) -> DataFrame:
     """Per target and `keys`: events whose nearest target it is within r_stop (`stop`), and
-    events more than r_stop and at most r_ring away (`ring`)."""
-    pairs = near_pairs(positions(events, keys), target_positions(targets), r_ring, r_ring)
-    mine = F.struct("d2", "target_id")
-    nearest = F.min(mine).over(W.partitionBy("lat_e5", "lng_e5", *keys))   # targets near one spot
+    events more than r_stop and at most r_ring away (`ring`).
+
+    Pairs are found once for each position, whatever the keys: a position gets the list of targets around it,
+    nearest first.  The counts of the position meet that list once and are summed by target before the shuffle.
+    """
+    counted = positions(events, keys)
+    spots = counted.select("lat_e5", "lng_e5").distinct()
+    around = F.array_sort(F.collect_list(F.struct("d2", "target_id", "t_lat", "t_lng")))      # distinct positions within r_ring
+    lists = near_pairs(spots, target_positions(targets), r_ring, r_ring).groupBy("lat_e5", "lng_e5").agg(around.alias("around"))
+    met = counted.join(lists, ["lat_e5", "lng_e5"]).select(*keys, "n", F.posexplode("around").alias("place", "t")).select(*keys, "n", "place", "t.*")
     near, far = F.col("d2") <= float(r_stop) ** 2, F.col("d2") > float(r_stop) ** 2
     zero = F.lit(0).cast("long")
-    per_spot = (
-        pairs.withColumn("hit", near & (mine == nearest))
-        .groupBy("t_lat", "t_lng", "target_id", *keys)
-        .agg(
-            F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), zero).alias("stop"),
-            F.coalesce(F.sum(F.when(far, F.col("n"))), zero).alias("ring"),
-        )
+    per_spot = met.groupBy("t_lat", "t_lng", "target_id", *keys).agg(
+        F.coalesce(F.sum(F.when(near & (F.col("place") == 0), F.col("n"))), zero).alias("stop"),
+        F.coalesce(F.sum(F.when(far, F.col("n"))), zero).alias("ring"),
     )
     # targets sharing a position share its ring; only the smallest id takes the hits
     spread = targets.select("id", F.col("lat_e5").alias("t_lat"), F.col("lng_e5").alias("t_lng"))

@@ -95,3 +95,47 @@ def test_filters_reach_the_scan(spark):
     pushed = next(line for line in plan.splitlines() if "PushedFilters" in line).split("PushedFilters:")[1]
     assert "1-URGENT" in pushed and "2-HIGH" in pushed
     assert t.SIGNALS
+
+
+def test_sample_of_one_hot_bucket_orders_keys_in_parts(spark, monkeypatch):
+    """Nine tenths of the rows on one day: no part holds more than a small share, and only keys are put in order."""
+    seen = []
+    real = sa.global_rank
+
+    def watched(rows, order, out):
+        placed = real(rows, order, out)
+        parts = rows.repartitionByRange(8, *order).groupBy(F.spark_partition_id()).count().collect()
+        seen.append((rows.columns, max(r["count"] for r in parts) / rows.count()))
+        return placed
+    monkeypatch.setattr(sa, "global_rank", watched)
+    n = 4000
+    day = F.when(F.col("id") % 10 < 9, 5).otherwise(F.col("id") % 7)
+    df = spark.range(n).select("id", day.alias("day"), F.lit("x" * 50).alias("wide"))
+    got = {(r.day, r.id) for r in sa.systematic_sample(df, 50, [F.col("day"), F.col("id")], F.col("day")).collect()}
+    every = sorted((r.day, r.id) for r in df.collect())
+    assert got == {every[i * n // 50] for i in range(50)}
+    ((columns, share),) = seen
+    assert "wide" not in columns and share < 0.25
+
+
+def test_ring_counts_pair_positions_once_whatever_the_keys(spark):
+    import random
+
+    from placetime.operators import spatial as sp
+
+    rnd = random.Random(4)
+    events = spark.createDataFrame([(rnd.choice("abc"), rnd.randrange(3), 3700000 + rnd.randrange(600), -12200000 + rnd.randrange(600)) for _ in range(800)], "signal string, m int, lat_e5 int, lng_e5 int")
+    targets = spark.createDataFrame([(k, 3700000 + rnd.randrange(0, 600, 40), -12200000 + rnd.randrange(0, 600, 40)) for k in range(60)], "id int, lat_e5 int, lng_e5 int")
+    got = sp.stop_and_ring_counts(events, targets, ["signal", "m"], 60, 150)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    joins_with_cells = [line for line in plan.splitlines() if "Join" in line and "_gy" in line]
+    assert len(joins_with_cells) == 1 and "Window" not in plan
+    pairs = sp.near_pairs(events.withColumn("e", F.monotonically_increasing_id()), targets.select("id", F.col("lat_e5").alias("t_lat"), F.col("lng_e5").alias("t_lng")), 150, 150).collect()
+    want, nearest = {}, {}
+    for p in pairs:
+        nearest[p.e] = min(nearest.get(p.e, (1e9, 0)), (p.d2, p.id))
+    for p in pairs:
+        own = want.setdefault((p.id, p.signal, p.m), [0, 0])
+        own[0] += p.d2 <= 3600 and nearest[p.e] == (p.d2, p.id)
+        own[1] += p.d2 > 3600
+    assert {(r.id, r.signal, r.m): [r.stop, r.ring] for r in got.collect()} == {k: v for k, v in want.items() if any(v)}
