@@ -4,9 +4,10 @@ Patterns (BASE) give the base spans.  The field tags the tokens of a text as beg
 secret.  Features: shape of the token (length, kinds of characters, digit share, entropy, known words),
 shapes of its neighbours, and of the file (shares of tokens with digits, of signs, of assignments).
 
-Training: windows of tokens around base spans, and as many elsewhere, are ranked by a hash of their content;
-the first TRAIN_WINDOWS of each kind, over the whole corpus, fit the weights (numpy, forward-backward,
-Adam).  That bound on labelled rows is the only sample.  Spans of the field are whole texts' spans by exact
+Training: every secret in a base span offers the window of tokens around it, and every text one window without
+a secret.  They are ranked by a hash (of the window, or of the text); the first TRAIN_WINDOWS of each kind, over the
+whole corpus, fit the weights (numpy, forward-backward, Adam).  A task keeps only so many itself.  That bound on
+labelled rows is the only sample.  Spans of the field are whole texts' spans by exact
 Viterbi: a token whose score for outside leads by more than any transition can win back is outside on the
 best path, so only the stretches between such tokens need the dynamic program.
 
@@ -28,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import python_ready
+from .common import python_ready, written
 
 #: Kinds, patterns and least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -277,27 +278,49 @@ def _file_from_counts(shapes: list[tuple], counts: np.ndarray) -> np.ndarray:
     return x
 
 
-def labelled(text: str) -> list[tuple[bool, list[str], list[int], list[float]]]:
-    """Windows of a text: (holds a secret, tokens, tags, file features): around the first base spans, and one without."""
-    spans = base_spans(text)
-    parts = secret_parts(text, spans)
+def tagged_text(text: str) -> tuple[list[tuple[str, int, int]], list[int], list[float]]:
+    """Tokens with their spans, tags by the base spans, and file features of a text."""
+    parts = secret_parts(text, base_spans(text))
     found = [(m.group(), m.start(), m.end()) for m in TOKEN.finditer(text)]
-    if not found:
-        return []
-    tags, centres = [], []
+    tags: list[int] = []
     for _, a, b in found:
         inside = next((p for p in parts if p[0] <= a and b <= p[1]), None)
         tags.append(O if inside is None else B if a == inside[0] or not tags or tags[-1] == O else I)
-        if tags[-1] == B:
-            centres.append(len(tags) - 1)
-    whole = file_features([shape(t) for t, _, _ in found]).tolist()
-    far = lambda k: not any(abs(k - c) <= HALF_WINDOW for c in centres)
-    odd = [k for k, (t, _, _) in enumerate(found) if shape(t)[0] == "mixed" and far(k)]  # numbers and the like teach most
-    quiet = odd or [k for k in range(HALF_WINDOW, len(found), 2 * HALF_WINDOW) if far(k)]
-    chosen = [(True, c) for c in centres[:4]] + [(False, k) for k in quiet[:1]]
-    return [
-        (secret, [t for t, _, _ in found[max(0, c - HALF_WINDOW) : c + HALF_WINDOW]], tags[max(0, c - HALF_WINDOW) : c + HALF_WINDOW], whole) for secret, c in chosen
-    ]
+    return found, tags, file_features([shape(t) for t, _, _ in found]).tolist()
+
+
+def windows(text: str, secret: bool) -> list[tuple[list[str], list[int], list[float]]]:
+    """(tokens, tags, file features) around every secret, or around one token far from all of them, by a hash of the
+    text: of those that are no plain words, as these teach most, if there are any."""
+    found, tags, whole = tagged_text(text)
+    centres = [k for k, tag in enumerate(tags) if tag == B]
+    if not secret:
+        near = {k for c in centres for k in range(c - HALF_WINDOW, c + HALF_WINDOW + 1)}
+        far = [k for k in range(len(found)) if k not in near]
+        some = [k for k in far if shape(found[k][0])[0] == "mixed"] or far
+        centres = [some[zlib.crc32(text.encode("utf-8", "surrogatepass")) % len(some)]] if some else []
+    cut = lambda values, c: values[max(0, c - HALF_WINDOW) : c + HALF_WINDOW]
+    return [([t for t, _, _ in cut(found, c)], cut(tags, c), whole) for c in centres]
+
+
+def labelled(text: str) -> list[tuple[bool, list[str], list[int], list[float]]]:
+    """The windows that a text offers: (holds a secret, tokens, tags, file features)."""
+    return [(secret, *w) for secret in (True, False) for w in windows(text, secret)]
+
+
+class Smallest:
+    """The entries with the smallest keys, each once."""
+
+    def __init__(self, most: int):
+        self.most, self.found = most, {}
+
+    def add(self, key: int, entry: tuple) -> None:
+        self.found[key, tuple(entry[0])] = entry
+        if len(self.found) > 2 * self.most:
+            self.found = dict(sorted(self.found.items())[: self.most])
+
+    def entries(self) -> list[tuple[int, tuple]]:
+        return [(k[0], e) for k, e in sorted(self.found.items())[: self.most]]
 
 
 def training_rows(docs: DataFrame, most: int = TRAIN_WINDOWS) -> list:
@@ -305,16 +328,26 @@ def training_rows(docs: DataFrame, most: int = TRAIN_WINDOWS) -> list:
     python_ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = {True: Smallest(most), False: Smallest(most)}
+        bound = 1 << 33                                # no key of a later plain text may be above it
         for batch in batches:
-            rows = []
             for text in batch.column(0).to_pylist():
-                plain = zlib.crc32((text or "").encode("utf-8")) % 16 == 0
-                if text and (plain or base_spans(text)):
-                    rows += [(s, zlib.crc32("\0".join(t).encode("utf-8")), t, g, w) for s, t, g, w in labelled(text)]
-            types = [pa.bool_(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["secret", "key", "tokens", "tags", "whole"])
-
-    rows = docs.select("text").mapInArrow(run, "secret boolean, key long, tokens array<string>, tags array<long>, whole array<double>").distinct()
+                if not text:
+                    continue
+                if base_spans(text):
+                    for entry in windows(text, True):
+                        kept[True].add(zlib.crc32("\0".join(entry[0]).encode("utf-8", "surrogatepass")), entry)
+                key = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+                if key < bound:
+                    for entry in windows(text, False):
+                        kept[False].add(key, entry)
+                    if len(kept[False].found) == most:  # cut back, or just filled
+                        bound = max(kept[False].found)[0] + 1
+        rows = [(secret, key, *entry) for secret, own in kept.items() for key, entry in own.entries()]
+        types = [pa.bool_(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["secret", "key", "tokens", "tags", "whole"])
+
+    rows = written(docs.select("text").mapInArrow(run, "secret boolean, key long, tokens array<string>, tags array<long>, whole array<double>"), "secret-windows").distinct()
     order = ("key", "tokens")
     return sorted([*rows.where("secret").orderBy(*order).limit(most).collect(), *rows.where("NOT secret").orderBy(*order).limit(most).collect()])
 

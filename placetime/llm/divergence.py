@@ -7,8 +7,10 @@ that pass the base rules, the second judges every text.  The references are at m
 TOP_WORDS words, so they are small whatever the size of the corpus.
 
 Guards: a text with fewer than `min_chars` characters or `min_words` words is not judged by the matching
-histogram, nor is one whose language has fewer than `min_reference` words in the corpus.  Limits widen for
-short texts, because a small sample of the same distribution lies further away.
+histogram.  Limits widen for short texts, because a small sample of the same distribution lies further away.
+A language with fewer than `min_reference` words in the corpus has no reference of its own: its texts are compared
+with that of all languages, by classes that do not tell a script (letters, marks and blanks together, symbols, digits,
+stops, others), and not by words.
 
 Null or empty texts have no words and fail the base rule.  A null or odd language counts as `und`.  Repeated
 rows are judged alike; an empty table gives an empty result; other columns are ignored.
@@ -170,6 +172,12 @@ def _histograms(rows) -> dict[str, tuple]:
     return found
 
 
+def scriptless(classes: np.ndarray) -> np.ndarray:
+    """Counts that do not tell a script: letters, marks and blanks as one class beside symbols, digits, stops, others."""
+    apart = [CLASSES.index(c) for c in ("symbol", "digit", "stop", "other")]
+    return np.array([classes.sum() - classes[apart].sum(), *classes[apart]], float)
+
+
 def judge(
     docs: DataFrame, refs: DataFrame | None = None, *, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS,
     min_reference: int = MIN_REFERENCE, char_limit: tuple[float, float] = CHAR_LIMIT, word_limit: tuple[float, float] = WORD_LIMIT,
@@ -177,6 +185,7 @@ def judge(
     """All columns of docs, and OUT (clashing input columns give way to them)."""
     python_ready(docs.sparkSession)
     known = _histograms((references(docs) if refs is None else refs).collect())
+    pooled = scriptless(sum((r[0] for r in known.values()), np.zeros(len(CLASSES))))
     names = [x.split()[0] for x in OUT.split(", ")]
     kept = [c for c in docs.columns if c.lower() not in names]
     code = free_name(docs, "_language")
@@ -195,6 +204,8 @@ def judge(
                     if stats[0] >= min_words:
                         own = np.bincount([bin_of.get(w, len(bin_of)) for w in words], minlength=len(bins))
                         common = js_distance(own, bins)
+                elif pooled.sum() and text and len(text) >= min_chars:
+                    chars = js_distance(scriptless(classes), pooled)
                 good = not failed and not far(chars, len(text or ""), char_limit) and not far(common, stats[0], word_limit)
                 rows.append((*stats, failed, chars, common, good))
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]

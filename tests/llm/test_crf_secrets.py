@@ -101,3 +101,26 @@ def test_scan(spark, docs_of, odd_rows):
 def test_nothing_to_learn_from(spark, docs_of, odd_rows):
     assert {r.spans for r in c.scan(docs_of(odd_rows)).collect()} == {""}
     assert c.scan(docs_of(odd_rows).limit(0)).count() == 0
+
+
+def test_every_text_may_train(spark, docs_of):
+    """The bounded sample is the windows with the smallest hashes of all texts, however they are dealt out."""
+    import zlib
+
+    texts = corpus(random.Random(8), 120) + ["one plain text without any secret " * k for k in range(1, 40)]
+    rows = [(k, t) for k, t in enumerate(texts)] * 2
+    secret, quiet = {}, {}
+    for t in texts:
+        for w in c.windows(t, True):
+            secret[zlib.crc32("\0".join(w[0]).encode()), tuple(w[0])] = w
+        for w in c.windows(t, False):
+            quiet[zlib.crc32(t.encode()), tuple(w[0])] = w
+    for parts in (1, 5):
+        got = c.training_rows(docs_of(rows).repartition(parts), 25)
+        for kind, every in ((True, secret), (False, quiet)):
+            assert sorted((r.key, tuple(r.tokens)) for r in got if r.secret == kind) == sorted(every)[:25]
+
+
+def test_all_secrets_of_a_text_are_offered():
+    text = " filler ".join(f"password = Abc{k}def{k}ghi{k}" + " word" * 30 for k in range(9))
+    assert len(c.windows(text, True)) == 9

@@ -66,3 +66,51 @@ def test_short_texts_are_not_judged(spark, docs_of):
     rows = [(k, prose(rng, 200)) for k in range(60)] + [(99, "A | B | C | D | E | F | G | H | I | J")]
     r = d.judge(docs_of(rows)).where("doc_id = 99").first()
     assert r.kept and r.char_distance is None and r.word_distance is None
+
+
+def test_a_rare_language_is_judged_without_its_script(spark, docs_of):
+    rng = random.Random(7)
+    rows = [(k, prose(rng, 300)) for k in range(60)]
+    rows += [(900, "日本語の文章です、とても長い文章を書きます。" * 20, "ja", "s"), (901, "это обычный текст на другом языке, он чист. " * 10, "ru", "s")]
+    rows += [(902, " ".join(f"#{k}|{k * 7919}$" for k in range(200)), "xx", "s"), (903, "%% ## ** 0101 " * 60, "ja", "s")]
+    got = {r.doc_id: (r.kept, r.word_distance) for r in d.judge(docs_of(rows)).where("doc_id >= 900").collect()}
+    assert got[900][0] and got[901][0]
+    chars = {r.doc_id: r.char_distance for r in d.judge(docs_of(rows)).collect()}
+    assert max(chars[900], chars[901]) < min(chars[902], chars[903])
+    assert not got[902][0] and not got[903][0] and all(w is None for _, w in got.values())
+
+
+def test_the_verdict_equals_its_definition(spark, docs_of):
+    """kept by brute force: histograms of all texts that pass the base rules, distances, limits."""
+    from collections import Counter
+
+    rng = random.Random(11)
+    rows = [(k, prose(rng, rng.randint(20, 200)), rng.choice(["en", "fr-CA"]), "s") for k in range(150)]
+    rows += [(500 + k, " ".join(rng.choice(["A|B", "#1", "zz"]) + str(rng.randrange(99)) for _ in range(90)), "en", "s") for k in range(5)]
+    stats = {r[0]: d.base_stats(r[1]) for r in rows}
+    passed = [r for r in rows if not d.base_failed(stats[r[0]][0])]
+    total, words = {}, {}
+    for k, text, lang, _ in passed:
+        code = lang[:2]
+        total[code] = total.get(code, 0) + stats[k][2]
+        words.setdefault(code, Counter()).update(w.decode() for w in stats[k][1])
+    pooled = d.scriptless(sum(total.values()))
+    want = {}
+    for k, text, lang, _ in rows:
+        own, n = stats[k], stats[k][0][0]
+        code = lang[:2]
+        chars = common = None
+        if sum(words[code].values()) >= d.MIN_REFERENCE:
+            top = sorted(words[code].items(), key=lambda x: (-x[1], x[0]))[: d.TOP_WORDS]
+            bins = np.array([c for _, c in top] + [sum(words[code].values()) - sum(c for _, c in top)], float)
+            place = {w: i for i, (w, _) in enumerate(top)}
+            if len(text) >= d.MIN_CHARS:
+                chars = d.js_distance(own[2], total[code])
+            if n >= d.MIN_WORDS:
+                common = d.js_distance(np.bincount([place.get(w.decode(), len(top)) for w in own[1]], minlength=len(bins)), bins)
+        elif len(text) >= d.MIN_CHARS:
+            chars = d.js_distance(d.scriptless(own[2]), pooled)
+        far = lambda x, size, limit: x is not None and x > limit[0] + limit[1] / size**0.5
+        want[k] = not d.base_failed(own[0]) and not far(chars, len(text), d.CHAR_LIMIT) and not far(common, n, d.WORD_LIMIT)
+    got = {r.doc_id: r.kept for r in d.judge(docs_of(rows)).collect()}
+    assert got == want and set(want.values()) == {True, False}
