@@ -4,10 +4,10 @@ Patterns (BASE) give the base spans.  The field tags the tokens of a text as beg
 secret.  Features: shape of the token (length, kinds of characters, digit share, entropy, known words),
 shapes of its neighbours, and of the file (shares of tokens with digits, of signs, of assignments).
 
-Training: every secret in a base span offers the window of tokens around it, and every text one window without
-a secret.  They are ranked by a hash (of the window, or of the text); the first TRAIN_WINDOWS of each kind, over the
-whole corpus, fit the weights (numpy, forward-backward, Adam).  A task keeps only so many itself.  That bound on
-labelled rows is the only sample.  Spans of the field are whole texts' spans by exact
+Training: every secret in a base span offers the window of tokens around it; they are ranked by a hash of the window.
+Texts are ranked by a hash too, and offer one window without a secret, if they have one.  The first TRAIN_WINDOWS
+windows and texts over the whole corpus fit the weights (numpy, forward-backward, Adam).  A task keeps only so
+many itself.  That bound on labelled rows is the only sample.  Spans of the field are whole texts' spans by exact
 Viterbi: a token whose score for outside leads by more than any transition can win back is outside on the
 best path, so only the stretches between such tokens need the dynamic program.
 
@@ -309,47 +309,47 @@ def labelled(text: str) -> list[tuple[bool, list[str], list[int], list[float]]]:
 
 
 class Smallest:
-    """The entries with the smallest keys, each once."""
+    """The entries with the smallest keys, each once; at most twice `most` are held."""
 
     def __init__(self, most: int):
-        self.most, self.found = most, {}
+        self.most, self.found, self.bound = most, {}, None
 
-    def add(self, key: int, entry: tuple) -> None:
-        self.found[key, tuple(entry[0])] = entry
-        if len(self.found) > 2 * self.most:
-            self.found = dict(sorted(self.found.items())[: self.most])
+    def add(self, key: tuple, entry) -> None:
+        if self.bound is None or key < self.bound:
+            self.found[key] = entry
+            if len(self.found) >= 2 * self.most:
+                self.found = dict(self.entries())
+                self.bound = max(self.found)
 
-    def entries(self) -> list[tuple[int, tuple]]:
-        return [(k[0], e) for k, e in sorted(self.found.items())[: self.most]]
+    def entries(self) -> list[tuple]:
+        return sorted(self.found.items(), key=lambda x: x[0])[: self.most]
 
 
 def training_rows(docs: DataFrame, most: int = TRAIN_WINDOWS) -> list:
-    """The first `most` windows with and without a secret, by a hash of their content, over all texts."""
+    """The first `most` windows with a secret, and the windows without one of the first `most` texts, by their hashes."""
     python_ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = {True: Smallest(most), False: Smallest(most)}
-        bound = 1 << 33                                # no key of a later plain text may be above it
+        secret, texts = Smallest(most), Smallest(most)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if not text:
                     continue
                 if base_spans(text):
                     for entry in windows(text, True):
-                        kept[True].add(zlib.crc32("\0".join(entry[0]).encode("utf-8", "surrogatepass")), entry)
-                key = zlib.crc32(text.encode("utf-8", "surrogatepass"))
-                if key < bound:
-                    for entry in windows(text, False):
-                        kept[False].add(key, entry)
-                    if len(kept[False].found) == most:  # cut back, or just filled
-                        bound = max(kept[False].found)[0] + 1
-        rows = [(secret, key, *entry) for secret, own in kept.items() for key, entry in own.entries()]
+                        key = zlib.crc32("\0".join(entry[0]).encode("utf-8", "surrogatepass"))
+                        secret.add((key, tuple(entry[0])), entry)
+                texts.add((zlib.crc32(text.encode("utf-8", "surrogatepass")), text), text)
+        rows = [(True, key, *entry) for (key, _), entry in secret.entries()]
+        for (key, _), text in texts.entries():
+            rows.append((False, key, *(windows(text, False) or [([], [], [])])[0]))
         types = [pa.bool_(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.float64())]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["secret", "key", "tokens", "tags", "whole"])
 
     rows = written(docs.select("text").mapInArrow(run, "secret boolean, key long, tokens array<string>, tags array<long>, whole array<double>"), "secret-windows").distinct()
     order = ("key", "tokens")
-    return sorted([*rows.where("secret").orderBy(*order).limit(most).collect(), *rows.where("NOT secret").orderBy(*order).limit(most).collect()])
+    first = [*rows.where("secret").orderBy(*order).limit(most).collect(), *rows.where("NOT secret").orderBy(*order).limit(most).collect()]
+    return sorted(r for r in first if r.tokens)
 
 
 def fit(rows: list, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray] | None:

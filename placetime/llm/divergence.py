@@ -9,8 +9,8 @@ TOP_WORDS words, so they are small whatever the size of the corpus.
 Guards: a text with fewer than `min_chars` characters or `min_words` words is not judged by the matching
 histogram.  Limits widen for short texts, because a small sample of the same distribution lies further away.
 A language with fewer than `min_reference` words in the corpus has no reference of its own: its texts are compared
-with that of all languages, by classes that do not tell a script (letters, marks and blanks together, symbols, digits,
-stops, others), and not by words.
+with that of all languages, by classes that do not tell a script (letters, marks and blanks; symbols; digits; stops and
+other signs), and not by words.
 
 Null or empty texts have no words and fail the base rule.  A null or odd language counts as `und`.  Repeated
 rows are judged alike; an empty table gives an empty result; other columns are ignored.
@@ -173,9 +173,10 @@ def _histograms(rows) -> dict[str, tuple]:
 
 
 def scriptless(classes: np.ndarray) -> np.ndarray:
-    """Counts that do not tell a script: letters, marks and blanks as one class beside symbols, digits, stops, others."""
-    apart = [CLASSES.index(c) for c in ("symbol", "digit", "stop", "other")]
-    return np.array([classes.sum() - classes[apart].sum(), *classes[apart]], float)
+    """Counts that do not tell a script: letters, marks and blanks as one class, stops and other signs as one."""
+    of = {c: float(n) for c, n in zip(CLASSES, classes, strict=True)}
+    apart = [of["symbol"], of["digit"], of["stop"] + of["other"]]
+    return np.array([sum(of.values()) - sum(apart), *apart])
 
 
 def judge(

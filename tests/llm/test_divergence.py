@@ -71,8 +71,9 @@ def test_short_texts_are_not_judged(spark, docs_of):
 def test_a_rare_language_is_judged_without_its_script(spark, docs_of):
     rng = random.Random(7)
     rows = [(k, prose(rng, 300)) for k in range(60)]
-    rows += [(900, "日本語の文章です、とても長い文章を書きます。" * 20, "ja", "s"), (901, "это обычный текст на другом языке, он чист. " * 10, "ru", "s")]
-    rows += [(902, " ".join(f"#{k}|{k * 7919}$" for k in range(200)), "xx", "s"), (903, "%% ## ** 0101 " * 60, "ja", "s")]
+    made = lambda signs, end: " ".join("".join(rng.choice(signs) for _ in range(6)) + (end if k % 12 == 11 else "") for k in range(200))
+    rows += [(900, made("日本語文章長書新聞天気", "。"), "ja", "s"), (901, made("абвгдежзиклмн", "."), "ru", "s")]
+    rows += [(902, " ".join(f"#{k}|{k * 7919}$" for k in range(200)), "xx", "s"), (903, " ".join(f"%%{k}## **{k * 31}" for k in range(150)), "ja", "s")]
     got = {r.doc_id: (r.kept, r.word_distance) for r in d.judge(docs_of(rows)).where("doc_id >= 900").collect()}
     assert got[900][0] and got[901][0]
     chars = {r.doc_id: r.char_distance for r in d.judge(docs_of(rows)).collect()}
