@@ -77,14 +77,82 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out
     )
 
 
+#: Keys that a range's bounds are taken from, a range.
+SAMPLED = 20
+
+
+def range_number(df: DataFrame, at: Column) -> Column:
+    """Number of the range that the struct `at` falls in: ascending, nulls first, about as many ranges as shuffle partitions.
+
+    Bounds are every SAMPLED-th of the keys with the smallest hashes, so the driver sees at most SAMPLED keys a
+    range.  They only balance the work: any bounds give the same results.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = df.select(at.alias("k")).orderBy(F.xxhash64("k")).limit(parts * SAMPLED)
+    found = [r.k for r in few.distinct().orderBy("k").collect()]
+    fields = few.schema["k"].dataType.fields
+    bounds = [found[i * len(found) // parts] for i in range(1, parts)] if len(found) > parts else found[1:]
+    if not bounds:
+        return F.lit(0)
+    literal = lambda b: F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, fields, strict=True)])
+    return F.size(F.filter(F.array(*map(literal, bounds)), lambda b: b <= at))
+
+
+def _before(ranges: DataFrame, keys: Sequence[str], amount: str) -> DataFrame:
+    """Of (keys, _range, amount): what the lower ranges of the key hold (_before) and the whole key (_all)."""
+    part = W.partitionBy(*keys)
+    lower = part.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    return ranges.select(
+        *keys, "_range", F.coalesce(F.sum(amount).over(lower), F.lit(0)).alias("_before"), F.sum(amount).over(part).alias("_all"),
+        F.count(F.lit(1)).over(part).alias("_parts"),
+    )
+
+
+def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "pos", size: str | None = None) -> DataFrame:
+    """0-based position of each row inside its key by ascending `order` (nulls first), and the key's row count as `size`.
+
+    Two levels: rows are numbered inside (key, range), where a range is a slice of the order of all rows, and shifted
+    by the counts of the key's lower ranges.  So a key that holds most rows is numbered by many tasks, rows are
+    shuffled once and nothing is written.  Only keys that reach over a bound need the shift, at most two rows a
+    range.  df is read three times (bounds, counts, rows) and must give the same rows each time; `order` should end
+    in a unique column.
+    """
+    placed = df.withColumn("_range", range_number(df, F.struct(*keys, *order)))
+    counts = placed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_c"))
+    shift = _before(counts, keys, "_c").where("_parts > 1").select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_r"), "_before", "_all",
+    )
+    own = W.partitionBy(*keys, "_range")
+    numbered = placed.withColumn(out, F.row_number().over(own.orderBy(*[F.col(c).asc_nulls_first() for c in order])) - 1)
+    if size:
+        numbered = numbered.withColumn(size, F.count(F.lit(1)).over(own))
+    same = F.col("_range") == F.col("_r")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    total = [F.coalesce("_all", size).alias(size)] if size else []
+    return numbered.join(F.broadcast(shift), same, "left").select(   # at most two rows a range
+        *df.columns, (F.col(out) + F.coalesce("_before", F.lit(0))).alias(out), *total
+    )
+
+
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Histogram per key with running counts: columns keys, value, c, cum, n."""
+    """Histogram per key with running counts: columns keys, value, c, cum, n.
+
+    Without keys the running counts are taken inside ranges of values and shifted by the sums of the lower ranges, so
+    that no task sees the whole histogram.
+    """
     hist = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
-    part = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    return hist.select(
-        *keys, value, "c",
-        F.sum("c").over(part.orderBy(value).rowsBetween(W.unboundedPreceding, 0)).alias("cum"),
-        F.sum("c").over(part).alias("n"),
+    if keys:
+        part = W.partitionBy(*keys)
+        running = part.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+        return hist.select(*keys, value, "c", F.sum("c").over(running).alias("cum"), F.sum("c").over(part).alias("n"))
+    placed = hist.withColumn("_range", range_number(hist, F.struct(value)))
+    sums = placed.groupBy("_range").agg(F.sum("c").alias("_c"))
+    shift = _before(sums, [], "_c").withColumnRenamed("_range", "_r")   # one row a range
+    running = W.partitionBy("_range").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    counted = placed.withColumn("cum", F.sum("c").over(running))
+    return counted.join(F.broadcast(shift), F.col("_range") == F.col("_r")).select(
+        value, "c", (F.col("cum") + F.col("_before")).alias("cum"), F.col("_all").alias("n")
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.geo import to_e5
-from ..functions.ranks import rank_within
+from ..functions.ranks import number_within
 from ..functions.text import is_email, query_param, sentence_case, truncated, well_formed_links
 from .spatial import assign_polygon
 
@@ -146,13 +146,13 @@ def next_ids(new: DataFrame, issued: DataFrame, prefixes: dict[str, str], order:
     """Ids like CEN001 for new records: numbers continue after the highest one issued for the
     prefix, in creation order.
 
-    Positions inside a prefix come from one parallel sort, so a prefix holding most of the
+    Positions inside a prefix are counted in ranges, so a prefix holding most of the
     new records is not numbered by one task.
     """
     pairs = F.create_map(*[F.lit(x) for kv in prefixes.items() for x in kv])
     other = prefixes.get("Other", "OTH")
     rows = new.withColumn("prefix", F.coalesce(F.try_element_at(pairs, F.col("district")), F.lit(other)))
-    rows = rank_within(rows, ["prefix"], [F.col(c) for c in order], "_pos")
+    rows = number_within(rows, ["prefix"], order, "_pos")
     last = issued.select(
         F.regexp_extract("intervention_id", r"^([A-Z]+)(\d+)$", 1).alias("prefix"),
         F.regexp_extract("intervention_id", r"^([A-Z]+)(\d+)$", 2).try_cast("int").alias("num"),

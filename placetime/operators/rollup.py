@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import timekeys as tk
 from ..functions.geo import to_e5
 from ..functions.numbers import half_up, ratio
-from ..functions.ranks import rank_within
+from ..functions.ranks import number_within
 
 CITYWIDE = "Citywide"
 
@@ -335,5 +335,4 @@ def scoped(events: DataFrame, scopes: Sequence[dict[str, str | None]], cols: Seq
 def group_rows(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """Rows arranged by key: each row with its position in its key's list and the list's
     length.  The lists stay rows, so a key of any size is spread over tasks."""
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
-    return rank_within(df, [key], [F.col(c) for c in order]).join(sizes, key)
+    return number_within(df, [key], order, size="size")

@@ -59,10 +59,10 @@ def lag_cdf(rows: DataFrame, keys: Sequence[str], days: int = fixed.LAG_CDF_DAYS
     joining it to a day axis.  The result is tiny; write it once when it is used often.
     """
     hist = value_counts(rows, keys, lag)
+    # the entries that reach the curve, and the first one wherever it lies: few rows a key
+    near = hist.where((F.col(lag) <= days) | (F.col("cum") == F.col("c")))
     by_lag = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(lag)
-    h = hist.withColumns({
-        "_first": F.row_number().over(by_lag) == 1, "_next": F.lead(lag).over(by_lag),
-    })
+    h = near.withColumns({"_first": F.col("cum") == F.col("c"), "_next": F.lead(lag).over(by_lag)})
     lo = F.when(F.col("_first"), F.lit(0)).otherwise(F.col(lag))
     hi = F.least(F.coalesce(F.col("_next") - 1, F.lit(days)), F.lit(days))
     return h.withColumn("k", F.explode(F.when(lo <= hi, F.sequence(lo, hi)))).select(
@@ -76,12 +76,9 @@ def late_at_percentile(rows: DataFrame, keys: Sequence[str], pct: int = 90, lag:
     """The nearest-rank percentile of the lag as a hold-back delay, with the rows that arrive
     within it and after it."""
     counts = value_counts(rows, keys, lag)
-    every = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    at = F.min(F.when(F.col("cum") >= rank_target(F.col("n"), pct), F.col(lag))).over(every)
-    split = counts.withColumn("delay", at)
-    return split.groupBy(*keys, "delay").agg(
-        F.sum(F.when(F.col(lag) <= F.col("delay"), F.col("c")).otherwise(0)).alias("in_time"),
-        F.sum(F.when(F.col(lag) > F.col("delay"), F.col("c")).otherwise(0)).alias("late"),
+    reached = F.when(F.col("cum") >= rank_target(F.col("n"), pct), F.struct(F.col(lag).alias("delay"), "cum"))
+    return counts.groupBy(*keys).agg(F.min(reached).alias("at"), F.max("n").alias("n")).select(
+        *keys, F.col("at.delay").alias("delay"), F.col("at.cum").alias("in_time"), (F.col("n") - F.col("at.cum")).alias("late"),
     )
 
 

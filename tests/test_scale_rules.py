@@ -139,3 +139,44 @@ def test_ring_counts_pair_positions_once_whatever_the_keys(spark):
         own[0] += p.d2 <= 3600 and nearest[p.e] == (p.d2, p.id)
         own[1] += p.d2 > 3600
     assert {(r.id, r.signal, r.m): [r.stop, r.ring] for r in got.collect()} == {k: v for k, v in want.items() if any(v)}
+
+
+def test_numbers_within_keys_come_from_ranges(spark):
+    """Seven tenths of the rows in one key, null keys and null orders: positions as in one sorted list, one shuffle of the rows, nothing written."""
+    from placetime.functions import ranks
+
+    key = F.when(F.col("id") % 10 < 7, "hot").when(F.col("id") % 10 == 7, None).otherwise(F.concat(F.lit("k"), F.col("id") % 13))
+    df = spark.range(2000).select(key.alias("key"), F.when(F.col("id") % 11 > 0, F.pmod(F.hash("id"), F.lit(50))).alias("a"), "id")
+    numbered = ranks.number_within(df, ["key"], ["a", "id"], size="size")
+    got = {r.id: (r.pos, r["size"]) for r in numbered.collect()}
+    lists = {}
+    for r in sorted(df.collect(), key=lambda r: (r.a is not None, r.a or 0, r.id)):
+        lists.setdefault(r.key, []).append(r.id)
+    assert got == {i: (k, len(ids)) for ids in lists.values() for k, i in enumerate(ids)}
+    ranges = df.select("key", ranks.range_number(df, F.struct("key", "a", "id")).alias("r")).groupBy("key", "r").count()
+    assert ranges.where("key = 'hot'").count() > 1 and ranges.agg(F.max("count")).first()[0] < 1000
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" not in plan and "placetime-rank" not in plan
+    assert rows(ranks.number_within(df.limit(0), ["key"], ["a", "id"]), "id") == []
+    assert rows(ranks.number_within(df.where("id = 3"), ["key"], ["a", "id"]), "id", "pos") == [(3, 0)]
+
+
+def test_running_counts_without_keys_need_no_single_task(spark):
+    from placetime.functions import ranks
+    from placetime.operators import settling as stl
+
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.pmod(F.hash("id"), F.lit(700))).when(F.col("id") % 2 > 0, 5).alias("lag"))
+    counted = ranks.value_counts(df, [], "lag")
+    values = sorted(r.lag for r in df.collect() if r.lag is not None)
+    want = [(v, values.count(v), sum(x <= v for x in values), len(values)) for v in sorted(set(values))]
+    assert rows(counted, "lag", "c", "cum", "n") == want
+    ranges = counted.select(ranks.range_number(counted, F.struct("lag")).alias("r")).groupBy("r").count()
+    assert ranges.count() > 1 and ranges.agg(F.max("count")).first()[0] < len(want) / 2
+    assert ranks.value_counts(df.where("lag < 0"), [], "lag").count() == 0
+    late = stl.late_at_percentile(df, []).first()
+    at = values[min(len(values), int(len(values) * 90 / 100) + 1) - 1]
+    assert tuple(late) == (at, sum(v <= at for v in values), sum(v > at for v in values))
+    curve = stl.lag_cdf(df, [], days=120).orderBy("k").collect()
+    assert [r.k for r in curve] == list(range(121)) and abs(curve[60].f - sum(v <= 60 for v in values) / len(values)) < 1e-6
+    far = spark.createDataFrame([(200,), (300,)], "lag int")
+    assert {r.f for r in stl.lag_cdf(far, [], days=120).collect()} == {0.0}
