@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -230,5 +231,73 @@ def class_invariants(classified: DataFrame, keys: Sequence[str]) -> DataFrame:
     return _violations(classified.where(bad), "class_invariant", F.concat_ws("/", *keys), F.col("category"))
 
 
+def generated_windows(seed: int, count: int, first: str, last: str, base: dict, slices: Sequence[str], longest: int = 12) -> list[dict]:
+    """Windows of 1 to `longest` months between two months, drawn from a seed, slices in turn; keys g0, g1, ..."""
+    rnd = random.Random(seed)
+    index = lambda d: int(d[:4]) * 12 + int(d[5:7]) - 1
+    day = lambda i: f"{i // 12:04d}-{i % 12 + 1:02d}-01"
+    out = []
+    for k in range(count):
+        lo = rnd.randint(index(first), index(last))
+        hi = min(lo + rnd.randrange(longest), index(last))
+        out.append({"key": f"g{k}", "lo": day(lo), "hi": day(hi), "slice": slices[k % len(slices)], **base})
+    return out
+
+
+def halves(windows: Sequence[dict]) -> list[tuple[dict, dict, dict]]:
+    """(window, first half, second half) of the windows of two months or more."""
+    index = lambda d: int(d[:4]) * 12 + int(d[5:7]) - 1
+    day = lambda i: f"{i // 12:04d}-{i % 12 + 1:02d}-01"
+    out = []
+    for w in windows:
+        lo, hi = index(w["lo"]), index(w["hi"])
+        if lo < hi:
+            cut = (lo + hi) // 2
+            out.append((w, {**w, "key": w["key"] + "a", "hi": day(cut)}, {**w, "key": w["key"] + "b", "lo": day(cut + 1)}))
+    return out
+
+
+def class_rules(classified: DataFrame, hot: float, floor: int, band: float, whole: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """What every class must satisfy by the numbers beside it, whatever the window: one row a broken rule.
+
+    `whole` names the windows over all hours, whose day and night counts make up the total.
+    """
+    category, pre, now, expected = (F.col(c) for c in ("category", "pre_rate", "now_rate", "expected_rate"))
+    volume = F.col("pre") + F.col("now")
+    before, today = pre >= hot, now >= hot
+    rose, fell = now > expected * (1 + band), now < expected * (1 - band)
+    rules = {
+        "class_domain": category.isNotNull() & ~category.isin(*CATEGORIES),
+        "class_negative": (F.col("pre") < 0) | (F.col("now") < 0) | (pre < 0) | (now < 0) | (expected < 0),
+        "class_floor": category.isNotNull() & (volume < floor),
+        "class_cold": category.isNotNull() & ~before & ~today,
+        "class_emerged": (category == "emerged") & ~(today & ~before & rose),
+        "class_cooled": (category == "cooled") & ~(before & fell),
+        "class_persistent": (category == "persistent") & (~before | ~today | fell),
+        "class_silent": category.isNull() & (volume >= floor) & ((before & (fell | today)) | (today & ~before & rose)),
+        "class_split": F.col("window").isin(*whole) & (F.col("now_day") + F.col("now_night") != F.col("now")),
+    }
+    broken = F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules.items()]), lambda r: r.isNotNull())
+    found = classified.withColumn("_rule", F.explode(broken))
+    return found.select(F.col("_rule").alias("check"), F.concat_ws("/", *keys).alias("entity"), category.alias("detail"))
+
+
+def floor_order(low: DataFrame, high: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Cells classified at a higher floor that have not the same class at a lower one."""
+    kept = high.where("category IS NOT NULL").select(*keys, F.col("category").alias("a"))
+    j = kept.join(low.select(*keys, F.col("category").alias("b")), list(keys), "left")
+    return _violations(j.where(~F.col("a").eqNullSafe(F.col("b"))), "floor_order", F.concat_ws("/", *keys), F.concat_ws(" vs ", "a", "b"))
+
+
+def window_sums(classified: DataFrame, parts: Sequence[tuple[dict, dict, dict]], keys: Sequence[str]) -> DataFrame:
+    """Cells whose count in a window is not the sum of its halves."""
+    signs = [(w["key"], whole["key"], sign) for whole, a, b in parts for w, sign in ((whole, 1), (a, -1), (b, -1))]
+    marks = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(whole).alias("whole"), F.lit(sign).alias("sign")) for w, whole, sign in signs])
+    place = [k for k in keys if k != "window"]
+    own = classified.select(*place, "now", F.explode(F.filter(marks, lambda m: m["w"] == F.col("window"))).alias("m"))
+    off = own.groupBy(*place, F.col("m.whole").alias("window")).agg(F.sum(F.col("m.sign") * F.col("now")).alias("off")).where("off <> 0")
+    return _violations(off, "window_sum", F.concat_ws("/", *keys), F.col("off"))
+
+
 def cliff_flag(pct: Column, band: float = fixed.CLIFF_BAND) -> Column:
     return F.coalesce(F.abs(pct) > band, F.lit(False))

@@ -171,6 +171,39 @@ def classifier_parity(spark, sf):
     )
 
 
+_GENERATED = qu.generated_windows(7, 50, "1998-01-01", "2001-07-01", BASELINE, ["all", "day", "night", "morning+evening"])
+_PARTS = qu.halves(_GENERATED[:10])
+_FUZZED = _GENERATED + [w for _, *two in _PARTS for w in two]
+_WHOLE = [w["key"] for w in _FUZZED if w["slice"] == "all"]
+_CATEGORY = "CASE WHEN abs(cy + cx) % 3 = 0 AND category IS NOT NULL THEN 'unsure' WHEN abs(cy + cx) % 3 = 1 AND category = 'emerged' THEN 'persistent' ELSE category END"
+_NOW = "CASE WHEN abs(cy + cx) % 3 = 2 AND now > 0 THEN now - 1 ELSE now END"
+_SIGNS = ", ".join(f"('{w['key']}', '{whole['key']}', {sign})" for whole, a, b in _PARTS for w, sign in ((whole, 1), (a, -1), (b, -1)))
+
+
+@query("class_fuzz", f"""WITH {classes_sql(_FUZZED)}, d AS (SELECT *, {_CATEGORY} AS dcat, {_NOW} AS dnow FROM cls),
+sums AS (SELECT signal, cy, cx, whole, sum(sign * dnow) AS off FROM d JOIN (VALUES {_SIGNS}) AS v(w, whole, sign) ON v.w = d.win GROUP BY ALL),
+bad AS (SELECT 'class_mismatch' AS "check", win FROM d WHERE dcat IS DISTINCT FROM category
+UNION ALL SELECT 'class_domain', win FROM d WHERE dcat = 'unsure'
+UNION ALL SELECT 'class_persistent', win FROM d WHERE dcat = 'persistent' AND category = 'emerged'
+UNION ALL SELECT 'class_floor', win FROM d WHERE dcat IS NOT NULL AND pre + dnow < {FLOOR}
+UNION ALL SELECT 'class_split', win FROM d WHERE win IN ({", ".join(f"'{w}'" for w in _WHOLE)}) AND dnow <> now
+UNION ALL SELECT 'floor_order', win FROM d WHERE pre + now >= {2 * FLOOR} AND dcat IS DISTINCT FROM category
+UNION ALL SELECT 'window_sum', whole FROM sums WHERE off <> 0)
+SELECT "check", win AS "window", count(*) AS cells FROM bad GROUP BY ALL""")
+def class_fuzz(spark, sf):
+    """Generated windows hold every rule; of a copy with damaged classes and counts, just the damage is reported."""
+    keys = ["signal", "cy", "cx", "window"]
+    cube = _written_cube(spark, sf)
+    fresh = materialize(_classes(cube, _FUZZED), "classes")
+    high = ho.classify_cells(cube, _FUZZED, HOT, 2 * FLOOR, BAND)
+    damage = lambda df: df.withColumns({"category": F.expr(_CATEGORY), "now": F.expr(_NOW)})
+    baked = damage(fresh)
+    found = qu.class_mismatch(baked, fresh, keys).unionByName(qu.floor_order(fresh, damage(high), keys)).unionByName(qu.floor_order(fresh, high, keys))
+    for classes in (fresh, baked):
+        found = found.unionByName(qu.class_rules(classes, HOT, FLOOR, BAND, _WHOLE, keys)).unionByName(qu.window_sums(classes, _PARTS, keys))
+    return found.groupBy("check", F.substring_index("entity", "/", -1).alias("window")).agg(F.count(F.lit(1)).alias("cells"))
+
+
 @query("top_cells", f"""WITH {PLACED}, {FACTS} SELECT * FROM (SELECT signal, cy, cx, total,
   CAST(row_number() OVER (PARTITION BY signal ORDER BY total DESC, cy, cx) AS INTEGER) AS rank FROM facts) WHERE rank <= 10""")
 def top_cells(spark, sf):

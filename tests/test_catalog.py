@@ -25,6 +25,7 @@ SAMPLE = [
     "month_mask", "dictionary_encode", "feed_csv", "fallback_feed", "week_partner", "verdicts", "event_radius_join", "local_index",
     "match_hotspot_first", "stop_checks", "validate_interventions", "validate_links", "search_stops", "classifier_parity", "stream_weekly",
     "newest_month_peek", "calendar_labels", "known_breaks", "third_kpi", "stored_documents", "reproduced_total", "filter_drift", "lever_rows", "provenance_filters", "filter_parity", "stream_hold_back", "stream_dedup",
+    "group_rows", "class_fuzz", "shard_update",
 ]
 NAMES = list(ORACLES) if os.environ.get("ALL_QUERIES") else SAMPLE
 

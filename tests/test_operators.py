@@ -272,6 +272,30 @@ def test_fuzzed_windows_keep_invariants(spark):
     assert qu.class_mismatch(many.where("window = 'w0'"), again, ["cy"]).count() == 0
 
 
+def test_generated_windows_and_class_rules(spark):
+    base = {"base_lo": "2023-01-01", "base_hi": "2024-12-01"}
+    wins = qu.generated_windows(5, 30, "2025-01-01", "2026-02-01", base, ["all", "night"], longest=5)
+    assert wins == qu.generated_windows(5, 30, "2025-01-01", "2026-02-01", base, ["all", "night"], longest=5) != qu.generated_windows(6, 30, "2025-01-01", "2026-02-01", base, ["all", "night"], longest=5)
+    assert all("2025-01-01" <= w["lo"] <= w["hi"] <= "2026-02-01" for w in wins) and len({(w["lo"], w["hi"]) for w in wins}) > 10
+    parts = qu.halves(wins)
+    assert parts and all(a["lo"] == w["lo"] and a["hi"] < b["lo"] and b["hi"] == w["hi"] for w, a, b in parts)
+    rnd = random.Random(3)
+    cube = ho.cell_cube(ho.located(cells(spark, {c: (rnd.randrange(60), rnd.randrange(12)) for c in range(1, 15)}), ["A"]))
+    every, keys = wins + [w for _, *two in parts for w in two], ["cy", "window"]
+    whole = [w["key"] for w in every if w["slice"] == "all"]
+    low, high = ho.classify_cells(cube, every, 1.0, 6), ho.classify_cells(cube, every, 1.0, 50)
+    low.persist()
+    assert qu.class_rules(low, 1.0, 6, 0.35, whole, keys).count() == 0
+    assert qu.window_sums(low, parts, keys).count() == 0 and qu.floor_order(low, high, keys).count() == 0
+    assert high.where("category IS NOT NULL").count() < low.where("category IS NOT NULL").count()
+    swapped = low.withColumn("category", F.when(F.col("category") == "cooled", "persistent").when(F.col("category") == "persistent", "cooled"))
+    broken = {r.check for r in qu.class_rules(swapped, 1.0, 6, 0.35, whole, keys).collect()}
+    assert {"class_persistent", "class_silent"} <= broken | ({"class_persistent"} if not low.where("category = 'cooled'").count() else set())
+    assert qu.window_sums(low.withColumn("now", F.col("now") + 1), parts, keys).count() > 0
+    assert qu.floor_order(high, low, keys).count() > 0
+    low.unpersist()
+
+
 def test_dominant_name_tie_goes_to_first_seen(spark):
     d = [("s", 1, "B ST, X", "2024-01-02"), ("s", 1, "A ST", "2024-01-03"), ("s", 1, None, "2024-01-01")]
     p = spark.createDataFrame(d, "signal string, cy int, name string, t string").withColumn("cx", F.lit(0)).withColumn("ts", F.col("t").cast("timestamp_ntz"))
