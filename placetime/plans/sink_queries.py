@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import timekeys as tk
-from ..functions.ranks import run_dir
+from ..functions.ranks import materialize, run_dir
 from ..operators import rollup as ru
 from ..operators import sampling as sa
 from ..operators import spatial as sp
@@ -143,6 +143,24 @@ def sharded_sink(spark, sf):
     return back.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
 
 
+@query("shard_update", """SELECT substr(CASE WHEN c_custkey < 10000 THEN lpad(CAST(c_custkey AS VARCHAR), 4, '0') ELSE CAST(c_custkey AS VARCHAR) END, 1, 2) AS shard,
+  count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS ids, CAST(count(*) FILTER (WHERE shard = '01') AS BIGINT) AS late, shard = '01' AS rewritten FROM customer GROUP BY ALL""")
+def shard_update(spark, sf):
+    """A second load brings new and changed rows of one shard: it alone is rewritten, and the table equals one full build."""
+    path = run_dir(spark, "shards")
+    every = t.stops(spark, sf).select("id", "name", F.lit("first").alias("load"))
+    late = sk.shard_key() == "01"
+    sk.write_sharded(every.where(~late | (F.col("id") % 2 == 0)), path)
+    stored = lambda: spark.read.schema("id bigint, name string, load string, shard string").parquet(path)
+    file = F.max("_metadata.file_name")
+    before = materialize(stored().groupBy("shard").agg(file.alias("file")), "shard-files")
+    sk.update_shards(every.where(late).withColumn("load", F.lit("second")), path)
+    after = stored().groupBy("shard").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.count_if(F.col("load") == "second").alias("late"), file.alias("_file")
+    )
+    return after.join(before, "shard", "left").select("shard", "n", "ids", "late", (~F.col("file").eqNullSafe(F.col("_file"))).alias("rewritten"))
+
+
 @query("dictionary_encode", f"""WITH {t.POINTS}, a AS (SELECT DISTINCT name FROM pts), b AS (SELECT DISTINCT signal FROM pts), ca AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS c FROM a), cb AS (SELECT signal, row_number() OVER (ORDER BY signal) - 1 AS c FROM b)
 SELECT id, ca.c AS name_code, cb.c AS signal_code FROM pts JOIN ca USING (name) JOIN cb USING (signal)""")
 def dictionary_encode(spark, sf):

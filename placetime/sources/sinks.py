@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import timekeys as tk
 from ..functions.joins import lookup_join
-from ..functions.ranks import global_rank
+from ..functions.ranks import global_rank, materialize
 from .predicates import Opaque, quoted
+from .readers import path_exists
 from .registry import Group, Registry
 
 
@@ -63,6 +64,35 @@ def write_sharded(df: DataFrame, path: str, id_col: str = "id") -> None:
     df.withColumn("shard", shard_key(id_col)).write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
+def update_shards(new: DataFrame, path: str, id_col: str = "id") -> list[str | None]:
+    """Take a later load into a sharded table: its rows replace the stored rows of their ids, and only the shards
+    that it falls in are read and written.  Returns those shards.
+
+    The new state of the shards is written beside the table before any is replaced, and a load can be repeated after
+    a failure with the same result.  Rows without an id form one shard and replace each other.  A load without rows
+    changes nothing; a table that does not exist is created.
+    """
+    spark = new.sparkSession
+    if not path_exists(spark, path):
+        write_sharded(new, path, id_col)
+        return sorted({r.shard for r in new.select(shard_key(id_col).alias("shard")).distinct().collect()}, key=str)
+    load = materialize(new.withColumn("shard", shard_key(id_col)), "shard-load")
+    stored = spark.read.parquet(path).columns
+    if set(stored) != set(load.columns):
+        raise ValueError(f"columns of the load {sorted(load.columns)} are not those stored {sorted(stored)}")
+    touched = sorted((r.shard for r in load.select("shard").distinct().collect()), key=str)   # two characters each
+    if not touched:
+        return []
+    named = [s for s in touched if s is not None]
+    here = F.col("shard").isin(named) | (F.col("shard").isNull() if None in touched else F.lit(False))
+    old = spark.read.schema(load.schema).parquet(path).where(here)
+    ids = load.select(F.col(id_col).alias("_id")).distinct()
+    kept = old.join(ids, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    merged = materialize(kept.unionByName(load), "shard-merge")
+    merged.hint("rebalance", "shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    return touched
+
+
 def dictionary(df: DataFrame, col: str) -> DataFrame:
     """(value, code) of a column, the code being the value's position in sorted order."""
     return global_rank(df.select(col).distinct(), [F.col(col)], f"{col}_code")

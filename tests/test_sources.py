@@ -1,5 +1,7 @@
 import json
+import os
 
+import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
@@ -176,3 +178,26 @@ def test_read_signal_pushes_filters(spark, tmp_path):
     df = rd.read_signal(spark.read.parquet(str(tmp_path / "r")), sig, "2023-01-01")
     plan = df._jdf.queryExecution().toString()
     assert df.count() == 1 and "EqualTo(incident_category,Fraud)" in plan and "other" not in plan.split("ReadSchema")[1]
+
+
+def test_shards_take_later_loads(spark, tmp_path):
+    """A load rewrites its own shards only, repeats without effect, and a slice reads one folder."""
+    path = str(tmp_path / "shards")
+    make = lambda ids, v: spark.createDataFrame([(i, v) for i in ids], "id long, v string")
+    files = lambda: {d: sorted(os.listdir(os.path.join(path, d))) for d in os.listdir(path) if d.startswith("shard=")}
+    assert sk.update_shards(make([1, 2, 150, 3000, None], "a"), path) == ["00", "01", "30", None]
+    first = files()
+    for _ in range(2):
+        assert sk.update_shards(make([150, 151], "b"), path) == ["01"]
+        again = files()
+        assert {d for d in again if again[d] != first[d]} == {"shard=01"}
+        back = spark.read.schema("id long, v string, shard string").parquet(path)
+        assert rows(back) == rows(spark.createDataFrame([(1, "a", "00"), (2, "a", "00"), (150, "b", "01"), (151, "b", "01"), (3000, "a", "30"), (None, "a", None)], back.schema))
+    assert sk.update_shards(make([None], "c"), path) == [None] and sk.update_shards(make([], "d"), path) == []
+    back = spark.read.schema("id long, v string, shard string").parquet(path)
+    assert rows(back.where("id IS NULL"), "v") == [("c",)] and back.count() == 6
+    with pytest.raises(ValueError, match="columns"):
+        sk.update_shards(make([1], "a").withColumn("w", F.lit(1)), path)
+    part = rd.read_slice(spark, path, shard="30")
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(shard" in plan and rows(part, "id") == [(3000,)]
