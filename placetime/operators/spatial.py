@@ -21,52 +21,70 @@ POLYGON_INDEX_ROWS = 50_000        # broadcast bound: grid cells under all boxes
 POLYGON_INDEX_EDGES = 500_000      # broadcast bound: edges, once per grid cell they serve
 
 
-def polygon_index(rings: DataFrame, size: int = POLYGON_GRID_E5, holes: bool = False) -> DataFrame:
-    """Grid index of polygon rings (district, feature_order, part, role, edges).
+#: Degrees by which an edge reaches beyond its ends, far above rounding and below a coordinate step.
+EDGE_MARGIN = 1e-6
 
-    Row per grid cell (gy, gx) with its `parts` in feature order.  A part no edge of which
-    comes near the cell holds all of it (`full`, no edges kept) or none of it (left out), so
-    only points in border cells are tested against edges; those are the edges a ray leaving
-    the cell to the right can cross.  Nothing is kept behind the first full part.
-    """
-    scale = float(fixed.E5) / size
-    kept = rings if holes else rings.where("role = 'outer'")
-    e = kept.withColumn("ring_no", F.xxhash64("feature_order", "part", "role", "edges")).select(
+
+def _banded_edges(rings: DataFrame, scale: float) -> DataFrame:
+    """Edges once for each grid row they cross: gy, the columns [near_lo, near_hi] that the edge meets in that row, and
+    the columns [gx_lo, gx_hi] of its part.  Level edges cross no ray and are left out."""
+    e = rings.withColumn("ring_no", F.xxhash64("feature_order", "part", "role", "edges")).select(
         "district", "feature_order", "part", "role", "ring_no", F.explode("edges").alias("e")
     )
-    lo_x, hi_x = F.least("e.x1", "e.x2"), F.greatest("e.x1", "e.x2")
-    lo_y, hi_y = F.least("e.y1", "e.y2"), F.greatest("e.y1", "e.y2")
+    cell = lambda c: F.floor(c * scale).cast("int")
     box = e.where("role = 'outer'").groupBy("feature_order", "part").agg(
-        F.floor(F.min(lo_x) * scale).cast("int").alias("gx_lo"),
-        F.floor(F.max(hi_x) * scale).cast("int").alias("gx_hi"),
+        cell(F.min(F.least("e.x1", "e.x2"))).alias("gx_lo"), cell(F.max(F.greatest("e.x1", "e.x2"))).alias("gx_hi"),
     )
-    bands = F.sequence(F.floor(lo_y * scale).cast("int"), F.floor(hi_y * scale).cast("int"))
-    banded = e.withColumn("gy", F.explode(bands)).join(box, ["feature_order", "part"])
-    # an edge serves every cell at or left of its right end
-    last_gx = F.least("gx_hi", F.floor(hi_x * scale).cast("int"))
-    celled = banded.withColumn(
-        "gx", F.explode(F.when(last_gx >= F.col("gx_lo"), F.sequence("gx_lo", last_gx)))
-    )
-    margin = 1e-9
-    west, east = F.col("gx") / scale - margin, (F.col("gx") + 1) / scale + margin
-    celled = celled.withColumn("near", (lo_x <= east) & (hi_x >= west))
-    keys = ["gy", "gx", "feature_order", "part", "district"]
-    per_ring = celled.groupBy(*keys, "role", "ring_no").agg(
-        F.collect_list("e").alias("edges"), F.bool_or("near").alias("near")
-    )
-    per_part = per_ring.groupBy(*keys).agg(
-        F.flatten(F.collect_list(F.when(F.col("role") == "outer", F.col("edges")))).alias("outer"),
-        F.collect_list(F.when(F.col("role") == "hole", F.col("edges"))).alias("holes"),
-        F.bool_or("near").alias("near"),
-    )
-    x, y = (F.col("gx") + 0.5) / scale, (F.col("gy") + 0.5) / scale
-    centre = _in_part(F.col("outer"), F.col("holes"), x, y, 0.0)
-    useful = per_part.withColumn("full", ~F.col("near") & centre).where("near or full")
-    none = F.array().cast(useful.schema["outer"].dataType)
-    slim = useful.withColumns({
-        "outer": F.when(F.col("full"), none).otherwise(F.col("outer")),
-        "holes": F.when(F.col("full"), F.array().cast(useful.schema["holes"].dataType)).otherwise(F.col("holes")),
+    lo_y, hi_y = F.least("e.y1", "e.y2"), F.greatest("e.y1", "e.y2")
+    banded = e.where("e.y1 <> e.y2").withColumn("gy", F.explode(F.sequence(cell(lo_y), cell(hi_y))))
+
+    def at(y: Column) -> Column:
+        return F.col("e.x1") + (F.col("e.x2") - F.col("e.x1")) * (y - F.col("e.y1")) / (F.col("e.y2") - F.col("e.y1"))
+
+    one, two = at(F.greatest(lo_y, F.col("gy") / scale)), at(F.least(hi_y, (F.col("gy") + 1) / scale))
+    return banded.join(box, ["feature_order", "part"]).withColumns({
+        "near_lo": F.ceil((F.least(one, two) - EDGE_MARGIN) * scale).cast("int") - 1,
+        "near_hi": F.floor((F.greatest(one, two) + EDGE_MARGIN) * scale).cast("int"),
     })
+
+
+def polygon_index(rings: DataFrame, size: int = POLYGON_GRID_E5, holes: bool = False) -> DataFrame:
+    """Grid index of polygon rings (district, feature_order, part, role, edges).
+
+    Row per grid cell (gy, gx) with its `parts` in feature order.  Of each ring a cell keeps the edges that meet it
+    and the state of all edges to its right: a ray to the right of height y crosses such an edge if just one end is
+    above y, so ends count, and ends met twice cancel out.  What is left are ends above the cell's row (infinity
+    stands for them: the cell's corner state) and ends inside it that one edge shares with an edge meeting the cell.
+    So the index has as many entries as cells met by edges, and cells inside.  A part without edges in the cell holds
+    all of it (`full`) or none of it (left out); nothing is kept behind the first full part.
+    """
+    scale = float(fixed.E5) / size
+    edges = _banded_edges(rings if holes else rings.where("role = 'outer'"), scale)
+    ring = ["feature_order", "part", "district", "role", "ring_no"]
+    columns = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi))
+    met = edges.withColumn("gx", F.explode(columns(F.greatest("near_lo", "gx_lo"), F.least("near_hi", "gx_hi"))))
+    # the ends of an edge count for every cell left of near_lo
+    high = lambda y: F.when(F.floor(y * scale) > F.col("gy"), float("inf")).when(F.floor(y * scale) == F.col("gy"), y)
+    ends = edges.withColumn("y", F.explode(F.filter(F.array(high(F.col("e.y1")), high(F.col("e.y2"))), lambda y: y.isNotNull())))
+    reach = ends.groupBy(*ring, "gy", "y", "gx_lo", "gx_hi").agg(F.sort_array(F.collect_list(F.col("near_lo") - 1), asc=False).alias("upto"))
+    # odd counts: after the first, third, ... column from the right, up to the next one
+    spans = F.transform(F.sequence(F.lit(0), F.size("upto") - 1, F.lit(2)), lambda i: columns(
+        F.greatest(F.col("gx_lo"), F.coalesce(F.get("upto", i + 1) + 1, F.col("gx_lo"))), F.least(F.col("gx_hi"), F.get("upto", i))
+    ))
+    above = reach.withColumn("gx", F.explode(F.flatten(F.filter(spans, lambda s: s.isNotNull()))))
+    none = F.lit(None)
+    entries = met.select(*ring, "gy", "gx", "e", none.cast("double").alias("y")).unionByName(
+        above.select(*ring, "gy", "gx", none.cast(met.schema["e"].dataType).alias("e"), "y")
+    )
+    per_ring = entries.groupBy(*ring, "gy", "gx").agg(F.struct(F.collect_list("e").alias("edges"), F.collect_list("y").alias("ys")).alias("ring"))
+    outer, hole = F.when(F.col("role") == "outer", F.col("ring")), F.when(F.col("role") == "hole", F.col("ring"))
+    per_part = per_ring.groupBy("gy", "gx", "feature_order", "part", "district").agg(
+        F.collect_list(outer).alias("o"), F.collect_list(hole).alias("holes"),
+        F.bool_or((F.size("ring.edges") > 0) | F.exists("ring.ys", lambda y: y < float("inf"))).alias("near"),
+    ).where(F.size("o") > 0).withColumn("outer", F.struct(F.flatten("o.edges").alias("edges"), F.flatten("o.ys").alias("ys")))
+    inside = _in_part(F.col("outer"), F.col("holes"), F.lit(0.0), F.lit(0.0), 0.0)   # without edges the point does not matter
+    useful = per_part.withColumn("full", ~F.col("near") & inside).where("near or full")
+    slim = useful.withColumns({c: F.when(~F.col("full"), F.col(c)) for c in ("outer", "holes")})
     parts = slim.groupBy("gy", "gx").agg(
         F.array_sort(
             F.collect_list(F.struct("feature_order", "part", "district", "full", "outer", "holes"))
@@ -79,34 +97,38 @@ def polygon_index(rings: DataFrame, size: int = POLYGON_GRID_E5, holes: bool = F
 
 
 def index_fits(rings: DataFrame, size: int = POLYGON_GRID_E5) -> bool:
-    """Whether the polygon index stays within the broadcast bounds, from the rings' boxes alone:
-    an edge serves at most the grid rows it spans times the columns of its part."""
+    """Whether the polygon index stays within the broadcast bounds, from the rings alone: cells are at most
+    those of a ring's box, and an edge meets at most three cells a grid row and one more a column."""
     scale = float(fixed.E5) / size
 
     def steps(values: Column) -> Column:
         return F.floor(F.array_max(values) * scale) - F.floor(F.array_min(values) * scale) + 1
 
+    def apart(a: Column, b: Column) -> Column:
+        return F.abs(F.floor(a * scale) - F.floor(b * scale)) + 1
+
     xs = F.flatten(F.transform("edges", lambda e: F.array(e["x1"], e["x2"])))
     ys = F.flatten(F.transform("edges", lambda e: F.array(e["y1"], e["y2"])))
-    cols = steps(xs)
-    edge_rows = F.aggregate(
-        F.transform("edges", lambda e: F.abs(F.floor(e["y1"] * scale) - F.floor(e["y2"] * scale)) + 1),
+    met = F.aggregate(
+        F.transform("edges", lambda e: 3 * apart(e["y1"], e["y2"]) + apart(e["x1"], e["x2"])),
         F.lit(0).cast("long"), lambda n, r: n + r,
     )
     cells, edges = rings.agg(
-        F.coalesce(F.sum(steps(ys) * cols), F.lit(0)), F.coalesce(F.sum(edge_rows * cols), F.lit(0))
+        F.coalesce(F.sum(steps(ys) * steps(xs)), F.lit(0)), F.coalesce(F.sum(met), F.lit(0))
     ).first()
     return cells <= POLYGON_INDEX_ROWS and edges <= POLYGON_INDEX_EDGES
 
 
-def _crossings_odd(edges: Column, x: Column, y: Column, epsilon: float) -> Column:
+def _crossings_odd(ring: Column, x: Column, y: Column, epsilon: float) -> Column:
+    """Whether a ray to the right crosses a ring an odd number of times: its edges in the cell and the ends to the right of it."""
     def crosses(e: Column) -> Column:
         spans = (e["y1"] > y) != (e["y2"] > y)
         slope_den = e["y2"] - e["y1"] + F.lit(epsilon)
         at_x = (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(slope_den, F.lit(0.0)) + e["x1"]
         return F.when(spans & (x < at_x), 1).otherwise(0)
 
-    return F.aggregate(edges, F.lit(0), lambda n, e: n + crosses(e)) % 2 == 1
+    met = F.aggregate(ring["edges"], F.lit(0), lambda n, e: n + crosses(e))
+    return (met + F.size(F.filter(ring["ys"], lambda end: end > y))) % 2 == 1
 
 
 def _in_part(outer: Column, holes: Column, x: Column, y: Column, epsilon: float) -> Column:

@@ -524,6 +524,35 @@ def test_polygons_beyond_the_broadcast_bound_are_joined_plainly(spark, monkeypat
     assert rows(joined, "id", "district") == want and ("A" in {d for _, d in want}) and ("UNKNOWN" in {d for _, d in want})
 
 
+RING = "district string, feature_order int, part int, role string, edges array<struct<x1:double,y1:double,x2:double,y2:double>>"
+
+
+def test_polygon_index_grows_with_edges_not_with_columns(spark):
+    """A saw 40 columns wide with 400 teeth: entries of the index are those of met cells, not edges times columns."""
+    teeth = [(k / 100, 0.5 + 0.3 * (k % 2)) for k in range(401)]
+    ring = [*teeth, (4.0, 0.05), (0.0, 0.05)]
+    edges = [(*p, *q) for p, q in zip(ring, ring[1:] + ring[:1], strict=True)]
+    rings = spark.createDataFrame([("A", 0, 0, "outer", edges)], RING)
+    index = sp.polygon_index(rings, size=10000).select(F.explode("parts").alias("p")).select(
+        F.coalesce(F.size("p.outer.edges"), F.lit(0)).alias("edges"), F.coalesce(F.size(F.filter("p.outer.ys", lambda y: y < 9)), F.lit(0)).alias("ends")
+    ).persist()
+    edge_cells = 400 * 4 * 3 + 2 * 10 + 45
+    assert index.agg(F.sum("edges")).first()[0] < edge_cells < 400 * 4 * 40 / 2
+    assert index.agg(F.sum("ends")).first()[0] < 2 * 400 and index.count() <= 41 * 10
+    rnd = random.Random(2)
+    pts = [(i, rnd.randrange(-1000, 90000), rnd.randrange(-1000, 401000)) for i in range(3000)]
+    pts += [(3000 + i, round(y * 1e5), round(x * 1e5)) for i, (x, y) in enumerate(teeth)]      # ends themselves
+
+    def inside(y, x):
+        y, x = y / 1e5, x / 1e5
+        return sum((y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1 + fixed.EDGE_EPSILON) + x1 for x1, y1, x2, y2 in edges) % 2 == 1
+
+    df = spark.createDataFrame(pts, "id int, lat_e5 int, lng_e5 int")
+    for size in (10000, 3300, 250000):
+        got = {r.id for r in sp.assign_polygon(df, rings, size=size).where("district = 'A'").collect()}
+        assert got == {i for i, lat, lng in pts if inside(lat, lng)}
+
+
 def test_written_tables_may_be_empty(spark):
     from placetime.functions.ranks import global_rank, materialize
 
