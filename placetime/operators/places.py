@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.geo import equirect_m, to_e5
-from ..functions.ranks import global_rank, materialize
+from ..functions.ranks import global_rank, materialize, number_within
 from ..functions.text import name_tokens, parse_stop_code, street_tokens, token_key
 from .rollup import ranked
 from .spatial import assign_polygon, near_pairs
@@ -154,6 +154,34 @@ def resolve_corners(
     return out.withColumn("status", status).withColumn("nearby", F.col("near_name").isNotNull())
 
 
+#: Entries of a prefix in its first block; each further block holds twice as many.
+SEARCH_BLOCK = 1024
+
+
+def _first_hits(queries: DataFrame, posted: DataFrame, k: int) -> DataFrame:
+    """Entries (q, n_toks, id, bonus) that fit all words of a query: the first k of the ranking are among them.
+
+    A query reads the entries of its rarest word in ranking order, block by block, and stops after the block that
+    brings its k-th hit or ends the list.  So frequent words together cost what the hits need, and a rare word beside
+    a frequent one costs the rare word's entries.  queries: q, toks, n_toks; posted: pre, at, held, block, entry.
+    """
+    sizes = posted.where("at = 0").select(F.col("pre").alias("t"), "held")
+    words = queries.select("q", "toks", "n_toks", F.explode("toks").alias("t")).join(sizes, "t", "left")
+    rarest = words.groupBy("q", "toks", "n_toks").agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "t")).alias("r"))
+    waiting = materialize(rarest.where("r.held > 0").select("q", "toks", "n_toks", F.col("r.t").alias("pre"), F.col("r.held").alias("list")), "search-open")
+    every = F.forall("toks", lambda t: F.exists("_words", lambda w: F.startswith(w, t)))
+    hits, block = None, 0
+    while hits is None or not waiting.isEmpty():
+        met = posted.where(F.col("block") == block).join(waiting, "pre").where(every).select("q", "n_toks", "id", "bonus")
+        found = materialize(met, "search-hits")
+        hits = found if hits is None else hits.unionByName(found)
+        served = hits.groupBy("q").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("q")
+        read = SEARCH_BLOCK * (2 ** (block + 1) - 1)
+        waiting = materialize(waiting.where(F.col("list") > read).join(served, "q", "left_anti"), "search-open")
+        block += 1
+    return hits
+
+
 def search_stops(queries: DataFrame, stops: DataFrame, k: int = 12) -> DataFrame:
     """Top k stops per query text.
 
@@ -175,22 +203,20 @@ def search_stops(queries: DataFrame, stops: DataFrame, k: int = 12) -> DataFrame
     by_code = s.join(nq, s["code"] == nq["code_q"]).select("q", "id")
     numbered = by_id.unionByName(by_code).distinct().withColumn("score", F.lit(0.0))
     wq = q.where(~numeric).select("q", F.array_distinct(name_tokens(F.col("_t"))).alias("toks"), F.size(name_tokens(F.col("_t"))).alias("n_toks"))
-    # meet on prefixes of the query's longest word, then test every word
-    longest = F.array_sort(
-        F.transform("toks", lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t")))
-    )
-    keyed = wq.where(F.size("toks") > 0).withColumn("pre", F.get(longest, F.lit(0))["t"])
     starts = F.array_distinct(F.flatten(F.transform(
         "_words", lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda n: F.substring(w, F.lit(1), n))
     )))
     bonus = F.when(F.col("listed"), 0.5).otherwise(0.0) + F.when(F.col("shelter"), 0.1).otherwise(0.0)
     order = [F.desc("bonus"), F.length("id"), F.col("id")]
-    posted = s.select("id", bonus.alias("bonus"), "_words", F.explode(starts).alias("pre"))
-    # one word: the best stops of its prefix, settled once for all queries
-    heads = ranked(posted.select("id", "bonus", "pre"), k, ["pre"], order).drop("rank")
-    one = keyed.where(F.size("toks") == 1).join(heads, "pre").select("q", "id", (F.col("n_toks") + F.col("bonus")).alias("score"))
-    every = F.forall("toks", lambda t: F.exists("_words", lambda w: F.startswith(w, t)))
-    more = posted.join(keyed.where(F.size("toks") > 1), "pre").where(every).select("q", "id", (F.col("n_toks") + F.col("bonus")).alias("score"))
+    # hits of a query rank as the stops do, so the stops of each prefix stand in that order once for all queries
+    placed = global_rank(s.select("id", bonus.alias("bonus"), "_words"), order, "place")
+    posted = placed.select("id", "bonus", "place", "_words", F.explode(starts).alias("pre"))
+    posted = materialize(
+        number_within(posted, ["pre"], ["place"], "at", size="held").withColumn("block", F.floor(F.log2(F.col("at") / SEARCH_BLOCK + 1))), "postings"
+    )
+    score = (F.col("n_toks") + F.col("bonus")).alias("score")
+    one = wq.where(F.size("toks") == 1).withColumn("pre", F.get("toks", F.lit(0))).join(posted.where(F.col("at") < k), "pre").select("q", "id", score)
+    more = _first_hits(wq.where(F.size("toks") > 1), posted, k).select("q", "id", score)
     # no word that counts: every stop fits, so the best ones of all
     top = ranked(s.select("id", bonus.alias("bonus")), k, [], order).agg(F.collect_list(F.struct("id", "bonus")).alias("top"))
     none = wq.where(F.size("toks") == 0).withColumn("hit", F.explode(top.scalar())).select("q", "hit.id", F.col("hit.bonus").alias("score"))

@@ -69,6 +69,37 @@ def test_search_by_street_type_alone_lists_the_best_stops(spark):
     assert rows(pl.search_stops(q, stops), "q", "rank", "id") == [("e", 1, "1002"), ("ma", 1, "1000"), ("st", 1, "1001"), ("st", 2, "1000"), ("st", 3, "1002")]
 
 
+def test_searches_stop_reading_at_their_last_hit(spark, monkeypatch):
+    """Words of half of the stops, a rare word beside a frequent one, words that never meet: as by testing every stop."""
+    import random
+
+    rnd = random.Random(4)
+    data = []
+    for i in range(1500):
+        names = ["Main" if i % 2 else "Oak", "Pine" if i % 3 else "Elm", f"Q{i % 97}", "Mason" if i % 500 == 7 else ""]
+        data.append((str(10000 + i), str(90000 + i), " & ".join(n for n in names if n), None, None, rnd.random() < 0.3, rnd.random() < 0.2))
+    stops = spark.createDataFrame(data, STOPS)
+    texts = ["main pine", "oak pi", "main oak", "mas main", "q96 oak", "p m", "elm main q5", "zz main"]
+    read = []
+    monkeypatch.setattr(pl, "SEARCH_BLOCK", 8)
+    real = pl.materialize
+    monkeypatch.setattr(pl, "materialize", lambda df, label: read.append(label) or real(df, label))
+    got = {}
+    for r in pl.search_stops(spark.createDataFrame([(x,) for x in texts], "q string"), stops, k=5).collect():
+        got.setdefault(r.q, []).append((r["rank"], r.id))
+
+    def best(q):
+        fits = [d for d in data if all(any(w.lower().startswith(t) for w in d[2].split(" & ")) for t in q.split())]
+        bonus = {d[0]: 0.5 * d[6] + 0.1 * d[5] for d in data}
+        return list(enumerate([d[0] for d in sorted(fits, key=lambda d: (-bonus[d[0]], d[0]))][:5], 1))
+
+    assert {q: sorted(v) for q, v in got.items()} == {q: best(q) for q in texts if best(q)}
+    assert read.count("search-hits") > 3          # "main oak" reads its list to the end
+    read.clear()
+    pl.search_stops(spark.createDataFrame([("main pine",), ("oak pi",)], "q string"), stops, k=5).count()
+    assert read.count("search-hits") <= 3         # words that often meet are read to the fifth hit
+
+
 def test_a_token_in_half_of_the_entries_joins_linearly(spark):
     entries = spark.range(2000).select(F.concat_ws(" ", F.when(F.col("id") % 2 == 0, "main").otherwise("oak"), F.concat(F.lit("x"), F.col("id").cast("string"))).alias("key"), F.col("id").alias("pos"))
     index = entries.select("key", "pos", F.col("key").alias("name"), F.lit(1).alias("lat_e5"), F.lit(1).alias("lng_e5"), F.lit(False).alias("is_hotspot"), F.split("key", " ").alias("tokens"))
