@@ -18,7 +18,7 @@ from itertools import chain
 import numpy as np
 
 #: Words that a worker process keeps, those that stay when there are more, and the longest of them.
-CACHED_WORDS, RECENT_GROUPS, CACHED_LENGTH = 600_000, 6, 64
+CACHED_WORDS, RECENT_GROUPS, CACHED_LENGTH = 600_000, 4, 64
 _ODD_BLANKS = re.compile("[\x1c-\x1f]")
 #: Letters below this, but for one whose lower case is two characters, are letters to every library.
 _LATIN_END, _TWO_LOWER = "ɐ", "İ"
@@ -46,6 +46,8 @@ class Encoder:
         self.first: dict[str, bytes] = {}
         self.recent: list[set[str]] = []
         self.letters = _byte_letters()
+        self.mark = self.lead.translate(self.letters)
+        self.packed = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
         # words of letters go straight to the merges if that gives the same ids
         probe = ["river", "Élan", "straße", "QUEUE", "a"]
         self.direct = [self._merge(self.lead + w) for w in probe] == self._call([self.lead + w for w in probe])
@@ -61,11 +63,18 @@ class Encoder:
             if not self.lead:
                 word = unicodedata.normalize("NFC", word)
             word = word.encode("utf-8").decode("latin-1")
-        return b"".join([t.id.to_bytes(4, "little") for t in self.library.model.tokenize(word.translate(self.letters))])
+        return b"".join([self.packed[t.id] for t in self.library.model.tokenize(word.translate(self.letters))])
 
     def _learn(self, known: dict[str, bytes], lead: str, new: set[str]) -> None:
         """Adds new words to the cache; one that only ends in a stop is its core and the stop."""
         others = []
+        if self.direct:
+            # plain letters stand for themselves in a byte-level vocabulary
+            plain = [w for w in new if w.isascii() and w.isalpha()]
+            merge, packed, mark = self.library.model.tokenize, self.packed, lead and self.mark
+            for w in plain:
+                known[w] = b"".join([packed[t.id] for t in merge(mark + w if self.lead else w.lower())])
+            new = new.difference(plain)
         for w in new:
             core, stop = (w[:-1], self.stops[w[-1]]) if w[-1] in ".," else (w, b"")
             if self.direct and core.isalpha() and (core.isascii() or (max(core) < _LATIN_END and _TWO_LOWER not in core)):
@@ -103,7 +112,7 @@ class Encoder:
             inner = set(chain.from_iterable(x[1] for lines in split if lines for x in lines if x))
         else:
             inner = set(chain.from_iterable(lines[0] for lines in split if lines))
-        self.recent = [*self.recent[1 - RECENT_GROUPS :], {w for w in inner if len(w) <= CACHED_LENGTH}]
+        self.recent = [*self.recent[1 - RECENT_GROUPS :], inner]   # words that are too long are no longer known when room is made
         if new := inner.difference(self.words):
             self._learn(self.words, self.lead, new)
         if heads := heads.difference(self.first):
