@@ -141,7 +141,7 @@ class HasToken(Predicate):
         return None
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Opaque(Predicate):
     """A condition that is known as a Column only; it equals no other one."""
     condition: Column
@@ -157,6 +157,9 @@ class Opaque(Predicate):
 class Not(Predicate):
     term: Predicate
 
+    def __post_init__(self):
+        object.__setattr__(self, "term", as_predicate(self.term))
+
     def column(self, hit=None):
         return ~F.coalesce(self.term.column(hit), F.lit(False))
 
@@ -183,6 +186,9 @@ class Not(Predicate):
 class All(Predicate):
     terms: tuple[Predicate, ...]
 
+    def __post_init__(self):
+        object.__setattr__(self, "terms", tuple(map(as_predicate, self.terms)))
+
     def column(self, hit=None):
         out = F.lit(True)
         for t in self.terms:
@@ -213,6 +219,9 @@ class All(Predicate):
 class Any(Predicate):
     terms: tuple[Predicate, ...]
 
+    def __post_init__(self):
+        object.__setattr__(self, "terms", tuple(map(as_predicate, self.terms)))
+
     def column(self, hit=None):
         out = F.lit(False)
         for t in self.terms:

@@ -66,7 +66,7 @@ def known(cond: Column) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
-def complement(gate: Predicate, *classes: Predicate) -> Predicate:
+def complement(gate: Predicate | Column, *classes: Predicate | Column) -> Predicate:
     """Rows of the gate in none of the classes, safe under null text."""
     return All((gate, *[Not(c) for c in classes]))
 

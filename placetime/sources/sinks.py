@@ -121,7 +121,7 @@ def provenance_filters(registry: Registry, spark) -> DataFrame:
     for the whole.  Filters that are known as a Column only are left out."""
     rows = [
         (s.key, part, s.table, s.caveat, p.sql())
-        for s in registry.signals for part, p in [(None, s.filter), *s.components] if not isinstance(p, Opaque)
+        for s in registry.signals for part, p in [(None, s.filter), *s.components] if not any(isinstance(leaf, Opaque) for leaf in p.leaves())
     ]
     return spark.createDataFrame(rows, "signal string, component string, source string, caveat string, filter string")
 

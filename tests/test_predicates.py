@@ -112,6 +112,27 @@ def test_conditions_known_as_columns_still_work(spark, table):
         pr.as_predicate(F.col("x") == "a").sql()
 
 
+def test_columns_may_stand_inside_trees(spark, table):
+    gate, a = F.col("n") == 1, F.col("x") == "a"
+    got = rg.tag_signals(table, {"other": rg.complement(gate, a, pr.one_of("x", "b")), "not": ~pr.one_of("n", 1, 2) & a, "either": pr.Any((pr.IsNull("x"), a))})
+    assert rows(got.groupBy("signal").count()) == [("either", 36), ("not", 6), ("other", 24)]
+    one = pr.as_predicate(a)
+    assert pr.same(pr.All((one, one)), one) and not pr.same(one, pr.as_predicate(F.col("x") == "a"))
+
+
+@pytest.mark.parametrize("name", ["tag_signals", "complement_class"])
+def test_tagging_queries_match_sql(spark, name):
+    import duckdb
+
+    from placetime.plans import catalog
+
+    catalog.load_all()
+    con, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{sf}/orders.parquet'")
+    got = catalog.QUERIES[name](spark, sf)
+    assert rows(got) == sorted(tuple(r[c] for c in got.columns) for r in con.execute(catalog.ORACLES[name]).df().to_dict("records"))
+
+
 def test_provenance_texts_give_their_own_counts(spark, table):
     reg = rg.Registry((
         rg.Signal("one", "t", pr.one_of("x", "o'x\\y"), "id", "n", caveat="c", components=(("part", pr.one_of("n", 1)),)),
