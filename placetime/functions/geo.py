@@ -73,5 +73,9 @@ def hex_axial(x: Column, y: Column, size: float) -> tuple[Column, Column]:
     return hq.cast("int"), hr.cast("int")
 
 
+#: Metres that weigh as much as a year in an image's score.
+IMAGE_METRES = 40
+
+
 def image_score(age_years: Column, metres: Column, pano: Column) -> Column:
-    return age_years + metres / 40 + F.when(pano, 1.5).otherwise(0.0)
+    return age_years + metres / IMAGE_METRES + F.when(pano, 1.5).otherwise(0.0)

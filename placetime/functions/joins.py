@@ -40,6 +40,12 @@ def lookup_join(
     return big.join(small, on, how)
 
 
+def spread_out(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Hash partitions on `on` that adaptive execution does not merge: for sides of few bytes whose join or explode
+    makes many rows."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *on)
+
+
 def literal_rows(spark, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A handful of parameter rows (presets, windows, rules) as a DataFrame."""
     return spark.createDataFrame(list(rows), schema)

@@ -10,6 +10,7 @@ from placetime.operators import evaluate as ev
 from placetime.operators import places as pl
 from placetime.operators import rollup as ru
 from placetime.operators import sampling as sa
+from placetime.operators import spatial as sp
 from placetime.plans import registry_queries as rq
 from placetime.plans import tables as t
 from placetime.sources import events as se
@@ -211,3 +212,39 @@ def test_running_counts_without_keys_need_no_single_task(spark):
     assert [r.k for r in curve] == list(range(121)) and abs(curve[60].f - sum(v <= 60 for v in values) / len(values)) < 1e-6
     far = spark.createDataFrame([(200,), (300,)], "lag int")
     assert {r.f for r in stl.lag_cdf(far, [], days=120).collect()} == {0.0}
+
+
+def test_neighbours_and_images_equal_brute_force_at_any_density(spark):
+    """Sparse and crowded places, shared positions, ties: the radius that a point looks at changes no result."""
+    import math
+    import random
+
+    rnd = random.Random(6)
+    at = lambda: (3770000 + int(abs(rnd.gauss(0, 1)) ** 3 * 300), -12252000 + int(abs(rnd.gauss(0, 1)) ** 3 * 300))
+    stops = [(i, *at()) for i in range(150)] + [(200 + i, 3770000, -12252000) for i in range(6)] + [(300, 3790000, -12252000), (301, None, None)]
+    images = [(i, *at(), f"20{rnd.randint(10, 24)}-03-0{rnd.randint(1, 3)}", rnd.random() < 0.5) for i in range(400)]
+    images += [(900, 3790000, -12252000, None, False), (901, 3770000, -12252000, None, False)]
+    s = spark.createDataFrame(stops, "id int, lat_e5 int, lng_e5 int")
+    im = spark.createDataFrame(images, "id int, lat_e5 int, lng_e5 int, captured string, pano boolean").withColumn("captured", F.col("captured").cast("date"))
+
+    def d2(a, b):
+        dy, dx = (a[0] - b[0]) * 1.1132, (a[1] - b[1]) * 1.1132 * math.cos(math.radians(a[0] / 100000))
+        return dy * dy + dx * dx
+
+    import datetime as dt
+
+    placed = [p for p in stops if p[1]]
+    near = []
+    for i, *a in placed:
+        for rank, (_, j) in enumerate(sorted((d2(a, b), j) for j, *b in placed if j != i and d2(a, b) <= 640000)[:3]):
+            near.append((i, j, rank + 1))
+    assert rows(sp.knn(s, s, 3, 800), "id", "nb_id", "rank") == sorted(near)
+    best = []
+    for i, *a in placed:
+        scored = [
+            (c is None, (dt.date(2024, 6, 1) - dt.date.fromisoformat(c)).days / 365.25 + math.sqrt(d2(a, (y, x))) / 40 + 1.5 * p if c else 0.0, j)
+            for j, y, x, c, p in images if d2(a, (y, x)) <= 250 * 250
+        ]
+        if scored:
+            best.append((i, min(scored)[2]))
+    assert rows(sp.nearest_image(s, im, "2024-06-01", 250), "id", "image_id") == sorted(best)
