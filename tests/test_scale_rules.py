@@ -214,6 +214,29 @@ def test_running_counts_without_keys_need_no_single_task(spark):
     assert {r.f for r in stl.lag_cdf(far, [], days=120).collect()} == {0.0}
 
 
+def test_windows_of_one_circle_are_counted_once_and_from_running_totals(spark):
+    """Counts on circles equal the counts a pin, odd windows included, and no join pairs the days with the windows."""
+    import datetime as dt
+    import random
+
+    rnd = random.Random(4)
+    day = lambda k: dt.date(2024, 1, 1) + dt.timedelta(k)
+    counts = {(s, lever, k): rnd.randint(1, 5) for s in (1, 2) for lever in "ab" for k in rnd.sample(range(700), 200)}
+    windows = [(i, rnd.choice((1, 2, 3)), rnd.choice("ab"), day(rnd.randrange(-20, 720)), *sorted(day(rnd.randrange(-20, 720)) for _ in range(2))) for i in range(60)]
+    windows += [(90, 1, "a", day(5), day(9), day(3)), (91, 1, "a", None, day(3), day(400)), (92, None, "a", day(5), day(3), day(9)), (93, 1, "a", day(5), None, day(9))]
+    daily = spark.createDataFrame([(s, lever, day(k), n) for (s, lever, k), n in counts.items()], "circle int, lever string, day date, n long")
+    w = spark.createDataFrame(windows, "id int, circle int, lever string, date date, start date, end date")
+    held = lambda c, l, lo, hi: sum(n for (s, v, k), n in counts.items() if s == c and v == l and lo and hi and lo <= day(k) <= hi)
+    found = ev.before_after(daily, w, ("circle", "lever"))
+    want = []
+    for i, c, lever, date, lo, hi in windows:
+        pre = held(c, lever, lo, min(hi, date - dt.timedelta(1))) if date else 0
+        want.append((i, pre, held(c, lever, lo, hi) - pre))
+    assert rows(found, "id", "pre", "post") == sorted(want)
+    bars = ev.bucket_series(daily, w.where("id < 60"), ("circle", "lever"))
+    assert rows(bars.groupBy("id").agg(F.sum("n").alias("n"))) == [(i, held(c, l, lo, hi)) for i, c, l, _, lo, hi in windows[:60]]
+
+
 def test_neighbours_and_images_equal_brute_force_at_any_density(spark):
     """Sparse and crowded places, shared positions, ties: the radius that a point looks at changes no result."""
     import math
