@@ -72,16 +72,17 @@ class WindowTable:
         self.stored = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema.fields)}, batch long, day date"
 
     def put(self, rows: DataFrame, number: int) -> None:
-        """A micro-batch of counts."""
+        """A micro-batch of counts.  Its rows are used three times but counted once; a day's rows go to one file."""
         self._drop_replaced(before=number)
-        rows = rows.withColumn("day", F.to_date("start"))
+        rows = rows.withColumn("day", F.to_date("start")).persist()
         fresh = rows
         if (old := self._newest(before=number)) is not None:
             same = [F.col(f"o.{k}").eqNullSafe(F.col(f"r.{k}")) for k in self.keys]
             touched = old.join(rows.select("day").distinct(), "day", "left_semi")
             left = touched.alias("o").join(rows.alias("r"), same, "left_anti")
             fresh = rows.unionByName(left.select(*self.columns, "day"))
-        fresh.write.mode("overwrite").partitionBy("day").parquet(f"{self.path}/batch={number}")
+        fresh.repartition("day").write.mode("overwrite").partitionBy("day").parquet(f"{self.path}/batch={number}")
+        rows.unpersist()
 
     def settle(self) -> None:
         """After the job has ended: only the newest version of each day stays."""

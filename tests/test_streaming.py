@@ -133,3 +133,26 @@ def test_hold_back_equals_its_batch_form(spark):
     assert {r.signal: [r.emitted, r.held, r.dropped] for r in found.collect()} == want
     assert sum(w[2] for w in want.values()) > 0 and [s["rows"] for s in seen] == [60] * 4
     assert [s["watermark"] for s in seen] == sorted(s["watermark"] for s in seen)
+
+
+def test_window_table_counts_a_batch_once_and_writes_a_file_a_day(spark, tmp_path):
+    """A micro-batch of many tasks is evaluated once, and each of its days becomes one file."""
+    from glob import glob
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def watched(n):
+        seen.add(1)
+        return n
+
+    def batch(days, n):
+        start = F.expr(f"timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(id % {days} as int))")
+        return spark.range(0, days * 4, 1, 8).select(start.alias("start"), (F.col("id") / days).cast("int").alias("key"), watched(F.lit(n)).alias("n"))
+
+    table = jobs.WindowTable(spark, str(tmp_path / "windows"), batch(3, 1).schema, ["start", "key"])
+    table.put(batch(3, 1), 0)
+    table.put(batch(2, 5), 1)
+    assert seen.value == 12 + 8
+    assert [len(glob(f"{tmp_path}/windows/batch=1/day=*")), len(glob(f"{tmp_path}/windows/batch=1/day=*/*.parquet"))] == [2, 2]
+    assert sorted(r.n for r in table.rows().collect()) == [1] * 4 + [5] * 8
