@@ -14,9 +14,15 @@ then share a shingle among the first |x| - ceil(percent * |x| / 100) + 1 of each
 4. Chances: groups that share much of their prefix with other components meet one more holder for each
    shingle, chosen by a hash of shingle and group.  These pairs are as many as the index has rows, and leave
    few near copies unlinked.
-5. Rest: all pairs of groups that share a shingle and are not yet in one component are counted, and those
-   whose sizes, positions and number of shared prefix shingles allow a link are expanded to members and
-   verified.  So no link between two components is lost, and pairs inside one are never formed.
+5. Crowds: unlinked near copies of one text share most of their prefixes, so their pairs are not formed by
+   shingles.  Each set of a crowd is turned into its difference D from one set p of it (what only one of the
+   two has).  x and y differ exactly where D(x) and D(y) differ, so a link needs
+   2 |D(x) & D(y)| >= |D(x)| + |D(y)| - (n + m)(100 - percent) / (100 + percent), and pairs are those that
+   share one of the rarest shingles of their differences (see `_prefixes`): edits in common, not text in common.
+6. Rest: all pairs of groups of different crowds (most groups are alone) that share a shingle and are not yet
+   in one component are counted, and those whose sizes, positions and number of shared prefix shingles allow a
+   link are expanded to members and verified.  Crowds meet as wholes first, so no pairs of one crowd are formed.
+   So no link between two components is lost, and pairs inside one are never formed.
 
 Verification compares whole sets (48 bits a shingle).  They are computed for members of pairs only, found by
 a bit map of at most MAP_BITS bits; a wrong hit there costs time, never a link.  Hot shingles: minima with
@@ -46,6 +52,8 @@ CHUNK, REMEMBERED = 4_000_000, 200_000
 MAP_BITS = 1 << 27
 #: Share of its prefix that a group has in common with a leader, as 1 / LEADER_SHARE.
 LEADER_SHARE = 3
+#: Groups that hold one open shingle from which on they are a crowd.
+CROWD = 32
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -290,11 +298,97 @@ def _chances(posting: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return near.join(each, "group").join(first, "pivot").where("ra <> rb").select("a", "b")
 
 
-def _rest(posting: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+def _crowds(posting: DataFrame, percent: int) -> DataFrame:
+    """(group, pivot) of groups with an open shingle that CROWD groups hold: the pivot is the first holder of such
+    a shingle, the one that most groups meet; written."""
+    hot = posting.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("group", "n")).alias("p")).where(F.col("c") >= CROWD).select("token", "p")
+    near = posting.join(hot, "token").where(_alike(F.col("n"), F.col("p.n"), percent)).select("group", F.col("p.group").alias("pivot")).distinct()
+    popular = near.groupBy("pivot").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= CROWD)
+    return written(near.join(popular, "pivot").groupBy("group").agg(F.max(F.struct("c", "pivot")).alias("best")).select("group", F.col("best.pivot").alias("pivot")), "crowds")
+
+
+def _prefixes(d: int, n: int, m: int, linked: bool, percent: int) -> tuple[int, int]:
+    """How many of the d rarest shingles of a difference must be looked at: in pairs where it is the smaller one, and the larger one.
+
+    n and m are the sizes of the set and of p.  The need 2 |D(x) & D(y)| >= |D(x)| + |D(y)| - (n_x + n_y)(100 - percent) / (100 + percent)
+    is least where the other set is as large as may be.  Two sets that are both linked to p are in one component; if x is linked,
+    y is not, so |D(y)| > (n_y + m)(100 - percent) / (100 + percent).  If the need is 0 or less, both are linked to p: it is 1 at least.
+    """
+    far, near = 100 - percent, 100 + percent
+    smaller = -(-(2 * percent * d - n * far) // (2 * percent))
+    larger = -(-(percent * d - n * far) // percent)
+    other = -(-(near * d + far * (m - n)) // (2 * near)) if linked else 1
+    return tuple(min(d, d - max(1, need, other) + 1) for need in (smaller, larger))
+
+
+def _differences(members: DataFrame, docs: DataFrame, sets: DataFrame, known: DataFrame, size: int, percent: int) -> DataFrame:
+    """(pivot, p, x, group, n, root, linked, met, d, few, many, tokens): the difference of each set of a crowd from its pivot's first set,
+    null where it is larger than the set; linked: x and p are linked; met: they are in one component; few, many: its prefixes; written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                rows = []
+                for pivot, p, x, group, n, root, root_p, own, other in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True):
+                    m, tokens = len(other) // 6, np.setxor1d(_opened(own), _opened(other))
+                    d = len(tokens)
+                    linked = (100 + percent) * d <= (100 - percent) * (n + m)
+                    few, many = _prefixes(d, n, m, linked, percent)
+                    rows.append((pivot, p, x, group, n, root, linked, root == root_p, d, few, many, tokens.view(np.int64) if d <= n else None))
+                types = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.int64()] * 3 + [pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[f"c{i}" for i in range(12)])
+
+    first = known.groupBy(F.col("group").alias("pivot")).agg(F.min(F.struct("set_hash", "root")).alias("f"))
+    each = known.join(members, "group").join(first.select("pivot", F.col("f.set_hash").alias("p"), F.col("f.root").alias("root_p")), "pivot")
+    each = written(each.select("pivot", "p", F.col("set_hash").alias("x"), "group", "n", "root", "root_p"), "members")
+    wanted = each.select(F.col("x").alias("set_hash")).unionAll(each.select("p")).distinct()
+    bodies = written(whole_sets(docs, sets.join(wanted, "set_hash", "left_semi"), size), "bodies")
+    both = each.join(bodies.select(F.col("set_hash").alias("x"), F.col("shingles").alias("own")), "x").join(bodies.select(F.col("set_hash").alias("p"), F.col("shingles").alias("other")), "p")
+    columns = ["pivot", "p", "x", "group", "n", "root", "root_p", "own", "other"]
+    schema = "pivot long, p long, x long, group long, n long, root long, linked boolean, met boolean, d long, few long, many long, tokens array<long>"
+    return written(both.select(*columns).mapInArrow(run, schema), "differences")
+
+
+def _same_crowd(apart: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of one crowd and different components whose differences may be alike enough."""
+    tokens = apart.select("pivot", "x", F.explode("tokens").alias("token"))
+    often = tokens.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    # rarest first: those of one set alone, then by count and shingle
+    order = tokens.join(often, ["pivot", "token"]).groupBy("x", "pivot").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("order"))
+    placed = apart.drop("tokens").join(order, ["x", "pivot"]).select("*", F.posexplode("order").alias("at", "o"))
+    placed = placed.select("pivot", F.col("o.token").alias("token"), "x", "n", "root", "linked", "d", "few", "many", (F.col("d") - F.size("order") + F.col("at")).alias("i"))
+    placed = written(placed.where("i < many OR i < few"), "placed")
+    x, y = placed.where("i < few").alias("x"), placed.where("i < many").alias("y")
+    n, m, d, e = (F.col(c) for c in ("x.n", "y.n", "x.d", "y.d"))
+    need = (100 + percent) * (d + e) - (100 - percent) * (n + m)  # 2 * (100 + percent) times the shingles that must be shared
+    met = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.token") == F.col("y.token"))).where(
+        (F.struct(d, F.col("x.x")) < F.struct(e, F.col("y.x"))) & (F.col("x.root") != F.col("y.root")) & ~(F.col("x.linked") & F.col("y.linked"))
+        & _alike(n, m, percent) & (2 * (100 + percent) * F.least(d - F.col("x.i"), e - F.col("y.i")) >= need)
+    )
+    return met.select(F.col("x.x").alias("a"), F.col("y.x").alias("b")).unionAll(apart.where("linked AND NOT met").select("x", "p"))
+
+
+def _rest(posting: DataFrame, known: DataFrame, percent: int, docs: DataFrame, sets: DataFrame, size: int) -> DataFrame:
     """All pairs (a, b) of sets of different components that share a prefix or may be linked by their shared prefix shingles."""
-    x, y = posting.alias("x"), posting.alias("y")
+    apart = _differences(_crowds(posting, percent), docs, sets, known, size, percent)
+    stay = written(apart.groupBy("group", "pivot").agg(F.max(F.col("tokens").isNull()).alias("far")).where("NOT far").select("group", "pivot"), "crowds")
+    crowd = F.struct(F.col("pivot").isNotNull().alias("many"), F.coalesce("pivot", "group").alias("id"))
+    posting = written(posting.join(stay, "group", "left").select(*posting.columns, crowd.alias("crowd")), "posting")
+
+    # crowds that share a shingle, by the same tests on the bounds of their groups; then their groups
+    each = posting.groupBy("token", "crowd").agg(
+        F.min("n").alias("n"), F.max("n").alias("most"), F.max(F.col("n") - F.col("i0")).alias("ahead"), F.min("low").alias("low"), F.max("high").alias("high"),
+    )
+    v, w = each.alias("v"), each.alias("w")
+    n, m = F.col("v.n"), F.col("w.n")
+    near = (100 * F.col("v.most") >= percent * m) & (100 * F.col("w.most") >= percent * n)
+    reach = (100 + percent) * F.least("v.ahead", "w.ahead") >= percent * (n + m)
+    crowds = v.join(w, F.col("v.token") == F.col("w.token")).where((F.col("v.crowd") < F.col("w.crowd")) & _apart("v", "w") & near & reach)
+    crowds = crowds.select("v.token", F.col("v.crowd").alias("crowd"), F.col("w.crowd").alias("other"))
+    x = crowds.join(posting, ["token", "crowd"]).select("token", "other", F.struct(*[c for c in posting.columns if c not in ("token", "crowd")]).alias("x"))
+    y = posting.select("token", F.col("crowd").alias("other"), F.struct(*[c for c in posting.columns if c not in ("token", "crowd")]).alias("y"))
+    met = x.join(y, ["token", "other"]).where(_apart("x", "y") & _within_reach("x", "y", percent))
     n, m = F.col("x.n"), F.col("y.n")
-    met = x.join(y, F.col("x.token") == F.col("y.token")).where((F.col("x.group") < F.col("y.group")) & _apart("x", "y") & _within_reach("x", "y", percent))
     counted = met.groupBy(F.col("x.group").alias("g"), F.col("y.group").alias("h")).agg(
         F.count(F.lit(1)).alias("c"), F.max("x.i").alias("i"), F.max("y.i").alias("j"), F.first(n).alias("n"), F.first(m).alias("m"),
         F.first("x.last").alias("ex"), F.first("y.last").alias("ey"),
@@ -309,9 +403,9 @@ def _rest(posting: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     may = counted.where((100 + percent) * (F.col("c") + rest) >= percent * (n + m)).select("g", "h")
     side = lambda key, c, r: known.select(F.col("group").alias(key), F.col("set_hash").alias(c), F.col("root").alias(r))
     across = may.join(side("g", "a", "ra"), "g").join(side("h", "b", "rb"), "h").where("ra <> rb").select("a", "b")
-    mixed = known.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(F.col("group").alias("g"))
+    mixed = known.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(F.col("group").alias("g")).join(stay.select(F.col("group").alias("g")), "g", "left_anti")
     inside = side("g", "a", "ra").join(mixed, "g", "left_semi").join(side("g", "b", "rb"), "g").where("a < b AND ra <> rb").select("a", "b")
-    return across.unionAll(inside)
+    return across.unionAll(inside).unionAll(_same_crowd(apart.join(stay, ["group", "pivot"], "left_semi"), percent))
 
 
 def _linked(docs: DataFrame, size: int, percent: int, most_frequent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -328,9 +422,10 @@ def _linked(docs: DataFrame, size: int, percent: int, most_frequent: int) -> tup
         known = sets.join(roots.withColumnRenamed("node", "set_hash"), "set_hash", "left").withColumn("root", F.coalesce("root", "set_hash"))
         return written(known.select("set_hash", "group", "n", "last", "root"), "known")
 
-    for pairs_of in (_chances, _rest):
-        known = with_roots()
-        links = links.unionAll(verified(pairs_of(_open(index, known), known, percent), docs, sets, size, percent))
+    known = with_roots()
+    links = links.unionAll(verified(_chances(_open(index, known), known, percent), docs, sets, size, percent))
+    known = with_roots()
+    links = links.unionAll(verified(_rest(_open(index, known), known, percent, docs, sets, size), docs, sets, size, percent))
     roots = components(links)
     return signed, sets, roots
 

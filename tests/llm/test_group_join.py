@@ -106,3 +106,61 @@ def test_bit_map_has_all_keys(spark):
     assert all(g.in_map(bits, whole, k) for k in keys)
     others = [rng.getrandbits(64) - (1 << 63) for _ in range(3000)]
     assert sum(g.in_map(bits, whole, k) for k in others) < 300
+
+
+def crowd(copies, seed=14, words=147, variants=6, private=2):
+    """Copies of a text with edits in common and edits of their own: most pairs are not linked, those with the same variant may be."""
+    rng = random.Random(seed)
+    base = [f"b{k}" for k in range(words)]
+    edits = [rng.sample(range(words), 4) for _ in range(variants)]
+    rows = []
+    for key in range(copies):
+        own, v = list(base), rng.randrange(variants + 1)
+        for k in edits[v] if v < variants else []:
+            own[k] = f"v{v}"
+        for k in rng.sample(range(words), rng.randint(0, private)):
+            own[k] = f"own{key}"
+        rows.append((key, " ".join(own)))
+    return rows
+
+
+def test_crowds_keep_all_links(spark, docs_of, rows, monkeypatch):
+    monkeypatch.setattr(g, "CROWD", 3, raising=False)
+    rows = rows + [(r[0] + 5000, r[1]) for r in crowd(150) + crowd(60, 15, 30, 4, 1)]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in g.classes(docs_of(rows), most_frequent=40).collect())
+    assert got == brute(rows)[0]
+
+
+def test_pairs_do_not_grow_with_the_square_of_a_crowd(spark, docs_of, monkeypatch):
+    pairs, verified = [], g.verified
+
+    def counted(found, *rest):
+        pairs.append(found.distinct().count())
+        return verified(found, *rest)
+
+    monkeypatch.setattr(g, "verified", counted)
+    rng = random.Random(16)
+    rows = []
+    for key in range(500):
+        own = [f"b{k}" for k in range(147)]
+        for k in rng.sample(range(147), 6):
+            own[k] = f"own{key}x{k}"
+        rows.append((key, " ".join(own)))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in g.classes(docs_of(rows)).collect()) == brute(rows)[0]
+    assert sum(pairs) < 20 * len(rows)
+
+
+def test_prefixes_of_differences_find_every_link():
+    rng = random.Random(17)
+    for _ in range(4000):
+        m = rng.randint(5, 60)
+        p, percent = set(range(m)), rng.choice([50, 80, 85])
+        x, y = (p ^ set(rng.sample(range(m + 20), rng.randint(0, 12))) for _ in "xy")
+        x, y = sorted((x, y), key=lambda s: len(s ^ p))
+        n, k = len(x), len(y)
+        near = lambda a, b: 100 * len(a & b) >= percent * len(a | b)
+        if not near(x, y) or (near(x, p) and near(y, p)):
+            continue
+        few = g._prefixes(len(x ^ p), n, m, near(x, p), percent)[0]
+        many = g._prefixes(len(y ^ p), k, m, near(y, p), percent)[1]
+        assert set(sorted(x ^ p)[:few]) & set(sorted(y ^ p)[:many])
