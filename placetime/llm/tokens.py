@@ -8,8 +8,8 @@ The ids equal those of one call on the whole text.
 
 from __future__ import annotations
 
+import gc
 import os
-import re
 import unicodedata
 from collections.abc import Sequence
 from functools import cache
@@ -19,7 +19,7 @@ import numpy as np
 
 #: Words that a worker process keeps, those that stay when there are more, and the longest of them.
 CACHED_WORDS, RECENT_GROUPS, CACHED_LENGTH = 600_000, 4, 64
-_ODD_BLANKS = re.compile("[\x1c-\x1f]")
+_ODD_BLANKS = "\x1c\x1d\x1e\x1f"
 #: Letters below this, but for one whose lower case is two characters, are letters to every library.
 _LATIN_END, _TWO_LOWER = "ɐ", "İ"
 
@@ -43,7 +43,6 @@ class Encoder:
         self.feed = self._call(["\n"])[0]
         self.stops = {c: self._call([c])[0] for c in ".,"}
         self.words: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
         self.recent: list[set[str]] = []
         self.letters = _byte_letters()
         self.mark = self.lead.translate(self.letters)
@@ -59,77 +58,88 @@ class Encoder:
         """Ids of one word of letters, without the search for words in a text."""
         if not self.lead:
             word = word.lower()
-        if not word.isascii():
-            if not self.lead:
-                word = unicodedata.normalize("NFC", word)
-            word = word.encode("utf-8").decode("latin-1")
+        if word.isascii():
+            word = word.replace(" ", self.mark) if self.lead else word
+            return b"".join([self.packed[t.id] for t in self.library.model.tokenize(word)])
+        if not self.lead:
+            word = unicodedata.normalize("NFC", word)
+        word = word.encode("utf-8").decode("latin-1")
         return b"".join([self.packed[t.id] for t in self.library.model.tokenize(word.translate(self.letters))])
 
-    def _learn(self, known: dict[str, bytes], lead: str, new: set[str]) -> None:
-        """Adds new words to the cache; one that only ends in a stop is its core and the stop."""
-        others = []
+    def _learn(self, new: set[str]) -> None:
+        """Adds new words to the cache; one that only ends in a stop is its core and the stop.
+
+        Where blanks belong to tokens, a word after a line feed has none: its ids are those of the line feed and the bare word.
+        What is no single word there is left out.
+        """
+        known, lead, packed, merge, rest, others = self.words, self.lead, self.packed, self.library.model.tokenize, new, []
         if self.direct:
             # plain letters stand for themselves in a byte-level vocabulary
             plain = [w for w in new if w.isascii() and w.isalpha()]
-            merge, packed, mark = self.library.model.tokenize, self.packed, lead and self.mark
             for w in plain:
-                known[w] = b"".join([packed[t.id] for t in merge(mark + w if self.lead else w.lower())])
-            new = new.difference(plain)
-        for w in new:
-            core, stop = (w[:-1], self.stops[w[-1]]) if w[-1] in ".," else (w, b"")
-            if self.direct and core.isalpha() and (core.isascii() or (max(core) < _LATIN_END and _TWO_LOWER not in core)):
+                known[w] = b"".join([packed[t.id] for t in merge(self.mark + w if lead else w.lower())])
+            rest = new.difference(plain)
+        for w in rest:
+            bare, before, start = (w[1:], self.feed, "") if lead and w[:1] == "\n" else (w, b"", lead)
+            if lead and bare.split() != [bare]:
+                continue
+            core, stop = (bare[:-1], self.stops[bare[-1]]) if bare[-1] in ".," else (bare, b"")
+            if not (self.direct and core.isalpha() and (core.isascii() or (max(core) < _LATIN_END and _TWO_LOWER not in core))):
+                others.append((w, before, start + bare))
+            elif before:
+                known[w] = before + self._merge(core) + stop
+            else:
                 if core not in known:
                     known[core] = self._merge(lead + core)
                 known[w] = known[core] + stop
-            else:
-                others.append(w)
         for i in range(0, len(others), 10_000):
             part = others[i : i + 10_000]
-            known.update(zip(part, self._call([lead + w for w in part]), strict=True))
+            for (w, before, _), own in zip(part, self._call([x[2] for x in part]), strict=True):
+                known[w] = before + own
 
-    def _lines(self, text: str) -> list[list[str]] | None:
-        """Words by line, or None where the text must be encoded whole."""
+    def _words(self, text: str) -> list[str] | None:
+        """Words, with the line feed before them where blanks belong to tokens; or None where the text must be encoded whole."""
         if not self.lead:
-            return None if _ODD_BLANKS.search(text) else [text.split()]
-        lines = text.split("\n")
-        words = [line.split() for line in lines]
-        return None if any(not w or " ".join(w) != line for w, line in zip(words, lines, strict=True)) else words
+            return None if any(c in text for c in _ODD_BLANKS) else text.split()
+        return ("\n" + text.replace("\n", " \n")).split(" ")
 
     def _make_room(self) -> None:
         """Only words of the last groups stay when there are too many."""
         if len(self.words) > CACHED_WORDS:
             self.words = {w: self.words[w] for group in self.recent for w in group if w in self.words}
-        if len(self.first) > CACHED_WORDS // 8:
-            self.first = {}
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is the empty text."""
-        split = [self._lines(t) if t else [[]] for t in texts]
+        collects = gc.isenabled()
+        gc.disable()  # lists of words hold no cycles, and looking for some in them takes a tenth of the time
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: Sequence[str | None]) -> list[bytes]:
+        split = [self._words(t) if t else [] for t in texts]
         self._make_room()
-        heads = {x[0] for lines in split if lines for x in lines if x} if self.lead else set()
-        if self.lead:  # the first word of a line has no blank before it
-            split = [None if lines is None else [(x[0], x[1:]) if x else None for x in lines] for lines in split]
-            inner = set(chain.from_iterable(x[1] for lines in split if lines for x in lines if x))
-        else:
-            inner = set(chain.from_iterable(lines[0] for lines in split if lines))
-        self.recent = [*self.recent[1 - RECENT_GROUPS :], inner]   # words that are too long are no longer known when room is made
-        if new := inner.difference(self.words):
-            self._learn(self.words, self.lead, new)
-        if heads := heads.difference(self.first):
-            self._learn(self.first, "", heads)
-        whole = iter(self._call([t for t, lines in zip(texts, split, strict=True) if lines is None]))
-        word, found = self.words.__getitem__, []
-        for lines in split:
-            if lines is None:
-                found.append(next(whole))
-            elif self.lead:
-                found.append(self.feed.join([self.first[x[0]] + b"".join(map(word, x[1])) if x else b"" for x in lines]))
-            else:
-                found.append(b"".join(map(word, lines[0])))
-        for known, own in ((self.words, new), (self.first, heads)):
-            for w in own:
-                if len(w) > CACHED_LENGTH:
-                    known.pop(w, None), known.pop(w[:-1], None)
+        used = set(chain.from_iterable(words for words in split if words))
+        self.recent = [*self.recent[1 - RECENT_GROUPS :], used]   # words that are too long are no longer known when room is made
+        if new := used.difference(self.words):
+            self._learn(new)
+        word, found, whole = self.words.__getitem__, [], []
+        skip = len(self.feed) if self.lead else 0  # the line feed before the first word
+        for words in split:
+            try:
+                if words is None:
+                    raise KeyError
+                found.append(b"".join(map(word, words))[skip if words else 0 :])
+            except KeyError:  # a word that was left out
+                whole.append(len(found))
+                found.append(b"")
+        for k, own in zip(whole, self._call([texts[k] for k in whole]), strict=True):
+            found[k] = own
+        for w in new:
+            if len(w) > CACHED_LENGTH:
+                self.words.pop(w, None), self.words.pop(w[:-1], None)
         return found
 
 

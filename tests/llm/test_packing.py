@@ -93,3 +93,41 @@ def test_pack(spark, docs_of, odd_rows):
 
 def test_empty_table(spark, docs_of, odd_rows):
     assert p.pack(docs_of(odd_rows).limit(0), PATH).count() == 0
+
+
+def test_encoding_starts_no_collection():
+    import gc
+
+    import public_tokenizers
+
+    from placetime.llm.tokens import Encoder
+
+    texts = [" ".join(f"w{k % 50}x{j}" for k in range(400)) + "\n" + "line  two\nend." for j in range(400)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        made = Encoder(public_tokenizers.path(name))
+        runs = []
+        gc.collect()
+        watch = lambda phase, info: runs.append(phase)
+        gc.callbacks.append(watch)
+        try:
+            got = made.encode(texts)
+            during = len(runs)
+        finally:
+            gc.callbacks.remove(watch)
+        assert gc.isenabled() and not during
+        assert got == made._call(texts)
+
+
+def test_words_after_line_feeds_and_odd_blanks_are_those_of_whole_texts():
+    import public_tokenizers
+
+    from placetime.llm.tokens import Encoder
+
+    texts = [
+        "a\nb c\nb", "\na b", "a b\n", "a\n\nb", " a", "a ", "a  b", "a\tb c", "a\r\nb", "\n", " ", "Élan.\nÉlan, straße\nQUEUE.", "one two x\nthree four",
+        "İx İx\nİx", "x" * 90 + ".\n" + "x" * 90 + ". " + "x" * 90, "a\x1cb c", "1.5 -x. ..\n.. ,", None, "", "<|endoftext|> a\n<|endoftext|>", "日本 語\n日本",
+    ]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        made = Encoder(public_tokenizers.path(name))
+        for _ in range(2):  # the second time from the cache
+            assert made.encode(texts) == made._call([t or "" for t in texts])
