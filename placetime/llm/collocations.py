@@ -3,15 +3,19 @@
 Texts are lower-cased (A-Z), cut into pieces at `.,;:!?` and line ends, pieces into words at blanks and tabs.
 f(phrase) counts the contiguous occurrences of 1 to `longest` words inside pieces, a language at a time (null: und).
 
-1. Shards.  Documents are dealt into shards of about SHARD_BYTES of text.  A shard that holds the share w of a
-   language's bytes mines all phrases with at least ceil(support * w) occurrences there, level by level: a phrase
-   is counted where the phrases without its first and without its last word are frequent.  The shares add up to
+1. Shards.  Documents are dealt into pieces of about PIECE_BYTES of text, one a task, and every SHARDS-th piece belongs to
+   the same shard, so a shard keeps its share of the table, however large that is.  A shard that holds the share w of a
+   language's words mines all phrases with at least ceil(support * w) occurrences there.  The shares add up to
    1, so a phrase with `support` occurrences in all reaches the local support in some shard: none is missed.
-2. The union of the locally frequent phrases is a table.  Where a shard did not report a phrase it holds at most its
+2. A shard is mined level by level over all of its pieces: a phrase is counted where the phrases without its first and
+   without its last word are frequent in the shard.  Pieces keep the numbers of their words; each level is a pass over them
+   whose counts meet in Spark, and the frequent phrases reach the next level as a bit map of at most MAP_BITS bits.
+   A wrong hit there has a phrase counted that cannot be frequent; the counts themselves are of whole phrases.
+3. The union of the locally frequent phrases is a table.  Where a shard did not report a phrase it holds at most its
    local support less one; candidates that cannot reach `support` even with that everywhere are left out.
-3. All others are counted in every text, exactly, in blocks of about BLOCK phrases: a block is a table of
+4. All others are counted in every piece, exactly, in blocks of about BLOCK phrases: a block is a table of
    (phrase of the first k - 1 words, next word) sent to the tasks, so its size is bounded, and each further block
-   is one more pass over the texts.  A task keeps one count a candidate, however much text it reads, so the pass
+   is one more pass over the pieces.  A task keeps one count a candidate, however much it reads, so the pass
    takes two tasks a core instead of one a file split: partial counts do not grow with tasks times candidates.
    Counts are summed in Spark; those below `support` go.
 
@@ -21,29 +25,36 @@ smallest k.  A phrase inside a longer frequent one goes when 100 * f(longer) >=
 decides that, as whatever is in between occurs at least as often as the longer one.
 
 Null and blank texts have no words.  Repeated rows count each time.  Texts of any length are read whole.  An empty
-table has no phrases.  Other columns are ignored.  A shard in which the local support falls to 1 emits all of its
-phrases: still exact, so at very large sizes give `support` as a share of the words.
+table has no phrases.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import python_ready, written
+from .group_join import bit_map
 
 #: Characters that end a piece, as one byte each; blanks and tabs end words.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 TO_LINES = bytes.maketrans(ENDS, b"\n" * len(ENDS))
 SUPPORT, LONGEST, COVERED, TOP = 100, 5, 100, 2000
-SHARD_BYTES = 24 << 20
+#: Shards, whatever the size of the table: each mines at about that part of the support.  Text that a task takes.
+SHARDS, PIECE_BYTES = 4, 12 << 20
 BLOCK = 400_000
 GAP = -1
+#: Numbers of words that are looked at together.
+STEP = 200_000
 
 
 def word_ids(text: str, number: dict[bytes, int]) -> list[int]:
@@ -56,8 +67,11 @@ def word_ids(text: str, number: dict[bytes, int]) -> list[int]:
     return ids
 
 
-def mine(ids: np.ndarray, support: int, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(first positions, counts, words) of all phrases of each length with at least `support` occurrences."""
+def mine(ids: np.ndarray, support: int, longest: int, known: Callable | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(first positions, counts, words) of all phrases of each length with at least `support` occurrences.
+
+    known(first positions, words) tells instead which phrases shorter than `longest` are frequent, where ids are only a part.
+    """
     mark, m = ids.astype(np.int32), 0                  # mark[i]: the frequent phrase of size - 1 words at i, or GAP
     for size in range(1, longest + 1):
         if size == 1:
@@ -75,7 +89,7 @@ def mine(ids: np.ndarray, support: int, longest: int) -> Iterator[tuple[np.ndarr
         order = at[order]
         starts = np.flatnonzero(begins)
         n = np.diff(starts, append=len(order))
-        frequent = n >= support
+        frequent = known(order[starts], size) if known and size < longest else n >= support
         if not frequent.any():
             return
         yield order[starts[frequent]], n[frequent], size
@@ -96,51 +110,121 @@ def with_lang(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def locally_frequent(texts: DataFrame, support: int, longest: int, shard_bytes: int) -> DataFrame:
-    """(lang, phrase, n, slack) of every shard's own frequent phrases, and (lang, null, n, slack) with its number of
-    words; slack is how often a phrase that the shard does not report may occur in it."""
+def pieces(texts: DataFrame, shard_bytes: int) -> DataFrame:
+    """(shard, lang, n, words, ids) of each piece and language: number of words, the distinct ones joined by line feeds, and
+    their numbers in the order of the text with a gap after each piece of a text, both compressed; written."""
     python_ready(texts.sparkSession)
-    totals = written(texts.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("total")), "phrases-bytes")
-    shards = 1 + (totals.agg(F.sum("total")).first()[0] or 0) // shard_bytes
+    tasks = 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number: dict[bytes, int] = defaultdict(count().__next__)
+        shard = TaskContext.get().partitionId() % SHARDS
+        numbers: dict[str, dict[bytes, int]] = defaultdict(lambda: defaultdict(count().__next__))
         parts: dict[str, list[np.ndarray]] = defaultdict(list)
-        size: dict[str, list[int]] = {}
+        shrink = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             gathered: dict[str, list[int]] = defaultdict(list)
             for row in texts_of(batch):
                 if row:
-                    lang, text, total = row
-                    gathered[lang] += word_ids(text, number)
-                    size.setdefault(lang, [0, total])[0] += len(text.encode("utf-8", "surrogatepass"))
+                    lang, text = row
+                    gathered[lang] += word_ids(text, numbers[lang])
                 else:
                     for lang, ids in gathered.items():
                         parts[lang].append(np.array(ids, np.int32))
                     gathered.clear()
-        words = list(number)
-        number.clear()
         for lang in list(parts):
             ids = np.concatenate(parts.pop(lang))
-            own, total = size[lang]
-            local = max(1, -(-support * own // max(1, total)))
-            yield phrase_rows([lang], [None], [int((ids >= 0).sum())], local - 1)
-            for first, n, k in mine(ids, local, longest):
-                for at in range(0, len(first), 50_000):
-                    some = ids[first[at : at + 50_000, None] + np.arange(k)]
-                    phrases = [b" ".join([words[w] for w in row]).decode("utf-8", "surrogatepass") for row in some.tolist()]
-                    yield phrase_rows([lang] * len(phrases), phrases, n[at : at + 50_000], local - 1)
+            values = [shard], [lang], [int((ids >= 0).sum())], [shrink(b"\n".join(numbers.pop(lang)))], [shrink(ids.tobytes())]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "lang", "n", "words", "ids"])
+
+    return written(texts.repartition(int(tasks)).mapInArrow(run, "shard int, lang string, n long, words binary, ids binary").where("n > 0"), "phrases-pieces")
+
+
+def opened(words: pa.BinaryScalar, ids: pa.BinaryScalar) -> tuple[list[bytes], np.ndarray]:
+    grow = zstandard.ZstdDecompressor().decompress
+    return grow(words.as_py()).split(b"\n"), np.frombuffer(grow(ids.as_py()), np.int32)
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _keys(shard: int, lang: str, hashes: np.ndarray) -> np.ndarray:
+    """64 bits of each phrase in a shard and language, from the hashes of its words (a column each)."""
+    key = np.full(len(hashes), xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), shard), np.uint64)
+    for column in hashes.T:
+        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key
 
-    dealt = texts.join(totals, "lang").select("lang", "text", "total").repartition(int(shards))
-    return dealt.mapInArrow(run, COUNTS)
 
+def level_counts(parts: DataFrame, size: int, shared) -> DataFrame:
+    """(shard, lang, phrase, n, least) of the phrases of `size` words in each piece whose shorter phrases may be frequent in
+    its shard by the bit map; least: the local support."""
 
-COUNTS = "lang string, phrase string, n long, slack long"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, whole = shared.value if shared else (1, b"")
+        flat, last = np.frombuffer(whole, np.uint8), np.uint64(bits - 1)
+        for batch in batches:
+            for at in range(batch.num_rows):
+                shard, lang, least = (c[at].as_py() for c in batch.columns[:3])
+                own, ids = opened(batch.column(3)[at], batch.column(4)[at])
+                hashes = _hashes(own) if size > 1 else None
+                words = pa.array(own, pa.binary()).cast(pa.string())
+
+                def known(first: np.ndarray, k: int) -> np.ndarray:
+                    key = _keys(shard, lang, hashes[ids[first[:, None] + np.arange(k)]])
+                    low, high = key & last, (key >> np.uint64(32)) & last
+                    return ((flat[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & (flat[high >> np.uint64(3)] >> (high & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+                for first, n, k in mine(ids, 1, size, known):
+                    for at_ in range(0, len(first) if k == size else 0, 50_000):
+                        some = first[at_ : at_ + 50_000]
+                        phrases = pc.binary_join_element_wise(*(words.take(pa.array(ids[some + j])) for j in range(k)), " ")
+                        fixed = [pa.repeat(pa.scalar(v, t), len(some)) for v, t in ((shard, pa.int32()), (lang, pa.string()), (least, pa.int64()))]
+                        yield pa.RecordBatch.from_arrays([fixed[0], fixed[1], phrases, pa.array(n[at_ : at_ + 50_000], pa.int64()), fixed[2]], names=["shard", "lang", "phrase", "n", "least"])
 
+    return parts.mapInArrow(run, "shard int, lang string, phrase string, n long, least long")
 
-def phrase_rows(langs, phrases, n, slack: int = 0) -> pa.RecordBatch:
-    columns = [pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(n, pa.int64()), pa.array([slack] * len(langs), pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n", "slack"])
+
+def keyed(frequent: DataFrame) -> DataFrame:
+    """(key) of the phrases of a level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [_keys(shard, lang, _hashes(phrase.encode("utf-8", "surrogatepass").split(b" "))[None])[0].view(np.int64) for shard, lang, phrase in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())], names=["key"])
+
+    return frequent.select("shard", "lang", "phrase").mapInArrow(run, "key long")
+
+
+def locally_frequent(parts: DataFrame, support: int, longest: int) -> tuple[DataFrame, DataFrame]:
+    """(shard, lang, phrase, n, least) of every shard's own frequent phrases, and (shard, lang, least): its local support."""
+    spark = parts.sparkSession
+    own = parts.groupBy("shard", "lang").agg(F.sum("n").alias("own"))
+    total = parts.groupBy("lang").agg(F.sum("n").alias("total"))
+    # the ceiling of support * own / total, in integers
+    shares = written(own.join(total, "lang").select("shard", "lang", F.expr(f"({support}L * own + total - 1) div total").alias("least")), "phrases-shares")
+    ready = parts.join(F.broadcast(shares), ["shard", "lang"]).select("shard", "lang", "least", "words", "ids")
+    found = keys = shared = None
+    for size in range(1, longest + 1):
+        # pieces name a phrase once: counts meet after the shuffle, there is nothing to sum up before it
+        counts = level_counts(ready, size, shared).repartition("shard", "lang", "phrase").groupBy("shard", "lang", "phrase")
+        level = written(counts.agg(F.sum("n").alias("n"), F.max("least").alias("least")).where("n >= least"), "phrases-local")
+        found = level if found is None else found.unionByName(level)
+        if size == longest or level.isEmpty():
+            break
+        own = written(keyed(level), "phrases-keys")
+        keys = own if keys is None else keys.unionAll(own)
+        shared = spark.sparkContext.broadcast(bit_map(keys, "key"))
+    return found, shares
+
+
+COUNTS = "lang string, phrase string, n long"
+
+
+def phrase_rows(langs, phrases, n) -> pa.RecordBatch:
+    columns = [pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(n, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n"])
 
 
 class Block:
@@ -190,10 +274,10 @@ def as_rows(phrases: list[str], longest: int) -> tuple[list[bytes], np.ndarray]:
     return list(number), rows
 
 
-def counted(texts: DataFrame, candidates: DataFrame, longest: int, block: int) -> DataFrame:
-    """(lang, phrase, f) of every candidate, over all texts."""
+def counted(parts: DataFrame, candidates: DataFrame, longest: int, block: int) -> DataFrame:
+    """(lang, phrase, f) of every candidate, over all pieces."""
     blocks = 1 + candidates.count() // block
-    texts = texts.coalesce(2 * texts.sparkSession.sparkContext.defaultParallelism)
+    parts = parts.select("lang", "words", "ids").coalesce(2 * parts.sparkSession.sparkContext.defaultParallelism)
     out = None
     for k in range(blocks):
         own: dict[str, list[str]] = defaultdict(list)
@@ -205,49 +289,40 @@ def counted(texts: DataFrame, candidates: DataFrame, longest: int, block: int) -
         def run(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
             made: dict[str, tuple[Block, dict[bytes, int], np.ndarray]] = {}
             for batch in batches:
-                gathered: dict[str, list[int]] = defaultdict(list)
-                for row in texts_of(batch):
-                    if row is None:
-                        for lang, ids in gathered.items():
-                            made[lang][0].add(np.array(ids, np.int64), made[lang][2])
-                        gathered.clear()
-                    elif row[0] in wanted:
-                        lang, text = row
-                        if lang not in made:
-                            words, rows = wanted[lang]
-                            made[lang] = Block(words, rows), {w: n for n, w in enumerate(words)}, np.zeros(len(rows), np.int64)
-                        gathered[lang] += _known_ids(text, made[lang][1])
+                for at in range(batch.num_rows):
+                    lang = batch.column(0)[at].as_py()
+                    if lang not in wanted:
+                        continue
+                    if lang not in made:
+                        words, rows = wanted[lang]
+                        made[lang] = Block(words, rows), {w: n for n, w in enumerate(words)}, np.zeros(len(rows), np.int64)
+                    own, number, counts = made[lang]
+                    # words that no candidate has are gaps; the last place is that of the gaps
+                    text, ids = opened(batch.column(1)[at], batch.column(2)[at])
+                    there = np.array([*(number.get(w, GAP) for w in text), GAP], np.int64)
+                    ends = np.flatnonzero(ids == GAP) + 1
+                    for some in np.split(ids, np.unique(ends[np.searchsorted(ends, np.arange(STEP, len(ids), STEP))])):
+                        own.add(there[some], counts)
             for lang, (own, _, counts) in made.items():
                 hit = np.flatnonzero(counts)
                 for at in range(0, len(hit), 50_000):
                     some = hit[at : at + 50_000]
                     yield phrase_rows([lang] * len(some), own.phrases(some), counts[some])
 
-        one = texts.mapInArrow(run, COUNTS)
+        one = parts.mapInArrow(run, COUNTS)
         out = one if out is None else out.unionByName(one)
     return out.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
 
 
-def _known_ids(text: str, known: dict[bytes, int]) -> list[int]:
-    """As word_ids, where words that no candidate has are gaps."""
-    ids: list[int] = []
-    get = known.get
-    for piece in text.encode("utf-8", "surrogatepass").lower().translate(TO_LINES).split(b"\n"):
-        if words := piece.split():
-            ids += [get(w, GAP) for w in words]
-            ids.append(GAP)
-    return ids
-
-
-def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shard_bytes: int = SHARD_BYTES, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shard_bytes: int = PIECE_BYTES, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f) of all phrases of 1 to `longest` words with f >= support, and (lang, n) of all languages."""
-    texts = with_lang(docs)
-    local = written(locally_frequent(texts, support, longest, shard_bytes), "phrases-local")
-    words = local.where("phrase is null").groupBy("lang").agg(F.sum("n").alias("n"))
-    slack = local.where("phrase is null").groupBy("lang").agg(F.sum("slack").alias("most"))
-    excess = local.where("phrase is not null").groupBy("lang", "phrase").agg(F.sum(F.col("n") - F.col("slack")).alias("excess"))
+    parts = pieces(with_lang(docs), shard_bytes)
+    words = parts.groupBy("lang").agg(F.sum("n").alias("n"))
+    local, shares = locally_frequent(parts, support, longest)
+    slack = shares.groupBy("lang").agg(F.sum(F.col("least") - 1).alias("most"))  # how often a phrase may occur that no shard reports
+    excess = local.groupBy("lang", "phrase").agg(F.sum(F.col("n") - F.col("least") + 1).alias("excess"))
     candidates = written(excess.join(slack, "lang").where(F.col("excess") + F.col("most") >= support).select("lang", "phrase"), "phrases-candidates")
-    return written(counted(texts, candidates, longest, block).where(F.col("f") >= support), "phrases-frequent"), words
+    return written(counted(parts, candidates, longest, block).where(F.col("f") >= support), "phrases-frequent"), words
 
 
 def scored(frequent: DataFrame, words: DataFrame, covered: int = COVERED) -> DataFrame:

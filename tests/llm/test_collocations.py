@@ -98,3 +98,24 @@ def test_local_mining_is_complete():
     got = {tuple(ids[p : p + k].tolist()): int(c) for first, n, k in co.mine(ids, 5, 4) for p, c in zip(first, n)}
     every = Counter(tuple(ids[i : i + k].tolist()) for k in range(1, 5) for i in range(len(ids) - k + 1))
     assert got == {p: c for p, c in every.items() if c >= 5 and -1 not in p}
+
+
+def test_local_phrases_grow_with_the_table_and_not_faster(spark, monkeypatch):
+    """More text is more pieces, not a lower local support."""
+    rows, kept = {}, co.written
+
+    def noted(df, label):
+        out = kept(df, label)
+        if label == "phrases-local":
+            rows[texts] = rows.get(texts, 0) + out.where("phrase is not null").count()
+        return out
+
+    monkeypatch.setattr(co, "written", noted)
+    rnd = random.Random(5)
+    words = [f"w{k}" for k in range(200)]
+    draw = lambda: " ".join(rnd.choices(words, [1 / (k + 1) for k in range(200)], k=30))
+    for texts in (100, 500):
+        docs = [(draw(), "en") for _ in range(texts)]
+        frequent, _ = co.frequent_phrases(spark.createDataFrame(docs, "text string, lang string"), 60, 5, 2000, 1000)
+        assert {tuple(r.phrase.split(" ")): r.f for r in frequent.collect()} == {p: c for (_, p), c in counts_of(docs)[0].items() if c >= 60}
+    assert rows[500] < 8 * rows[100]
