@@ -189,8 +189,8 @@ def in_map(bits: int, whole: bytes, key: int) -> bool:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(set_hash, shingles): 48 bits of each shingle of the wanted text hashes, once a set; a few others may be among them."""
-    shared = docs.sparkSession.sparkContext.broadcast(bit_map(wanted, "text_hash"))
+    """(set_hash, shingles): 48 bits of each shingle of the wanted text hashes, once a set; a few others may be among them; written."""
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(written(wanted.select("text_hash"), "wanted"), "text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, whole = shared.value
@@ -209,7 +209,9 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["set_hash", "shingles"])
 
     found = docs.select("text", F.xxhash64("text").alias("h")).mapInArrow(run, "set_hash long, shingles binary")
-    return found.groupBy("set_hash").agg(F.first("shingles").alias("shingles"))
+    bodies = written(found.groupBy("set_hash").agg(F.first("shingles").alias("shingles")), "bodies")
+    shared.destroy()
+    return bodies
 
 
 def _opened(shingles: bytes) -> np.ndarray:
@@ -237,26 +239,29 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, perc
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("set_hash")).unionAll(pairs.select("b")).distinct()
-    bodies = written(whole_sets(docs, sets.join(wanted, "set_hash", "left_semi"), size), "bodies")
+    if pairs.isEmpty():
+        return pairs
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_hash")).distinct()
+    bodies = whole_sets(docs, sets.join(wanted, "set_hash", "left_semi"), size)
     left = bodies.select(F.col("set_hash").alias("a"), F.col("shingles").alias("x"))
     right = bodies.select(F.col("set_hash").alias("b"), F.col("shingles").alias("y"))
     return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
 
-def _leaders(index: DataFrame, last: bool, percent: int) -> DataFrame:
-    """(group, pivot): of each group, the one that is first or last among the holders of most of its shingles."""
-    pick = F.max if last else F.min
-    pivots = index.groupBy("token").agg(pick(F.struct("group", "n", "i")).alias("p"))
-    near = index.join(pivots, "token").where((F.col("group") != F.col("p.group")) & _alike(F.col("n"), F.col("p.n"), percent))
-    votes = near.groupBy("group", F.col("p.group").alias("pivot")).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+def _leaders(index: DataFrame, percent: int) -> DataFrame:
+    """(group, pivot): of each group, the ones that are first and last among the holders of most of its shingles."""
+    holder = F.struct("group", "n", "i")
+    pivots = index.groupBy("token").agg(F.array(F.min(holder), F.max(holder)).alias("ends"))
+    each = index.join(pivots, "token").select("group", "n", F.posexplode("ends").alias("end", "p"))
+    near = each.where((F.col("group") != F.col("p.group")) & _alike(F.col("n"), F.col("p.n"), percent))
+    votes = near.groupBy("group", "end", F.col("p.group").alias("pivot")).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
     strong = votes.where(LEADER_SHARE * F.col("c") >= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    return strong.groupBy("group").agg(F.max(F.struct("c", "pivot")).alias("best")).select("group", F.col("best.pivot").alias("pivot"))
+    return strong.groupBy("group", "end").agg(F.max(F.struct("c", "pivot")).alias("best")).select("group", F.col("best.pivot").alias("pivot"))
 
 
 def _stars(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of sets: members with the first member of their leader's group and of their own."""
-    leaders = _leaders(index, False, percent).unionAll(_leaders(index, True, percent)).distinct()
+    leaders = _leaders(index, percent).distinct()
     first = sets.groupBy("group").agg(F.min("set_hash").alias("a"))
     each = sets.select("group", F.col("set_hash").alias("b"))
     across = leaders.join(each, "group").join(first.withColumnRenamed("group", "pivot"), "pivot").select("a", "b")
@@ -342,7 +347,7 @@ def _differences(members: DataFrame, docs: DataFrame, sets: DataFrame, known: Da
     each = known.join(members, "group").join(first.select("pivot", F.col("f.set_hash").alias("p"), F.col("f.root").alias("root_p")), "pivot")
     each = written(each.select("pivot", "p", F.col("set_hash").alias("x"), "group", "n", "root", "root_p"), "members")
     wanted = each.select(F.col("x").alias("set_hash")).unionAll(each.select("p")).distinct()
-    bodies = written(whole_sets(docs, sets.join(wanted, "set_hash", "left_semi"), size), "bodies")
+    bodies = whole_sets(docs, sets.join(wanted, "set_hash", "left_semi"), size)
     both = each.join(bodies.select(F.col("set_hash").alias("x"), F.col("shingles").alias("own")), "x").join(bodies.select(F.col("set_hash").alias("p"), F.col("shingles").alias("other")), "p")
     columns = ["pivot", "p", "x", "group", "n", "root", "root_p", "own", "other"]
     schema = "pivot long, p long, x long, group long, n long, root long, linked boolean, met boolean, d long, few long, many long, tokens array<long>"
@@ -370,10 +375,15 @@ def _same_crowd(apart: DataFrame, percent: int) -> DataFrame:
 
 def _rest(posting: DataFrame, known: DataFrame, percent: int, docs: DataFrame, sets: DataFrame, size: int) -> DataFrame:
     """All pairs (a, b) of sets of different components that share a prefix or may be linked by their shared prefix shingles."""
-    apart = _differences(_crowds(posting, percent), docs, sets, known, size, percent)
-    stay = written(apart.groupBy("group", "pivot").agg(F.max(F.col("tokens").isNull()).alias("far")).where("NOT far").select("group", "pivot"), "crowds")
+    crowds = _crowds(posting, percent)
+    apart = None if crowds.isEmpty() else _differences(crowds, docs, sets, known, size, percent)
+    if apart is None:
+        stay, posting = crowds, posting.withColumn("pivot", F.lit(None).cast("long"))
+    else:
+        stay = written(apart.groupBy("group", "pivot").agg(F.max(F.col("tokens").isNull()).alias("far")).where("NOT far").select("group", "pivot"), "crowds")
+        posting = posting.join(stay, "group", "left")
     crowd = F.struct(F.col("pivot").isNotNull().alias("many"), F.coalesce("pivot", "group").alias("id"))
-    posting = written(posting.join(stay, "group", "left").select(*posting.columns, crowd.alias("crowd")), "posting")
+    posting = written(posting.withColumn("crowd", crowd).drop("pivot"), "posting")
 
     # crowds that share a shingle, by the same tests on the bounds of their groups; then their groups
     each = posting.groupBy("token", "crowd").agg(
@@ -405,6 +415,8 @@ def _rest(posting: DataFrame, known: DataFrame, percent: int, docs: DataFrame, s
     across = may.join(side("g", "a", "ra"), "g").join(side("h", "b", "rb"), "h").where("ra <> rb").select("a", "b")
     mixed = known.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(F.col("group").alias("g")).join(stay.select(F.col("group").alias("g")), "g", "left_anti")
     inside = side("g", "a", "ra").join(mixed, "g", "left_semi").join(side("g", "b", "rb"), "g").where("a < b AND ra <> rb").select("a", "b")
+    if apart is None:
+        return across.unionAll(inside)
     return across.unionAll(inside).unionAll(_same_crowd(apart.join(stay, ["group", "pivot"], "left_semi"), percent))
 
 
@@ -416,17 +428,23 @@ def _linked(docs: DataFrame, size: int, percent: int, most_frequent: int) -> tup
     shared = rows.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("token")
     index = written(rows.join(shared, "token").distinct(), "index")
     links = verified(_stars(index, sets, percent), docs, sets, size, percent)
+    roots = components(links)
 
-    def with_roots() -> DataFrame:
-        roots = components(links)
-        known = sets.join(roots.withColumnRenamed("node", "set_hash"), "set_hash", "left").withColumn("root", F.coalesce("root", "set_hash"))
-        return written(known.select("set_hash", "group", "n", "last", "root"), "known")
+    def known() -> DataFrame:
+        named = sets.join(roots.withColumnRenamed("node", "set_hash"), "set_hash", "left").withColumn("root", F.coalesce("root", "set_hash"))
+        return written(named.select("set_hash", "group", "n", "last", "root"), "known")
 
-    known = with_roots()
-    links = links.unionAll(verified(_chances(_open(index, known), known, percent), docs, sets, size, percent))
-    known = with_roots()
-    links = links.unionAll(verified(_rest(_open(index, known), known, percent, docs, sets, size), docs, sets, size, percent))
-    roots = components(links)
+    met = known()
+    posting = _open(index, met)
+    more = None if posting.isEmpty() else verified(_chances(posting, met, percent), docs, sets, size, percent)
+    if more is not None and not more.isEmpty():
+        links = links.unionAll(more)
+        roots = components(links)
+        met = known()
+        posting = _open(index, met)
+    more = verified(_rest(posting, met, percent, docs, sets, size), docs, sets, size, percent)
+    if not more.isEmpty():
+        roots = components(links.unionAll(more))
     return signed, sets, roots
 
 

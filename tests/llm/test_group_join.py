@@ -164,3 +164,14 @@ def test_prefixes_of_differences_find_every_link():
         few = g._prefixes(len(x ^ p), n, m, near(x, p), percent)[0]
         many = g._prefixes(len(y ^ p), k, m, near(y, p), percent)[1]
         assert set(sorted(x ^ p)[:few]) & set(sorted(y ^ p)[:many])
+
+
+def test_steps_without_rows_are_left_out(spark, docs_of, monkeypatch):
+    """Each step costs the driver threads and memory, whatever its rows; without crowds and open pairs there is nothing to do."""
+    labels, kept = [], g.written
+    monkeypatch.setattr(g, "written", lambda df, label: labels.append(label) or kept(df, label))
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(40))) for k in range(20)]
+    rows += [(50 + k, rows[k][1] + " end") for k in range(5)]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in g.classes(docs_of(rows)).collect())
+    assert got == brute(rows)[0] and sum(c < d for d, _, c in got) == 5
+    assert "differences" not in labels and labels.count("bodies") == 1
