@@ -16,11 +16,9 @@ from functools import cache
 from itertools import chain
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 
-#: Words that a worker process keeps, those that stay when there are more, and the longest of them.
-CACHED_WORDS, RECENT_GROUPS, CACHED_LENGTH = 600_000, 2, 64
+#: Words that a worker process keeps before it makes room, and the longest of them.
+CACHED_WORDS, CACHED_LENGTH = 900_000, 64
 _ODD_BLANKS = "\x1c\x1d\x1e\x1f"
 #: Letters below this, but for one whose lower case is two characters, are letters to every library.
 _LATIN_END, _TWO_LOWER = "ɐ", "İ"
@@ -45,7 +43,8 @@ class Encoder:
         self.feed = self._call(["\n"])[0]
         self.stops = {c: self._call([c])[0] for c in ".,"}
         self.words: dict[str, bytes] = {}
-        self.recent: list[set[str]] = []
+        self.recent: set[str] = set()  # words of the last group
+        self.often: set[str] = set()  # known words that a later group held again
         self.letters = _byte_letters()
         self.mark = self.lead.translate(self.letters)
         self.packed = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
@@ -99,19 +98,18 @@ class Encoder:
             for (w, before, _), own in zip(part, self._call([x[2] for x in part]), strict=True):
                 known[w] = before + own
 
-    def _split(self, texts: Sequence[str | None]) -> tuple[pa.Array, np.ndarray]:
-        """All words, with the line feed before them where blanks belong to tokens, and how many each text has; -1: it must be encoded whole."""
-        if self.lead:
-            lists = pc.split_pattern(pa.array(["\n" + t.replace("\n", " \n") if t else None for t in texts], pa.string()), " ")
-            return lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        whole = np.array([t is not None and any(c in t for c in _ODD_BLANKS) for t in texts], bool)
-        lists = pc.utf8_split_whitespace(pa.array([None if odd or not t else t.strip() or None for t, odd in zip(texts, whole, strict=True)], pa.string()))
-        return lists.flatten(), np.where(whole, -1, pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    def _words(self, text: str) -> list[str] | None:
+        """Words, with the line feed before them where blanks belong to tokens; or None where the text must be encoded whole."""
+        if not self.lead:
+            return None if any(c in text for c in _ODD_BLANKS) else text.split()
+        return ("\n" + text.replace("\n", " \n")).split(" ")
 
     def _make_room(self) -> None:
-        """Only words of the last groups stay when there are too many."""
+        """Only words of the last group and those that came again stay when there are too many; most rare words never come again."""
         if len(self.words) > CACHED_WORDS:
-            self.words = {w: self.words[w] for group in self.recent for w in group if w in self.words}
+            self.words = {w: self.words[w] for w in self.often | self.recent if w in self.words}
+            if 3 * len(self.often) > 2 * CACHED_WORDS:  # they have to come again to stay next time
+                self.often = set()
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is the empty text."""
@@ -124,31 +122,24 @@ class Encoder:
                 gc.enable()
 
     def _encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        words, held = self._split(texts)
-        coded = words.dictionary_encode()
-        distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        split = [self._words(t) if t else [] for t in texts]
         self._make_room()
-        used = set(distinct)
-        self.recent = [*self.recent[1 - RECENT_GROUPS :], used]   # words that are too long are no longer known when room is made
-        if new := used.difference(self.words):
+        used = set(chain.from_iterable(words for words in split if words))
+        self.recent = used  # words that are too long are no longer known when room is made
+        new = used.difference(self.words)
+        self.often |= used.difference(new)
+        if new:
             self._learn(new)
-        # ids of the distinct words one after the other, from which those of all words are taken
-        ids = [self.words.get(w) for w in distinct]
-        flat = np.frombuffer(b"".join([x or b"" for x in ids]), "<u4")
-        n = np.array([len(x or b"") // 4 for x in ids], np.int64)
-        own = n[at]
-        ends = np.cumsum(own)
-        every = flat[np.repeat((np.cumsum(n) - n)[at] - ends + own, own) + np.arange(own.sum())]
-        unknown = np.concatenate([[0], np.cumsum(np.array([x is None for x in ids], bool)[at])])
-        last = np.cumsum(np.maximum(held, 0))
-        first = last - np.maximum(held, 0)
-        ends = np.concatenate([[0], ends])
-        skip = len(self.feed) // 4 if self.lead else 0  # the line feed before the first word
-        found, whole = [], []
-        for k, (a, b, words_held, left_out) in enumerate(zip(ends[first].tolist(), ends[last].tolist(), held.tolist(), (unknown[last] - unknown[first]).tolist(), strict=True)):
-            if words_held < 0 or left_out:
-                whole.append(k)
-            found.append(every[a + (skip if words_held > 0 else 0) : b].tobytes())
+        word, found, whole = self.words.__getitem__, [], []
+        skip = len(self.feed) if self.lead else 0  # the line feed before the first word
+        for words in split:
+            try:
+                if words is None:
+                    raise KeyError
+                found.append(b"".join(map(word, words))[skip if words else 0 :])
+            except KeyError:  # a word that was left out
+                whole.append(len(found))
+                found.append(b"")
         for k, own in zip(whole, self._call([texts[k] for k in whole]), strict=True):
             found[k] = own
         for w in new:
@@ -163,7 +154,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def in_groups(texts: Sequence[str | None], most_chars: int = 6_000_000) -> list[tuple[int, int]]:
+def in_groups(texts: Sequence[str | None], most_chars: int = 2_000_000) -> list[tuple[int, int]]:
     """Ranges of texts of about `most_chars` characters, one text at least."""
     groups, start, held = [], 0, 0
     for i, t in enumerate(texts):

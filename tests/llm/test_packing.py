@@ -131,3 +131,18 @@ def test_words_after_line_feeds_and_odd_blanks_are_those_of_whole_texts():
         made = Encoder(public_tokenizers.path(name))
         for _ in range(2):  # the second time from the cache
             assert made.encode(texts) == made._call([t or "" for t in texts])
+
+
+def test_words_that_came_again_stay_known(monkeypatch):
+    from placetime.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHED_WORDS", 60)
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        made = tokens.Encoder(public_tokenizers.path(name))
+        learned, learn = [], made._learn
+        monkeypatch.setattr(made, "_learn", lambda new, learned=learned, learn=learn: (learned.append(set(new)), learn(new)))
+        rare = [" ".join(f"w{k}x{j}" for j in range(50)) for k in range(8)]
+        for text in ["river house", "house river", *rare, "house river", *(" ".join(f"v{k} v{k}." for k in range(50)) for _ in range(3))]:
+            assert made.encode([text]) == made._call([text])
+            assert len(made.words) <= 60 + 2 * 101
+        assert "house" not in set().union(*learned[2:])
