@@ -156,6 +156,7 @@ def encoded(docs: DataFrame, tokenizer: str, window: int, end: int) -> DataFrame
                     full += n // window
                 types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[x.split()[0] for x in ROWS.split(", ")])
+        encoder(tokenizer).forget_fresh()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ROWS)
 

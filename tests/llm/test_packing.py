@@ -146,3 +146,32 @@ def test_words_that_came_again_stay_known(monkeypatch):
             assert made.encode([text]) == made._call([text])
             assert len(made.words) <= 60 + 2 * 101
         assert "house" not in set().union(*learned[2:])
+
+
+def test_worker_keeps_no_rare_words_between_tasks(monkeypatch):
+    from placetime.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHED_WORDS", 300)
+    held = lambda e: sum(len(v) for v in vars(e).values() if isinstance(v, (dict, set)))
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        made = tokens.Encoder(public_tokenizers.path(name))
+        made.encode([""])
+        empty = held(made)
+        for k in range(12):  # twelve groups, as tasks have them, of 200 rare words each
+            text = "river house " + " ".join(f"w{k}x{j}" for j in range(200))
+            assert made.encode([text]) == made._call([text])
+            assert held(made) - empty <= 300 + 2 * 202  # the words once, in a single dictionary
+        made.forget_fresh()
+        assert held(made) - empty <= 3
+        assert made.encode(["river house, Élan!! (x) straße***\nhouse;"]) == made._call(["river house, Élan!! (x) straße***\nhouse;"])
+
+
+def test_words_that_end_in_signs_are_merged_once():
+    from placetime.llm import tokens
+
+    words = ["house!!", "Élan***", "river&&&", "straße;", "QUEUE)", "a|", "b_", "x" * 70 + "%%%", "end" + "!" * 9, "it's!", "a'"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        made = tokens.Encoder(public_tokenizers.path(name))
+        text = " ".join(words + words) + "\n" + "\n".join(words)
+        assert made.encode([text]) == made._call([text])
+        assert {"!!", "***", "&&&", ";", ")", "|", "_", "%%%"} <= set(made.ends)
