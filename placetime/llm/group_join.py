@@ -89,6 +89,19 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         yield [c.to_pylist() for c in batch.columns]
 
 
+def repeated(values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values that occur `least` times or more, ascending, and their counts.  Sorts values in place; needs little more memory than they have."""
+    values.sort()
+    n = len(values) - least + 1
+    if n <= 0:
+        return values[:0], np.zeros(0, np.int64)
+    enough = values[:n] == values[least - 1 :]
+    enough[1:] &= values[1:n] != values[: n - 1]
+    starts = np.flatnonzero(enough)
+    found = values[starts]
+    return found, np.searchsorted(values, found, "right") - starts
+
+
 def frequent(docs: DataFrame, size: int, most: int = MOST_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """Sorted frequent shingles and their counts, at most `most`; copies inside a task's chunk count once."""
 
@@ -96,9 +109,10 @@ def frequent(docs: DataFrame, size: int, most: int = MOST_FREQUENT) -> tuple[np.
         held, n, seen = [], 0, set()
 
         def counted() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= LEAST_HERE
-            return pa.RecordBatch.from_arrays([pa.array(_signed(values[often])), pa.array(counts[often].astype(np.int64))], names=["token", "n"])
+            values = np.concatenate(held)
+            held.clear()
+            values, counts = repeated(values, LEAST_HERE)
+            return pa.RecordBatch.from_arrays([pa.array(_signed(values)), pa.array(counts.astype(np.int64))], names=["token", "n"])
 
         for (texts,) in _texts(batches):
             for text in texts:

@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from placetime.llm import group_join as g
@@ -175,3 +176,24 @@ def test_steps_without_rows_are_left_out(spark, docs_of, monkeypatch):
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in g.classes(docs_of(rows)).collect())
     assert got == brute(rows)[0] and sum(c < d for d, _, c in got) == 5
     assert "differences" not in labels and labels.count("bodies") == 1
+
+
+def test_repeated_shingles_are_counted_in_place():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    for n, top, least in [(0, 5, 3), (1, 5, 1), (2, 1, 3), (3, 1, 3), (50, 20, 1), (500, 150, 3), (500, 3, 3), (500, 400, 2)]:
+        values = rng.integers(0, top, n).astype(np.uint64)
+        want, counts = np.unique(values, return_counts=True)
+        got = g.repeated(values.copy(), least)
+        assert [x.tolist() for x in got] == [want[counts >= least].tolist(), counts[counts >= least].tolist()]
+    values = rng.integers(0, 1 << 40, 400_000).astype(np.uint64)
+    values[:3000] = 7
+    tracemalloc.start()
+    try:
+        got = g.repeated(values, g.LEAST_HERE)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got[0][0] == 7 and got[1][0] == 3000
+    assert peak < values.nbytes  # counting by np.unique takes four times their size
